@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import StringType
 
 from ..catalog import patterns as P, trackers as C
 
@@ -25,14 +26,14 @@ def _data(text: str | None) -> dict | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def container_data(text: pd.Series) -> pd.Series:
     """The container's data object as JSON, NULL when it cannot be read."""
     found = text.map(_data)
     return found.map(lambda d: None if d is None else json.dumps(d, ensure_ascii=False, separators=(",", ":")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve_constants(text: pd.Series) -> pd.Series:
     """Inline references to constant variables by their quoted value."""
 

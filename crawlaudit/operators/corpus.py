@@ -8,6 +8,7 @@ from ..functions import text as T, urls as U
 from .skew import lookup_join, small_side
 
 ANCHOR_WORDS = 8
+PHRASE_WORDS = 32
 
 
 def pages_per_domain(pages: DataFrame) -> DataFrame:
@@ -59,9 +60,10 @@ def phrase_copy_members(pages: DataFrame, text: Column) -> DataFrame:
 def passage_copies(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(phrase, doc_id): documents that hold the exact phrase of a passage.
 
-    The first words of a phrase are its anchor. Every run of as many words in a
-    document is hashed in place; only runs that hit an anchor leave the row, and each
-    hit is verified against the whole text. Equal passages count once.
+    The first words of a phrase are its anchor. A document yields one short window per
+    word (its anchor hash and as many words as a phrase may have), so the work is linear
+    in its length; a window that meets an anchor is then checked word for word. Equal
+    passages count once.
     """
     phrases = passages.select(T.exact_phrase(F.col("text")).alias("phrase")).where(F.col("phrase") != "").distinct()
     words = F.split("phrase", " ")
@@ -71,17 +73,19 @@ def passage_copies(passages: DataFrame, documents: DataFrame) -> DataFrame:
     lengths = [r["k"] for r in phrases.select("k").distinct().collect()]  # at most ANCHOR_WORDS values
     # All words, quotes stripped like in a phrase, no cap.
     body = T.clean(F.regexp_replace("text", "[\"“”„«»]", " "))
-    docs = documents.select("doc_id", body.alias("body")).withColumn("w", F.split("body", " "))
-    runs = lambda k: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))),
-        lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(k)), " ")).alias("anchor")),
-    )
+    docs = documents.select("doc_id", F.split(body, " ").alias("w"))
     found = None
     for k in lengths:
-        grams = docs.select("doc_id", "body", F.explode(F.array_distinct(runs(k))).alias("g")).select("doc_id", "body", "g.k", "g.anchor")
-        hit = grams.join(phrases, ["k", "anchor"])
-        whole = F.concat(F.lit(" "), "body", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))
-        hit = hit.where(whole).select("phrase", "doc_id")
+        windows = F.transform(
+            F.sequence(F.lit(1), F.size("w")),
+            lambda i: F.struct(
+                F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(k)), " ")).alias("anchor"),
+                F.concat(F.array_join(F.slice(F.col("w"), i, F.lit(PHRASE_WORDS)), " "), F.lit(" ")).alias("window"),
+            ),
+        )
+        runs = docs.select("doc_id", F.explode_outer(windows).alias("g")).select("doc_id", F.lit(k).alias("k"), "g.anchor", "g.window")
+        hit = runs.join(phrases, ["k", "anchor"]).where(F.startswith(F.col("window"), F.concat("phrase", F.lit(" "))))
+        hit = hit.select("phrase", "doc_id")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return documents.select(F.lit(None).cast("string").alias("phrase"), "doc_id").limit(0)

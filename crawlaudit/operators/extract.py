@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H, text as T, urls as U
@@ -30,6 +31,20 @@ _ASSET_REL = r"(?:^|\s)(?:stylesheet|preload|modulepreload|prefetch)(?:\s|\z)"
 _HTMX = r"(?i)\shx-(?:get|post|put|patch|delete|target|swap|trigger|boost)(?=[\s/>=])"
 
 
+_CACHE: dict = {}
+
+
+def _shared(key, build) -> Column:
+    """Build an expression once per context: records differ in columns, not in expressions."""
+    context = SparkContext._active_spark_context
+    if _CACHE.get("context") is not context:
+        _CACHE.clear()
+        _CACHE["context"] = context
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
 def _rel_has(rel: Column, token: str) -> Column:
     return F.array_contains(F.split(F.lower(F.coalesce(rel, F.lit(""))), r"\s+"), token)
 
@@ -72,16 +87,27 @@ def parse(pages: DataFrame) -> DataFrame:
     headings), each parsed by one expression; groups nobody reads are pruned.
     """
     html, doc, base = F.col("html"), F.col("_doc"), F.col("_base")
-    df = pages.withColumns({"_raw": H.raw_parts(html), "_doc": H.masked(html)})
-    base_tag = _first(H.start_tags(doc, "base"), lambda t: H.has_attr(t, "href"))
-    df = df.withColumns({"_page": U.base_parts(U.normalize(F.col("url"))), "_base_href": H.attr(base_tag, "href")})
-    based = U.base_parts(U.resolve(F.col("_base_href"), F.col("_page")))
-    df = df.withColumn("_base", F.when(F.col("_base_href").isNull(), F.col("_page")).otherwise(based))
+    df = pages.withColumns({
+        "_raw": _shared("_raw", lambda: H.raw_parts(html)), "_doc": _shared("_doc", lambda: H.masked(html)),
+    })
+
+    def base_href():
+        return H.attr(_first(H.start_tags(doc, "base"), lambda t: H.has_attr(t, "href")), "href")
+
+    def effective_base():
+        based = U.base_parts(U.resolve(F.col("_base_href"), F.col("_page")))
+        return F.when(F.col("_base_href").isNull(), F.col("_page")).otherwise(based)
+
+    df = df.withColumns({
+        "_page": _shared("_page", lambda: U.base_parts(U.normalize(F.col("url")))), "_base_href": _shared("_base_href", base_href),
+    })
+    df = df.withColumn("_base", _shared("_base", effective_base))
     is_code = lambda r: H.is_tag(r, "script|iframe")
+    anchors = lambda: H.elements_with_content(doc, "a", r"</?a(?=[\s/>])", alone="area")
     return df.withColumns({
-        "_tags": _group(H.start_tags(doc, "meta|link|html|body|img"), base),
-        "_code": _group(F.filter(F.col("_raw"), is_code), base),
-        "_anchors": _group(H.elements_with_content(doc, "a", r"</?a(?=[\s/>])", alone="area"), base, text=True),
+        "_tags": _shared("_tags", lambda: _group(H.start_tags(doc, "meta|link|html|body|img"), base)),
+        "_code": _shared("_code", lambda: _group(F.filter(F.col("_raw"), is_code), base)),
+        "_anchors": _shared("_anchors", lambda: _group(anchors(), base, text=True)),
     })
 
 
@@ -224,15 +250,20 @@ def page_records(pages: DataFrame, *only: str, limits: dict | None = None) -> Da
     """
     cap = (limits or {}).get
     builders = _builders(cap)
+    named_metas = lambda: F.transform(
+        _tagged("meta"), lambda m: F.struct(F.lower(T.strip(m["attrs"]["name"])).alias("name"), m["attrs"].alias("attrs"))
+    )
+    code_scripts = lambda: F.filter(F.col("_code"), lambda e: (e["tag"] == "script") & ~_script_type(e).isin(_DATA_SCRIPTS))
     df = parse(pages).withColumns({
-        "_metas": F.transform(
-            _tagged("meta"), lambda m: F.struct(F.lower(T.strip(m["attrs"]["name"])).alias("name"), m["attrs"].alias("attrs"))
-        ),
-        "_links": _tagged("link"),
-        "_scripts": F.filter(F.col("_code"), lambda e: (e["tag"] == "script") & ~_script_type(e).isin(_DATA_SCRIPTS)),
+        "_metas": _shared("_metas", named_metas), "_links": _shared("_links", lambda: _tagged("link")),
+        "_scripts": _shared("_scripts", code_scripts),
     })
     names = only or RECORD_COLUMNS
-    out = df.select(*[c for c in pages.columns if c != "html"], *[builders[n]().alias(n) for n in names])
+    key = tuple(sorted((limits or {}).items()))
+    fields = [_shared((n, key), builders[n]).alias(n) for n in names]
+    # One generated row per page. It changes nothing in the result, but a filter on a record column
+    # stops here instead of being rewritten into a second copy of the whole extraction.
+    out = df.select(*[c for c in pages.columns if c != "html"], F.inline_outer(F.array(F.struct(*fields))))
     for name in ("headings", "links", "images"):
         if name in names:
             out = out.withColumn(f"{name}_total", F.size(name))
@@ -402,9 +433,10 @@ def _dom_markers(limit: int | None) -> Column:
 
 def elements(pages: DataFrame) -> DataFrame:
     """Element table (S2): one row per start tag, in document order."""
+    markup = F.col("markup")
     df = parse(pages).select("page_id", F.posexplode_outer(H.start_tags(F.col("_doc"))).alias("pos", "markup"))
-    return df.where(F.col("markup").isNotNull()).select(
-        "page_id", "pos", H.tag_name(F.col("markup")).alias("tag"), H.attributes(F.col("markup")).alias("attrs")
+    return df.where(markup.isNotNull()).select(
+        "page_id", "pos", H.tag_name(markup).alias("tag"), _shared("attrs", lambda: H.attributes(markup)).alias("attrs")
     )
 
 

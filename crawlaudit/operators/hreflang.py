@@ -21,7 +21,7 @@ def page_alternates(records: DataFrame, responses: DataFrame | None = None) -> D
     df = records.select("page_id", "url", html.alias("_html"))
     if responses is None:
         return df.withColumnRenamed("_html", "entries")
-    links = responses.select(F.col("url"), D.parse_link_header(header(F.col("headers"), "link")).alias("_links"))
+    links = responses.where("error is null").select(F.col("url"), D.parse_link_header(header(F.col("headers"), "link")).alias("_links"))
     base = U.base_parts(U.normalize(F.col("url")))
     head = F.transform(
         F.filter(F.col("_links"), lambda l: F.coalesce(l["hreflang"], F.lit("")) != ""),
@@ -65,8 +65,10 @@ def check_alternates(entries: DataFrame, responses: DataFrame, target_records: D
     df = lookup_join(own, r, ["href_key"])
     target = F.coalesce(T.blank_to_null(F.col("final_url")), F.col("href_key"))
     df = df.withColumns({"_target": U.strip_hash(target), "_self": U.strip_hash(F.col("url"))})
-    # Pairs (page that links, page linked to) of the whole crawl; headers of the target count like its tags.
-    pairs = entries.select(U.strip_hash(F.col("url")).alias("_target"), U.strip_hash(F.col("href")).alias("_self")).distinct()
+    # Pairs (page that links, page linked to) of the whole crawl, and whether a header says so.
+    pairs = entries.select(
+        U.strip_hash(F.col("url")).alias("_target"), U.strip_hash(F.col("href")).alias("_self"), (F.col("source") == "header").alias("_h")
+    ).groupBy("_target", "_self").agg(F.bool_or("_h").alias("_back_header"))
     df = df.join(pairs.withColumn("_back", F.lit(True)), ["_target", "_self"], "left")
     canon = target_records.select(
         U.strip_hash(F.col("url")).alias("_target"),
@@ -74,10 +76,11 @@ def check_alternates(entries: DataFrame, responses: DataFrame, target_records: D
     ).groupBy("_target").agg(F.min("target_canonical").alias("target_canonical"))
     df = lookup_join(df, canon, ["_target"])
     readable = F.col("status").between(200, 299) & F.coalesce(F.col("content_type"), F.lit("")).rlike("(?i)html")
-    known = readable | F.col("_has_header")
+    # An answer that is not HTML links back through its header alone.
+    back = F.when(readable, F.coalesce("_back", F.lit(False))).when(F.col("_has_header"), F.coalesce("_back_header", F.lit(False)))
     return df.select(
         "page_id", "url", "idx", "lang", "href", "raw", "source", "status", "redirected", "final_url", "error",
-        F.when(F.coalesce(known, F.lit(False)), F.coalesce("_back", F.lit(False))).alias("return_link"),
+        F.when(F.col("status").isNotNull(), back).alias("return_link"),
         F.when(readable, F.col("target_canonical")).alias("target_canonical"),
     )
 
@@ -85,7 +88,7 @@ def check_alternates(entries: DataFrame, responses: DataFrame, target_records: D
 def status_label(df: DataFrame) -> DataFrame:
     """Add status_label, status_class and link_label to checked alternates (H3)."""
     status = F.col("status").cast("string")
-    failed = F.col("error").isNotNull() | F.col("status").isNull()
+    failed = F.col("error").isNotNull()
     own = U.strip_hash(F.col("href")) == U.strip_hash(F.col("url"))
     return df.withColumns({
         "status_label": F.when(failed, "Failed").when(F.col("redirected"), F.concat(F.lit("3xx → "), status)).otherwise(status),

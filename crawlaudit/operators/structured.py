@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import urls as U
 from .extract import children, parse
@@ -19,7 +20,7 @@ def _refuse(_):
     raise ValueError("not JSON")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Strictly parsed JSON re-serialised (last duplicate key wins), NULL when invalid."""
 

@@ -29,7 +29,7 @@ def page_urls(signals: DataFrame, requests: DataFrame | None = None) -> DataFram
 
 def page_headers(pages: DataFrame, responses: DataFrame) -> DataFrame:
     """(page_id, header, value) of each page's own response, names lower-case."""
-    own = pages.select("page_id", "url").join(responses.select("url", "headers"), "url")
+    own = pages.select("page_id", "url").join(responses.where("error is null").select("url", "headers"), "url")
     return own.select("page_id", F.explode("headers").alias("header", "value")).withColumn("header", F.lower("header"))
 
 

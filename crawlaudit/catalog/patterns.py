@@ -49,7 +49,7 @@ def match(signals: DataFrame, patterns: DataFrame, tokens_by_use: dict[str, set[
     cands = gated.select(*signals.columns, F.explode_outer("_tokens").alias("token")).where(F.col("token").isNotNull())
     joined = cands.join(F.broadcast(patterns), ["use", "token"])
     hits = F.regexp_extract_all(F.col("value"), F.col("regex"), F.lit(0))
-    rows = joined.where(F.col("value").rlike(F.col("regex"))).withColumn("_hits", hits)
+    rows = joined.where(F.regexp_like("value", F.col("regex"))).withColumn("_hits", hits)
     rows = rows.select(*[c for c in rows.columns if c != "_hits"], F.posexplode("_hits").alias("match_pos", "matched"))
     # The whole match is re-read for its group only where the pattern has one; look-arounds need the text itself.
     groups = F.regexp_extract_all(F.col("value"), F.col("regex"), F.col("groups"))

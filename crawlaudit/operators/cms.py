@@ -39,7 +39,7 @@ def content_dirs(urls: DataFrame, slugs: DataFrame) -> DataFrame:
     """(page_id, dirs): extra content folders found through a body-class theme."""
     both = slugs.select("page_id", F.explode(F.array_compact(F.array("parent", "child"))).alias("slug"))
     j = urls.where(F.col("value").contains("/themes/")).join(both, "page_id")
-    j = j.withColumn("dir", F.regexp_extract("value", F.concat(F.lit(r"(?i)/([A-Za-z0-9_.-]+)/themes/"), "slug", F.lit("/")), F.lit(1)))
+    j = j.withColumn("dir", F.call_function("regexp_extract", F.col("value"), F.concat(F.lit(r"(?i)/([A-Za-z0-9_.-]+)/themes/"), "slug", F.lit("/")), F.lit(1)))
     first = j.where("dir <> ''").groupBy("page_id", "slug").agg(F.min_by("dir", "seq").alias("dir"))
     return first.groupBy("page_id").agg(F.collect_set("dir").alias("dirs"))
 
@@ -61,7 +61,7 @@ def asset_paths(signals: DataFrame, urls: DataFrame) -> DataFrame:
     pattern = F.concat(F.lit(rf"(https?://[^{stop}]*?)?/(?:"), dirs, F.lit(rf")/(plugins|themes){tail}"))
     rows = texts.withColumn("_re", pattern)
     rows = rows.select("page_id", "seq", "_re", F.posexplode(F.regexp_extract_all("value", F.col("_re"), F.lit(0))).alias("_i", "matched"))
-    part = lambda g: F.regexp_extract("matched", F.col("_re"), F.lit(g))
+    part = lambda g: F.call_function("regexp_extract", F.col("matched"), F.col("_re"), F.lit(g))
     rows = rows.select(
         "page_id", "matched", F.struct("seq", "_i").alias("ord"), T.blank_to_null(part(1)).alias("origin"),
         part(2).alias("kind"), part(3).alias("slug"), part(4).alias("file"), part(5).alias("query"),
@@ -70,7 +70,7 @@ def asset_paths(signals: DataFrame, urls: DataFrame) -> DataFrame:
     library = F.concat(F.lit("/"), "file").rlike(rf"(?i)/(?:{LIBRARY_DIRS})/") | F.col("file").rlike(
         rf"(?i)(?:^|/)(?:[^/]*[^a-z/])?(?:{LIBRARY_NAMES})(?:[^a-z/][^/]*)?\z"
     )
-    named = (F.col("kind") == "themes") & F.col("file").contains(ver)
+    named = (F.col("kind") == "themes") & F.contains("file", ver)
     own = F.when(~library & ~F.coalesce(named, F.lit(False)), ver)
     folder = F.concat(F.lit("/"), "kind", F.lit("/"), "slug", F.lit("/"))
     base = F.when(F.col("origin").isNotNull(), F.left("matched", F.position(folder, F.col("matched")) + F.length(folder) - 1))

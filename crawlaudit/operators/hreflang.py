@@ -18,11 +18,11 @@ def page_alternates(records: DataFrame, responses: DataFrame | None = None) -> D
         "hreflang",
         lambda e: F.struct(e["lang"].alias("lang"), e["href"].alias("href"), e["raw"].alias("raw"), F.lit("html").alias("source")),
     )
-    df = records.select("page_id", "url", html.alias("_html"))
+    df = records.select("page_id", "url", U.strip_hash(F.col("url")).alias("page_key"), html.alias("_html"))
     if responses is None:
         return df.withColumnRenamed("_html", "entries")
     links = responses.where("error is null").select(F.col("url"), D.parse_link_header(header(F.col("headers"), "link")).alias("_links"))
-    base = U.base_parts(U.normalize(F.col("url")))
+    base = F.col("_page")
     head = F.transform(
         F.filter(F.col("_links"), lambda l: F.coalesce(l["hreflang"], F.lit("")) != ""),
         lambda l: F.struct(
@@ -30,8 +30,8 @@ def page_alternates(records: DataFrame, responses: DataFrame | None = None) -> D
         ),
     )
     none = F.array().cast("array<struct<lang:string,href:string,raw:string,source:string>>")
-    joined = df.join(links, "url", "left")
-    return joined.select("page_id", "url", F.concat("_html", F.coalesce(head, none)).alias("entries"))
+    joined = df.join(links, "url", "left").withColumn("_page", U.base_parts(F.col("page_key")))
+    return joined.select("page_id", "url", "page_key", F.concat("_html", F.coalesce(head, none)).alias("entries"))
 
 
 def header(headers: Column, name: str) -> Column:
@@ -41,9 +41,9 @@ def header(headers: Column, name: str) -> Column:
 
 
 def hreflang_entries(alternates: DataFrame) -> DataFrame:
-    """(page_id, url, idx, lang, href, raw, source), one row per alternate."""
-    df = alternates.select("page_id", "url", F.posexplode_outer("entries").alias("idx", "e")).where(F.col("e").isNotNull())
-    return df.select("page_id", "url", "idx", "e.lang", "e.href", "e.raw", "e.source")
+    """(page_id, url, page_key, idx, lang, href, raw, source), one row per alternate."""
+    df = alternates.select("page_id", "url", "page_key", F.posexplode_outer("entries").alias("idx", "e")).where(F.col("e").isNotNull())
+    return df.select("page_id", "url", "page_key", "idx", "e.lang", "e.href", "e.raw", "e.source")
 
 
 def check_alternates(entries: DataFrame, responses: DataFrame, target_records: DataFrame) -> DataFrame:
@@ -58,28 +58,27 @@ def check_alternates(entries: DataFrame, responses: DataFrame, target_records: D
         header(F.col("headers"), "content-type").alias("content_type"),
         D.parse_link_header(header(F.col("headers"), "link")).alias("_links"),
     )
-    r = r.select("href_key", "status", "redirected", "final_url", "error", "content_type",
-                 F.exists(F.coalesce("_links", F.array().cast("array<struct<url:string,rel:string,hreflang:string>>")),
-                          lambda l: F.coalesce(l["hreflang"], F.lit("")) != "").alias("_has_header"))
-    own = entries.withColumn("href_key", F.regexp_replace("href", "#.*", ""))
+    none = F.array().cast("array<struct<url:string,rel:string,hreflang:string>>")
+    has_header = F.exists(F.coalesce("_links", none), lambda l: F.coalesce(l["hreflang"], F.lit("")) != "")
+    target = U.strip_hash(F.coalesce(T.blank_to_null(F.col("final_url")), F.col("href_key")))
+    r = r.select("href_key", "status", "redirected", "final_url", "error", "content_type", has_header.alias("_has_header"), target.alias("_target"))
+    canon = target_records.select(
+        U.strip_hash(F.col("url")).alias("_target"), F.get(F.col("head.canonicals"), F.lit(0))["href"].alias("target_canonical")
+    ).groupBy("_target").agg(F.min("target_canonical").alias("target_canonical"))
+    r = r.join(canon, "_target", "left")
+    own = entries.withColumn("href_key", U.strip_hash_text(F.col("href")))
     df = lookup_join(own, r, ["href_key"])
-    target = F.coalesce(T.blank_to_null(F.col("final_url")), F.col("href_key"))
-    df = df.withColumns({"_target": U.strip_hash(target), "_self": U.strip_hash(F.col("url"))})
+    df = df.withColumns({"_target": F.coalesce("_target", "href_key"), "_self": F.col("page_key")})
     # Pairs (page that links, page linked to) of the whole crawl, and whether a header says so.
     pairs = entries.select(
-        U.strip_hash(F.col("url")).alias("_target"), U.strip_hash(F.col("href")).alias("_self"), (F.col("source") == "header").alias("_h")
+        F.col("page_key").alias("_target"), U.strip_hash_text(F.col("href")).alias("_self"), (F.col("source") == "header").alias("_h")
     ).groupBy("_target", "_self").agg(F.bool_or("_h").alias("_back_header"))
     df = df.join(pairs.withColumn("_back", F.lit(True)), ["_target", "_self"], "left")
-    canon = target_records.select(
-        U.strip_hash(F.col("url")).alias("_target"),
-        F.get(F.col("head.canonicals"), F.lit(0))["href"].alias("target_canonical"),
-    ).groupBy("_target").agg(F.min("target_canonical").alias("target_canonical"))
-    df = lookup_join(df, canon, ["_target"])
     readable = F.col("status").between(200, 299) & F.coalesce(F.col("content_type"), F.lit("")).rlike("(?i)html")
     # An answer that is not HTML links back through its header alone.
     back = F.when(readable, F.coalesce("_back", F.lit(False))).when(F.col("_has_header"), F.coalesce("_back_header", F.lit(False)))
     return df.select(
-        "page_id", "url", "idx", "lang", "href", "raw", "source", "status", "redirected", "final_url", "error",
+        "page_id", "url", "page_key", "idx", "lang", "href", "raw", "source", "status", "redirected", "final_url", "error",
         F.when(F.col("status").isNotNull(), back).alias("return_link"),
         F.when(readable, F.col("target_canonical")).alias("target_canonical"),
     )
@@ -89,7 +88,7 @@ def status_label(df: DataFrame) -> DataFrame:
     """Add status_label, status_class and link_label to checked alternates (H3)."""
     status = F.col("status").cast("string")
     failed = F.col("error").isNotNull()
-    own = U.strip_hash(F.col("href")) == U.strip_hash(F.col("url"))
+    own = U.strip_hash_text(F.col("href")) == F.col("page_key")
     return df.withColumns({
         "status_label": F.when(failed, "Failed").when(F.col("redirected"), F.concat(F.lit("3xx → "), status)).otherwise(status),
         "status_class": F.when(failed, "bad").when(F.col("redirected"), "warn").otherwise(T.status_class(F.col("status"))),

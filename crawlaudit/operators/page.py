@@ -22,14 +22,15 @@ def _count(arr: Column, cond) -> Column:
 def canonical_status(canonicals: Column, page_url: Column) -> Column:
     """missing, empty, self, other or conflict (A1)."""
 
+    # Record addresses are serialised already; only the page's own needs it.
     def decide(c: Column) -> Column:
         href = F.get(c, F.lit(0))["href"]
-        distinct = F.size(F.array_distinct(F.transform(c, lambda x: U.strip_hash(x["href"]))))
+        distinct = F.size(F.array_distinct(F.transform(c, lambda x: U.strip_hash_text(x["href"]))))
         return (
             F.when(F.size(c) < 1, "missing")
             .when((F.size(c) > 1) & (distinct > 1), "conflict")
             .when(href == "", "empty")
-            .when(U.strip_hash(href) == U.strip_hash(page_url), "self")
+            .when(U.strip_hash_text(href) == U.strip_hash(page_url), "self")
             .otherwise("other")
         )
 
@@ -90,13 +91,14 @@ def heading_issues(headings: Column) -> Column:
 
 def heading_counts(headings: Column) -> list[Column]:
     """h1..h6 counts as six columns."""
-    return [_count(headings, lambda h, n=n: h["level"] == n).alias(f"h{n}") for n in range(1, 7)]
+    at = lambda n: _count(headings, lambda h: h["level"] == n)
+    return [at(n).alias(f"h{n}") for n in range(1, 7)]
 
 
 # ---- links
 
 
-def link_kind(raw: Column, href: Column, page_url: Column) -> Column:
+def link_kind(raw: Column, href: Column, page_host: Column) -> Column:
     """javascript, mailto, tel, fragment, internal, external or other."""
     r = T.strip(F.coalesce(raw, F.lit("")))
     return (
@@ -104,7 +106,7 @@ def link_kind(raw: Column, href: Column, page_url: Column) -> Column:
         .when(r.rlike("(?i)^mailto:"), "mailto")
         .when(r.rlike("(?i)^tel:"), "tel")
         .when(r.startswith("#"), "fragment")
-        .when(href.rlike(r"(?i)^https?://[^/?#]") & (U.bare_host(href) == U.bare_host(page_url)), "internal")
+        .when(href.rlike(r"(?i)^https?://[^/?#]") & (U.bare_host(href) == page_host), "internal")
         .when(href.rlike(r"(?i)^https?://[^/?#]"), "external")
         .otherwise("other")
     )
@@ -118,11 +120,11 @@ def classify_links(records: DataFrame) -> DataFrame:
     rows = F.transform(
         F.col("links"),
         lambda l: F.struct(
-            *[l[f].alias(f) for f in fields], link_kind(l["raw"], l["href"], F.col("url")).alias("kind"), *flags(l),
+            *[l[f].alias(f) for f in fields], link_kind(l["raw"], l["href"], F.col("_host")).alias("kind"), *flags(l),
             (has(l, "nofollow") | has(l, "ugc") | has(l, "sponsored")).alias("qualified"),
         ),
     )
-    return records.withColumn("links", rows)
+    return records.withColumn("_host", U.bare_host(F.col("url"))).withColumn("links", rows).drop("_host")
 
 
 def link_stats(links: Column) -> Column:
@@ -224,7 +226,7 @@ def hreflang_issues(entries: Column, page_url: Column) -> Column:
     )
     lead = F.array(
         F.when(~F.array_contains(langs, "x-default"), issue("warn", F.lit("No x-default"))),
-        F.when(~F.exists(entries, lambda e: U.strip_hash(e["href"]) == page), issue("warn", F.lit("No self-referencing hreflang"))),
+        F.when(~F.exists(entries, lambda e: U.strip_hash_text(e["href"]) == page), issue("warn", F.lit("No self-referencing hreflang"))),
     )
     none = F.array().cast("array<struct<level:string,text:string>>")
     return F.when(F.size(entries) == 0, none).otherwise(F.array_compact(F.concat(lead, per_entry, dup)))
@@ -250,8 +252,8 @@ def social_card(records: DataFrame) -> DataFrame:
     """Resolved previews for both card families."""
     og, tw, head, url = F.col("og"), F.col("twitter"), F.col("head"), F.col("url")
     some = lambda *keys, pairs=og: F.coalesce(*[T.blank_to_null(first_value(pairs, k)) for k in keys])
-    absolute = lambda v: F.when(v.isNotNull(), U.resolve(v, U.base_parts(U.normalize(url))))
-    df = records.select(
+    absolute = lambda v: F.when(v.isNotNull(), U.resolve(v, F.col("_page")))
+    df = records.withColumn("_page", U.base_parts(U.normalize(url))).select(
         "page_id", "url", "head", "og", "twitter",
         first_value(og, "og:title").alias("_ot"), first_value(og, "og:description").alias("_od"),
         absolute(some("og:image", "og:image:url", "og:image:secure_url")).alias("og_image"),

@@ -83,7 +83,7 @@ def rule_prefix(pattern: Column) -> Column:
 
 def matches_rule(pattern: Column, path: Column) -> Column:
     """Whether a rule path covers a URL path with query."""
-    return path.rlike(rule_regex(pattern))
+    return F.regexp_like(path, rule_regex(pattern))
 
 
 def agent_rules(rules: DataFrame, agents: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def check_urls(pages: DataFrame, files: DataFrame, agents: DataFrame | None = No
     mine = F.get(F.filter("per_agent", lambda a: a["agent"] == F.col("agent")), F.lit(0))
     path = U.path_and_query(F.col("url"))
     df = joined.withColumns({"_mine": mine, "_path": path})
-    best = F.get(F.filter("_mine.rules", lambda r: F.startswith(F.col("_path"), r["prefix"]) & F.col("_path").rlike(r["regex"])), F.lit(0))
+    best = F.get(F.filter("_mine.rules", lambda r: F.startswith(F.col("_path"), r["prefix"]) & F.regexp_like(F.col("_path"), r["regex"])), F.lit(0))
     df = df.withColumn("_best", best)
     is_file = F.regexp_replace("_path", r"\?.*", "") == "/robots.txt"
     ok = (F.col("robots_status") >= 200) & (F.col("robots_status") < 300)

@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import urls as U
 from .extract import children, parse
@@ -20,54 +20,47 @@ def _refuse(_):
     raise ValueError("not JSON")
 
 
-@F.pandas_udf(StringType())
-def canonical_json(text: pd.Series) -> pd.Series:
-    """Strictly parsed JSON re-serialised (last duplicate key wins), NULL when invalid."""
+def _types(node, depth: int = 0) -> list[str]:
+    """Type names of a document and its members, in order, @context skipped."""
+    if depth > MAX_DEPTH or not isinstance(node, (dict, list)):
+        return []
+    if isinstance(node, list):
+        return [t for n in node for t in _types(n, depth + 1)]
+    own = node.get("@type")
+    names = [own] if isinstance(own, str) else [t for t in own if isinstance(t, str)] if isinstance(own, list) else []
+    return names + [t for k, v in node.items() if k != "@context" for t in _types(v, depth + 1)]
+
+
+_BLOCK = StructType([StructField("json", StringType()), StructField("types", ArrayType(StringType()))])
+
+
+@F.pandas_udf(_BLOCK)
+def parse_block(text: pd.Series) -> pd.DataFrame:
+    """Strictly parsed JSON re-serialised (last duplicate key wins) and its types; NULLs when invalid."""
 
     def one(t):
         try:
-            return json.dumps(json.loads(t, parse_constant=_refuse), ensure_ascii=False, separators=(",", ":"))
+            data = json.loads(t, parse_constant=_refuse)
+            return json.dumps(data, ensure_ascii=False, separators=(",", ":")), list(dict.fromkeys(_types(data)))
         except (ValueError, RecursionError, TypeError):
-            return None
+            return None, None
 
-    return text.map(one)
+    return pd.DataFrame([one(t) for t in text], columns=["json", "types"])
 
 
 def jsonld_blocks(records: DataFrame) -> DataFrame:
-    """(page_id, idx, ok, json, error_text): one row per block.
+    """(page_id, idx, ok, json, types, error_text): one row per block.
 
     Validity is strict: no NaN, no trailing text. An invalid block keeps its first 2000 characters.
     """
-    blocks = children(records, "jsonld").withColumn("json", canonical_json("value"))
-    ok = F.col("json").isNotNull()
-    return blocks.select("page_id", "idx", ok.alias("ok"), "json", F.when(~ok, F.left("value", F.lit(2000))).alias("error_text"))
+    blocks = children(records, "jsonld").withColumn("b", parse_block("value"))
+    ok = F.col("b.json").isNotNull()
+    return blocks.select("page_id", "idx", ok.alias("ok"), "b.json", "b.types", F.when(~ok, F.left("value", F.lit(2000))).alias("error_text"))
 
 
 def schema_types(blocks: DataFrame) -> DataFrame:
-    """(page_id, idx, type): distinct @type values at any depth to twelve, @context skipped.
-
-    Twelve rounds of a variant explode, each fed only by the containers of the last.
-    """
-    spark = blocks.sparkSession
-    level = blocks.where("ok").select("page_id", "idx", F.try_parse_json("json").alias("node"))
-    found = []
-    for depth in range(MAX_DEPTH + 1):
-        t = F.try_variant_get("node", '$["@type"]', "string")
-        many = F.try_variant_get("node", '$["@type"]', "array<variant>")
-        is_object = F.schema_of_variant("node").startswith("OBJECT")
-        names = F.when(many.isNotNull(), F.transform(
-            F.filter(many, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))).otherwise(
-            F.when(F.schema_of_variant(F.try_variant_get("node", '$["@type"]', "variant")) == "STRING", F.array(t)))
-        found.append(level.where(is_object).select("page_id", "idx", F.explode(names).alias("type")))
-        if depth == MAX_DEPTH:
-            break
-        kids = level.select("page_id", "idx", F.variant_get("node", "$", "variant").alias("node")).lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
-        nested = F.schema_of_variant("value").startswith("OBJECT") | F.schema_of_variant("value").startswith("ARRAY")
-        level = kids.where(nested & (F.col("key").isNull() | (F.col("key") != "@context"))).select("page_id", "idx", F.col("value").alias("node"))
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out.distinct()
+    """(page_id, idx, type): distinct @type values at any depth to twelve, @context skipped."""
+    return blocks.where("ok").select("page_id", "idx", F.explode("types").alias("type"))
 
 
 def microdata_type_name(type_: Column) -> Column:
@@ -92,7 +85,7 @@ class _Items(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
         owner = next((e for e in reversed(self.stack) if e["item"] is not None or e["cut"]), None)
-        frame = {"tag": tag, "item": None, "cut": False, "depth": 0, "text": None}
+        frame = {"tag": tag, "item": None, "cut": False, "depth": 0, "text": None, "root": owner["root"] if owner else None}
         scope, names = "itemscope" in a, " ".join(a.get("itemprop", "").split())
         has_prop = "itemprop" in a
         inside = owner is not None and not owner["cut"]
@@ -100,8 +93,9 @@ class _Items(HTMLParser):
             nested = has_prop
             frame["item"], self.items = self.items, self.items + 1
             frame["depth"] = owner["depth"] + 1 if nested else 0
+            frame["root"] = owner["root"] if nested else frame["item"]
             frame["cut"] = frame["depth"] > MICRODATA_DEPTH
-            head = dict(item=frame["item"], type=" ".join(a.get("itemtype", "").split()), itemid=None if frame["cut"] else a.get("itemid") or None)
+            head = dict(root=frame["root"], item=frame["item"], type=" ".join(a.get("itemtype", "").split()), itemid=None if frame["cut"] else a.get("itemid") or None)
             if nested:
                 for name in names.split(" "):
                     self.rows.append(dict(head, parent=owner["item"], prop=name, value=None, is_url=False))
@@ -125,7 +119,7 @@ class _Items(HTMLParser):
             else:
                 frame["text"] = []
             for name in names.split(" "):
-                row = dict(item=None, type=None, itemid=None, parent=owner["item"], prop=name, value=value, is_url=url)
+                row = dict(root=owner["root"], item=None, type=None, itemid=None, parent=owner["item"], prop=name, value=value, is_url=url)
                 self.rows.append(row)
                 if frame["text"] is not None:
                     frame.setdefault("targets", []).append(row)
@@ -158,7 +152,7 @@ class _Items(HTMLParser):
             self._close(self.stack.pop())
 
 
-_ITEM_SCHEMA = "page_id long, ord int, item int, parent int, prop string, type string, itemid string, value string, is_url boolean"
+_ITEM_SCHEMA = "page_id long, ord int, root int, item int, parent int, prop string, type string, itemid string, value string, is_url boolean"
 
 
 def microdata(pages: DataFrame, max_roots: int | None = None) -> DataFrame:
@@ -180,8 +174,8 @@ def microdata(pages: DataFrame, max_roots: int | None = None) -> DataFrame:
                 if max_roots is not None:
                     kept = _cut_roots(kept, max_roots)
                 out.extend({"page_id": page_id, "ord": i, **r} for i, r in enumerate(kept))
-            frame = pd.DataFrame(out, columns=["page_id", "ord", "item", "parent", "prop", "type", "itemid", "value", "is_url"])
-            yield frame.astype({"item": "Int32", "parent": "Int32", "is_url": "bool"})
+            frame = pd.DataFrame(out, columns=["page_id", "ord", "root", "item", "parent", "prop", "type", "itemid", "value", "is_url"])
+            yield frame.astype({"root": "Int32", "item": "Int32", "parent": "Int32", "is_url": "bool"})
 
     flat = df.select("page_id", F.col("_doc").alias("doc")).mapInPandas(rows, _ITEM_SCHEMA)
     base = parse(pages).select("page_id", "_base")
@@ -190,61 +184,46 @@ def microdata(pages: DataFrame, max_roots: int | None = None) -> DataFrame:
 
 
 def _cut_roots(rows: list[dict], n: int) -> list[dict]:
-    keep, roots, out = set(), 0, []
-    for r in rows:
-        if r["item"] is not None and r["parent"] is None:
-            roots += 1
-            if roots <= n:
-                keep.add(r["item"])
-        elif r["item"] is not None and r["parent"] in keep:
-            keep.add(r["item"])
-        if r["item"] in keep or (r["item"] is None and r["parent"] in keep):
-            out.append(r)
+    keep = sorted({r["root"] for r in rows})[:n]
+    return [r for r in rows if r["root"] in keep]
+
+
+def _object(item: int, rows: pd.DataFrame, names: dict) -> dict:
+    """One item as nested plain values; a repeated property becomes a list."""
+    me = rows[rows["item"] == item].iloc[0]
+    out = {"@type": names[me["ord"]]}
+    if isinstance(me["itemid"], str):
+        out["@id"] = me["itemid"]
+    for r in rows[rows["parent"] == item].itertuples():
+        value = r.value if pd.isna(r.item) else _object(r.item, rows, names)
+        old = out.get(r.prop)
+        out[r.prop] = value if r.prop not in out else [*(old if isinstance(old, list) else [old]), value]
     return out
 
 
 def microdata_objects(rows: DataFrame) -> DataFrame:
     """(page_id, item, json): every root item as one JSON object, repeats as arrays.
 
-    Built bottom-up, one aggregation per nesting level; a group is one item of one page.
+    A group is one root item of one page, so it is bounded by the page.
     """
-    items = rows.where("item is not null").select("page_id", "item", "type", "itemid").distinct()
-    pending = rows.where("parent is not null").select("page_id", "parent", "prop", "ord", "item", "value")
-    built = None
-    for _ in range(MICRODATA_DEPTH + 2):
-        if built is None:
-            props = pending.withColumn("json", F.when(F.col("item").isNull(), _quote(F.col("value"))))
-        else:
-            child = built.select("page_id", "item", F.col("json").alias("child_json"))
-            props = pending.join(child, ["page_id", "item"], "left").withColumn("json", F.when(F.col("item").isNull(), _quote(F.col("value"))).otherwise(F.col("child_json")))
-        one = props.groupBy("page_id", "parent", "prop").agg(
-            F.array_sort(F.collect_list(F.struct("ord", F.coalesce("json", F.lit("{}")).alias("j")))).alias("v"), F.min("ord").alias("first"))
-        text = F.when(F.size("v") > 1, F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: x["j"]), ","), F.lit("]"))).otherwise(F.get("v", F.lit(0))["j"])
-        member = F.struct("first", F.concat(_quote(F.col("prop")), F.lit(":"), text).alias("m"))
-        per = one.groupBy("page_id", F.col("parent").alias("item")).agg(F.array_sort(F.collect_list(member)).alias("ms"))
-        lead = F.array(
-            F.concat(F.lit('"@type":'), _quote(microdata_type_name(F.col("type")))),
-            F.when(F.col("itemid").isNotNull(), F.concat(F.lit('"@id":'), _quote(F.col("itemid")))),
-        )
-        body = F.concat(F.array_compact(lead), F.coalesce(F.transform("ms", lambda x: x["m"]), F.array().cast("array<string>")))
-        built = items.join(per, ["page_id", "item"], "left").select("page_id", "item", F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")).alias("json"))
-    roots = rows.where("item is not null and parent is null").select("page_id", "item")
-    return built.join(roots, ["page_id", "item"], "left_semi")
-
-
-def _quote(s: Column) -> Column:
-    """JSON string literal of a text."""
-    wrapped = F.to_json(F.array(F.coalesce(s, F.lit(""))))
-    return F.regexp_replace(wrapped, r"(?s)^\[|\]\z", "")
-
-
-def schema_summary(blocks: DataFrame, types: DataFrame, items: DataFrame) -> DataFrame:
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        names = dict(zip(pdf["ord"], pdf["type_name"]))
+        top = pdf[pdf["parent"].isna()].iloc[0]
+        text = json.dumps(_object(top["item"], pdf, names), ensure_ascii=False, separators=(",", ":"))
+        return pd.DataFrame({"page_id": [top["page_id"]], "item": [int(top["item"])], "json": [text]})
+
+    named = rows.withColumn("type_name", microdata_type_name(F.col("type")))
+    return named.groupBy("page_id", "root").applyInPandas(build, "page_id long, item int, json string")
+
+
+def schema_summary(blocks: DataFrame, items: DataFrame) -> DataFrame:
     """(page_id, schema_items, types): items per page and the union of type names."""
-    per_block = types.groupBy("page_id", "idx").agg(F.count("*").alias("n"))
-    n = blocks.where("ok").join(per_block, ["page_id", "idx"], "left").groupBy("page_id").agg(F.sum(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("n"))
+    n = blocks.where("ok").groupBy("page_id").agg(F.sum(F.greatest(F.size("types"), F.lit(1))).alias("n"))
     roots = items.where("item is not null and parent is null")
     m = roots.groupBy("page_id").agg(F.count("*").alias("n"))
-    names = types.select("page_id", "type").unionByName(roots.select("page_id", microdata_type_name(F.col("type")).alias("type"))).distinct()
+    names = schema_types(blocks).select("page_id", "type").unionByName(roots.select("page_id", microdata_type_name(F.col("type")).alias("type"))).distinct()
     # The distinct type names of one page.
     listed = names.groupBy("page_id").agg(F.array_sort(F.collect_list("type")).alias("types"))
     total = n.unionByName(m).groupBy("page_id").agg(F.sum("n").alias("schema_items"))

@@ -58,8 +58,8 @@ def base_evidence(signals: DataFrame, requests: DataFrame | None = None, headers
     if headers is not None:
         parts = F.transform(F.split("value", r",\s*"), F.trim)
         j = headers.join(F.broadcast(C.header_table(spark, catalog)), "header")
-        j = j.withColumn("_part", F.get(F.filter(parts, lambda p: p.rlike(F.col("regex"))), F.lit(0))).where(F.col("_part").isNotNull())
-        found = F.when(F.col("groups") > 0, T.blank_to_null(F.regexp_extract("_part", F.col("regex"), F.col("groups"))))
+        j = j.withColumn("_part", F.get(F.filter(parts, lambda p: F.regexp_like(p, F.col("regex"))), F.lit(0))).where(F.col("_part").isNotNull())
+        found = F.when(F.col("groups") > 0, T.blank_to_null(F.call_function("regexp_extract", F.col("_part"), F.col("regex"), F.col("groups"))))
         out = out.unionByName(j.select(
             "page_id", "tech", F.concat("header", F.lit(": "), T.clip(F.col("value"), 70)).alias("text"), valid_version(found).alias("version"),
             F.lit(C.RANK["header"]).alias("rank"), F.lit(False).alias("likely"), F.lit(4).alias("src_ord"), "pat_ord", F.lit(0).cast("long").alias("seq"),

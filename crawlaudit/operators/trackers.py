@@ -18,7 +18,7 @@ EVIDENCE = "page_id, tracker, kind, label, id, variable, src_ord, seq, pat_ord,
 def valid_id(id_: Column, format_: Column) -> Column:
     """Right shape and not a placeholder: all x, one repeated character, 1234567...."""
     body = F.regexp_replace(F.regexp_replace(id_, "^[A-Z]{1,3}-", ""), "[-_]", "")
-    shape = id_.rlike(F.concat(F.lit("^(?:"), format_, F.lit(r")\z")))
+    shape = F.regexp_like(id_, F.concat(F.lit("^(?:"), format_, F.lit(r")\z")))
     fake = body.rlike(r"(?i)^x+\z") | body.rlike(r"^(.)\1+\z") | body.rlike("^(?:0?123456789|1234567)")
     return F.coalesce(shape & ~fake, F.lit(False))
 

@@ -276,8 +276,8 @@ VERDICT = f"""SELECT p AS page_id, array_to_string(list_filter([
       CASE WHEN p % 6 IN (0, 2, 3) THEN 'noindex in meta robots' END, CASE WHEN p % 17 <> 0 AND p % 10 = 0 THEN 'HTTP status 404' END,
       CASE WHEN p % 17 <> 0 AND p % 7 = 3 THEN 'noindex in X-Robots-Tag header' END, CASE WHEN {ALLOWED} = false THEN 'blocked by robots.txt' END,
       CASE p % 5 WHEN 1 THEN 'canonical points to another URL' WHEN 3 THEN 'conflicting canonical tags' END,
-      CASE WHEN p % 11 = 0 THEN 'meta refresh redirect' END], x -> x IS NOT NULL), '|') AS reasons,
-    array_to_string(list_filter([CASE WHEN p % 17 = 0 THEN 'HTTP headers' END, CASE WHEN p % 7 = 3 THEN 'robots.txt' END], x -> x IS NOT NULL), '|') AS unknown FROM e"""
+      CASE WHEN p % 11 = 0 THEN 'meta refresh redirect' END], lambda x: x IS NOT NULL), '|') AS reasons,
+    array_to_string(list_filter([CASE WHEN p % 17 = 0 THEN 'HTTP headers' END, CASE WHEN p % 7 = 3 THEN 'robots.txt' END], lambda x: x IS NOT NULL), '|') AS unknown FROM e"""
 
 
 @query(RULES + f", v AS ({VERDICT}) SELECT page_id, reasons = '' AS indexable, reasons, unknown FROM v")
@@ -518,7 +518,7 @@ def hreflang_codes(spark, sf):
 
 
 @query(RULES + """SELECT p AS page_id, array_to_string(list_filter([CASE WHEN p % 12 = 0 THEN 'No x-default' END, CASE WHEN p % 10 = 0 AND p % 7 <> 0 THEN 'Relative URL for fr' END,
-    CASE WHEN p % 9 = 0 THEN 'Invalid code "en_GB"' END], x -> x IS NOT NULL), '|') AS issues FROM e WHERE p % 4 < 2""")
+    CASE WHEN p % 9 = 0 THEN 'Invalid code "en_GB"' END], lambda x: x IS NOT NULL), '|') AS issues FROM e WHERE p % 4 < 2""")
 def hreflang_issues(spark, sf):
     r = X.page_records(FX.enriched(spark, sf), "hreflang").where(F.size("hreflang") > 0)
     texts = F.transform(A.hreflang_issues(F.col("hreflang"), F.col("url")), lambda i: i["text"])
@@ -672,7 +672,7 @@ TECH_ROWS = """SELECT p AS page_id, a.tech, a.version, a.confidence, a.implied F
     CASE WHEN p % 17 <> 0 AND p % 5 = 1 THEN {'tech': 'cloudflare', 'version': NULL, 'confidence': NULL, 'implied': false} END,
     CASE WHEN p % 17 <> 0 AND p % 5 = 2 THEN {'tech': 'apache', 'version': NULL, 'confidence': NULL, 'implied': false} END,
     CASE WHEN p % 17 <> 0 AND p % 4 = 0 THEN {'tech': 'php', 'version': '8.2.1', 'confidence': 'confirmed', 'implied': false} END,
-    CASE WHEN p % 17 <> 0 AND p % 4 = 0 THEN {'tech': 'express', 'version': NULL, 'confidence': NULL, 'implied': false} END], x -> x IS NOT NULL)) AS a FROM e)"""
+    CASE WHEN p % 17 <> 0 AND p % 4 = 0 THEN {'tech': 'express', 'version': NULL, 'confidence': NULL, 'implied': false} END], lambda x: x IS NOT NULL)) AS a FROM e)"""
 
 
 @query(RULES + TECH_ROWS)
@@ -766,7 +766,7 @@ def update_status(spark, sf):
 @query(RULES + """SELECT p AS page_id, a.key, a.label FROM (SELECT p, unnest(list_filter([
     CASE WHEN p % 8 = 0 THEN {'key': 'wordpress', 'label': 'WordPress 6.9.4'} END, CASE WHEN p % 8 = 0 THEN {'key': 'woocommerce', 'label': 'WooCommerce 8.' || p % 3} END,
     CASE WHEN p % 8 = 1 THEN {'key': 'nextjs', 'label': 'Next.js'} END, CASE WHEN p % 8 = 2 THEN {'key': 'drupal', 'label': 'Drupal 10'} END, CASE WHEN p % 8 = 4 THEN {'key': 'wordpress', 'label': 'WordPress'} END,
-    CASE WHEN p % 8 = 6 THEN {'key': 'ghost', 'label': 'Ghost 5.82'} END, CASE WHEN p % 17 <> 0 AND p % 5 = 1 THEN {'key': 'cloudflare', 'label': 'Cloudflare'} END], x -> x IS NOT NULL)) AS a FROM e)""")
+    CASE WHEN p % 8 = 6 THEN {'key': 'ghost', 'label': 'Ghost 5.82'} END, CASE WHEN p % 17 <> 0 AND p % 5 = 1 THEN {'key': 'cloudflare', 'label': 'Cloudflare'} END], lambda x: x IS NOT NULL)) AS a FROM e)""")
 def built_with(spark, sf):
     return TE.built_with(_tech(spark, sf)["tech"]).select("page_id", "key", "label")
 
@@ -782,7 +782,7 @@ def tech_group_counts(spark, sf):
     CASE p % 8 WHEN 0 THEN 'WordPress 6.9.4' || chr(10) || 'WooCommerce 8.' || p % 3 WHEN 1 THEN 'Next.js' || chr(10) || 'React' WHEN 2 THEN 'Drupal 10' WHEN 3 THEN 'jQuery 3.' || p % 7 || '.1' WHEN 4 THEN 'WordPress' WHEN 6 THEN 'Ghost 5.82' END,
     CASE p % 8 WHEN 0 THEN 'Acme Child 1.4 (theme)' || chr(10) || 'Contact Form 7 5.9' || chr(10) || 'Yoast SEO' || chr(10) || 'acme-tools 2.1' WHEN 4 THEN 'Yoast SEO 22.5' END,
     CASE WHEN p % 17 <> 0 AND p % 5 = 1 THEN 'Cloudflare' END, CASE WHEN p % 17 <> 0 THEN CASE p % 5 WHEN 0 THEN 'nginx 1.25.3' WHEN 2 THEN 'Apache' END END,
-    CASE WHEN p % 17 <> 0 AND p % 4 = 0 THEN 'PHP 8.2.1' || chr(10) || 'Express' END], x -> x IS NOT NULL), chr(10)) AS tech
+    CASE WHEN p % 17 <> 0 AND p % 4 = 0 THEN 'PHP 8.2.1' || chr(10) || 'Express' END], lambda x: x IS NOT NULL), chr(10)) AS tech
     FROM e WHERE p % 8 NOT IN (5, 7) OR (p % 17 <> 0 AND p % 5 IN (0, 1, 2))""")
 def tech_list(spark, sf):
     d = _tech(spark, sf, True)
@@ -895,7 +895,7 @@ def microdata_type_names(spark, sf):
 def schema_summary(spark, sf):
     pages = FX.enriched(spark, sf)
     blocks = SD.jsonld_blocks(X.page_records(pages, "jsonld"))
-    s = SD.schema_summary(blocks, SD.schema_types(blocks), SD.microdata(pages))
+    s = SD.schema_summary(blocks, SD.microdata(pages))
     return longs(s.select("page_id", "schema_items", joined("types")))
 
 
@@ -958,7 +958,7 @@ def outlines(spark, sf):
     return export.outline(X.page_records(FX.enriched(spark, sf), "headings"))
 
 
-@query(f"SELECT page_id, array_to_string(list_transform({NAV}, x -> {ORIGIN} || {ENC('x')}), chr(10)) AS urls FROM pages")
+@query(f"SELECT page_id, array_to_string(list_transform({NAV}, lambda x: {ORIGIN} || {ENC('x')}), chr(10)) AS urls FROM pages")
 def url_lists(spark, sf):
     return export.url_list(X.page_records(FX.pages(spark, sf), "links"))
 
@@ -993,7 +993,7 @@ def latest_snapshots(spark, sf):
 @query(f"SELECT page_id, url, {TITLE} AS title, CAST(len({NAV}) AS BIGINT) AS links FROM pages")
 def incremental_audit(spark, sf):
     folder = _scratch(spark)
-    stream = INC.page_stream(spark, f"{sf}/pages.parquet").withColumn("collected_at", F.expr("timestamp_seconds(1700000000 + page_id)"))
+    stream = INC.page_stream(spark, f"{sf}/pages.parque[t]").withColumn("collected_at", F.expr("timestamp_seconds(1700000000 + page_id)"))
     schema = "page_id bigint, url string, collected_at timestamp, title string, links int"
     table = INC.VersionedTable(spark, f"{folder}/audit", schema)
     work = lambda pages: X.page_records(pages, "head", "links").select("page_id", "url", "collected_at", F.col("head.title").alias("title"), F.col("links_total").alias("links"))

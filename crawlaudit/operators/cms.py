@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..catalog import tech as C
 from ..functions import text as T, urls as U, versions as V
 from . import tech as TE
+from .skew import staged
 
 # Bundled-library folders and file names whose ?ver= is their own.
 LIBRARY_DIRS = "vendor|vendors|node_modules|bower_components|third-party"
@@ -223,7 +224,7 @@ def detect(signals: DataFrame, requests=None, headers=None, runtime=None, probes
     """All technology tables of a crawl: tech, themes, plugins, namespaces, cms_pages."""
     spark = signals.sparkSession
     urls = TE.page_urls(signals, requests)
-    assets = asset_paths(signals, urls)
+    assets = staged(asset_paths(signals, urls))
     slugs = body_themes(signals)
     lines = TE.base_evidence(signals, requests, headers, runtime, catalog)
     line = lambda df, src, tech, text, version, rank, likely=False, pat=F.lit(0), seq=F.lit(0): df.select(
@@ -233,7 +234,7 @@ def detect(signals: DataFrame, requests=None, headers=None, runtime=None, probes
     none = F.lit(None)
     spaces = None
     if probes is not None:
-        spaces = namespace_plugins(namespaces(probes), catalog)
+        spaces = staged(namespace_plugins(namespaces(probes), catalog))
         owned = spaces.where("tech is not null").groupBy("page_id", "tech").agg(F.array_sort(F.collect_list(F.struct("pos", "ns"))).alias("l"))
         shown = F.array_join(F.transform(F.slice("l", 1, 4), lambda x: x["ns"]), ", ")
         more = F.when(F.size("l") > 4, F.concat(F.lit(" and "), (F.size("l") - 4).cast("string"), F.lit(" more"))).otherwise("")
@@ -243,10 +244,12 @@ def detect(signals: DataFrame, requests=None, headers=None, runtime=None, probes
         feed, opml = stated.where("kind = 'feed'"), stated.where("kind = 'opml'")
         lines = lines.unionByName(line(feed, 21, F.lit("wordpress"), F.concat(F.lit("feed generator wordpress.org/?v="), "version"), F.col("version"), 3))
         lines = lines.unionByName(line(opml, 22, F.lit("wordpress"), F.concat(F.lit("wp-links-opml.php generator WordPress/"), "version"), F.col("version"), 4))
-    themes = theme_rows(assets, slugs, probes)
+    themes = staged(theme_rows(assets, slugs, probes))
+    lines = staged(lines)
     stated_core = TE.evidence_lists(lines.where("tech = 'wordpress' and version is not null"))
     stated_core = stated_core.select("page_id", TE.pick_version(F.col("ev"))["version"].alias("core"))
-    guess = likely_core(themes, assets).join(stated_core, "page_id", "left_anti")
+    stated_core = staged(stated_core)
+    guess = staged(likely_core(themes, assets).join(stated_core, "page_id", "left_anti"))
     text = F.concat(F.lit("theme asset ?ver="), "version", F.lit(" under themes/"), "slug", F.lit("/ (its style.css says "), "own",
                     F.lit("): WordPress stamps its own version on assets without one"))
     lines = lines.unionByName(line(guess, 23, F.lit("wordpress"), text, F.col("version"), 9, True))
@@ -259,7 +262,7 @@ def detect(signals: DataFrame, requests=None, headers=None, runtime=None, probes
     shop = _mode(shop_ok.where(F.col("core").isNull() | (F.col("ver") != F.col("core"))), ["page_id", "tech"])
     two = two.join(shop, ["page_id", "tech"], "left")
     lines = lines.unionByName(line(two, 24, F.col("tech"), F.concat(F.lit("plugin asset: "), T.short_url(F.col("matched"))), TE.valid_version(F.col("asset_version")), C.RANK["url"] + 1, seq=F.col("ord.seq")))
-    lists = TE.evidence_lists(lines)
+    lists = staged(TE.evidence_lists(lines))
     found = assets.select("page_id").unionByName(slugs.select("page_id"))
     if spaces is not None:
         found = found.unionByName(spaces.select("page_id"))

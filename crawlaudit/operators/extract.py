@@ -14,6 +14,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H, text as T, urls as U
+from .skew import staged
 
 # The reference collector's limits, applied only on request.
 COLLECTOR_LIMITS = {
@@ -457,6 +458,11 @@ def with_boxes(child: DataFrame, boxes: DataFrame, tag: str) -> DataFrame:
     return child.join(b, ["page_id", "idx"], "left")
 
 
+def staged_signals(pages: DataFrame, limits: dict | None = None) -> DataFrame:
+    """Signals of a crawl, extracted once and stored by kind for the stages that read them."""
+    return staged(signals(page_records(pages, *SIGNAL_COLUMNS, limits=limits)), "kind")
+
+
 def signals(records: DataFrame) -> DataFrame:
     """Code signals in long form: (page_id, kind, seq, key, value)."""
     def as_rows(kind, col, key=lambda x: F.lit(None).cast("string"), value=lambda x: x):

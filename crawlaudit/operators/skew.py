@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A key is hot from this many left rows on; its rows are spread over SALTS buckets.
 HOT_ROWS = 1_000_000
@@ -46,13 +49,26 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAS
     return F.broadcast(df) if sized["n"] <= rows and (sized["b"] or 0) <= bytes_ else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a fresh local one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = _LOCAL.setdefault("folder", None) or tempfile.mkdtemp(prefix="spark-")
+        _LOCAL["folder"] = folder
+    return folder.rstrip("/")
+
+
+_LOCAL: dict = {}
 
-    A session without ``spark.checkpoint.dir`` (a test) is returned unchanged.
+
+def staged(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write an intermediate table several stages read, and read it back.
+
+    Cuts lineage in storage that outlives executors, and gives later readers column
+    pruning, filters and sizes.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    w = df.write
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..catalog import patterns as P, trackers as C
 from ..functions import urls as U
+from .skew import staged
 from .containers import read_containers, scan_containers
 
 # Status ladder, weakest first, and the evidence kind behind each.
@@ -71,7 +72,7 @@ def evidence(signals: DataFrame, requests: DataFrame | None = None, runtime: Dat
              containers: DataFrame | None = None, catalog: list[dict] | None = None) -> DataFrame:
     """One row per distinct (page, tracker, kind, label, id)."""
     spark = signals.sparkSession
-    matches = tracker_matches(signals, requests, catalog)
+    matches = staged(tracker_matches(signals, requests, catalog))
     firsts = did_not_run(first_url_match(matches), runtime)
     hit = F.col("part") == "hits"
     of_requests = firsts.where("kind = 'resource'").select(
@@ -189,7 +190,10 @@ def tracker_rows(found: DataFrame, catalog: list[dict] | None = None) -> DataFra
 
 
 def detect_trackers(signals: DataFrame, requests=None, runtime=None, containers=None, catalog=None) -> DataFrame:
-    """Tracker rows of a crawl from its signals and optional side tables."""
+    """Tracker rows of a crawl from its signals and optional side tables.
+
+    ``signals`` is read by several stages: pass a staged table (``staged_signals``).
+    """
     return tracker_rows(evidence(signals, requests, runtime, containers, catalog), catalog)
 
 

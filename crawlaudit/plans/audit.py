@@ -8,40 +8,50 @@ from ..functions import directives as D, text as T, urls as U
 from ..operators import page as A
 from ..operators.extract import page_records
 from ..operators.robots import check_urls
-from ..operators.skew import lookup_join
+from ..operators.skew import staged
 from ..sources.tables import http_facts
 
 
-def indexability(records: DataFrame, responses: DataFrame | None = None, robots_files: DataFrame | None = None) -> DataFrame:
-    """(page_id, indexable, reasons, unknown, allowed, status) per page (A5).
+_FACTS = "struct<status:int,x_robots_tag:string,final_url:string>"
 
-    Only the head columns travel to the joins; the page text never does.
+
+def with_verdict(df: DataFrame, responses: DataFrame | None = None, robots_files: DataFrame | None = None) -> DataFrame:
+    """Add indexable, reasons, unknown, allowed and status to rows with page_id, url and head (A5).
+
+    Only the columns of ``df`` travel to the joins; page text never does.
     """
-    df = records.select("page_id", "url", F.struct("head.robots", "head.googlebot", "head.canonicals", "head.meta_refresh").alias("head"))
+    pages = df.select("page_id", "url")
     if responses is None:
-        df = df.withColumn("http", F.lit(None).cast("struct<status:int,x_robots_tag:string,final_url:string>"))
+        df = df.withColumn("_http", F.lit(None).cast(_FACTS))
     else:
-        facts = http_facts(responses).select("url", F.struct("status", "x_robots_tag", "final_url").alias("http"))
-        df = df.join(facts, "url", "left")
+        df = df.join(http_facts(responses).select("url", F.struct("status", "x_robots_tag", "final_url").alias("_http")), "url", "left")
     if robots_files is None:
         df = df.withColumn("allowed", F.lit(None).cast("boolean"))
     else:
-        df = df.join(check_urls(records.select("page_id", "url"), robots_files).select("page_id", "allowed"), "page_id", "left")
+        df = df.join(check_urls(pages, robots_files).select("page_id", "allowed"), "page_id", "left")
     known = F.col("allowed").isNotNull()
-    verdict = A.indexability(F.col("head"), F.col("url"), F.col("http"), F.coalesce("allowed", F.lit(True)), known)
-    return df.select("page_id", verdict.alias("v"), "allowed", F.col("http.status").alias("status")).select("page_id", "v.*", "allowed", "status")
+    verdict = A.indexability(F.col("head"), F.col("url"), F.col("_http"), F.coalesce("allowed", F.lit(True)), known)
+    df = df.withColumn("_v", verdict).withColumn("status", F.col("_http.status"))
+    return df.select("*", "_v.*").drop("_v", "_http")
+
+
+def indexability(pages: DataFrame, responses: DataFrame | None = None, robots_files: DataFrame | None = None) -> DataFrame:
+    """(page_id, indexable, reasons, unknown, allowed, status) per page (A5)."""
+    df = staged(page_records(pages, "head").select("page_id", "url", "head"))
+    return with_verdict(df, responses, robots_files).select("page_id", "indexable", "reasons", "unknown", "allowed", "status")
 
 
 def page_audit(pages: DataFrame, responses: DataFrame | None = None, robots_files: DataFrame | None = None) -> DataFrame:
     """Everything about a page in one row.
 
-    One narrow stage extracts and counts; the verdict join carries head columns only.
+    Page text is read once: one narrow stage extracts and counts, its result is staged,
+    and the verdict joins work on that.
     """
     records = page_records(pages, "head", "word_count", "headings", "links", "images", "og", "twitter", "hreflang", "jsonld")
     linked = A.classify_links(records)
     head, url = F.col("head"), F.col("url")
     wide = linked.select(
-        "page_id", "url", U.bare_host(url).alias("host"), "word_count",
+        "page_id", "url", "head", U.bare_host(url).alias("host"), "word_count",
         head["title"].alias("title"), T.length_status(head["title"], T.TITLE_RANGE).alias("title_status"),
         head["description"].alias("description"), T.length_status(head["description"], T.DESCRIPTION_RANGE).alias("description_status"),
         A.canonical_status(head["canonicals"], url).alias("canonical_status"),
@@ -52,8 +62,7 @@ def page_audit(pages: DataFrame, responses: DataFrame | None = None, robots_file
         A.missing_social(F.col("og"), F.col("twitter")).alias("missing_social"),
         F.size("hreflang").alias("alternates"), F.size("jsonld").alias("jsonld_blocks"),
     )
-    verdict = indexability(page_records(pages, "head"), responses, robots_files)
-    return wide.join(verdict, "page_id", "left")
+    return with_verdict(staged(wide), responses, robots_files).drop("head")
 
 
 def site_rollup(pages: DataFrame) -> DataFrame:

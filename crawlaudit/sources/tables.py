@@ -26,10 +26,19 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
-def read_pages(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    """Crawled pages (S1). ``min_partitions`` spreads a badly split file before parsing."""
-    df = read_table(spark, path, "pages")
-    return df.repartition(min_partitions) if min_partitions else df
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Crawled pages (S1), spread over the cluster."""
+    return spread(read_table(spark, path, "pages"))
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Hash pages over the cores when the input arrives in fewer splits than that.
+
+    Parsing is the costly stage and one row group reads as one task. A crawl with
+    enough splits is left alone.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
 
 
 def http_facts(responses: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from crawlaudit.sources.tables import spread
+
 HEAD = """concat(
   case page_id % 4 when 1 then '<meta name="description" content="">'
     when 2 then concat('<meta name=" Description" content="', repeat('ab ', 26), 'zz"><meta name="description" content="second">')
@@ -67,6 +69,7 @@ BODY = """concat(
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Page numbers and whatever else a rule needs; unread columns are pruned from the scan."""
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
 
 
@@ -76,7 +79,7 @@ def _site(n: str) -> str:
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
     """Every page with an address by rule and the tags above added."""
-    df = pages(spark, sf).withColumn("url", F.expr(_site("page_id")))
+    df = spread(pages(spark, sf)).withColumn("url", F.expr(_site("page_id")))
     df = df.withColumn("partner", F.expr("case when page_id % 2 = 0 then page_id + 1 else page_id - 1 end"))
     df = df.withColumn("partner_url", F.expr(_site("partner")))
     html = f"replace(replace(html, '</head>', concat({HEAD}, '</head>')), '<body>', concat('<body class=\"home wp-custom\">', {BODY}))"

@@ -6,14 +6,14 @@ on enriched ones. Queries without SQL are checked by golden cases in the tests.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crawlaudit.catalog import tech as tech_catalog, trackers as tracker_catalog
 from crawlaudit.functions import directives as D, text as T, urls as U, versions as V
 from crawlaudit.operators import cms, containers as K, corpus, export, extract as X, hreflang as HL, latest as L
-from crawlaudit.operators import page as A, robots as R, serp, structured as SD, tech as TE, trackers as TR
+from crawlaudit.operators import page as A, robots as R, serp, skew, structured as SD, tech as TE, trackers as TR
 from crawlaudit.plans import audit
 from crawlaudit.sources import tables
 from crawlaudit.streaming import incremental as INC
@@ -40,6 +40,10 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def _raw(spark, sf) -> DataFrame:
+    return tables.read_pages(spark, f"{sf}/pages.parquet")
+
+
 def longs(df: DataFrame) -> DataFrame:
     """Counts as BIGINT, like the check SQL."""
     kinds = {"int", "tinyint", "smallint"}
@@ -69,56 +73,56 @@ STATUS = lambda x, lo, hi: f"CASE WHEN {x} IS NULL OR {x} = '' THEN 'missing' WH
 
 @query(f"SELECT page_id, {TITLE} AS title, CAST(1 AS BIGINT) AS title_count, {STATUS(TITLE, 30, 60)} AS status, CAST(length({TITLE}) AS BIGINT) AS chars FROM pages")
 def page_titles(spark, sf):
-    r = X.page_records(FX.pages(spark, sf), "head")
+    r = X.page_records(_raw(spark, sf), "head")
     t = F.col("head.title")
     return longs(r.select("page_id", t.alias("title"), "head.title_count", T.length_status(t, T.TITLE_RANGE).alias("status"), F.length(t).alias("chars")))
 
 
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, 'utf-8' AS charset, CAST(NULL AS VARCHAR) AS dir FROM pages")
 def document_language(spark, sf):
-    return X.page_records(FX.pages(spark, sf), "head").select("page_id", "head.lang", "head.charset", "head.dir")
+    return X.page_records(_raw(spark, sf), "head").select("page_id", "head.lang", "head.charset", "head.dir")
 
 
 @query(f"SELECT page_id, CAST({WORDS} AS BIGINT) AS word_count FROM pages")
 def word_counts(spark, sf):
-    return longs(X.page_records(FX.pages(spark, sf), "word_count").select("page_id", "word_count"))
+    return longs(X.page_records(_raw(spark, sf), "word_count").select("page_id", "word_count"))
 
 
 @query("""SELECT tag, CAST(count(*) AS BIGINT) AS elements FROM (SELECT unnest(regexp_extract_all(
     regexp_replace(regexp_replace(html, '<script>.*?</script>', '<script>', 'g'), '<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag""")
 def element_counts(spark, sf):
-    return X.elements(FX.pages(spark, sf)).groupBy("tag").agg(F.count("*").alias("elements"))
+    return X.elements(_raw(spark, sf)).groupBy("tag").agg(F.count("*").alias("elements"))
 
 
 @query(f"SELECT page_id, CAST(0 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS level, {CLEAN(DEC('''regexp_extract(html, '<h1>([^<]*)</h1>', 1)'''))} AS text FROM pages")
 def heading_rows(spark, sf):
-    return longs(X.children(X.page_records(FX.pages(spark, sf), "headings"), "headings"))
+    return longs(X.children(X.page_records(_raw(spark, sf), "headings"), "headings"))
 
 
 @query(f"""SELECT page_id, CAST(idx AS BIGINT) AS idx, raw, o || {ENC('raw')} AS href, {DEC('text')} AS text FROM (
     SELECT page_id, {ORIGIN} AS o, unnest(range(len({NAV}))) AS idx, unnest({NAV}) AS raw,
       unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text FROM pages)""")
 def link_rows(spark, sf):
-    rows = X.children(X.page_records(FX.pages(spark, sf), "links"), "links")
+    rows = X.children(X.page_records(_raw(spark, sf), "links"), "links")
     return longs(rows.select("page_id", "idx", "raw", "href", "text"))
 
 
 @query("SELECT page_id, CAST(0 AS BIGINT) AS seq, regexp_extract(html, '<script>(.*?)</script>', 1) AS value FROM pages")
 def inline_scripts(spark, sf):
-    s = X.signals(X.page_records(FX.pages(spark, sf), *X.SIGNAL_COLUMNS)).where("kind = 'inline'")
+    s = X.signals(X.page_records(_raw(spark, sf), *X.SIGNAL_COLUMNS)).where("kind = 'inline'")
     return longs(s.select("page_id", "seq", "value"))
 
 
 @query("SELECT page_id, CAST(0 AS BIGINT) AS seq, trim(regexp_extract(html, '<!--(.*?)-->', 1)) AS value FROM pages")
 def html_comments(spark, sf):
-    return longs(X.children(X.page_records(FX.pages(spark, sf), "comments"), "comments").select("page_id", F.col("idx").alias("seq"), "value"))
+    return longs(X.children(X.page_records(_raw(spark, sf), "comments"), "comments").select("page_id", F.col("idx").alias("seq"), "value"))
 
 
 @query(f"""SELECT {BARE} AS host, CAST(count(*) AS BIGINT) AS pages, CAST(count(*) FILTER (length({TITLE}) BETWEEN 30 AND 60) AS BIGINT) AS good_titles,
     CAST(0 AS BIGINT) AS h1_issues, CAST(sum({WORDS}) AS BIGINT) AS words, CAST(sum(len({NAV})) AS BIGINT) AS links,
     CAST(sum(len({NAV})) AS BIGINT) AS internal_links, CAST(0 AS BIGINT) AS external_links FROM pages GROUP BY 1""")
 def site_rollup(spark, sf):
-    return audit.site_rollup(FX.pages(spark, sf))
+    return audit.site_rollup(_raw(spark, sf))
 
 
 @query(f"SELECT {BARE} AS domain, CAST(count(*) AS BIGINT) AS pages FROM pages GROUP BY 1")
@@ -132,7 +136,7 @@ PHRASE = lambda x: "array_to_string(list_slice(string_split(" + CLEAN(f"regexp_r
 @query(f"""WITH t AS (SELECT page_id, {PHRASE(TITLE)} AS phrase FROM pages), c AS (SELECT phrase, count(*) AS n, min(page_id) AS f FROM t WHERE phrase <> '' GROUP BY 1 HAVING count(*) > 1)
     SELECT page_id, t.phrase, CAST(n AS BIGINT) AS pages, f AS first_page FROM t JOIN c ON t.phrase = c.phrase""")
 def duplicate_titles(spark, sf):
-    return corpus.phrase_copy_members(X.page_records(FX.pages(spark, sf), "head"), F.col("head.title"))
+    return corpus.phrase_copy_members(X.page_records(_raw(spark, sf), "head"), F.col("head.title"))
 
 
 @query(RULES + f"""SELECT d AS phrase, CAST(count(*) AS BIGINT) AS pages, min(p) AS first_page FROM (SELECT p, CASE p % 4 WHEN 2 THEN {PHRASE("repeat('ab ', 26) || 'zz'")}
@@ -282,8 +286,7 @@ VERDICT = f"""SELECT p AS page_id, array_to_string(list_filter([
 
 @query(RULES + f", v AS ({VERDICT}) SELECT page_id, reasons = '' AS indexable, reasons, unknown FROM v")
 def indexability(spark, sf):
-    r = X.page_records(FX.enriched(spark, sf), "head")
-    v = audit.indexability(r, FX.responses(spark, sf), FX.robots_files(spark, sf))
+    v = audit.indexability(FX.enriched(spark, sf), FX.responses(spark, sf), FX.robots_files(spark, sf))
     return v.select("page_id", "indexable", joined("reasons"), joined("unknown"))
 
 
@@ -490,7 +493,7 @@ CHECKED = f"""SELECT *, CASE WHEN t IS NOT NULL AND t % 17 <> 0 THEN CASE WHEN t
 
 
 def _hreflang(spark, sf):
-    r = X.page_records(FX.enriched(spark, sf), "head", "hreflang")
+    r = skew.staged(X.page_records(FX.enriched(spark, sf), "head", "hreflang"))
     return r, FX.responses(spark, sf)
 
 
@@ -550,7 +553,7 @@ def hreflang_export(spark, sf):
 
 
 def _signals(spark, sf):
-    return X.signals(X.page_records(FX.enriched(spark, sf), *X.SIGNAL_COLUMNS))
+    return X.staged_signals(FX.enriched(spark, sf))
 
 
 TRACKED = """SELECT p, CASE p % 8 WHEN 0 THEN 'gtm' WHEN 1 THEN 'ga4' WHEN 2 THEN 'meta' WHEN 3 THEN 'hotjar' WHEN 4 THEN 'clarity' WHEN 5 THEN 'plausible' WHEN 6 THEN 'linkedin' ELSE 'onetrust' END AS tracker,
@@ -960,7 +963,7 @@ def outlines(spark, sf):
 
 @query(f"SELECT page_id, array_to_string(list_transform({NAV}, lambda x: {ORIGIN} || {ENC('x')}), chr(10)) AS urls FROM pages")
 def url_lists(spark, sf):
-    return export.url_list(X.page_records(FX.pages(spark, sf), "links"))
+    return export.url_list(X.page_records(_raw(spark, sf), "links"))
 
 
 # ---------------------------------------------------------------- the audit and increments
@@ -978,10 +981,7 @@ def page_audit(spark, sf):
 
 def _scratch(spark) -> str:
     """A new folder in the cluster's shared checkpoint folder, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/audit-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
+    return f"{skew.shared_folder(spark)}/audit-{uuid.uuid4().hex}"
 
 
 @query("SELECT max(page_id) AS page_id, page_id % 40 AS slot FROM pages GROUP BY 2")
@@ -1009,10 +1009,10 @@ def refreshed_cache(spark, sf):
     return cache.where((F.col("fetched_at") > cut) & F.col("version").isNotNull()).select("key", "version")
 
 
-@query(RULES + "SELECT p AS page_id, 'acme' AS tracker, 'AC-' || (1000 + p) AS id FROM e")
+@query(RULES + "SELECT p AS page_id, 'acme' AS tracker, 'AC-' || (1030000 + p) AS id FROM e")
 def custom_catalog(spark, sf):
     own = [dict(id="acme", name="Acme", group="ads", format=r"AC-\d{4,9}", code=[("acme(", r"acme\('(AC-\d{4,9})'", "acme call")])]
     tracker_catalog.validate(own)
-    df = FX.enriched(spark, sf).withColumn("html", F.expr("replace(html, '</head>', concat('<script>acme(\\'AC-', 1000 + page_id, '\\')</script></head>'))"))
-    s = X.signals(X.page_records(df, *X.SIGNAL_COLUMNS))
+    df = FX.enriched(spark, sf).withColumn("html", F.expr("replace(html, '</head>', concat('<script>acme(\\'AC-', 1030000 + page_id, '\\')</script></head>'))"))
+    s = X.staged_signals(df)
     return TR.detect_trackers(s, catalog=own).select("page_id", "tracker", "id")

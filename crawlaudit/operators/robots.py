@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, urls as U
-from .skew import lookup_join, small_side
+from .skew import lookup_join
 
 DEFAULT_AGENT = "googlebot"
 # Crawler agents of the access matrix.
@@ -86,17 +86,16 @@ def matches_rule(pattern: Column, path: Column) -> Column:
     return F.regexp_like(path, rule_regex(pattern))
 
 
-def agent_rules(rules: DataFrame, agents: DataFrame) -> DataFrame:
+def agent_rules(rules: DataFrame, agents: list[str]) -> DataFrame:
     """One row per (origin, agent): its group name and its rules, best first.
 
     All groups that name the agent merge; only an agent nobody names falls back to
     ``*``. A robots.txt file is one row upstream, which bounds the array.
     """
-    named = small_side(agents.select(F.lower("agent").alias("agent")).distinct())
-    specific = rules.join(named, "agent").withColumn("group", F.col("agent"))
-    has_own = specific.select("origin", "agent").distinct()
-    stars = rules.where("agent = '*'").drop("agent").crossJoin(named).withColumn("group", F.lit("*"))
-    stars = stars.join(has_own, ["origin", "agent"], "left_anti")
+    names = sorted({a.lower() for a in agents})
+    specific = rules.where(F.col("agent").isin(names)).withColumn("group", F.col("agent"))
+    stars = rules.where("agent = '*'").withColumn("group", F.lit("*")).withColumn("agent", F.explode(F.array(*map(F.lit, names))))
+    stars = stars.join(specific.select("origin", "agent").distinct(), ["origin", "agent"], "left_anti")
     both = specific.unionByName(stars)
     usable = F.col("path").isNotNull() & (F.col("path") != "")
     rule = F.when(usable, F.struct(
@@ -108,23 +107,20 @@ def agent_rules(rules: DataFrame, agents: DataFrame) -> DataFrame:
     )
 
 
-def check_urls(pages: DataFrame, files: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+def check_urls(pages: DataFrame, files: DataFrame, agents: list[str] = (DEFAULT_AGENT,)) -> DataFrame:
     """robots.txt verdict per page and agent.
 
     The longest matching path wins and Allow wins ties; ``/robots.txt`` is always
     allowed. A status of 500 or more blocks, any other failure status allows, and
     a missing file or a network error leaves ``allowed`` NULL (unknown).
     """
-    spark = pages.sparkSession
-    if agents is None:
-        agents = spark.createDataFrame([(DEFAULT_AGENT,)], "agent string")
-    named = small_side(agents.select(F.lower("agent").alias("agent")).distinct())
     urls = pages.select("page_id", "url", U.origin_of(F.col("url")).alias("origin"))
     rules = agent_rules(robots_rules(files.where(_ok())), agents)
-    # One row per origin with an agent -> rules map keeps the page side unmultiplied until the very end.
+    # One row per origin with an agent -> rules list keeps the page side unmultiplied until the very end.
     by_origin = rules.groupBy("origin").agg(F.collect_list(F.struct("agent", "group", "rules")).alias("per_agent"))
     status = files.select("origin", F.col("status").alias("robots_status"), F.col("error").alias("robots_error")).join(by_origin, "origin", "left")
-    joined = lookup_join(urls, status, ["origin"]).crossJoin(named)
+    joined = lookup_join(urls, status, ["origin"])
+    joined = joined.withColumn("agent", F.explode(F.array(*[F.lit(a) for a in sorted({x.lower() for x in agents})])))
     mine = F.get(F.filter("per_agent", lambda a: a["agent"] == F.col("agent")), F.lit(0))
     path = U.path_and_query(F.col("url"))
     df = joined.withColumns({"_mine": mine, "_path": path})
@@ -146,8 +142,3 @@ def check_urls(pages: DataFrame, files: DataFrame, agents: DataFrame | None = No
 
 def _ok() -> Column:
     return (F.col("status") >= 200) & (F.col("status") < 300) & F.col("error").isNull()
-
-
-def crawler_agents(spark) -> DataFrame:
-    """Default agent list of the access matrix."""
-    return spark.createDataFrame([(a,) for a in CRAWLERS], "agent string")

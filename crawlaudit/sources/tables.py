@@ -16,7 +16,6 @@ SCHEMAS = {
     "containers": "container_id string, url string, text string, error string",
     "probes": "page_id bigint, kind string, slug string, url string, text string, capped boolean, error string",
     "latest": "key string, kind string, name string, version string, offers array<string>, unlisted boolean, theme_name string, error string, fetched_at timestamp",
-    "crawler_agents": "agent string",
     "url_index": "bare_url string",
 }
 
@@ -31,14 +30,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spread(read_table(spark, path, "pages"))
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Hash pages over the cores when the input arrives in fewer splits than that.
+def spread(df: DataFrame, key: str = "page_id") -> DataFrame:
+    """Hash rows over the cores when the input arrives in fewer splits than that.
 
     Parsing is the costly stage and one row group reads as one task. A crawl with
     enough splits is left alone.
     """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def http_facts(responses: DataFrame) -> DataFrame:

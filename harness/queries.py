@@ -44,6 +44,10 @@ def _raw(spark, sf) -> DataFrame:
     return tables.read_pages(spark, f"{sf}/pages.parquet")
 
 
+def _documents(spark, sf) -> DataFrame:
+    return tables.spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+
+
 def longs(df: DataFrame) -> DataFrame:
     """Counts as BIGINT, like the check SQL."""
     kinds = {"int", "tinyint", "smallint"}
@@ -177,13 +181,13 @@ DOC = CLEAN("regexp_replace(text, '[\"“”„«»]', ' ', 'g')")
 @query(f"""WITH d AS (SELECT doc_id, ' ' || {DOC} || ' ' AS body FROM documents), b AS (SELECT DISTINCT {PHRASE('text')} AS phrase FROM benchmark)
     SELECT phrase, doc_id FROM b JOIN d ON contains(body, ' ' || phrase || ' ') WHERE phrase <> ''""")
 def passage_copies(spark, sf):
-    return corpus.passage_copies(spark.read.parquet(f"{sf}/benchmark.parquet"), spark.read.parquet(f"{sf}/documents.parquet"))
+    return corpus.passage_copies(spark.read.parquet(f"{sf}/benchmark.parquet"), _documents(spark, sf))
 
 
 @query(f"""WITH d AS (SELECT doc_id, ' ' || {DOC} || ' ' AS body FROM documents)
     SELECT item_id, CAST(count(doc_id) AS BIGINT) AS copies FROM benchmark b LEFT JOIN d ON contains(body, ' ' || {PHRASE('b.text')} || ' ') GROUP BY item_id""")
 def passage_copy_counts(spark, sf):
-    return corpus.passage_copy_counts(spark.read.parquet(f"{sf}/benchmark.parquet"), spark.read.parquet(f"{sf}/documents.parquet"))
+    return corpus.passage_copy_counts(spark.read.parquet(f"{sf}/benchmark.parquet"), _documents(spark, sf))
 
 
 @query(f"SELECT doc_id, {PHRASE('text')} AS phrase FROM documents")
@@ -469,7 +473,7 @@ def robots_check(spark, sf):
       CASE WHEN agent IN ('googlebot', 'bingbot') THEN coalesce({PATH_RULE} NOT LIKE 'Dis%', true) WHEN agent = 'gptbot' THEN false ELSE true END END AS allowed
     FROM (SELECT *, unnest(['googlebot', 'bingbot', 'gptbot', 'claudebot', 'perplexitybot']) AS agent FROM e)""")
 def crawler_access(spark, sf):
-    c = R.check_urls(FX.enriched(spark, sf), FX.robots_files(spark, sf), R.crawler_agents(spark))
+    c = R.check_urls(FX.enriched(spark, sf), FX.robots_files(spark, sf), R.CRAWLERS)
     return c.select("page_id", "agent", "allowed")
 
 

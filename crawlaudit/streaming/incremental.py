@@ -21,63 +21,68 @@ def without_redelivery(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark("collected_at", delay).dropDuplicatesWithinWatermark(["url", "collected_at"])
 
 
-def merge_latest(current: DataFrame, arriving: DataFrame, key: str, version: str) -> DataFrame:
-    """Latest row per key; an older row never replaces a newer one.
+def latest_wins(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """Newest row per key; an older row never replaces a newer one.
 
     An aggregate keeps only the winner of each partial group in the shuffle.
     """
-    both = current.unionByName(arriving)
-    cols = [c for c in both.columns if c != key]
-    best = both.groupBy(key).agg(F.max_by(F.struct(*cols), version).alias("r"))
-    return best.select(key, *[F.col(f"r.{c}").alias(c) for c in cols]).select(*current.columns)
+    cols = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*cols), version).alias("r"))
+    return best.select(key, *[F.col(f"r.{c}").alias(c) for c in cols]).select(*rows.columns)
 
 
-class VersionedTable:
-    """A parquet table replaced as a whole per batch: readers follow the newest finished version.
+class BatchLog:
+    """Audit results kept as one parquet folder per batch, read latest-wins.
 
-    A batch that is retried rewrites its own version, so a lost executor or a restart
-    changes nothing.
+    A batch writes its own rows and nothing else, so its cost follows what arrived. A
+    retried batch rewrites its folder: a lost executor or a restart changes nothing.
+    ``compact`` folds finished batches into one when reading them grows slow.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "url", version: str = "collected_at"):
+        self.spark, self.path, self.schema, self.key, self.version = spark, path.rstrip("/"), schema, key, version
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
+    def _finished(self, kind: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path(self.path)):
             return []
-        names = [(s.getPath(), s.getPath().getName()) for s in fs.listStatus(root)]
-        done = [int(n[2:]) for p, n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(done)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """Newest finished version, or the newest below ``before``."""
-        done = [v for v in self._versions() if before is None or v < before]
-        reader = self.spark.read.schema(self.schema)
-        return reader.parquet(f"{self.path}/v={done[-1]}") if done else self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-
-def run_incremental(stream: DataFrame, audit: Callable[[DataFrame], DataFrame], table: VersionedTable, checkpoint: str,
-                    key: str = "url", version: str = "collected_at") -> StreamingQuery:
-    """Audit each batch of pages once and merge the results, latest wins.
-
-    ``audit`` maps a page DataFrame to rows with ``key`` and ``version``; multi-join stages
-    belong in it, since a batch is an ordinary DataFrame.
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
+        numbers = [int(n[2:]) for n in names if n.startswith(f"{kind}=")]
+        return sorted(n for n in numbers if fs.exists(path(f"{self.path}/{kind}={n}/_SUCCESS")))
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/b={batch}")
+
+    def read(self) -> DataFrame:
+        """Newest row per key over the last compaction and every batch after it."""
+        bases = self._finished("c")[-1:]
+        later = [b for b in self._finished("b") if not bases or b > bases[0]]
+        folders = [f"{self.path}/c={c}" for c in bases] + [f"{self.path}/b={b}" for b in later]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return latest_wins(self.spark.read.schema(self.schema).parquet(*folders), self.key, self.version)
+
+    def compact(self) -> None:
+        """Fold every finished batch; the folded folders can then be dropped."""
+        done = self._finished("b")
+        if done:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/c={done[-1]}")
+
+
+def run_incremental(stream: DataFrame, audit: Callable[[DataFrame], DataFrame], log: BatchLog, checkpoint: str) -> StreamingQuery:
+    """Audit each batch of pages once and log the results.
+
+    ``audit`` maps pages to rows of the log's schema; multi-join stages belong in it,
+    since a batch is an ordinary DataFrame.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        table.write(merge_latest(table.read(before=batch_id), audit(batch), key, version), batch_id)
+        log.append(audit(batch), batch_id)
 
-    return (
-        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def refresh_cache(cache: DataFrame, answers: DataFrame) -> DataFrame:
     """Answer cache after a batch: errors are not kept, the newest answer wins."""
-    return merge_latest(cache, answers.where("error is null").select(*cache.columns), "key", "fetched_at")
+    return latest_wins(cache.unionByName(answers.where("error is null").select(*cache.columns)), "key", "fetched_at")

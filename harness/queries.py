@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from crawlaudit.catalog import tech as tech_catalog, trackers as tracker_catalog
+from crawlaudit.catalog import trackers as tracker_catalog
 from crawlaudit.functions import directives as D, text as T, urls as U, versions as V
 from crawlaudit.operators import cms, containers as K, corpus, export, extract as X, hreflang as HL, latest as L
 from crawlaudit.operators import page as A, robots as R, serp, skew, structured as SD, tech as TE, trackers as TR
@@ -423,9 +423,6 @@ def page_flags(spark, sf):
     return r.select("page_id", *A.page_flags(F.col("head"), F.col("url")))
 
 
-_CODES = "'200=OK,404=Not Found,301=Moved Permanently,500=Internal Server Error'"
-
-
 @query("""SELECT CAST(code AS BIGINT) AS code, CASE code WHEN 200 THEN 'OK' WHEN 201 THEN 'Created' WHEN 202 THEN 'Accepted' WHEN 203 THEN 'Non-Authoritative' WHEN 204 THEN 'No Content' WHEN 206 THEN 'Partial Content'
       WHEN 301 THEN 'Moved Permanently' WHEN 302 THEN 'Found' WHEN 303 THEN 'See Other' WHEN 304 THEN 'Not Modified' WHEN 307 THEN 'Temporary Redirect' WHEN 308 THEN 'Permanent Redirect' ELSE '' END AS reason,
     CASE WHEN code < 300 THEN 'good' ELSE 'warn' END AS class, CAST(count(*) AS BIGINT) AS n FROM (SELECT 200 + page_id % 120 AS code FROM pages) GROUP BY 1, 2, 3""")
@@ -920,15 +917,14 @@ def people_also_ask(spark, sf):
     return longs(serp.people_also_ask(FX.serp_pages(spark, sf)))
 
 
-@query()
+@query(RULES + "SELECT p AS page_id, CAST(0 AS BIGINT) AS idx, 'schema:Article p' || p AS value FROM e")
 def rdfa_types(spark, sf):
     df = FX.enriched(spark, sf).withColumn("html", F.expr("replace(html, '<article>', concat('<article typeof=\"schema:Article  p', page_id, '\">'))"))
-    return X.children(X.page_records(df, "rdfa_types"), "rdfa_types")
+    return longs(X.children(X.page_records(df, "rdfa_types"), "rdfa_types"))
 
 
 # ---------------------------------------------------------------- exports
 
-CELL = lambda x: f"""CASE WHEN regexp_matches(g({x}), '[",\\r\\n]') THEN '"' || replace(g({x}), '"', '""') || '"' ELSE g({x}) END"""
 GUARD = lambda x: f"""(CASE WHEN regexp_matches({x}, '^[=+\\-@\\t\\r]') THEN '''' || {x} ELSE {x} END)"""
 CSV = lambda x: f"""CASE WHEN regexp_matches({GUARD(x)}, '[",\\r\\n]') THEN '"' || replace({GUARD(x)}, '"', '""') || '"' ELSE {GUARD(x)} END"""
 
@@ -999,10 +995,10 @@ def incremental_audit(spark, sf):
     folder = _scratch(spark)
     stream = INC.page_stream(spark, f"{sf}/pages.parque[t]").withColumn("collected_at", F.expr("timestamp_seconds(1700000000 + page_id)"))
     schema = "page_id bigint, url string, collected_at timestamp, title string, links int"
-    table = INC.VersionedTable(spark, f"{folder}/audit", schema)
+    log = INC.BatchLog(spark, f"{folder}/audit", schema)
     work = lambda pages: X.page_records(pages, "head", "links").select("page_id", "url", "collected_at", F.col("head.title").alias("title"), F.col("links_total").alias("links"))
-    INC.run_incremental(INC.without_redelivery(stream), work, table, f"{folder}/checkpoint").awaitTermination()
-    return longs(table.read().select("page_id", "url", "title", "links"))
+    INC.run_incremental(INC.without_redelivery(stream), work, log, f"{folder}/checkpoint").awaitTermination()
+    return longs(log.read().select("page_id", "url", "title", "links"))
 
 
 @query(f"SELECT key, version FROM ({ANSWERS}) WHERE error IS NULL AND p % 24 < 12 AND version IS NOT NULL")

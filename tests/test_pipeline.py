@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from crawlaudit.operators import cms, corpus, export, extract as X, hreflang as HL, latest as L, page as A, robots as R
+from crawlaudit.operators import cms, corpus, export, extract as X, page as A, robots as R
 from crawlaudit.operators import skew, structured as SD, trackers as TR
 from crawlaudit.plans import audit
 from crawlaudit.streaming import incremental as INC
@@ -112,12 +112,15 @@ def test_csv_bytes(spark, tmp_path):
 
 def test_older_snapshot_never_wins(spark, tmp_path):
     at = lambda h: dt.datetime(2026, 1, 1, h)
-    table = INC.VersionedTable(spark, str(tmp_path / "t"), "url string, collected_at timestamp, n int")
-    rows = lambda *r: spark.createDataFrame(list(r), table.schema)
-    table.write(INC.merge_latest(table.read(), rows(("a", at(3), 3), ("b", at(1), 1)), "url", "collected_at"), 0)
-    table.write(INC.merge_latest(table.read(before=1), rows(("a", at(2), 2), ("b", at(5), 5)), "url", "collected_at"), 1)
-    assert {r.url: r.n for r in table.read().collect()} == {"a": 3, "b": 5}
-    assert {r.url: r.n for r in table.read(before=1).collect()} == {"a": 3, "b": 1}
+    log = INC.BatchLog(spark, str(tmp_path / "t"), "url string, collected_at timestamp, n int")
+    rows = lambda *r: spark.createDataFrame(list(r), log.schema)
+    assert log.read().count() == 0
+    log.append(rows(("a", at(3), 3), ("b", at(1), 1)), 0)
+    log.append(rows(("a", at(2), 2), ("b", at(5), 5)), 1)
+    log.append(rows(("a", at(2), 2), ("b", at(5), 5)), 1)  # a retry
+    log.compact()
+    log.append(rows(("c", at(1), 7), ("b", at(4), 4)), 2)
+    assert {r.url: r.n for r in log.read().collect()} == {"a": 3, "b": 5, "c": 7}
 
 
 def test_filters_reach_the_scan_and_pages_stay_put(spark):

@@ -38,6 +38,8 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # What the table was made from is not needed again; its shuffle files go once the driver has noticed.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

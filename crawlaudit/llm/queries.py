@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pack
+from . import pack, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -26,3 +26,8 @@ def query(fn=None, *, sql: str | None = None):
 @query
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pack, substring
+from . import pack, simhash, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -31,3 +31,8 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))

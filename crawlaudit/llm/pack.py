@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import os
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +28,7 @@ WINDOW = 2048
 END_ID = 1
 DEPTH = 3
 BLOCK_TOKENS = 4_000_000
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 COLUMNS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -57,7 +57,6 @@ class Encoder:
         self.exact = Tokenizer.from_file(path)
         self.fast = self._ranks(os.path.splitext(path)[0] + ".tiktoken")
         self.known: dict[str, bytes] = {}
-        self.wide = re.compile(r" \s|\s ")
 
     @staticmethod
     def _ranks(path: str):
@@ -76,20 +75,23 @@ class Encoder:
             ids = self.exact.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        if self.SPECIAL in text or self.wide.search(text) or self.fast is None:
+        if self.fast is None or self.SPECIAL in text:
             return self._whole(text)
         known, parts = self.known, text.split(" ")
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        out = [self._whole(parts[0])]
-        for part in parts[1:]:
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = self._whole(" " + part)
-            out.append(ids)
+        out = [known.get(part) for part in parts]
+        out[0] = self._whole(parts[0])
+        if None in out:
+            for at, ids in enumerate(out):
+                if ids is None:
+                    part = parts[at]
+                    if not part or part[0].isspace() or part[-1].isspace():
+                        return self._whole(text)
+                    out[at] = known[part] = known.get(part) or self._whole(" " + part)
         return b"".join(out)
 
 
@@ -113,7 +115,7 @@ def combinations(lengths: np.ndarray, window: int = WINDOW, depth: int = DEPTH)
     return np.concatenate(found)
 
 
-def solve_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
+def solve_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 20) -> np.ndarray:
     """Repeat counts x >= 0 of the combinations that least squares fits to the histogram.
 
     Multiplicative updates x <- x * (A'h) / (A'Ax): they keep x non-negative and never raise the squared error. A column
@@ -135,14 +137,24 @@ def plan(histogram: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> lis
         return []
     x = solve_counts(combos, histogram)
     left, out = histogram.copy(), []
-    # Whole counts first, then the fractions by size, each as far as items are left.
-    for counts, order in ((np.floor(x + 1e-9), np.argsort(-x, kind="stable")), (np.ones(len(x)), np.argsort(-(x - np.floor(x)), kind="stable"))):
-        for i in order[counts[order] >= 1]:
-            places, need = np.unique(combos[i][combos[i] > 0], return_counts=True)
-            n = int(min(counts[i], (left[places] // need).min()))
-            if n:
-                left[places] -= n * need
-                out.append((tuple(int(v) for v in combos[i] if v), n))
+
+    def take(counts: np.ndarray, order: np.ndarray) -> None:
+        """Take combinations in this order, each as often as it is wanted and items are left."""
+        for at in range(0, len(order), 4096):
+            part = order[at : at + 4096]
+            part = part[((left[combos[part]] > 0) | (combos[part] == 0)).all(1)]
+            for i, combo in zip(part.tolist(), combos[part].tolist()):
+                combo = tuple(v for v in combo if v)
+                n = min(int(counts[i]), *(int(left[v]) // combo.count(v) for v in combo))
+                if n > 0:
+                    for v in combo:
+                        left[v] -= n
+                    out.append((combo, n))
+
+    # Whole counts first, then one more of each by the size of the fraction.
+    whole = np.floor(x + 1e-9)
+    take(whole, (order := np.argsort(-x, kind="stable"))[whole[order] >= 1])
+    take(np.ones(len(x)), np.argsort(whole - x, kind="stable"))
     return out
 
 

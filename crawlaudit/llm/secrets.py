@@ -1,0 +1,214 @@
+"""Secret scans (operator 4): a worklist of decoded layers.
+
+Every text is the first layer. A layer is searched for secrets, and for pieces that unwrap: percent escapes, Unicode
+escapes and character references, base64 (of text or of a compressed stream). What a piece decodes to is a new layer, and
+the worklist goes on until no layer gives a new one. A layer seen before in its chain ends it, so cycles stop. Each layer
+knows for every one of its characters which span of the text it comes from, so what is found deep down is reported where
+it stands in the text.
+
+The search in the text itself is the base; layers only add spans. A task handles one document at a time. A layer holds at
+most ``LAYER_CHARS`` characters, which bounds what a compressed piece can become: the rest is searched as further layers,
+each beginning ``OVERLAP`` characters before the end of the one before, so no part stays unread.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+# The kinds in their order, and the patterns of the contract.
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+ASSIGN_CHARS = 6
+# A run that is long enough; shorter runs hold no match, so leaving them out of the pattern changes nothing.
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
+
+LAYER_CHARS = 4_000_000
+OVERLAP = 100_000
+
+ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+|(?:\\x[0-9A-Fa-f]{2})+|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};")
+BASE64 = re.compile(r"[A-Za-z0-9+/]{12,}={0,2}|[A-Za-z0-9_-]{12,}={0,2}")
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the contract's three kinds, leftmost and without overlap within a kind."""
+    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_CHARS]
+    found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
+    return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+
+
+def _decoded(run: str) -> list[tuple[str, int, int]] | None:
+    """Characters of one escape run with the part of the run that each comes from; None if it does not decode."""
+    if run[0] == "&":
+        code = int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])
+        return [(chr(code), 0, len(run))] if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+    if run[0] == "%" or run[1] == "x":
+        width = 3 if run[0] == "%" else 4
+        data = bytes(int(run[i + width - 2 : i + width], 16) for i in range(0, len(run), width))
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = data.decode("latin-1")
+            return [(c, i * width, (i + 1) * width) for i, c in enumerate(text)]
+        out, at = [], 0
+        for c in text:
+            n = len(c.encode())
+            out.append((c, at * width, (at + n) * width))
+            at += n
+        return out
+    width = 6 if run[1] == "u" else 10
+    codes = [int(run[i + 2 : i + width], 16) for i in range(0, len(run), width)]
+    out, i = [], 0
+    while i < len(codes):
+        code, n = codes[i], 1
+        if 0xD800 <= code < 0xDC00 and i + 1 < len(codes) and 0xDC00 <= codes[i + 1] < 0xE000:
+            code, n = 0x10000 + ((code - 0xD800) << 10) + codes[i + 1] - 0xDC00, 2
+        if 0xD800 <= code < 0xE000 or code >= 0x110000:
+            return None
+        out.append((chr(code), i * width, (i + n) * width))
+        i += n
+    return out
+
+
+Layer = tuple[str, np.ndarray, np.ndarray]  # text, and the start and end in the document of each character
+
+
+def unescaped(layer: Layer) -> Layer | None:
+    """The layer with its escapes replaced; None if there are none."""
+    text, start, end = layer
+    parts, starts, ends, at = [], [], [], 0
+    for m in ESCAPES.finditer(text):
+        chars = _decoded(m[0])
+        if chars is None:
+            continue
+        parts += [text[at : m.start()], "".join(c for c, _, _ in chars)]
+        starts += [start[at : m.start()], np.array([start[m.start() + a] for _, a, _ in chars])]
+        ends += [end[at : m.start()], np.array([end[m.start() + b - 1] for _, _, b in chars])]
+        at = m.end()
+    if not parts:
+        return None
+    return "".join(parts) + text[at:], np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]])
+
+
+def _streams(data: bytes) -> Iterator[bytes]:
+    """What a compressed stream holds, in parts of bounded size that overlap; nothing if it is not one."""
+    if data[:2] == b"\x1f\x8b":
+        tool = zlib.decompressobj(31)
+    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        tool = zlib.decompressobj(15)
+    elif data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        tool = None
+        source = zstandard.ZstdDecompressor().stream_reader(data)
+    else:
+        return
+    tail = b""
+    try:
+        while True:
+            part = source.read(LAYER_CHARS) if tool is None else tool.decompress(data, LAYER_CHARS)
+            data = b"" if tool is None else tool.unconsumed_tail
+            if not part:
+                return
+            yield tail + part
+            tail = part[-OVERLAP:]
+    except Exception:  # a stream that breaks off is searched as far as it goes
+        return
+
+
+def _readable(data: bytes) -> str | None:
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        return None
+    return text if text.isprintable() or all(c.isprintable() or c in "\t\r\n\f\v" for c in text) else None
+
+
+def unpacked(layer: Layer) -> Iterator[Layer]:
+    """Layers inside the layer's base64 pieces."""
+    text, start, end = layer
+    seen: set[tuple[int, int]] = set()
+    for m in (m for pattern in (BASE64,) for m in pattern.finditer(text)):
+        body = m[0].rstrip("=")
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        if (m.start(), len(body)) in seen or body.isdecimal():
+            continue
+        seen.add((m.start(), len(body)))
+        try:
+            data = base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if "-" in body or "_" in body else None)
+        except (binascii.Error, ValueError):
+            continue
+        inner = _readable(data)
+        if inner is not None:
+            # Byte i comes from the characters i * 4 / 3 and the next; a character's bytes lie side by side.
+            sizes = np.array([len(c.encode()) for c in inner]) if len(inner) != len(data) else np.ones(len(inner), np.int64)
+            to = np.cumsum(sizes)
+            first, last = (to - sizes) * 4 // 3, np.minimum((to * 4 + 2) // 3, len(body)) - 1
+            yield inner, start[m.start() + first], end[m.start() + last]
+            continue
+        a, b = start[m.start()], end[m.start() + len(body) - 1]
+        for part in _streams(data):
+            text_ = part.decode("utf-8", "replace")
+            yield text_, np.full(len(text_), a), np.full(len(text_), b)
+
+
+def scan(text: str) -> list[tuple[int, int, str]]:
+    """All spans of a text: its own, and those of every layer that unwraps from it."""
+    found = set(base_spans(text))
+    if not (ESCAPES.search(text) or BASE64.search(text)):
+        return _ordered(found)
+    n = np.arange(len(text))
+    work: list[tuple[Layer, frozenset]] = [((text, n, n + 1), frozenset())]
+    while work:
+        layer, above = work.pop()
+        mark = hashlib.blake2b(layer[0].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if mark in above or not layer[0]:
+            continue
+        above = above | {mark}
+        if len(above) > 1:
+            found |= {(int(layer[1][a]), int(layer[2][b - 1]), kind) for a, b, kind in base_spans(layer[0])}
+        plain = unescaped(layer)
+        if plain is not None:
+            work.append((plain, above))
+        work += [(inner, above) for inner in unpacked(layer)]
+    return _ordered(found)
+
+
+def _ordered(found) -> list[tuple[int, int, str]]:
+    return sorted(found, key=lambda f: (f[0], KINDS.index(f[2]), f[1]))
+
+
+def _said(spans: list[tuple[int, int, str]]) -> str:
+    return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row; null text is the empty text.
+
+    The counts and base_sha256 are of the text's own spans, ``spans`` lists those of all layers. Repeated rows give
+    repeated rows, an empty table gives none, and other columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: list[list[int]] = [[], [], []]
+            digests, spans = [], []
+            for text in batch.column(1).to_pylist():
+                base = _ordered(base_spans(text or ""))
+                for of, kind in zip(counts, KINDS):
+                    of.append(sum(f[2] == kind for f in base))
+                digests.append(hashlib.sha256(_said(base).encode()).hexdigest())
+                spans.append(_said(scan(text or "")))
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, pack, simhash, substring
+from . import exact, language, pack, secrets, simhash, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -42,3 +42,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents) WINDOW g AS (PARTITION BY norm)""")
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents")).drop("bucket")
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, pack, secrets, simhash, substring
+from . import exact, language, mixing, pack, secrets, simhash, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -52,3 +52,36 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
+
+
+# Each level of the budget tree: the children of a node in the order of supply / weight, and the first that does not fill up.
+_DEAL = """{at}_c AS (SELECT {keys}, sum(supply)::BIGINT AS supply, sum(tokens)::BIGINT AS tokens, {weight} AS weight FROM leaves GROUP BY {keys}),
+{at}_g AS (SELECT c.*, {given} AS given FROM {at}_c c {join}),
+{at}_o AS (SELECT *, row_number() OVER (PARTITION BY {parent} ORDER BY supply / weight, {at}) AS n,
+    given - (sum(supply) OVER (PARTITION BY {parent} ORDER BY supply / weight, {at} ROWS UNBOUNDED PRECEDING) - supply) AS left_,
+    sum(weight) OVER (PARTITION BY {parent} ORDER BY supply / weight, {at} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_ FROM {at}_g),
+{at}_s AS (SELECT {parent} AS p, min(n) AS stop, arg_min(left_, n) AS pool, arg_min(weights_, n) AS pool_weights FROM {at}_o
+    WHERE supply::HUGEINT * weights_ > weight::HUGEINT * left_ GROUP BY {parent}),
+{at}_b AS (SELECT o.*, CASE WHEN s.stop IS NULL OR o.n < s.stop THEN o.supply ELSE (o.weight::HUGEINT * s.pool) // s.pool_weights END AS got
+    FROM {at}_o o LEFT JOIN {at}_s s ON s.p = {oparent}),
+"""
+_MIX_SQL = f"""WITH rows_ AS (SELECT doc_id, 'd' || (regexp_extract(source, '([0-9]+)$', 1)::INT % 4) AS domain, lang, source,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+docs AS (SELECT * FROM rows_ WHERE tokens > 0),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * 3 AS supply FROM docs GROUP BY ALL),
+{_DEAL.format(at='domain', keys='domain', weight="CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END", parent='1', oparent='1',
+    given='least(floor((SELECT sum(tokens) FROM leaves) * 0.5)::BIGINT, (SELECT sum(supply) FROM leaves))', join='')}
+{_DEAL.format(at='lang', keys='domain, lang', weight="CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 3 ELSE 2 END", parent='domain', oparent='o.domain',
+    given='b.got', join='JOIN domain_b b USING (domain)')}
+{_DEAL.format(at='source', keys='domain, lang, source', weight='1', parent="domain || '|' || lang", oparent="o.domain || '|' || o.lang",
+    given='b.got', join='JOIN lang_b b USING (domain, lang)')}
+dealt AS (SELECT d.*, (b.got // b.tokens)::BIGINT AS whole, (b.got % b.tokens)::BIGINT AS rest FROM docs d JOIN source_b b USING (domain, lang, source)),
+drawn AS (SELECT *, whole + 1 AS epoch, ('0x' || substr(md5('7|' || (whole + 1) || '|' || doc_id), 1, 15))::BIGINT AS draw FROM dealt WHERE rest > 0),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY draw, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS before FROM drawn)
+SELECT doc_id, domain, lang, source, epoch, tokens, least(tokens, rest - before)::BIGINT AS taken FROM placed WHERE before < rest
+UNION ALL SELECT doc_id, domain, lang, source, unnest(range(1, whole + 1)) AS epoch, tokens, tokens AS taken FROM dealt WHERE whole > 0"""
+
+
+@query(sql=_MIX_SQL)
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read(spark, sf_dir, "documents"), fraction=0.5, epochs=3).drop("text_hash")

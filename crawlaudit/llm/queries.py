@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, mixing, pack, secrets, simhash, substring
+from . import exact, language, mixing, pack, secrets, simhash, substring, urls
 from .common import read
 
 QUERIES: dict = {}
@@ -85,3 +85,33 @@ UNION ALL SELECT doc_id, domain, lang, source, unnest(range(1, whole + 1)) AS ep
 @query(sql=_MIX_SQL)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"), fraction=0.5, epochs=3).drop("text_hash")
+
+
+_FOLD = "regexp_replace(regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^a-z0./_?=&#%:@\\-]', '~', 'g')"
+_CHANCE = lambda v: f"""(({v}_2 + 4.0 * (({v}_1 + 4.0 * (({v}_0 + 4.0 * (1.0 / 40)::DOUBLE) / ({v}_0_all + 4.0))) / ({v}_1_all + 4.0))) / ({v}_2_all + 4.0))"""
+_COUNTS = lambda v: f"""sum({v}) OVER (PARTITION BY substr(g, 3, 1)) AS {v}_0, sum({v}) OVER () AS {v}_0_all, sum({v}) OVER (PARTITION BY substr(g, 2, 2)) AS {v}_1,
+    sum({v}) OVER (PARTITION BY substr(g, 2, 1)) AS {v}_1_all, sum({v}) OVER (PARTITION BY g) AS {v}_2, sum({v}) OVER (PARTITION BY substr(g, 1, 2)) AS {v}_2_all"""
+
+
+@query(sql=f"""WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*(/[^?#]*)?', 1) AS path FROM pages),
+ruled AS (SELECT *, '^^' || {_FOLD} AS f, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM parts),
+urls AS (SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM ruled),
+different AS (SELECT DISTINCT f, verdict FROM urls),
+grams AS (SELECT f, verdict, substr(f, i, 3) AS g FROM (SELECT f, verdict, unnest(range(1, length(f) - 1)) AS i FROM different)),
+counts AS (SELECT g, sum((verdict = 'allow')::INT)::DOUBLE AS allow, sum((verdict = 'block')::INT)::DOUBLE AS block FROM grams WHERE verdict IS NOT NULL GROUP BY g),
+contexts AS (SELECT g, {_COUNTS('allow')}, {_COUNTS('block')} FROM counts),
+ratios AS (SELECT g, round((ln({_CHANCE('allow')}) - ln({_CHANCE('block')})) * 1000000)::BIGINT AS ratio FROM contexts),
+scores AS (SELECT f, verdict, floor(sum(coalesce(ratio, 0))::DOUBLE / (count(*) * 1000))::BIGINT AS score FROM grams LEFT JOIN ratios USING (g) GROUP BY f, verdict),
+ranked AS (SELECT score, sum(count(*)) OVER (ORDER BY score) AS below, sum(count(*)) OVER () AS everything FROM scores WHERE verdict = 'allow' GROUP BY score),
+bar AS (SELECT CASE WHEN (SELECT count(*) FROM scores WHERE verdict = 'block') > 0 THEN min(score) END AS bar FROM ranked WHERE below > everything * 0.05)
+SELECT page_id, host, path, rule, coalesce(u.verdict, CASE WHEN coalesce(s.score, 0) < (SELECT bar FROM bar) THEN 'block' ELSE 'allow' END) AS verdict,
+    CASE WHEN u.verdict IS NULL THEN coalesce(s.score, 0) END AS score
+FROM urls u LEFT JOIN (SELECT f, score FROM scores WHERE verdict IS NULL) s ON u.verdict IS NULL AND s.f = u.f""")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))

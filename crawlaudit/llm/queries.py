@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, mixing, pack, secrets, simhash, substring, urls
+from . import exact, language, licences, mixing, pack, secrets, simhash, substring, urls
 from .common import read
 
 QUERIES: dict = {}
@@ -115,3 +115,26 @@ SELECT page_id, host, path, rule, coalesce(u.verdict, CASE WHEN coalesce(s.score
 FROM urls u LEFT JOIN (SELECT f, score FROM scores WHERE verdict IS NULL) s ON u.verdict IS NULL AND s.f = u.f""")
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
+
+
+_CANONICAL = lambda x: """trim(regexp_replace(regexp_replace(lower({0}), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(copyright[^\\p{{L}}\\p{{N}}\\n]*(\\(c\\)|©|[0-9]{{4}})|\\(c\\)[^\\p{{L}}\\p{{N}}\\n]*[0-9]{{4}}|©)[^\\n]*$', ' ', 'g'),
+    '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))""".format(x)
+def _spelled(x: str) -> str:
+    for pattern, instead in licences.SPELLINGS:
+        x = f"regexp_replace({x}, '{pattern}', '{instead.replace('$', chr(92))}', 'g')"
+    return x
+
+
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_KNOWN = ", ".join(f"({_QUOTED(licence)}, {_QUOTED(text)})" for licence, text in licences.known_texts())
+
+
+@query(sql=f"""WITH known AS (SELECT c, min(licence) AS licence FROM (SELECT licence, {_spelled(_CANONICAL('text'))} AS c FROM (VALUES {_KNOWN}) v(licence, text)) GROUP BY c),
+units AS (SELECT doc_id, 'whole' AS kind, text AS u FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, 'paragraph', u FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS u FROM documents) WHERE contains(u, chr(10))
+    UNION ALL SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents),
+found AS (SELECT doc_id, max(CASE WHEN kind = 'whole' THEN licence END) AS licence, count(*) FILTER (kind = 'line') AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+    FROM (SELECT doc_id, kind, {_spelled(_CANONICAL('u'))} AS c FROM units) JOIN known USING (c) GROUP BY doc_id)
+SELECT doc_id, licence, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices FROM documents LEFT JOIN found USING (doc_id)""")
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, licences, mixing, pack, secrets, simhash, substring, urls
+from . import exact, language, licences, mixing, neighbours, pack, secret_scan, simhash, substring, urls
 from .common import read
 
 QUERIES: dict = {}
@@ -46,7 +46,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
 @query
@@ -138,3 +138,8 @@ found AS (SELECT doc_id, max(CASE WHEN kind = 'whole' THEN licence END) AS licen
 SELECT doc_id, licence, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices FROM documents LEFT JOIN found USING (doc_id)""")
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_of_every(read(spark, sf_dir, "embeddings"))

@@ -28,7 +28,7 @@ from .common import stage
 TREES = 4
 LEAVES = 64
 SAMPLE_ROWS = 20_000
-VISIT = 0.7
+VISIT = 0.35
 TOP = 5
 PART_ROWS = 8192
 SEED = 11

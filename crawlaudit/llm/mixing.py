@@ -129,3 +129,9 @@ def target_weights() -> dict[str, Column]:
 def mix_documents(docs: DataFrame, fraction: float, epochs: int) -> DataFrame:
     """:func:`mix` of a documents table by domain, language and source."""
     return mix(docs.withColumn("domain", domain()), LEVELS, target_weights(), fraction, epochs, SEED, words(F.col("text")))
+
+
+def keep_mix(docs: DataFrame, fraction: float) -> DataFrame:
+    """The rows of ``docs`` that one epoch of the mix takes, whole and as they were."""
+    taken = stage(mix_documents(docs, fraction, 1).select("doc_id", "text_hash").distinct(), "taken")
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]) & (F.xxhash64(docs["text"]) == taken["text_hash"]), "left_semi")

@@ -53,16 +53,16 @@ def fingerprint(text: bytes | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed integer."""
+    """(doc_id, text_hash, fp): fp is the fingerprint's 64 bits as a signed integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             seen: dict = {}
             out = [seen[t] if t in seen else seen.setdefault(t, fingerprint(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 class Forest:
@@ -198,6 +198,13 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sha
     return placed.repartition("shard", "cell").sortWithinPartitions("shard", "cell").mapInArrow(_shard_links(radius), "a long, b long")
 
 
+def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root): the group of each fingerprint, named by the smallest one in it."""
+    nodes = stage(prints.select("fp").distinct().select(F.col("fp").alias("node"), "fp"), "nodes")
+    roots = components(near_links(nodes, radius))
+    return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id that links reach.
 
@@ -206,11 +213,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     An empty table gives no rows; other columns are not read.
     """
     prints = stage(fingerprints(docs), "prints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("node"), "fp", "least"), "nodes")
-    roots = components(near_links(nodes, radius))
-    named = nodes.join(roots, "node", "left").select(F.col("fp").alias("of"), F.coalesce("root", "node").alias("root"), "least")
-    named = stage(named, "named")
+    named = groups(prints, radius)
+    named = stage(named.join(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp"), "named")
     least = stage(named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "group"), "least")
-    known = stage(named.join(least, named["root"] == least["group"]).select("of", "component_id"), "known")
+    known = stage(named.join(least, named["root"] == least["group"]).select(F.col("fp").alias("of"), "component_id"), "known")
     out = prints.join(known, prints["fp"] == known["of"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the one with the smallest doc_id, null last."""
+    prints = stage(fingerprints(docs), "prints")
+    named = stage(groups(prints, radius).select(F.col("fp").alias("of"), "root"), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")).alias("first")
+    stay = stage(prints.join(named, prints["fp"] == named["of"]).groupBy("root").agg(first).select("first.doc_id", "first.text_hash"), "stay")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]) & (F.xxhash64(docs["text"]) == stay["text_hash"]), "left_semi")

@@ -57,7 +57,8 @@ def find_copies(docs: DataFrame, key: Column | None = None, bucket_keys: int = B
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).withColumn("norm", normalised(F.col("d.text"))).withColumn("h", key)
     hashes = stage(rows.groupBy("h").agg(F.count("*").alias("n")), "hashes")
     shared = hashes.where("n > 1").select(F.col("h").alias("chained"))
-    index = rows.join(shared, rows["h"] == shared["chained"], "left")
+    # Texts meet in a shuffle at every size: what they meet here grows with the corpus and is not for broadcasting.
+    index = rows.join(shared.hint("merge"), rows["h"] == shared["chained"], "left")
     index = index.join(F.broadcast(directory(hashes, bucket_keys)), F.shiftrightunsigned("h", 64 - DEPTH) == F.col("entry"))
     return index.select(
         "d", "h", "bucket", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.when(F.col("chained").isNotNull(), F.col("norm")).alias("bytes"),
@@ -73,7 +74,7 @@ def resolve(index: DataFrame) -> DataFrame:
     while True:
         heads = open_.groupBy("h").agg(F.min_by(F.struct("doc_id", "row", "bytes"), F.struct(*ORDER)).alias("head"))
         heads = stage(heads.select(F.col("h").alias("of"), F.col("head.doc_id").alias("head_id"), F.col("head.row").alias("head_row"), F.col("head.bytes").alias("head_bytes")), "heads")
-        met = open_.join(heads, open_["h"] == heads["of"]).withColumn("same", F.col("bytes") == F.col("head_bytes"))
+        met = open_.join(heads.hint("merge"), open_["h"] == heads["of"]).withColumn("same", F.col("bytes") == F.col("head_bytes"))
         met = stage(met.select(*narrow, "absent", F.when(~F.col("same"), F.col("bytes")).alias("bytes"), "same", "head_id", "head_row"), "met")
         sizes = stage(met.where("same").groupBy(F.col("head_row").alias("group_of")).agg(F.count("*").alias("group_size")), "sizes")
         same = met.where("same")

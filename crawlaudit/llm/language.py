@@ -41,8 +41,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     labelled = labelled.select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).join(F.broadcast(common), "lang")
+    # In two steps, so that what tasks hand on does not meet in one task for each language.
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")
+    for lane in (F.spark_partition_id() % 64, F.lit(0)):
+        first = Window.partitionBy("lang", "lane").orderBy(*order)
+        labelled = labelled.withColumn("lane", lane).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).drop("n", "lane")
+    sample = labelled.join(F.broadcast(common), "lang")
     texts: dict[str, list[str]] = {}
     for row in sorted(sample.collect()):
         texts.setdefault(row["lang"], []).append(row["text"].lower())

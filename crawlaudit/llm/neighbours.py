@@ -5,8 +5,8 @@ random vectors. The forest has ``TREES`` trees of at most ``LEAVES`` leaves, so
 every task; all rows are indexed by the leaves that they fall into.
 
 A query's search has one priority queue for all trees. It holds branches not taken, by how far the query is from their
-splitting plane; the nearest is followed to its leaf, until the leaves hold ``VISIT`` of all rows, counted once for each
-tree. The rows of those leaves are the candidates, and they are reranked by exact cosine in double precision.
+splitting plane; the nearest is followed to its leaf, until the leaves hold ``VISIT`` of all rows, and ``LEAST_ROWS`` of them, counted once
+for each tree. The rows of those leaves are the candidates, and they are reranked by exact cosine in double precision.
 
 Spark brings the rows of a leaf and the queries that visit it together. A leaf of many rows, such as one with a vector
 that a third of all rows share, is cut into parts of bounded size, each visited on its own; a part gives its five best
@@ -29,6 +29,8 @@ TREES = 4
 LEAVES = 64
 SAMPLE_ROWS = 20_000
 VISIT = 0.35
+# Rows that a search takes in at least, in each tree, if there are so many.
+LEAST_ROWS = 1000
 TOP = 5
 PART_ROWS = 8192
 SEED = 11
@@ -165,7 +167,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, top:
     counted = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()  # at most trees * leaves rows
     held = {(r["tree"], r["leaf"]): r["n"] for r in counted}
     parts = {k: -(-n // part_rows) for k, n in held.items()}
-    limit = visit * sum(held.values())
+    limit = max(visit * sum(held.values()), trees * LEAST_ROWS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,6 +61,25 @@ def near(rows):
     return sorted([(i, f"{f:016x}", least.get(g)) for (i, _), f, g in zip(rows, prints, group)], key=key)
 
 
+def one_of_each(rows):
+    """doc_ids that stay: three bits of the fingerprint, or four fifths of the five-word shingles, make a group."""
+    prints = [fingerprint(t) for _, t in rows]
+    folded = [words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in folded]
+    alike = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3 or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0
+    group = list(range(len(rows)))
+    find = lambda i: i if group[i] == i else find(group[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(i, j):
+                a, b = find(i), find(j)
+                group[max(a, b)] = min(a, b)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return set(least.values())
+
+
 def exact(rows):
     groups = {}
     for n, (i, t) in enumerate(rows):

@@ -72,6 +72,20 @@ def test_near_duplicates(spark, monkeypatch, shard_rows):
     assert sorted(map(tuple, got), key=brute.key) == brute.near(rows)
 
 
+def test_one_of_each_group_of_similar_texts(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(250):
+        story = random.Random(rng.randint(0, 20))
+        w = [str(story.randint(0, 500)) for _ in range(story.choice([0, 3, 40, 80, 120]))]
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            if w:
+                w[rng.randrange(len(w))] = "new" + str(rng.randint(0, 999))
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id for r in simhash.one_of_each(table(spark, rows)).collect()}
+    assert got == brute.one_of_each(rows) and len(got) > 30
+
+
 def test_tree_search_equals_all_pairs():
     import numpy as np
 

@@ -275,7 +275,7 @@ def test_pipeline_stages_by_brute_force(spark):
     assert known.columns == distinct.columns == far.columns == mixed_.columns
     assert {9001, 9002, 9003}.isdisjoint(i for i, _ in rows(known)) and known.count() >= 195
     assert {i for i, _ in rows(distinct)} == {keep for _, keep, _, _ in brute.exact(rows(known))}
-    assert {i for i, _ in rows(far)} == {component for _, _, component in brute.near(rows(distinct))}
+    assert {i for i, _ in rows(far)} == brute.one_of_each(rows(distinct))
     supply = {}
     for r in far.collect():
         supply[r.doc_id] = len(brute.words(r.text))

@@ -95,11 +95,11 @@ def short_url(url: Column) -> Column:
     return F.when(F.length(s) > 80, F.concat(F.lit("…"), F.right(s, F.lit(79)))).otherwise(s)
 
 
-def exact_phrase(s: Column, max_words: int = 32) -> Column:
-    """Quote-free phrase of at most ``max_words`` words."""
+def exact_phrase(s: Column, max_words: int | None = 32) -> Column:
+    """Quote-free phrase of at most ``max_words`` words, the limit of a search box; None keeps all."""
     # The six double-quote characters.
     words = clean(F.regexp_replace(s, "[\"“”„«»]", " "))
-    return F.array_join(F.slice(F.split(words, " "), 1, max_words), " ")
+    return words if max_words is None else F.array_join(F.slice(F.split(words, " "), 1, max_words), " ")
 
 
 def file_name(src: Column) -> Column:

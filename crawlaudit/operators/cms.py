@@ -17,9 +17,8 @@ LIBRARY_NAMES = (
 )
 CORE_NAMESPACES = r"^(?:wp/v2|oembed/1\.0|wp-site-health/v1|wp-block-editor/v1|wp-abilities/v1|wp/v[0-9])\z"
 FORBIDDEN_PATH = r"(?i)(?:^|/)(?:readme\.(?:txt|html)|license\.txt|wp-login\.php|xmlrpc\.php)\z|/wp-admin(?:/|\z)"
-MAX_THEME_PROBES = 2
-_SLUG = "[A-Za-z0-9._-]{1,80}"
-_LISTED = r"^[a-z0-9-]{1,100}\z"
+_SLUG = "[A-Za-z0-9._-]+"
+_LISTED = r"^[a-z0-9-]+\z"
 
 
 def is_asset_version(v: Column) -> Column:
@@ -31,7 +30,7 @@ def is_asset_version(v: Column) -> Column:
 def body_themes(signals: DataFrame) -> DataFrame:
     """(page_id, parent, child): theme slugs the body class names."""
     body = signals.where("kind = 'body'")
-    slug = lambda p: T.blank_to_null(F.regexp_extract("value", rf"(?:^|\s){p}-([A-Za-z0-9_-]{{1,80}})(?=\s|\z)", 1))
+    slug = lambda p: T.blank_to_null(F.regexp_extract("value", rf"(?:^|\s){p}-([A-Za-z0-9_-]+)(?=\s|\z)", 1))
     df = body.select("page_id", slug("wp-theme").alias("parent"), slug("wp-child-theme").alias("child"))
     return df.where(F.col("parent").isNotNull() | F.col("child").isNotNull())
 
@@ -75,20 +74,19 @@ def asset_paths(signals: DataFrame, urls: DataFrame) -> DataFrame:
     own = F.when(~library & ~F.coalesce(named, F.lit(False)), ver)
     folder = F.concat(F.lit("/"), "kind", F.lit("/"), "slug", F.lit("/"))
     base = F.when(F.col("origin").isNotNull(), F.left("matched", F.position(folder, F.col("matched")) + F.length(folder) - 1))
-    return rows.select("page_id", "kind", "slug", base.alias("base"), "file", own.alias("ver"), F.left("matched", F.lit(300)).alias("matched"), "ord")
+    return rows.select("page_id", "kind", "slug", base.alias("base"), "file", own.alias("ver"), "matched", "ord")
 
 
 def namespaces(probes: DataFrame) -> DataFrame:
     """(page_id, pos, ns): distinct REST namespaces, from JSON or from cut-off JSON."""
     listed = F.from_json("text", "struct<namespaces:array<string>>")["namespaces"]
-    block = F.regexp_extract("text", r'"namespaces"\s*:\s*\[([^\]]{0,20000})\]', 1)
+    block = F.regexp_extract("text", r'"namespaces"\s*:\s*\[([^\]]*)\]', 1)
     raw = F.transform(
-        F.regexp_extract_all(block, F.lit(r'"((?:[^"\\]|\\.){1,100})"'), F.lit(1)), lambda x: F.replace(x, F.lit("\\/"), F.lit("/"))
+        F.regexp_extract_all(block, F.lit(r'"((?:[^"\\]|\\.)+)"'), F.lit(1)), lambda x: F.replace(x, F.lit("\\/"), F.lit("/"))
     )
     strict = F.col("text").rlike(r"(?s)\}\s*\z")
     names = F.filter(F.when(strict, F.coalesce(listed, raw)).otherwise(raw), lambda x: F.coalesce(x != "", F.lit(False)))
-    names = F.array_distinct(F.transform(names, lambda x: F.left(x, F.lit(100))))
-    return probes.where("kind = 'rest' and text is not null").select("page_id", F.posexplode(names).alias("pos", "ns"))
+    return probes.where("kind = 'rest' and text is not null").select("page_id", F.posexplode(F.array_distinct(names)).alias("pos", "ns"))
 
 
 def namespace_plugins(ns: DataFrame, catalog=None) -> DataFrame:
@@ -108,9 +106,9 @@ def probe_core_versions(probes: DataFrame) -> DataFrame:
     return df.where("version <> ''").groupBy("page_id", "kind").agg(F.min("version").alias("version"))
 
 
-def theme_headers(probes: DataFrame) -> DataFrame:
+def theme_headers(probes: DataFrame, head_chars: int | None = None) -> DataFrame:
     """(page_id, slug, name, version, template) from a theme's style header."""
-    head = F.left("text", F.lit(8192))
+    head = F.col("text") if head_chars is None else F.left("text", F.lit(head_chars))
     field = lambda n: T.blank_to_null(T.clip(F.regexp_replace(F.regexp_extract(head, rf"(?mi)^[ \t/*#@]*{n}:(.*)$", 1), r"\*/.*", ""), 80))
     df = probes.where("kind = 'theme' and text is not null")
     return df.groupBy("page_id", "slug").agg(F.min("text").alias("text")).select(
@@ -196,7 +194,7 @@ def plugin_rows(assets: DataFrame, lists: DataFrame, core: DataFrame, catalog=No
         F.min("ord").alias("first"), F.min_by("slug", "ord").alias("slug"), F.first("tech").alias("tech"),
         F.array_sort(F.collect_set(F.struct("ord", "matched"))).alias("urls"),
     )
-    seen = seen.withColumn("urls", F.transform(F.slice("urls", 1, 2), lambda u: u["matched"]))
+    seen = seen.withColumn("urls", F.transform("urls", lambda u: u["matched"]))
     versions = plug.where(is_asset_version(F.col("ver"))).join(core, "page_id", "left").where(F.col("core").isNull() | (F.col("ver") != F.col("core")))
     mode = _mode(versions, ["page_id", "id"])
     of_plugins = lists.join(F.broadcast(meta.where("`group` = 'plugin'").select("tech")), "tech").select("page_id", F.col("tech").alias("id"), "ev")
@@ -236,9 +234,8 @@ def detect(signals: DataFrame, requests=None, headers=None, runtime=None, probes
     if probes is not None:
         spaces = staged(namespace_plugins(namespaces(probes), catalog))
         owned = spaces.where("tech is not null").groupBy("page_id", "tech").agg(F.array_sort(F.collect_list(F.struct("pos", "ns"))).alias("l"))
-        shown = F.array_join(F.transform(F.slice("l", 1, 4), lambda x: x["ns"]), ", ")
-        more = F.when(F.size("l") > 4, F.concat(F.lit(" and "), (F.size("l") - 4).cast("string"), F.lit(" more"))).otherwise("")
-        text = F.concat(F.when(F.size("l") > 1, "REST namespaces ").otherwise("REST namespace "), shown, more)
+        shown = F.array_join(F.transform("l", lambda x: x["ns"]), ", ")
+        text = F.concat(F.when(F.size("l") > 1, "REST namespaces ").otherwise("REST namespace "), shown)
         lines = lines.unionByName(line(owned, 20, F.col("tech"), text, none, C.RANK["ns"]))
         stated = probe_core_versions(probes)
         feed, opml = stated.where("kind = 'feed'"), stated.where("kind = 'opml'")
@@ -256,12 +253,10 @@ def detect(signals: DataFrame, requests=None, headers=None, runtime=None, probes
     core = stated_core.unionByName(guess.select("page_id", F.col("version").alias("core")))
     # Plugin folders of catalog entries are evidence lines too; the shop platform takes its version from them.
     known = assets.where("kind = 'plugins'").withColumn("dir_key", F.lower("slug")).join(F.broadcast(C.dir_table(spark, catalog)), "dir_key")
-    w = W.partitionBy("page_id", "slug").orderBy("ord")
-    two = known.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
     shop_ok = known.where("tech = 'woocommerce'").where(is_asset_version(F.col("ver"))).join(core, "page_id", "left")
     shop = _mode(shop_ok.where(F.col("core").isNull() | (F.col("ver") != F.col("core"))), ["page_id", "tech"])
-    two = two.join(shop, ["page_id", "tech"], "left")
-    lines = lines.unionByName(line(two, 24, F.col("tech"), F.concat(F.lit("plugin asset: "), T.short_url(F.col("matched"))), TE.valid_version(F.col("asset_version")), C.RANK["url"] + 1, seq=F.col("ord.seq")))
+    stamped = known.join(shop, ["page_id", "tech"], "left")
+    lines = lines.unionByName(line(stamped, 24, F.col("tech"), F.concat(F.lit("plugin asset: "), T.short_url(F.col("matched"))), TE.valid_version(F.col("asset_version")), C.RANK["url"] + 1, seq=F.col("ord.seq")))
     lists = staged(TE.evidence_lists(lines))
     found = assets.select("page_id").unionByName(slugs.select("page_id"))
     if spaces is not None:
@@ -283,10 +278,10 @@ def _usable(url: Column, origin: Column) -> Column:
     return F.coalesce((U.origin_of(url) == origin) & ~path.rlike(FORBIDDEN_PATH), F.lit(False))
 
 
-def probe_targets(pages: DataFrame, signals: DataFrame, cms_pages: DataFrame, themes: DataFrame, requests=None, headers=None) -> DataFrame:
+def probe_targets(pages: DataFrame, signals: DataFrame, cms_pages: DataFrame, themes: DataFrame, requests=None, headers=None, max_themes: int | None = None) -> DataFrame:
     """(page_id, kind, slug, url) a fetcher may read for a CMS page.
 
-    Same origin as the page, never a forbidden path, two themes at most.
+    Same origin as the page, never a forbidden path; ``max_themes`` limits the themes of a page.
     """
     page = pages.select("page_id", U.normalize(F.col("url")).alias("_page")).join(cms_pages, "page_id", "left_semi")
     page = page.withColumn("_origin", U.origin_of(F.col("_page"))).where(F.col("_origin").isNotNull())
@@ -313,8 +308,9 @@ def probe_targets(pages: DataFrame, signals: DataFrame, cms_pages: DataFrame, th
         F.struct(F.lit("opml").alias("kind"), F.concat("root", F.lit("wp-links-opml.php")).alias("url")),
     )).alias("t")).select("page_id", "t.kind", F.lit(None).cast("string").alias("slug"), "t.url").where(F.col("url").isNotNull())
     styles = near(themes.where("base is not null").select("page_id", "slug", "row_no", F.concat("base", F.lit("style.css")).alias("url")))
-    w = W.partitionBy("page_id").orderBy("row_no")
-    styles = styles.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MAX_THEME_PROBES)
+    if max_themes is not None:
+        w = W.partitionBy("page_id").orderBy("row_no")
+        styles = styles.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_themes)
     return targets.unionByName(styles.select("page_id", F.lit("theme").alias("kind"), "slug", "url"))
 
 

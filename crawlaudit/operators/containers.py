@@ -2,57 +2,50 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..catalog import patterns as P, trackers as C
+from ..functions import jsontext as J
+from ..functions.text import let
 
-MAX_CHARS = 4 * 1024 * 1024
 _MARK = "var data = "
 
 
-def _data(text: str | None) -> dict | None:
-    at = (text or "").find(_MARK)
-    start = text.find("{", at) if at >= 0 else -1
-    if start < 0:
-        return None
-    try:
-        return json.JSONDecoder().raw_decode(text, start)[0]
-    except ValueError:
-        return None
+def container_data(text: Column) -> Column:
+    """The container's data object as JSON, NULL when it cannot be read.
 
+    The object ends where the bracket that opens it closes: the tokens up to there are its text.
+    """
+    at = F.position(F.lit(_MARK), text)
+    tail = F.substring(text, F.position(F.lit("{"), F.substring(text, at, F.length(text))) + at - 1, F.length(text))
 
-@F.pandas_udf(StringType())
-def container_data(text: pd.Series) -> pd.Series:
-    """The container's data object as JSON, NULL when it cannot be read."""
-    found = text.map(_data)
-    return found.map(lambda d: None if d is None else json.dumps(d, ensure_ascii=False, separators=(",", ":")))
+    def first_object(ts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+        step = lambda acc, t: F.when(acc["done"], acc).otherwise(
+            let(acc["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0),
+                lambda d: F.struct(d.alias("depth"), (acc["n"] + 1).alias("n"), (d == 0).alias("done"))))
+        return let(F.aggregate(ts, start, step), lambda e: F.when(e["done"], F.array_join(F.slice(ts, 1, F.greatest(e["n"], F.lit(1))), "")))
 
+    found = F.when((at > 0) & tail.startswith("{"), let(J.tokens(tail), first_object))
+    return let(found, lambda j: F.when(J.is_valid(j), j))
 
-@F.pandas_udf(StringType())
-def resolve_constants(text: pd.Series) -> pd.Series:
-    """Inline references to constant variables by their quoted value."""
 
-    def one(t: str | None) -> str | None:
-        data = _data(t)
-        resource = data.get("resource") if isinstance(data, dict) else None
-        macros = resource.get("macros") if isinstance(resource, dict) else None
-        if not isinstance(macros, list):
-            return t
+def resolve_constants(text: Column) -> Column:
+    """Inline references to constant variables by their quoted value.
 
-        def value(m: re.Match) -> str:
-            n = int(m[1])
-            macro = macros[n] if n < len(macros) else None
-            constant = isinstance(macro, dict) and macro.get("function") == "__c" and isinstance(macro.get("vtp_value"), str)
-            return json.dumps(macro["vtp_value"], ensure_ascii=False) if constant else m[0]
+    The text is cut at its references; each is put back as the value of the constant, or as it was.
+    """
+    reference = r'\["macro",\s*(\d+)\]'
+    macros = F.from_json(F.get_json_object(container_data(text), "$.resource.macros"), "array<struct<function:string,vtp_value:string>>")
 
-        return re.sub(r'\["macro",\s*(\d+)\]', value, t)
+    def filled(m: Column) -> Column:
+        refs = F.regexp_extract_all(text, F.lit(reference), F.lit(0))
+        rest = F.split(text, reference)
+        value = lambda r: let(F.get(m["known"], F.regexp_extract(r, reference, 1).try_cast("int")), lambda x: F.when((x["function"] == "__c") & x["vtp_value"].isNotNull(), J.quoted(x["vtp_value"])))
+        puts = F.transform(refs, lambda r: F.coalesce(value(r), r))
+        return F.array_join(F.zip_with(rest, puts, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    return text.map(one)
+    return F.when(macros.isNull(), text).otherwise(let(F.struct(macros.alias("known")), filled))
 
 
 def valid_container_url(url):
@@ -64,13 +57,13 @@ def read_containers(containers: DataFrame) -> DataFrame:
     """Usable containers, one per id, constants resolved."""
     ok = containers.where(F.col("text").isNotNull() & valid_container_url(F.col("url")))
     one = ok.groupBy("container_id").agg(F.min_by("text", "url").alias("text"))
-    return one.select("container_id", resolve_constants(F.left("text", F.lit(MAX_CHARS))).alias("text"))
+    return one.select("container_id", resolve_constants(F.col("text")).alias("text"))
 
 
 def template_injects(texts: DataFrame, host: str) -> DataFrame:
     """(container_id, fn) of custom templates allowed to inject a script from ``host``."""
     pieces = texts.select("container_id", F.explode(F.split("text", r'(?="__cvt_[A-Za-z0-9_]+":\{)')).alias("piece"))
-    block = F.replace(F.left(F.regexp_extract("piece", r'(?s)^(.*?)(?:\n"__|\z)', 1), F.lit(8000)), F.lit("\\/"), F.lit("/"))
+    block = F.replace(F.regexp_extract("piece", r'(?s)^(.*?)(?:\n"__|\z)', 1), F.lit("\\/"), F.lit("/"))
     fn = F.regexp_extract("piece", r'^"(__cvt_[A-Za-z0-9_]+)":\{', 1)
     allowed = block.contains("inject_script") & block.rlike(host)
     return pieces.where((fn != "") & allowed).select("container_id", fn.alias("fn")).distinct()
@@ -109,10 +102,10 @@ def scan_containers(texts: DataFrame, catalog: list[dict] | None = None) -> Data
     )
 
 
-def container_targets(signals: DataFrame, requests: DataFrame | None, rows: DataFrame, per_page: int = 5) -> DataFrame:
+def container_targets(signals: DataFrame, requests: DataFrame | None, rows: DataFrame, per_page: int | None = None) -> DataFrame:
     """(page_id, id, url) of containers to fetch: exact loader addresses first.
 
-    ``per_page`` bounds the fetch list of one page, as the reference does.
+    ``per_page`` limits the fetch list of one page.
     """
     from .trackers import valid_id
 
@@ -128,6 +121,7 @@ def container_targets(signals: DataFrame, requests: DataFrame | None, rows: Data
         F.concat(F.lit("https://www.googletagmanager.com/gtm.js?id="), "id").alias("url"), "id",
     )
     best = exact.unionByName(default).groupBy("page_id", "id").agg(F.min(F.struct("prio", "seq", "url")).alias("b"))
-    w = W.partitionBy("page_id").orderBy("b.prio", "b.seq")
-    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_page)
-    return ranked.select("page_id", "id", F.col("b.url").alias("url"))
+    if per_page is not None:
+        w = W.partitionBy("page_id").orderBy("b.prio", "b.seq")
+        best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_page)
+    return best.select("page_id", "id", F.col("b.url").alias("url"))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, urls as U
-from .skew import lookup_join, small_side
+from .skew import lookup_join, staged
 
 ANCHOR_WORDS = 8
-PHRASE_WORDS = 32
 
 
 def pages_per_domain(pages: DataFrame) -> DataFrame:
@@ -37,63 +36,55 @@ def domain_mentions(texts: DataFrame, domains: DataFrame, own: str = "host") ->
     found = texts.select(F.col(own).alias("host"), F.explode(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("t"))
     found = found.select("host", F.regexp_replace(F.lower("t"), r"^www\.", "").alias("domain"))
     counts = found.where(F.col("domain") != F.coalesce("host", F.lit(""))).groupBy("host", "domain").agg(F.count("*").alias("mentions"))
-    return counts.join(domains.select("domain").distinct(), "domain", "left_semi").select("domain", "host", "mentions")
+    return lookup_join(counts, domains.select("domain").distinct(), ["domain"], "inner").select("domain", "host", "mentions")
+
+
+def _phrases(pages: DataFrame, text: Column) -> DataFrame:
+    return pages.select("page_id", T.exact_phrase(text, None).alias("phrase")).where(F.col("phrase") != "")
+
+
+def _repeated(phrases: DataFrame) -> DataFrame:
+    return phrases.groupBy("phrase").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).where("pages > 1")
 
 
 def phrase_copies(pages: DataFrame, text: Column) -> DataFrame:
-    """(phrase, pages, first_page): phrases more than one page carries (C4)."""
-    phrases = pages.select("page_id", T.exact_phrase(text).alias("phrase")).where(F.col("phrase") != "")
-    counts = phrases.groupBy("phrase").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
-    return counts.where("pages > 1")
+    """(phrase, pages, first_page): whole phrases that more than one page carries (C4)."""
+    return _repeated(_phrases(pages, text))
 
 
 def phrase_copy_members(pages: DataFrame, text: Column) -> DataFrame:
     """(page_id, phrase, pages, first_page): each page whose phrase is repeated (C4).
 
-    One row per page, never a pair: a phrase on a third of the crawl stays linear, and
-    the join back to its count is salted.
+    Phrases are extracted once and stored. One row per page, never a pair: a phrase on a third of the crawl stays
+    linear, and the join back to its count is salted.
     """
-    phrases = pages.select("page_id", T.exact_phrase(text).alias("phrase")).where(F.col("phrase") != "")
-    return lookup_join(phrases, phrase_copies(pages, text), ["phrase"], "inner").select("page_id", "phrase", "pages", "first_page")
+    phrases = staged(_phrases(pages, text))
+    return lookup_join(phrases, _repeated(phrases), ["phrase"], "inner").select("page_id", "phrase", "pages", "first_page")
 
 
 def passage_copies(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(phrase, doc_id): documents that hold the exact phrase of a passage.
+    """(phrase, doc_id): documents that hold the exact, whole phrase of a passage.
 
-    The first words of a phrase are its anchor. A document yields one short window per
-    word (its anchor hash and as many words as a phrase may have), so the work is linear
-    in its length; a window that meets an anchor is then checked word for word. Equal
-    passages count once.
+    The first words of a phrase are its anchor: ANCHOR_WORDS of them, or one if the phrase is shorter. A document yields
+    one row per word and kind, of a hash, its id and the place; only those that meet an anchor fetch the document's words
+    and are compared with the phrase. Equal passages count once.
     """
-    phrases = passages.select(T.exact_phrase(F.col("text")).alias("phrase")).where(F.col("phrase") != "").distinct()
+    phrases = passages.select(T.exact_phrase(F.col("text"), None).alias("phrase")).where(F.col("phrase") != "").distinct()
     words = F.split("phrase", " ")
-    phrases = phrases.withColumn("k", F.least(F.size(words), F.lit(ANCHOR_WORDS)))
-    phrases = phrases.withColumn("anchor", F.xxhash64(F.array_join(F.slice(words, F.lit(1), F.col("k")), " ")))
-    phrases = small_side(phrases)
-    lengths = [r["k"] for r in phrases.select("k").distinct().collect()]  # at most ANCHOR_WORDS values
-    # All words, quotes stripped like in a phrase, no cap.
+    k = F.when(F.size(words) >= ANCHOR_WORDS, ANCHOR_WORDS).otherwise(1)
+    phrases = phrases.select("phrase", F.size(words).alias("size"), F.xxhash64(F.array_join(F.slice(words, F.lit(1), k), " "), k).alias("anchor"))
     body = T.clean(F.regexp_replace("text", "[\"“”„«»]", " "))
     docs = documents.select("doc_id", F.split(body, " ").alias("w"))
-    found = None
-    for k in lengths:
-        windows = F.transform(
-            F.sequence(F.lit(1), F.size("w")),
-            lambda i: F.struct(
-                F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(k)), " ")).alias("anchor"),
-                F.concat(F.array_join(F.slice(F.col("w"), i, F.lit(PHRASE_WORDS)), " "), F.lit(" ")).alias("window"),
-            ),
-        )
-        runs = docs.select("doc_id", F.explode_outer(windows).alias("g")).select("doc_id", F.lit(k).alias("k"), "g.anchor", "g.window")
-        hit = runs.join(phrases, ["k", "anchor"]).where(F.startswith(F.col("window"), F.concat("phrase", F.lit(" "))))
-        hit = hit.select("phrase", "doc_id")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return documents.select(F.lit(None).cast("string").alias("phrase"), "doc_id").limit(0)
-    return found.distinct()
+    hashed = lambda i, n: F.struct(F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "), F.lit(n)).alias("anchor"), i.alias("place"))
+    places = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array(hashed(i, ANCHOR_WORDS), hashed(i, 1)))
+    met = docs.select("doc_id", F.explode(F.flatten(places)).alias("g")).select("doc_id", "g.*").join(phrases, "anchor")
+    met = met.select(F.col("doc_id").alias("in"), "place", "size", "phrase")
+    found = docs.join(met, F.col("doc_id") == F.col("in")).where(F.array_join(F.slice("w", F.col("place"), F.col("size")), " ") == F.col("phrase"))
+    return found.select("phrase", "doc_id").distinct()
 
 
 def passage_copy_counts(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(item_id, copies): documents that hold each passage, zero included."""
     counts = passage_copies(passages, documents).groupBy("phrase").agg(F.count("*").alias("n"))
-    items = passages.select("item_id", T.exact_phrase(F.col("text")).alias("phrase"))
+    items = passages.select("item_id", T.exact_phrase(F.col("text"), None).alias("phrase"))
     return lookup_join(items, counts, ["phrase"]).select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("copies"))

@@ -22,9 +22,8 @@ COLLECTOR_LIMITS = {
     "noscript": 100, "noscript_chars": 20_000, "iframes": 200, "url_chars": 2000,
     "microdata_roots": 200, "rdfa": 200, "generators": 20, "asset_links": 500, "feeds": 5, "rest_links": 3,
     "comments_first": 250, "comments_last": 50, "body_class": 3000, "attribute_elements": 3000,
+    "comment_chars": 400, "attr_chars": 400, "attrs_chars": 1500, "generator_chars": 300, "feed_title_chars": 120, "marker_chars": 60,
 }
-# Always kept: what one comment, one attribute and one attribute list contribute.
-COMMENT_CHARS, ATTR_CHARS, ATTRS_CHARS = 400, 400, 1500
 
 _OG_FAMILY = r"(?i)^(?:og|article|fb|book|profile|product|music|video):"
 _WORD = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
@@ -298,8 +297,8 @@ def _builders(cap) -> dict:
     def script_tags():
         def attr_text(attrs: Column) -> Column:
             pairs = F.filter(F.map_entries(attrs), lambda x: x["key"] != "src")
-            shown = lambda x: F.concat(F.lit(" "), x["key"], F.lit('="'), F.left(x["value"], F.lit(ATTR_CHARS)), F.lit('"'))
-            return F.left(F.array_join(F.transform(pairs, shown), ""), F.lit(ATTRS_CHARS))
+            shown = lambda x: F.concat(F.lit(" "), x["key"], F.lit('="'), _left(x["value"], cap("attr_chars")), F.lit('"'))
+            return _left(F.array_join(F.transform(pairs, shown), ""), cap("attrs_chars"))
 
         found = F.transform(
             F.filter(scripts, lambda e: e["attrs"]["src"].isNotNull()),
@@ -318,7 +317,7 @@ def _builders(cap) -> dict:
     def comments():
         found = F.transform(
             F.filter(raw, lambda r: r.startswith("<!--")),
-            lambda r: F.left(T.strip(F.regexp_replace(r, r"(?s)^<!--|-->\z", "")), F.lit(COMMENT_CHARS)),
+            lambda r: _left(T.strip(F.regexp_replace(r, r"(?s)^<!--|-->\z", "")), cap("comment_chars")),
         )
         found = F.filter(found, lambda c: c != "")
         if cap("comments_first") is None:
@@ -355,7 +354,7 @@ def _builders(cap) -> dict:
 
     def generators():
         found = _cap(F.filter(metas, lambda m: F.lower(m["attrs"]["name"]) == "generator"), cap("generators"))
-        texts = F.transform(found, lambda m: F.trim(F.left(F.coalesce(m["attrs"]["content"], F.lit("")), F.lit(300))))
+        texts = F.transform(found, lambda m: F.trim(_left(F.coalesce(m["attrs"]["content"], F.lit("")), cap("generator_chars"))))
         return F.filter(texts, lambda g: g != "")
 
     def asset_links():
@@ -366,7 +365,7 @@ def _builders(cap) -> dict:
             rel_of(l).rlike(r"(?:^|\s)alternate(?:\s|\z)") & ~rel_of(l).rlike(_ASSET_REL)
             & F.coalesce(l["attrs"]["type"], F.lit("")).rlike(r"(?i)(?:rss|atom)\+xml")
         )
-        title = lambda l: F.left(F.coalesce(l["attrs"]["title"], F.lit("")), F.lit(120))
+        title = lambda l: _left(F.coalesce(l["attrs"]["title"], F.lit("")), cap("feed_title_chars"))
         found = _cap(F.filter(with_href(), is_feed), cap("feeds"))
         return F.transform(found, lambda l: F.struct(url_of(l).alias("href"), title(l).alias("title")))
 
@@ -387,11 +386,11 @@ def _builders(cap) -> dict:
         "hreflang": hreflang, "og": og, "twitter": twitter, "scripts": script_tags, "inline": inline,
         "noscript": noscript, "iframes": iframes, "generators": generators, "asset_links": asset_links,
         "feeds": feeds, "rest_links": rest_links, "comments": comments, "body_class": body_class,
-        "dom": lambda: _dom_markers(cap("attribute_elements")), "base": lambda: F.col("_base"),
+        "dom": lambda: _dom_markers(cap("attribute_elements"), cap("marker_chars")), "base": lambda: F.col("_base"),
     }
 
 
-def _dom_markers(limit: int | None) -> Column:
+def _dom_markers(limit: int | None, chars: int | None) -> Column:
     """Framework markers in the markup, as (key, value) rows ('true' for flags)."""
     doc = F.col("_doc")
     tags, some = H.start_tags(doc), _cap(H.start_tags(doc), limit)
@@ -406,8 +405,8 @@ def _dom_markers(limit: int | None) -> Column:
     html_attrs = F.get(_tagged("html"), F.lit(0))["attrs"]
     # Marker keys and what they stand for.
     markers = {
-        "ngVersion": F.when(doc.rlike(ng), F.left(F.regexp_extract(_first(tags, lambda t: t.rlike(ng)), ng, 1), F.lit(60))),
-        "wfSite": F.left(T.blank_to_null(html_attrs["data-wf-site"]), F.lit(60)),
+        "ngVersion": F.when(doc.rlike(ng), _left(F.regexp_extract(_first(tags, lambda t: t.rlike(ng)), ng, 1), chars)),
+        "wfSite": _left(T.blank_to_null(html_attrs["data-wf-site"]), chars),
         "nuxtRoot": has_id("__nuxt"),
         "nuxtData": has_id("__NUXT_DATA__"),
         "nextData": has_id("__NEXT_DATA__"),

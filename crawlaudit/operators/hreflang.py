@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import directives as D, text as T, urls as U
+from .extract import page_records
 from .page import hreflang_issues
+from ..sources.tables import newest
 from .skew import lookup_join
 
 
@@ -21,7 +23,7 @@ def page_alternates(records: DataFrame, responses: DataFrame | None = None) -> D
     df = records.select("page_id", "url", U.strip_hash(F.col("url")).alias("page_key"), html.alias("_html"))
     if responses is None:
         return df.withColumnRenamed("_html", "entries")
-    links = responses.where("error is null").select(F.col("url"), D.parse_link_header(header(F.col("headers"), "link")).alias("_links"))
+    links = newest(responses.where("error is null").select("url", "headers"), "url").select(F.col("url"), D.parse_link_header(header(F.col("headers"), "link")).alias("_links"))
     base = F.col("_page")
     head = F.transform(
         F.filter(F.col("_links"), lambda l: F.coalesce(l["hreflang"], F.lit("")) != ""),
@@ -46,14 +48,24 @@ def hreflang_entries(alternates: DataFrame) -> DataFrame:
     return df.select("page_id", "url", "page_key", "idx", "e.lang", "e.href", "e.raw", "e.source")
 
 
-def check_alternates(entries: DataFrame, responses: DataFrame, target_records: DataFrame) -> DataFrame:
+def fetched_records(responses: DataFrame, records: DataFrame) -> DataFrame:
+    """Records of answered pages outside the crawl, read from ``responses.body`` (H2)."""
+    final = F.coalesce(T.blank_to_null(F.col("final_url")), F.col("url"))
+    bodies = newest(responses.where("body is not null and error is null").select(final.alias("url"), F.col("body").alias("html")), "url")
+    crawled = records.select("url").distinct()
+    bodies = bodies.join(crawled, "url", "left_anti")
+    return page_records(bodies.select(F.lit(None).cast("bigint").alias("page_id"), "url", "html"), "head", "hreflang")
+
+
+def check_alternates(entries: DataFrame, responses: DataFrame, target_records: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Status, redirect, final URL, return link and canonical of every alternate (H2).
 
     The return link is one equi join on the pair (target page, this page), unique
     by construction, so a page everybody points to does not pile up. It is NULL when
-    the answer is not HTML and names no alternates in its header.
+    the answer is not HTML and names no alternates in its header, and when nobody has
+    read the target: neither the crawl nor ``responses.body``.
     """
-    r = responses.select(
+    r = newest(responses, "url").select(
         F.col("url").alias("href_key"), "status", "redirected", F.col("final_url"), "error",
         header(F.col("headers"), "content-type").alias("content_type"),
         D.parse_link_header(header(F.col("headers"), "link")).alias("_links"),
@@ -64,19 +76,19 @@ def check_alternates(entries: DataFrame, responses: DataFrame, target_records: D
     r = r.select("href_key", "status", "redirected", "final_url", "error", "content_type", has_header.alias("_has_header"), target.alias("_target"))
     canon = target_records.select(
         U.strip_hash(F.col("url")).alias("_target"), F.get(F.col("head.canonicals"), F.lit(0))["href"].alias("target_canonical")
-    ).groupBy("_target").agg(F.min("target_canonical").alias("target_canonical"))
-    r = r.join(canon, "_target", "left")
+    ).groupBy("_target").agg(F.min("target_canonical").alias("target_canonical")).withColumn("_parsed", F.lit(True))
+    r = lookup_join(r, canon, ["_target"])
     own = entries.withColumn("href_key", U.strip_hash_text(F.col("href")))
     df = lookup_join(own, r, ["href_key"])
     df = df.withColumns({"_target": F.coalesce("_target", "href_key"), "_self": F.col("page_key")})
     # Pairs (page that links, page linked to) of the whole crawl, and whether a header says so.
-    pairs = entries.select(
+    pairs = (entries if others is None else entries.unionByName(others)).select(
         F.col("page_key").alias("_target"), U.strip_hash_text(F.col("href")).alias("_self"), (F.col("source") == "header").alias("_h")
     ).groupBy("_target", "_self").agg(F.bool_or("_h").alias("_back_header"))
     df = df.join(pairs.withColumn("_back", F.lit(True)), ["_target", "_self"], "left")
     readable = F.col("status").between(200, 299) & F.coalesce(F.col("content_type"), F.lit("")).rlike("(?i)html")
     # An answer that is not HTML links back through its header alone.
-    back = F.when(readable, F.coalesce("_back", F.lit(False))).when(F.col("_has_header"), F.coalesce("_back_header", F.lit(False)))
+    back = F.when(readable & (F.col("_back").isNotNull() | F.col("_parsed")), F.coalesce("_back", F.lit(False))).when(F.col("_has_header"), F.coalesce("_back_header", F.lit(False)))
     return df.select(
         "page_id", "url", "page_key", "idx", "lang", "href", "raw", "source", "status", "redirected", "final_url", "error",
         F.when(F.col("status").isNotNull(), back).alias("return_link"),
@@ -84,6 +96,14 @@ def check_alternates(entries: DataFrame, responses: DataFrame, target_records: D
     )
 
 
+def checked_alternates(records: DataFrame, responses: DataFrame) -> DataFrame:
+    """Every alternate of the crawl with its check; targets outside the crawl are read from their answers (H2)."""
+    fetched = fetched_records(responses, records)
+    others = hreflang_entries(page_alternates(fetched, responses))
+    known = records.select("url", "head").unionByName(fetched.select("url", "head"))
+    return check_alternates(hreflang_entries(page_alternates(records, responses)), responses, known, others)
+
+
 def status_label(df: DataFrame) -> DataFrame:
     """Add status_label, status_class and link_label to checked alternates (H3)."""
     status = F.col("status").cast("string")
@@ -100,6 +120,6 @@ def status_label(df: DataFrame) -> DataFrame:
 def hreflang_report(records: DataFrame, responses: DataFrame) -> DataFrame:
     """Every alternate with its check, label and the issues of its page's set (H4)."""
     alternates = page_alternates(records, responses)
-    checked = status_label(check_alternates(hreflang_entries(alternates), responses, records))
+    checked = status_label(checked_alternates(records, responses))
     issues = alternates.select("page_id", hreflang_issues(F.col("entries"), F.col("url")).alias("issues"))
     return checked.join(issues, "page_id", "left")

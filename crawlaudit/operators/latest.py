@@ -8,9 +8,7 @@ from ..functions import versions as V
 from .skew import lookup_join
 
 TTL_HOURS = 12
-MAX_PLUGIN_LOOKUPS = 10
-MAX_THEME_LOOKUPS = 2
-_LISTED = r"^[a-z0-9-]{1,100}\z"
+_LISTED = r"^[a-z0-9-]+\z"
 _ANSWER = "struct<version:string,name:string,error:string,offers:array<struct<version:string>>>"
 _NO_STATUS = "struct<status:string,latest:string,branch:string>"
 
@@ -26,7 +24,7 @@ def read_answers(raw: DataFrame) -> DataFrame:
         F.col("error").isNull() & is_json & ~core & F.col("_j.error").isNotNull()
     )
     unlisted = F.coalesce(unlisted, F.lit(False))
-    has_version = F.col("_j.version").isNotNull() & (F.length("_j.version") <= 40)
+    has_version = F.col("_j.version").isNotNull()
     error = (
         F.when(unlisted, None).when(F.col("error").isNotNull(), F.col("error"))
         .when(~F.coalesce(is_json, F.lit(False)), F.when(F.coalesce("capped", F.lit(False)), "Answer too large").otherwise("Not JSON"))
@@ -36,7 +34,7 @@ def read_answers(raw: DataFrame) -> DataFrame:
     ok = F.col("_err").isNull() & ~F.col("_unlisted")
     return df.select(
         "key", "kind", "name", F.when(ok & ~core, F.col("_j.version")).alias("version"), F.when(ok & core, F.col("_offers")).alias("offers"),
-        F.col("_unlisted").alias("unlisted"), F.when(ok & (F.col("kind") == "wp-theme"), F.left("_j.name", F.lit(100))).alias("theme_name"),
+        F.col("_unlisted").alias("unlisted"), F.when(ok & (F.col("kind") == "wp-theme"), F.col("_j.name")).alias("theme_name"),
         F.col("_err").alias("error"), "fetched_at",
     )
 
@@ -51,25 +49,28 @@ def split_cache(targets: DataFrame, cache: DataFrame, now: Column) -> tuple[Data
 def latest_answers(answers: DataFrame) -> DataFrame:
     """Newest usable answer per key; also the upsert of a cache."""
     cols = [c for c in answers.columns if c != "key"]
-    best = answers.where(F.col("error").isNull()).groupBy("key").agg(F.max_by(F.struct(*cols), "fetched_at").alias("a"))
+    latest = F.max(F.struct("fetched_at", F.struct(*cols).alias("a"))).alias("m")  # ties by the answer itself
+    best = answers.where(F.col("error").isNull()).groupBy("key").agg(latest).select("key", F.col("m.a").alias("a"))
     return best.select("key", *[F.col(f"a.{c}").alias(c) for c in cols])
 
 
-def lookup_targets(tech: DataFrame, plugins: DataFrame, themes: DataFrame) -> DataFrame:
+def lookup_targets(tech: DataFrame, plugins: DataFrame, themes: DataFrame, max_plugins: int | None = None, max_themes: int | None = None) -> DataFrame:
     """(page_id, key, kind, name): core, plugins, themes and exact framework versions.
 
-    At most ten plugins and two themes per page; keys are distinct per page.
+    Keys are distinct per page; ``max_plugins`` and ``max_themes`` limit the first rows of a page that are looked up.
     """
     row = lambda df, kind, name, key: df.select("page_id", key.alias("key"), F.lit(kind).alias("kind"), name.cast("string").alias("name"))
     nothing = F.lit(None)
     core = row(tech.where("tech = 'wordpress' and version is not null"), "wp-core", nothing, F.lit("wp-core"))
     npm = row(tech.where(F.col("npm").isNotNull() & V.is_exact(F.col("version"))), "npm", F.col("npm"), F.concat(F.lit("npm:"), "npm"))
     listed = plugins.where(F.col("wporg").rlike(_LISTED))
-    w = W.partitionBy("page_id").orderBy("row_no")
-    ten = listed.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MAX_PLUGIN_LOOKUPS)
-    two = themes.where((F.col("row_no") <= MAX_THEME_LOOKUPS) & F.col("wporg").rlike(_LISTED))
-    plug = row(ten, "wp-plugin", F.col("wporg"), F.concat(F.lit("wp-plugin:"), "wporg"))
-    theme = row(two, "wp-theme", F.col("wporg"), F.concat(F.lit("wp-theme:"), "wporg"))
+    if max_plugins is not None:
+        w = W.partitionBy("page_id").orderBy("row_no")
+        listed = listed.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_plugins)
+    own = themes.where(F.col("wporg").rlike(_LISTED))
+    own = own if max_themes is None else own.where(F.col("row_no") <= max_themes)
+    plug = row(listed, "wp-plugin", F.col("wporg"), F.concat(F.lit("wp-plugin:"), "wporg"))
+    theme = row(own, "wp-theme", F.col("wporg"), F.concat(F.lit("wp-theme:"), "wporg"))
     return core.unionByName(npm).unionByName(plug).unionByName(theme).distinct()
 
 

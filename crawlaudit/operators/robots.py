@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, urls as U
+from ..sources.tables import newest
 from .skew import lookup_join
 
 DEFAULT_AGENT = "googlebot"
@@ -114,6 +115,7 @@ def check_urls(pages: DataFrame, files: DataFrame, agents: list[str] = (DEFAULT_
     allowed. A status of 500 or more blocks, any other failure status allows, and
     a missing file or a network error leaves ``allowed`` NULL (unknown).
     """
+    files = newest(files, "origin")
     urls = pages.select("page_id", "url", U.origin_of(F.col("url")).alias("origin"))
     rules = agent_rules(robots_rules(files.where(_ok())), agents)
     # One row per origin with an agent -> rules list keeps the page side unmultiplied until the very end.

@@ -2,148 +2,93 @@
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H, urls as U
-
-MAX_QUESTION, MAX_ANSWER = 300, 600
+from ..functions.text import clean, let
 
 # How the box is titled.
-BOX_TITLES = re.compile(
-    "^(?:people also ask|autres questions posées|d'autres questions|les internautes ont aussi demandé|"
+BOX_TITLES = (
+    "^(?i)(?:people also ask|autres questions posées|d'autres questions|les internautes ont aussi demandé|"
     "las personas también preguntan|más preguntas|andere fragen|ähnliche fragen|altre domande|outras perguntas|"
-    "as pessoas também perguntam|mensen vragen ook)", re.IGNORECASE)
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "texts")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.kids, self.texts = tag, attrs, parent, [], []
-
-    def walk(self):
-        todo = list(reversed(self.kids))
-        while todo:
-            n = todo.pop()
-            yield n
-            todo.extend(reversed(n.kids))
-
-    def text(self):
-        parts, todo = [], [self]
-        while todo:
-            n = todo.pop()
-            if isinstance(n, str):
-                parts.append(n)
-            else:
-                todo.extend(reversed(n.texts))
-        return " ".join("".join(parts).split())
-
-    def closest(self, test):
-        n = self
-        while n is not None and not test(n):
-            n = n.parent
-        return n
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.kids.append(node)
-        self.at.texts.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        n = self.at.closest(lambda x: x.tag == tag)
-        if n is not None and n.parent is not None:
-            self.at = n.parent
-
-    def handle_data(self, data):
-        self.at.texts.append(data)
-
-
-def _candidates(root: _Node):
-    """(signal, question, node) from the four signals, in order."""
-    nodes = list(root.walk())
-    expander = lambda n: next((k for k in n.walk() if "aria-expanded" in k.attrs), n)
-    for signal, name in ((1, "data-q"), (2, "data-initq")):
-        for n in nodes:
-            if name in n.attrs:
-                yield signal, n.attrs[name], expander(n)
-    for n in nodes:
-        if "related-question-pair" in n.attrs.get("class", "").split():
-            button = next((k for k in n.walk() if "aria-expanded" in k.attrs or k.attrs.get("role") == "button"), None)
-            yield 3, button.text() if button else "", button or n
-    for n in nodes:
-        title = n.tag in ("h2", "h3", "span", "div") or n.attrs.get("role") == "heading"
-        if not (title and len(n.kids) <= 2 and BOX_TITLES.match(n.text())):
-            continue
-        box = n
-        for _ in range(8):
-            if box is None or sum("aria-expanded" in k.attrs for k in box.walk()) >= 2:
-                break
-            box = box.parent
-        for k in box.walk() if box is not None else ():
-            if "aria-expanded" in k.attrs and not BOX_TITLES.match(k.text()):
-                yield 4, k.text(), k
-
-
-def _answer(node: _Node, root: _Node) -> tuple[str, str, str]:
-    region_id = node.attrs.get("aria-controls")
-    region = next((n for n in root.walk() if n.attrs.get("id") == region_id), None) if region_id else None
-    pair = node.closest(lambda n: "data-q" in n.attrs or "data-initq" in n.attrs or "related-question-pair" in n.attrs.get("class", "").split())
-    scope = region or pair
-    if scope is None or node.attrs.get("aria-expanded") == "false":
-        return "", "", ""
-    host = lambda u: re.sub(r"^https?://([^/?#:]*).*", r"\1", u, flags=re.I | re.S)
-    link = next((n for n in scope.walk() if n.tag == "a" and n.attrs.get("href", "").startswith("http")
-                 and not re.search(r"(?:^|\.)google\.", host(n.attrs["href"]), re.I)), None)
-    title = next((k for k in link.walk() if k.tag == "h3"), link).text() if link else ""
-    text = scope.text() if region else " ".join(pair.text().replace(node.text(), "", 1).replace(title, "", 1).split())
-    return text[:MAX_ANSWER], link.attrs["href"] if link else "", title
-
-
-def _questions(html: str) -> list[tuple]:
-    t = _Tree()
-    t.feed(html)
-    t.close()
-    out = []
-    for pos, (signal, q, node) in enumerate(_candidates(t.root)):
-        question = " ".join(q.split())
-        if question and len(question) <= MAX_QUESTION:
-            out.append((signal, pos, question, *_answer(node, t.root)))
-    return out
-
-
-_SCHEMA = "page_id long, signal int, pos int, question string, answer string, source string, source_title string"
+    "as pessoas também perguntam|mensen vragen ook)")
+_EMPTY = "struct<answer:string,source:string,title:string>"
+# A tag that opens something: its name, its attributes, what stands before the same name closes.
+_TOGGLE = r"(?is)<([a-z][a-z0-9-]*)(?=[^>]*\s(?:aria-expanded|role\s*=\s*[\"']?button)(?=[\s=\"'>]))[^>]*>.*?</\1\s*>"
+_HEADING = r"(?is)<(h[1-6])(?=[\s>])[^>]*>.*?</\1\s*>"
+
+
+def _element(piece: Column) -> Column:
+    """The element that ``piece`` begins with: up to where as many of its tags close as open."""
+    name = F.regexp_extract(piece, r"^<([A-Za-z][A-Za-z0-9-]*)", 1)
+
+    def balanced(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+        step = lambda acc, p: F.when(acc["done"], acc).otherwise(let(
+            acc["depth"] + F.when(p.startswith("</"), -1).when(p.startswith("<"), 1).otherwise(0),
+            lambda d: F.struct(d.alias("depth"), (acc["n"] + 1).alias("n"), ((d == 0) & p.startswith("</")).alias("done"))))
+        return let(F.aggregate(parts, start, step), lambda end: F.array_join(F.slice(parts, 1, F.when(end["done"], end["n"] - 1).otherwise(end["n"])), ""))
+
+    return let(F.split(piece, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))), balanced)
+
+
+def _blocks(doc: Column, having: str) -> Column:
+    """Elements whose start tag matches, whole, in document order."""
+    pieces = F.split(doc, rf"(?is)(?=<[a-z][^<>]*{having}[^<>]*>)")
+    return F.transform(F.filter(pieces, lambda p: p.rlike(rf"(?is)^<[a-z][^<>]*{having}")), _element)
+
+
+def _answer(block: Column, toggle: Column, closed: Column) -> Column:
+    """What an open question's block says besides the question, and the first address outside the search engine."""
+    outside = r"(?is)<a(?=\s)[^>]*\shref\s*=\s*[\"']?https?://(?![^/\"'>]*(?<![a-z0-9-])google\.)[^>]*>.*?</a\s*>"
+    link = F.regexp_extract(block, outside, 0)
+    heading = H.text_of(F.regexp_extract(link, r"(?is)<h3[^>]*>.*?</h3\s*>", 0))
+    title = F.when(heading != "", heading).otherwise(H.text_of(link))
+    text = F.replace(F.replace(block, toggle, F.lit(" ")), F.when(link.contains("<h3"), F.regexp_extract(link, r"(?is)<h3[^>]*>.*?</h3\s*>", 0)).otherwise(link), F.lit(" "))
+    said = F.struct(H.text_of(text).alias("answer"), F.coalesce(H.attr(F.regexp_extract(link, "(?s)^<[^>]*>", 0), "href"), F.lit("")).alias("source"), title.alias("title"))
+    return F.when(~closed & (toggle != ""), said).otherwise(F.struct(*[F.lit("").alias(n) for n in ("answer", "source", "title")]).cast(_EMPTY))
+
+
+def _row(signal: int, question: Column, answer: Column) -> Column:
+    return F.struct(F.lit(signal).alias("signal"), clean(question).alias("question"), answer.alias("said"))
+
+
+def _asked(signal: int, block: Column, attribute: str | None) -> Column:
+    toggle = F.regexp_extract(block, _TOGGLE, 0)
+    closed = toggle.rlike(r"(?is)^<[^>]*\saria-expanded\s*=\s*[\"']?false")
+    question = H.text_of(toggle) if attribute is None else H.attr(F.regexp_extract(block, "(?s)^<[^>]*>", 0), attribute)
+    return _row(signal, F.coalesce(question, F.lit("")), _answer(block, toggle, closed))
+
+
+def _titled(doc: Column) -> Column:
+    """Toggles between a box title and the next heading."""
+    parts = F.split(doc, rf"(?i)(?=<h[1-6][\s>])")
+    boxes = F.filter(parts, lambda p: H.text_of(F.regexp_extract(p, _HEADING, 0)).rlike(BOX_TITLES))
+    toggles = F.flatten(F.transform(boxes, lambda p: F.regexp_extract_all(p, F.lit(_TOGGLE), F.lit(0))))
+    blank = F.struct(*[F.lit("").alias(n) for n in ("answer", "source", "title")]).cast(_EMPTY)
+    return F.transform(F.filter(toggles, lambda t: t.rlike(r"(?is)^<[^>]*\saria-expanded")), lambda t: _row(4, H.text_of(t), blank))
 
 
 def people_also_ask(pages: DataFrame) -> DataFrame:
     """(page_id, idx, question, answer, source, source_title); the first spelling of a question wins.
 
-    Only result pages (E17) reach Python; duplicates go by a window over one page.
+    Questions stand in attributes, in the toggles of question blocks, and in toggles below a box title, in this order.
+    All of it happens inside the page's row.
     """
-    serps = pages.where(U.is_serp(F.col("url"))).select("page_id", H.masked(F.col("html")).alias("html"))
-
-    def rows(batches):
-        for pdf in batches:
-            found = [(pid, *q) for pid, html in zip(pdf["page_id"], pdf["html"]) for q in _questions(html or "")]
-            yield pd.DataFrame(found, columns=["page_id", "signal", "pos", "question", "answer", "source", "source_title"])
-
-    found = serps.mapInPandas(rows, _SCHEMA)
-    w = W.partitionBy("page_id", F.lower("question")).orderBy("signal", "pos")
-    first = found.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    page = W.partitionBy("page_id").orderBy("signal", "pos")
-    return first.select(
-        "page_id", (F.row_number().over(page) - 1).alias("idx"), "question", "answer",
-        F.when(F.col("source") != "", U.normalize(F.col("source"))).otherwise("").alias("source"), "source_title",
+    doc = F.col("doc")
+    found = F.concat(
+        F.transform(_blocks(doc, r"\sdata-q\s*="), lambda b: _asked(1, b, "data-q")),
+        F.transform(_blocks(doc, r"\sdata-initq\s*="), lambda b: _asked(2, b, "data-initq")),
+        F.transform(_blocks(doc, r"\sclass\s*=\s*[\"']?[^\"'>]*related-question-pair"), lambda b: _asked(3, b, None)),
+        _titled(doc),
+    )
+    serps = pages.where(U.is_serp(F.col("url"))).select("page_id", H.masked(F.col("html")).alias("doc"))
+    listed = serps.select("page_id", F.filter(found, lambda q: q["question"] != "").alias("found"))
+    names = F.transform("found", lambda q: F.lower(q["question"]))
+    firsts = F.filter("found", lambda q, i: F.array_position(names, F.lower(q["question"])) == (i + 1).cast("long"))
+    rows = listed.select("page_id", F.posexplode(firsts).alias("idx", "q"))
+    source = F.col("q.said.source")
+    return rows.select(
+        "page_id", "idx", "q.question", F.col("q.said.answer").alias("answer"),
+        F.when(source != "", U.normalize(source)).otherwise("").alias("source"), F.col("q.said.title").alias("source_title"),
     )

@@ -1,4 +1,4 @@
-"""Joins and counts that stay balanced when one key holds a third of the rows."""
+"""Joins that stay balanced when one key, or none, holds a third of the rows, and stored intermediate tables."""
 
 from __future__ import annotations
 
@@ -7,26 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A key is hot from this many left rows on; its rows are spread over SALTS buckets.
-HOT_ROWS = 1_000_000
+# A key is hot from this share of all left rows on, so at most 1 / HOT_SHARE keys are; their rows go to SALTS buckets.
+HOT_SHARE = 1 / 256
 SALTS = 64
-# Largest side ever broadcast on purpose, in rows and in estimated bytes.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", hot_rows: int = HOT_ROWS,
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", hot_share: float = HOT_SHARE,
                 salts: int = SALTS) -> DataFrame:
-    """Join a fact side to a side that is unique per key, hot keys salted.
+    """Join a fact side to a side that is unique per key, hot and NULL keys salted.
 
-    Key counts come from a map-side-combined aggregate over the key columns alone, so
-    at most rows / hot_rows keys are hot and broadcasting that list is bounded. The
-    right row of a hot key is repeated once per salt; every other row once.
+    Key counts come from a map-side-combined aggregate over the key columns alone. The list of hot keys is bounded by
+    its definition, whatever the rows, and is broadcast. The right row of a hot key is repeated once per salt; every
+    other row once. A NULL key meets nothing, so its rows are only spread.
     """
-    hot = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows).drop("_n")
-    hot = hot.withColumn("_hot", F.lit(True))
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all")).scalar()
+    hot = counts.where(F.col("_n") >= total * F.lit(hot_share)).where(" and ".join(f"{k} is not null" for k in keys))
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
     row_hash = F.pmod(F.xxhash64(*left.columns), F.lit(salts)) if _hashable(left) else F.pmod(F.monotonically_increasing_id(), F.lit(salts))
-    spread = F.when(F.col("_hot"), row_hash).otherwise(F.lit(0)).cast("int")
+    spread = F.when(F.col("_hot") | F.expr(" or ".join(f"{k} is null" for k in keys)), row_hash).otherwise(F.lit(0)).cast("int")
     all_salts = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)))
     l = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_hot")
     r = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(all_salts)).drop("_hot")
@@ -37,38 +36,38 @@ def _hashable(df: DataFrame) -> bool:
     return not any(f.dataType.simpleString().find("map<") >= 0 for f in df.schema.fields)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a side for broadcast only when counting proves it small; else leave it.
-
-    The count reads at most ``rows + 1`` rows. A side that is too large keeps the
-    planner's shuffle join.
-    """
-    sized = df.limit(rows + 1).agg(
-        F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("b")
-    ).first()
-    return F.broadcast(df) if sized["n"] <= rows and (sized["b"] or 0) <= bytes_ else df
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is set."""
+    """The cluster's shared checkpoint folder; a fresh local one only where none is set and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _LOCAL.setdefault("folder", None) or tempfile.mkdtemp(prefix="spark-")
         _LOCAL["folder"] = folder
     return folder.rstrip("/")
 
 
 _LOCAL: dict = {}
+_STAGED: list[str] = []
 
 
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write an intermediate table several stages read, and read it back.
 
     Cuts lineage in storage that outlives executors, and gives later readers column
-    pruning, filters and sizes.
+    pruning, filters and sizes. ``drop_staged`` removes the tables when their query is done.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
     w = df.write
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove every table staged so far; what reads them must have ended."""
+    for path in _STAGED:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _STAGED.clear()

@@ -3,64 +3,49 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import urls as U
+from ..functions import jsontext as J, urls as U
 from .extract import children, parse
-
-MAX_DEPTH = 12
-MICRODATA_DEPTH = 6
-
-
-def _refuse(_):
-    raise ValueError("not JSON")
-
-
-def _types(node, depth: int = 0) -> list[str]:
-    """Type names of a document and its members, in order, @context skipped."""
-    if depth > MAX_DEPTH or not isinstance(node, (dict, list)):
-        return []
-    if isinstance(node, list):
-        return [t for n in node for t in _types(n, depth + 1)]
-    own = node.get("@type")
-    names = [own] if isinstance(own, str) else [t for t in own if isinstance(t, str)] if isinstance(own, list) else []
-    return names + [t for k, v in node.items() if k != "@context" for t in _types(v, depth + 1)]
-
-
-_BLOCK = StructType([StructField("json", StringType()), StructField("types", ArrayType(StringType()))])
-
-
-@F.pandas_udf(_BLOCK)
-def parse_block(text: pd.Series) -> pd.DataFrame:
-    """Strictly parsed JSON re-serialised (last duplicate key wins) and its types; NULLs when invalid."""
-
-    def one(t):
-        try:
-            data = json.loads(t, parse_constant=_refuse)
-            return json.dumps(data, ensure_ascii=False, separators=(",", ":")), list(dict.fromkeys(_types(data)))
-        except (ValueError, RecursionError, TypeError):
-            return None, None
-
-    return pd.DataFrame([one(t) for t in text], columns=["json", "types"])
+from .skew import staged
 
 
 def jsonld_blocks(records: DataFrame) -> DataFrame:
-    """(page_id, idx, ok, json, types, error_text): one row per block.
+    """(page_id, idx, ok, json, error_text): one row per block.
 
-    Validity is strict: no NaN, no trailing text. An invalid block keeps its first 2000 characters.
+    Validity is strict: no NaN, no trailing text. ``json`` is the block without white space, NULL when it is not valid;
+    then ``error_text`` is the block as written.
     """
-    blocks = children(records, "jsonld").withColumn("b", parse_block("value"))
-    ok = F.col("b.json").isNotNull()
-    return blocks.select("page_id", "idx", ok.alias("ok"), "b.json", "b.types", F.when(~ok, F.left("value", F.lit(2000))).alias("error_text"))
+    blocks = children(records, "jsonld").withColumn("ok", J.is_valid(F.col("value")))
+    return blocks.select("page_id", "idx", "ok", F.when(F.col("ok"), J.compact(F.col("value"))).alias("json"), F.when(~F.col("ok"), F.col("value")).alias("error_text"))
 
 
 def schema_types(blocks: DataFrame) -> DataFrame:
-    """(page_id, idx, type): distinct @type values at any depth to twelve, @context skipped."""
-    return blocks.where("ok").select("page_id", "idx", F.explode("types").alias("type"))
+    """(page_id, idx, type): distinct @type values at any depth, members of @context left out.
+
+    A block's tokens become rows with their bracket depth. The value of a member ends where the next token of the
+    member's own depth stands, which a window over equal depths finds; nothing recurses and no depth is too deep. A
+    window holds the tokens of one block.
+    """
+    rows = blocks.where("ok").select("page_id", "idx", F.posexplode(J.tokens(F.col("json"))).alias("pos", "token"))
+    block = W.partitionBy("page_id", "idx").orderBy("pos")
+    change = F.when(F.col("token").isin("{", "["), 1).when(F.col("token").isin("}", "]"), -1).otherwise(0)
+    rows = rows.withColumns({"depth": F.sum(change).over(block), "name": F.when(F.col("token") == ":", F.lag("token").over(block))})
+    level = W.partitionBy("page_id", "idx", "depth").orderBy("pos")
+    rows = rows.withColumn("last", F.when(F.col("token") == ":", F.lead("pos").over(level)))
+    span = lambda name: F.collect_list(F.when(F.col("name") == F.lit(f'"{name}"'), F.struct("pos", "last", "depth")))
+    texts = F.collect_list(F.when(F.col("token").startswith('"'), F.struct("pos", "token", "depth")))
+    per = rows.groupBy("page_id", "idx").agg(span("@type").alias("types"), span("@context").alias("contexts"), texts.alias("texts")).where(F.size("types") > 0)
+    inside = lambda x, spans: F.exists(spans, lambda c: (c["pos"] < x["pos"]) & (x["pos"] <= c["last"]))
+    # The string itself, or the strings of a list, one bracket deeper.
+    named = lambda t: F.exists("types", lambda m: (m["pos"] < t["pos"]) & (t["pos"] <= m["last"]) & (t["depth"] <= m["depth"] + 1))
+    found = F.filter("texts", lambda t: named(t) & ~inside(t, F.col("contexts")))
+    names = F.array_distinct(F.transform(F.array_sort(found), lambda t: J.unquoted(t["token"])))
+    return per.select("page_id", "idx", F.explode(names).alias("type"))
 
 
 def microdata_type_name(type_: Column) -> Column:
@@ -94,7 +79,7 @@ class _Items(HTMLParser):
             frame["item"], self.items = self.items, self.items + 1
             frame["depth"] = owner["depth"] + 1 if nested else 0
             frame["root"] = owner["root"] if nested else frame["item"]
-            frame["cut"] = frame["depth"] > MICRODATA_DEPTH
+            frame["cut"] = False
             head = dict(root=frame["root"], item=frame["item"], type=" ".join(a.get("itemtype", "").split()), itemid=None if frame["cut"] else a.get("itemid") or None)
             if nested:
                 for name in names.split(" "):
@@ -152,7 +137,7 @@ class _Items(HTMLParser):
             self._close(self.stack.pop())
 
 
-_ITEM_SCHEMA = "page_id long, ord int, root int, item int, parent int, prop string, type string, itemid string, value string, is_url boolean"
+_ITEM_SCHEMA = "page_id long, ord int, root int, item int, parent int, prop string, type string, itemid string, value string, is_url boolean, base string"
 
 
 def microdata(pages: DataFrame, max_roots: int | None = None) -> DataFrame:
@@ -162,25 +147,26 @@ def microdata(pages: DataFrame, max_roots: int | None = None) -> DataFrame:
     Only pages that hold the attribute reach Python, one Arrow batch at a time.
     """
     df = parse(pages).where(F.col("html").contains("itemscope") | F.col("html").rlike("(?i)itemscope"))
+    base = df.select("_base").schema[0].dataType.simpleString()
 
     def rows(batches):
         for pdf in batches:
             out = []
-            for page_id, doc in zip(pdf["page_id"], pdf["doc"]):
+            for page_id, doc, base in zip(pdf["page_id"], pdf["doc"], pdf["base"]):
                 p = _Items()
                 p.feed(doc or "")
                 p.close()
                 kept = p.rows
                 if max_roots is not None:
                     kept = _cut_roots(kept, max_roots)
-                out.extend({"page_id": page_id, "ord": i, **r} for i, r in enumerate(kept))
-            frame = pd.DataFrame(out, columns=["page_id", "ord", "root", "item", "parent", "prop", "type", "itemid", "value", "is_url"])
+                out.extend({"page_id": page_id, "ord": i, **r, "base": base if r["is_url"] else None} for i, r in enumerate(kept))
+            frame = pd.DataFrame(out, columns=["page_id", "ord", "root", "item", "parent", "prop", "type", "itemid", "value", "is_url", "base"])
             yield frame.astype({"root": "Int32", "item": "Int32", "parent": "Int32", "is_url": "bool"})
 
-    flat = df.select("page_id", F.col("_doc").alias("doc")).mapInPandas(rows, _ITEM_SCHEMA)
-    base = parse(pages).select("page_id", "_base")
-    resolved = F.when(F.col("is_url"), U.resolve(F.col("value"), F.col("_base"))).otherwise(F.col("value"))
-    return flat.join(base, "page_id").withColumn("value", resolved).drop("_base", "is_url")
+    # The base goes through with the text, so that addresses resolve without reading the pages again.
+    flat = df.select("page_id", F.col("_doc").alias("doc"), F.to_json("_base").alias("base")).mapInPandas(rows, _ITEM_SCHEMA)
+    resolved = F.when(F.col("is_url"), U.resolve(F.col("value"), F.from_json("base", base))).otherwise(F.col("value"))
+    return flat.withColumn("value", resolved).drop("base", "is_url")
 
 
 def _cut_roots(rows: list[dict], n: int) -> list[dict]:
@@ -188,17 +174,27 @@ def _cut_roots(rows: list[dict], n: int) -> list[dict]:
     return [r for r in rows if r["root"] in keep]
 
 
-def _object(item: int, rows: pd.DataFrame, names: dict) -> dict:
-    """One item as nested plain values; a repeated property becomes a list."""
-    me = rows[rows["item"] == item].iloc[0]
-    out = {"@type": names[me["ord"]]}
-    if isinstance(me["itemid"], str):
-        out["@id"] = me["itemid"]
-    for r in rows[rows["parent"] == item].itertuples():
-        value = r.value if pd.isna(r.item) else _object(r.item, rows, names)
-        old = out.get(r.prop)
-        out[r.prop] = value if r.prop not in out else [*(old if isinstance(old, list) else [old]), value]
-    return out
+def _item_text(rows: pd.DataFrame) -> str:
+    """JSON of a root item. Members are gathered by owner in one pass; an item's text is made after those inside it."""
+    say = lambda x: json.dumps(x, ensure_ascii=False)
+    members: dict = defaultdict(lambda: defaultdict(list))
+    items = []
+    for r in rows.itertuples():
+        if pd.notna(r.item):
+            items.append(r)
+        if pd.notna(r.parent):
+            members[r.parent][r.prop].append(r)
+    text: dict = {}
+    # An item is met before the items inside it, so backwards every inner text is there.
+    for item in reversed(items):
+        if item.item in text:
+            continue
+        parts = [f'"@type":{say(item.type_name)}'] + ([f'"@id":{say(item.itemid)}'] if isinstance(item.itemid, str) else [])
+        for prop, of in members[item.item].items():
+            values = [say(m.value if isinstance(m.value, str) else None) if pd.isna(m.item) else text[m.item] for m in of]
+            parts.append(f"{say(prop)}:{values[0] if len(values) == 1 else '[' + ','.join(values) + ']'}")
+        text[item.item] = "{" + ",".join(parts) + "}"
+    return text[items[0].item]
 
 
 def microdata_objects(rows: DataFrame) -> DataFrame:
@@ -209,10 +205,7 @@ def microdata_objects(rows: DataFrame) -> DataFrame:
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        names = dict(zip(pdf["ord"], pdf["type_name"]))
-        top = pdf[pdf["parent"].isna()].iloc[0]
-        text = json.dumps(_object(top["item"], pdf, names), ensure_ascii=False, separators=(",", ":"))
-        return pd.DataFrame({"page_id": [top["page_id"]], "item": [int(top["item"])], "json": [text]})
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "item": [int(pdf["root"].iloc[0])], "json": [_item_text(pdf)]})
 
     named = rows.withColumn("type_name", microdata_type_name(F.col("type")))
     return named.groupBy("page_id", "root").applyInPandas(build, "page_id long, item int, json string")
@@ -220,10 +213,14 @@ def microdata_objects(rows: DataFrame) -> DataFrame:
 
 def schema_summary(blocks: DataFrame, items: DataFrame) -> DataFrame:
     """(page_id, schema_items, types): items per page and the union of type names."""
-    n = blocks.where("ok").groupBy("page_id").agg(F.sum(F.greatest(F.size("types"), F.lit(1))).alias("n"))
-    roots = items.where("item is not null and parent is null")
+    # Both inputs are read more than once: they are stored.
+    blocks, roots = staged(blocks.where("ok")), staged(items.where("item is not null and parent is null").select("page_id", "type"))
+    types = staged(schema_types(blocks))
+    # A block without a type still counts as one item.
+    per = types.groupBy("page_id", "idx").agg(F.count("*").alias("types"))
+    n = blocks.join(per, ["page_id", "idx"], "left").groupBy("page_id").agg(F.sum(F.coalesce("types", F.lit(1))).alias("n"))
     m = roots.groupBy("page_id").agg(F.count("*").alias("n"))
-    names = schema_types(blocks).select("page_id", "type").unionByName(roots.select("page_id", microdata_type_name(F.col("type")).alias("type"))).distinct()
+    names = types.select("page_id", "type").unionByName(roots.select("page_id", microdata_type_name(F.col("type")).alias("type"))).distinct()
     # The distinct type names of one page.
     listed = names.groupBy("page_id").agg(F.array_sort(F.collect_list("type")).alias("types"))
     total = n.unionByName(m).groupBy("page_id").agg(F.sum("n").alias("schema_items"))

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..catalog import patterns as P, tech as C
 from ..functions import text as T, versions as V
+from ..sources.tables import newest
 
-URL_HITS_PER_PATTERN = 3
-EVIDENCE_LINES = 12
 _FIELDS = ("page_id", "tech", "text", "version", "rank", "likely", "src_ord", "pat_ord", "seq")
 
 
 def valid_version(v: Column) -> Column:
-    return F.when(V.is_version(v) & (F.length(v) <= 40), v)
+    return F.when(V.is_version(v), v)
 
 
 def page_urls(signals: DataFrame, requests: DataFrame | None = None) -> DataFrame:
@@ -29,19 +28,20 @@ def page_urls(signals: DataFrame, requests: DataFrame | None = None) -> DataFram
 
 def page_headers(pages: DataFrame, responses: DataFrame) -> DataFrame:
     """(page_id, header, value) of each page's own response, names lower-case."""
-    own = pages.select("page_id", "url").join(responses.where("error is null").select("url", "headers"), "url")
+    own = pages.select("page_id", "url").join(newest(responses.where("error is null").select("url", "headers"), "url"), "url")
     return own.select("page_id", F.explode("headers").alias("header", "value")).withColumn("header", F.lower("header"))
 
 
 def base_evidence(signals: DataFrame, requests: DataFrame | None = None, headers: DataFrame | None = None,
-                  runtime: DataFrame | None = None, catalog=None) -> DataFrame:
-    """Evidence lines from every source the page itself offers."""
+                  runtime: DataFrame | None = None, catalog=None, url_hits: int | None = None) -> DataFrame:
+    """Evidence lines from every source the page itself offers (G2); ``url_hits`` limits addresses per pattern."""
     spark = signals.sparkSession
     texts = signals.where("kind in ('generator', 'inline', 'comment', 'body')").select("page_id", F.col("kind").alias("use"), F.col("seq").cast("long"), "value")
     texts = texts.unionByName(page_urls(signals, requests).select("page_id", F.lit("url").alias("use"), "seq", "value"))
-    hits = P.match(texts, C.pattern_table(spark, catalog), P.tokens_of(C.pattern_rows(catalog))).where("match_pos = 0")
-    w = W.partitionBy("page_id", "tech", "use", "pat_ord").orderBy("seq")
-    hits = hits.withColumn("_n", F.row_number().over(w)).where((F.col("use") != "url") | (F.col("_n") <= URL_HITS_PER_PATTERN))
+    hits = P.match(texts, C.pattern_table(spark, catalog), P.tokens_of(C.pattern_rows(catalog)))
+    if url_hits is not None:
+        w = W.partitionBy("page_id", "tech", "use", "pat_ord").orderBy("seq")
+        hits = hits.withColumn("_n", F.row_number().over(w)).where((F.col("use") != "url") | (F.col("_n") <= url_hits))
     quoted = lambda lead, body, n: F.concat(F.lit(f'{lead} "'), T.clip(body, n), F.lit('"'))
     text = (
         F.when(F.col("use") == "generator", quoted("generator", F.col("value"), 80))
@@ -82,14 +82,14 @@ def _keyed(df: DataFrame, shown: Column, src_ord: int) -> DataFrame:
     )
 
 
-def evidence_lists(lines: DataFrame) -> DataFrame:
-    """(page_id, tech, ev): lines deduplicated by text, twelve plus any with a version, in order."""
+def evidence_lists(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """(page_id, tech, ev): lines deduplicated by text, in order; ``limit`` keeps so many plus any with a version."""
     one = lines.groupBy("page_id", "tech", "text").agg(
         F.min_by(F.struct("src_ord", "pat_ord", "seq", "version", "rank", "likely"), F.struct("src_ord", "pat_ord", "seq")).alias("e")
     )
     item = F.struct("e.src_ord", "e.pat_ord", "e.seq", "text", "e.version", "e.rank", "e.likely")
     per = one.groupBy("page_id", "tech").agg(F.array_sort(F.collect_list(item)).alias("ev"))
-    return per.withColumn("ev", F.filter("ev", lambda e, i: (i < EVIDENCE_LINES) | e["version"].isNotNull()))
+    return per if limit is None else per.withColumn("ev", F.filter("ev", lambda e, i: (i < limit) | e["version"].isNotNull()))
 
 
 def pick_version(ev: Column) -> Column:
@@ -155,7 +155,7 @@ def tech_rows(lists: DataFrame, catalog=None, details: DataFrame | None = None)
 
 def storefront_theme(signals: DataFrame, runtime: DataFrame | None = None) -> DataFrame:
     """(page_id, detail): storefront theme name and version."""
-    pattern = r"(?<![A-Za-z0-9_])Shopify\.theme\s*=\s*(\{[^;]{0,600}?\})\s*;"
+    pattern = r"(?<![A-Za-z0-9_])Shopify\.theme\s*=\s*(\{[^;]*?\})\s*;"
     code = signals.where("kind = 'inline'").where(F.col("value").rlike(pattern))
     code = code.groupBy("page_id").agg(F.min_by("value", "seq").alias("v")).withColumn("j", F.regexp_extract("v", pattern, 1))
     found = code.select("page_id", F.get_json_object("j", "$.schema_name").alias("name"), F.get_json_object("j", "$.schema_version").alias("version"), F.lit(1).alias("prio"))

@@ -8,7 +8,7 @@ from ..functions import directives as D, text as T, urls as U
 from ..operators import page as A
 from ..operators.extract import page_records
 from ..operators.robots import check_urls
-from ..operators.skew import staged
+from ..operators.skew import lookup_join, staged
 from ..sources.tables import http_facts
 
 
@@ -24,7 +24,7 @@ def with_verdict(df: DataFrame, responses: DataFrame | None = None, robots_files
     if responses is None:
         df = df.withColumn("_http", F.lit(None).cast(_FACTS))
     else:
-        df = df.join(http_facts(responses).select("url", F.struct("status", "x_robots_tag", "final_url").alias("_http")), "url", "left")
+        df = lookup_join(df, http_facts(responses).select("url", F.struct("status", "x_robots_tag", "final_url").alias("_http")), ["url"])
     if robots_files is None:
         df = df.withColumn("allowed", F.lit(None).cast("boolean"))
     else:

@@ -25,25 +25,27 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Crawled pages (S1), spread over the cluster."""
-    return spread(read_table(spark, path, "pages"))
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Crawled pages (S1). ``partitions`` deals them out anew, for small files that read as one split."""
+    pages = read_table(spark, path, "pages")
+    return pages if partitions is None else pages.repartition(partitions, "page_id")
 
 
-def spread(df: DataFrame, key: str = "page_id") -> DataFrame:
-    """Hash rows over the cores when the input arrives in fewer splits than that.
+def newest(df: DataFrame, key: str, version: str = "fetched_at") -> DataFrame:
+    """One row per key: the newest by ``version`` where the table has it, ties by the row's own content.
 
-    Parsing is the costly stage and one row group reads as one task. A crawl with
-    enough splits is left alone.
+    An aggregate, so only the winner of each partial group is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    cols = [c for c in df.columns if c != key]
+    rank = [F.col(version)] if version in cols else []
+    best = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*rank, F.to_json(F.struct(*cols)))).alias("_row"))
+    return best.select(key, *[F.col("_row")[c].alias(c) for c in cols]).select(*df.columns)
 
 
 def http_facts(responses: DataFrame) -> DataFrame:
-    """Response columns the audit needs, by URL (S7); failed requests are left out, so they stay unknown."""
+    """Response columns the audit needs, one row per URL (S7); failed requests are left out, so they stay unknown."""
     name = lambda n: F.get(F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == n), F.lit(0))["value"]
-    return responses.where("error is null").select(
+    return newest(responses.where("error is null"), "url").select(
         "url", "status", "redirected", "final_url", name("x-robots-tag").alias("x_robots_tag"),
         name("content-type").alias("content_type"), name("link").alias("link"),
     )

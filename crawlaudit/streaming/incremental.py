@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.tables import SCHEMAS
+from ..sources.tables import SCHEMAS, newest
 
 
 def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -16,19 +16,13 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def without_redelivery(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop re-delivered snapshots inside the watermark."""
-    return stream.withWatermark("collected_at", delay).dropDuplicatesWithinWatermark(["url", "collected_at"])
-
-
 def latest_wins(rows: DataFrame, key: str, version: str) -> DataFrame:
     """Newest row per key; an older row never replaces a newer one.
 
-    An aggregate keeps only the winner of each partial group in the shuffle.
+    A page that comes late, or twice, changes nothing but its own row; ties go by the row's content. An aggregate
+    keeps only the winner of each partial group in the shuffle.
     """
-    cols = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*cols), version).alias("r"))
-    return best.select(key, *[F.col(f"r.{c}").alias(c) for c in cols]).select(*rows.columns)
+    return newest(rows, key, version)
 
 
 class BatchLog:
@@ -64,10 +58,14 @@ class BatchLog:
         return latest_wins(self.spark.read.schema(self.schema).parquet(*folders), self.key, self.version)
 
     def compact(self) -> None:
-        """Fold every finished batch; the folded folders can then be dropped."""
+        """Fold every finished batch and remove the folded folders; nothing may be reading them."""
         done = self._finished("b")
         if done:
             self.read().write.mode("overwrite").parquet(f"{self.path}/c={done[-1]}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path
+            fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for folder in [f"b={b}" for b in done] + [f"c={c}" for c in self._finished("c")[:-1]]:
+                fs.delete(path(f"{self.path}/{folder}"), True)
 
 
 def run_incremental(stream: DataFrame, audit: Callable[[DataFrame], DataFrame], log: BatchLog, checkpoint: str) -> StreamingQuery:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlaudit.sources.tables import spread
 
 HEAD = """concat(
   case page_id % 4 when 1 then '<meta name="description" content="">'
@@ -68,6 +67,11 @@ BODY = """concat(
     else '<img src="//cdn.example.net/d.png" alt=" " loading="lazy" srcset="d2.png 2x">' end)"""
 
 
+def splits(spark: SparkSession) -> int:
+    """The given tables are single small files: they are dealt to as many tasks as the session runs at once."""
+    return spark.sparkContext.defaultParallelism
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Page numbers and whatever else a rule needs; unread columns are pruned from the scan."""
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
@@ -79,7 +83,7 @@ def _site(n: str) -> str:
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
     """Every page with an address by rule and the tags above added."""
-    df = spread(pages(spark, sf)).withColumn("url", F.expr(_site("page_id")))
+    df = pages(spark, sf).repartition(splits(spark), "page_id").withColumn("url", F.expr(_site("page_id")))
     df = df.withColumn("partner", F.expr("case when page_id % 2 = 0 then page_id + 1 else page_id - 1 end"))
     df = df.withColumn("partner_url", F.expr(_site("partner")))
     html = f"replace(replace(html, '</head>', concat({HEAD}, '</head>')), '<body>', concat('<body class=\"home wp-custom\">', {BODY}))"
@@ -99,7 +103,8 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("case when page_id % 17 = 0 then null when page_id % 10 = 0 then 404 else 200 end").cast("int").alias("status"),
         F.expr("page_id % 10 = 3").alias("redirected"),
         F.expr(f"case when page_id % 10 = 3 then concat({_site('page_id')}, '/final') else {_site('page_id')} end").alias("final_url"),
-        F.expr(headers).alias("headers"), F.lit(None).cast("string").alias("body"),
+        F.expr(headers).alias("headers"),
+        F.expr(f"""if(page_id % 20 = 3, concat('<html><head><link rel="alternate" hreflang="en" href="', {_site('page_id')}, '"></head><body></body></html>'), null)""").alias("body"),
         F.expr("if(page_id % 17 = 0, 'Timed out', null)").alias("error"),
     ).drop("page_id")
 

@@ -41,11 +41,11 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _raw(spark, sf) -> DataFrame:
-    return tables.read_pages(spark, f"{sf}/pages.parquet")
+    return tables.read_pages(spark, f"{sf}/pages.parquet", FX.splits(spark))
 
 
 def _documents(spark, sf) -> DataFrame:
-    return tables.spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    return spark.read.parquet(f"{sf}/documents.parquet").repartition(FX.splits(spark), "doc_id")
 
 
 def longs(df: DataFrame) -> DataFrame:
@@ -134,17 +134,18 @@ def pages_per_domain(spark, sf):
     return corpus.pages_per_domain(FX.pages(spark, sf))
 
 
+WHOLE = lambda x: CLEAN(f"regexp_replace({x}, '[\"“”„«»]', ' ', 'g')")
 PHRASE = lambda x: "array_to_string(list_slice(string_split(" + CLEAN(f"regexp_replace({x}, '[\"“”„«»]', ' ', 'g')") + ", ' '), 1, 32), ' ')"
 
 
-@query(f"""WITH t AS (SELECT page_id, {PHRASE(TITLE)} AS phrase FROM pages), c AS (SELECT phrase, count(*) AS n, min(page_id) AS f FROM t WHERE phrase <> '' GROUP BY 1 HAVING count(*) > 1)
+@query(f"""WITH t AS (SELECT page_id, {WHOLE(TITLE)} AS phrase FROM pages), c AS (SELECT phrase, count(*) AS n, min(page_id) AS f FROM t WHERE phrase <> '' GROUP BY 1 HAVING count(*) > 1)
     SELECT page_id, t.phrase, CAST(n AS BIGINT) AS pages, f AS first_page FROM t JOIN c ON t.phrase = c.phrase""")
 def duplicate_titles(spark, sf):
     return corpus.phrase_copy_members(X.page_records(_raw(spark, sf), "head"), F.col("head.title"))
 
 
-@query(RULES + f"""SELECT d AS phrase, CAST(count(*) AS BIGINT) AS pages, min(p) AS first_page FROM (SELECT p, CASE p % 4 WHEN 2 THEN {PHRASE("repeat('ab ', 26) || 'zz'")}
-    WHEN 3 THEN {PHRASE("repeat('cd ', 66) || 'yy'")} END AS d FROM e) WHERE d IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+@query(RULES + f"""SELECT d AS phrase, CAST(count(*) AS BIGINT) AS pages, min(p) AS first_page FROM (SELECT p, CASE p % 4 WHEN 2 THEN {WHOLE("repeat('ab ', 26) || 'zz'")}
+    WHEN 3 THEN {WHOLE("repeat('cd ', 66) || 'yy'")} END AS d FROM e) WHERE d IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_descriptions(spark, sf):
     return corpus.phrase_copies(X.page_records(FX.enriched(spark, sf), "head"), F.coalesce("head.description", F.lit("")))
 
@@ -178,14 +179,14 @@ def domain_mentions(spark, sf):
 DOC = CLEAN("regexp_replace(text, '[\"“”„«»]', ' ', 'g')")
 
 
-@query(f"""WITH d AS (SELECT doc_id, ' ' || {DOC} || ' ' AS body FROM documents), b AS (SELECT DISTINCT {PHRASE('text')} AS phrase FROM benchmark)
+@query(f"""WITH d AS (SELECT doc_id, ' ' || {DOC} || ' ' AS body FROM documents), b AS (SELECT DISTINCT {WHOLE('text')} AS phrase FROM benchmark)
     SELECT phrase, doc_id FROM b JOIN d ON contains(body, ' ' || phrase || ' ') WHERE phrase <> ''""")
 def passage_copies(spark, sf):
     return corpus.passage_copies(spark.read.parquet(f"{sf}/benchmark.parquet"), _documents(spark, sf))
 
 
 @query(f"""WITH d AS (SELECT doc_id, ' ' || {DOC} || ' ' AS body FROM documents)
-    SELECT item_id, CAST(count(doc_id) AS BIGINT) AS copies FROM benchmark b LEFT JOIN d ON contains(body, ' ' || {PHRASE('b.text')} || ' ') GROUP BY item_id""")
+    SELECT item_id, CAST(count(doc_id) AS BIGINT) AS copies FROM benchmark b LEFT JOIN d ON contains(body, ' ' || {WHOLE('b.text')} || ' ') GROUP BY item_id""")
 def passage_copy_counts(spark, sf):
     return corpus.passage_copy_counts(spark.read.parquet(f"{sf}/benchmark.parquet"), _documents(spark, sf))
 
@@ -485,10 +486,12 @@ ENTRIES = f"""SELECT p, url, q, a.lang, a.href, a.raw, a.source FROM (SELECT p,
       CASE WHEN p % 9 = 0 THEN [{{'lang': 'en_GB', 'href': url, 'raw': url, 'source': 'html'}}] ELSE [] END) ELSE [] END,
       CASE WHEN p % 6 = 5 AND p % 17 <> 0 THEN [{{'lang': 'de', 'href': 'https://alt.example.org/' || p, 'raw': 'https://alt.example.org/' || p, 'source': 'header'}}] ELSE [] END)) AS a
     FROM (SELECT *, {PARTNER} AS q FROM e))"""
-# t is the page an entry points to: itself, its partner, or nobody in the crawl.
+# t is the page an entry points to: itself, its partner, or nobody in the crawl. Pages with t % 10 = 3 answer elsewhere,
+# outside the crawl; half of those answers have a body, which names the page itself.
 CHECKED = f"""SELECT *, CASE WHEN t IS NOT NULL AND t % 17 <> 0 THEN CASE WHEN t % 10 = 0 THEN 404 ELSE 200 END END AS status,
       CASE WHEN t IS NULL OR t % 17 = 0 THEN NULL
-        WHEN t % 10 <> 0 AND t % 9 <> 4 THEN t % 10 <> 3 AND (t = p OR (t % 4 < 2 AND t % 7 <> 0 AND t % 10 <> 0))
+        WHEN t % 10 = 3 AND t % 9 <> 4 THEN CASE WHEN t % 20 = 3 THEN t = p END
+        WHEN t % 10 <> 0 AND t % 9 <> 4 THEN t = p OR (t % 4 < 2 AND t % 7 <> 0 AND t % 10 <> 0)
         WHEN t % 6 = 5 THEN false END AS return_link
     FROM (SELECT *, CASE WHEN lang IN ('en', 'x-default', 'en_GB') THEN p WHEN lang = 'fr' AND p % 10 <> 0 AND q <= (SELECT max(page_id) FROM pages) THEN q END AS t FROM ({ENTRIES}))"""
 
@@ -532,8 +535,7 @@ def hreflang_issues(spark, sf):
 @query(RULES + f"SELECT p AS page_id, lang, CAST(status AS BIGINT) AS status, return_link FROM ({CHECKED})")
 def hreflang_checks(spark, sf):
     r, resp = _hreflang(spark, sf)
-    entries = HL.hreflang_entries(HL.page_alternates(r, resp))
-    return longs(HL.check_alternates(entries, resp, r).select("page_id", "lang", "status", "return_link"))
+    return longs(HL.checked_alternates(r, resp).select("page_id", "lang", "status", "return_link"))
 
 
 @query(RULES + f"""SELECT p AS page_id, lang, CASE WHEN t % 17 = 0 THEN 'Failed' WHEN t % 10 = 3 THEN '3xx → ' || status ELSE '' || status END AS status_label,
@@ -546,7 +548,7 @@ def hreflang_report(spark, sf):
 @query(RULES + f"""SELECT p AS page_id, lang, href, source, CAST(status AS BIGINT) AS status, CASE WHEN return_link THEN 'yes' WHEN NOT return_link THEN 'no' ELSE '' END AS links_back FROM ({CHECKED})""")
 def hreflang_export(spark, sf):
     r, resp = _hreflang(spark, sf)
-    checked = HL.check_alternates(HL.hreflang_entries(HL.page_alternates(r, resp)), resp, r)
+    checked = HL.checked_alternates(r, resp)
     return longs(export.hreflang_export(checked).select("page_id", "lang", "href", "source", "status", "links_back"))
 
 
@@ -643,7 +645,7 @@ def container_scan(spark, sf):
 
 @query(RULES + "SELECT 'GTM-K' || lpad('' || p, 6, '0') AS container_id, 'G-C' || lpad('' || p, 7, '0') AS constant FROM e WHERE p % 8 = 0")
 def container_constants(spark, sf):
-    c = FX.containers(spark, sf).select("container_id", K.container_data("text").alias("j"))
+    c = FX.containers(spark, sf).select("container_id", K.container_data(F.col("text")).alias("j"))
     return c.select("container_id", F.get_json_object("j", "$.resource.macros[0].vtp_value").alias("constant"))
 
 
@@ -685,7 +687,7 @@ def technologies(spark, sf):
 
 
 @query(RULES + """SELECT p AS page_id, 'wordpress' AS tech, 'generator "WordPress 6.9.4"' AS text, '6.9.4' AS version, CAST(1 AS BIGINT) AS rank FROM e WHERE p % 8 = 0
-    UNION ALL SELECT p, 'wordpress', 'wp-content/ asset: ' || x, NULL, 5 FROM (SELECT p, unnest(['/wp-content/plugins/contact-form-7/index.js?ver=5.9', '/wp-content/plugins/acme-tools/a.js?ver=2.1', '/wp-content/plugins/woocommerce/b.js?ver=8.' || p % 3]) AS x FROM e WHERE p % 8 = 0)
+    UNION ALL SELECT p, 'wordpress', 'wp-content/ asset: ' || x, NULL, 5 FROM (SELECT p, unnest(['/wp-content/plugins/contact-form-7/index.js?ver=5.9', '/wp-content/plugins/acme-tools/a.js?ver=2.1', '/wp-content/plugins/woocommerce/b.js?ver=8.' || p % 3, '/wp-content/themes/acme-child/style.css?ver=1.2.0']) AS x FROM e WHERE p % 8 = 0)
     UNION ALL SELECT p, 'drupal', 'generator "Drupal 10 (https://www.drupal.org)"', '10', 1 FROM e WHERE p % 8 = 2
     UNION ALL SELECT p, 'jquery', 'jquery-X.js: /jquery-3.' || p % 7 || '.1.min.js', '3.' || p % 7 || '.1', 5 FROM e WHERE p % 8 = 3""")
 def tech_evidence(spark, sf):
@@ -946,9 +948,13 @@ def images_export(spark, sf):
     return longs(export.images_export(_images(spark, sf)).drop("raw"))
 
 
-@query("""SELECT page_id, CAST(0 AS BIGINT) AS idx, 'What is page ' || page_id || '?' AS question, '' AS answer, '' AS source_title, '' AS source FROM pages WHERE page_id % 4 < 3 AND page_id % 5 <> 0""")
+@query("""SELECT page_id, CAST(a.i AS BIGINT) AS idx, a.q AS question, a.a AS answer, a.t AS source_title, a.s AS source FROM (SELECT page_id, unnest([
+    {'i': 0, 'q': 'What is page ' || page_id || '?', 'a': '', 's': '', 't': ''},
+    {'i': 1, 'q': 'Why ' || page_id || '?', 'a': 'Because of ' || page_id || '. g', 's': 'https://src.example.org/' || page_id, 't': 'Source ' || page_id},
+    {'i': 2, 'q': 'How ' || page_id || '?', 'a': '', 's': '', 't': ''}, {'i': 3, 'q': 'Who ' || page_id || '?', 'a': '', 's': '', 't': ''}]) AS a
+    FROM pages WHERE page_id % 4 < 3 AND page_id % 5 <> 0)""")
 def questions_export(spark, sf):
-    return longs(export.questions_export(serp.people_also_ask(FX.serp_pages(spark, sf))).where("idx = 0"))
+    return longs(export.questions_export(serp.people_also_ask(FX.serp_pages(spark, sf))))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') || '-links-2026-03-04.csv', '[^A-Za-z0-9.\\-_]', '_', 'g') AS name FROM pages")
@@ -997,7 +1003,7 @@ def incremental_audit(spark, sf):
     schema = "page_id bigint, url string, collected_at timestamp, title string, links int"
     log = INC.BatchLog(spark, f"{folder}/audit", schema)
     work = lambda pages: X.page_records(pages, "head", "links").select("page_id", "url", "collected_at", F.col("head.title").alias("title"), F.col("links_total").alias("links"))
-    INC.run_incremental(INC.without_redelivery(stream), work, log, f"{folder}/checkpoint").awaitTermination()
+    INC.run_incremental(stream, work, log, f"{folder}/checkpoint").awaitTermination()
     return longs(log.read().select("page_id", "url", "title", "links"))
 
 

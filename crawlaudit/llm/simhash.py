@@ -36,16 +36,16 @@ BLOCKS = 5
 SHINGLE = 3
 SHARD_ROWS = 4096
 TASK_ROWS = 200_000
-VISITS = 2_000_000
+VISITS = 500_000
 
 WIDE_SHINGLE = 5
 SIMILAR = 0.8
 ORDERS = 6
 WIDE_RADIUS = 18
 WIDE_SHARD_ROWS = 1024
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 # Shingles compared at a time.
-TESTED = 4_000_000
+TESTED = 1_000_000
 
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())

@@ -48,13 +48,14 @@ def match(signals: DataFrame, patterns: DataFrame, tokens_by_use: dict[str, set[
     gated = signals.withColumn("_tokens", tokens_in(F.col("value"), F.col("use"), tokens_by_use))
     cands = gated.select(*signals.columns, F.explode_outer("_tokens").alias("token")).where(F.col("token").isNotNull())
     joined = cands.join(F.broadcast(patterns), ["use", "token"])
-    hits = F.regexp_extract_all(F.col("value"), F.col("regex"), F.lit(0))
-    rows = joined.where(F.regexp_like("value", F.col("regex"))).withColumn("_hits", hits)
-    rows = rows.select(*[c for c in rows.columns if c != "_hits"], F.posexplode("_hits").alias("match_pos", "matched"))
-    # The whole match is re-read for its group only where the pattern has one; look-arounds need the text itself.
-    groups = F.regexp_extract_all(F.col("value"), F.col("regex"), F.col("groups"))
-    group = F.when(F.col("groups") > 0, F.get(groups, F.col("match_pos")))
-    return rows.withColumn("found", F.when(group != "", group))
+    # A candidate is read once for its matches, and once more only where the pattern has a group: look-arounds need the
+    # text itself. Its two lists are of one length.
+    whole = F.regexp_extract_all(F.col("value"), F.col("regex"), F.lit(0))
+    group = F.when(F.col("groups") > 0, F.regexp_extract_all(F.col("value"), F.col("regex"), F.col("groups")))
+    rows = joined.withColumn("_hits", F.arrays_zip(whole.alias("matched"), F.coalesce(group, F.array().cast("array<string>")).alias("found")))
+    rows = rows.select(*joined.columns, F.posexplode("_hits").alias("match_pos", "_hit"))
+    found = F.col("_hit.found")
+    return rows.select(*joined.columns, "match_pos", F.col("_hit.matched").alias("matched"), F.when(found != "", found).alias("found"))
 
 
 def tokens_of(patterns: list[dict]) -> dict[str, set[str]]:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..catalog import tech as C
 from ..functions import text as T, urls as U, versions as V
 from . import tech as TE
-from .skew import staged
+from .skew import lookup_join, staged
 
 # Bundled-library folders and file names whose ?ver= is their own.
 LIBRARY_DIRS = "vendor|vendors|node_modules|bower_components|third-party"
@@ -91,11 +91,16 @@ def namespaces(probes: DataFrame) -> DataFrame:
 
 def namespace_plugins(ns: DataFrame, catalog=None) -> DataFrame:
     """Add the catalog plugin a namespace belongs to, first in catalog order."""
-    table = F.broadcast(C.namespace_table(ns.sparkSession, catalog))
+    table = C.namespace_table(ns.sparkSession, catalog)
+    # A prefix that holds a slash fixes the first part of a name, any other a beginning of it: an equi join on the
+    # beginnings that occur in the catalog, of as many lengths as its prefixes have.
+    lengths = sorted({len(p) for t in (catalog or C.TECH) for p in t["ns"]} | {len(p.rstrip("/")) for t in (catalog or C.TECH) for p in t["ns"]})
+    starts = F.broadcast(table.select(F.explode(F.array_distinct(F.array("prefix", "exact"))).alias("start"), "exact", "prefix", "tech", "cat_ord"))
+    begins = F.explode(F.array_distinct(F.array(*[F.left("ns", F.lit(n)) for n in lengths]))).alias("start")
     hit = (F.col("ns") == F.col("exact")) | F.startswith(F.col("ns"), F.col("prefix"))
-    distinct = ns.select("ns").distinct().join(table, hit)
+    distinct = ns.select("ns").distinct().select("ns", begins).join(starts, "start").where(hit)
     best = distinct.groupBy("ns").agg(F.min_by("tech", "cat_ord").alias("tech"))
-    return ns.join(best, "ns", "left").withColumn("core", F.col("ns").rlike(CORE_NAMESPACES))
+    return lookup_join(ns, best, ["ns"]).withColumn("core", F.col("ns").rlike(CORE_NAMESPACES))
 
 
 def probe_core_versions(probes: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def base_evidence(signals: DataFrame, requests: DataFrame | None = None, headers
         F.coalesce(order[F.col("use")], F.lit(5)).alias("src_ord"), "pat_ord", "seq",
     )
     if headers is not None:
-        parts = F.transform(F.split("value", r",\s*"), F.trim)
+        parts = F.transform(F.split("value", r",\s*"), lambda p: F.trim(p))
         j = headers.join(F.broadcast(C.header_table(spark, catalog)), "header")
         j = j.withColumn("_part", F.get(F.filter(parts, lambda p: F.regexp_like(p, F.col("regex"))), F.lit(0))).where(F.col("_part").isNotNull())
         found = F.when(F.col("groups") > 0, T.blank_to_null(F.call_function("regexp_extract", F.col("_part"), F.col("regex"), F.col("groups"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..catalog import patterns as P, trackers as C
 from ..functions import urls as U
-from .skew import staged
+from .skew import lookup_join, staged
 from .containers import read_containers, scan_containers
 
 # Status ladder, weakest first, and the evidence kind behind each.
@@ -131,14 +131,14 @@ def page_containers(signals: DataFrame, requests: DataFrame | None, containers:
     if requests is not None:
         named = named.unionByName(requests.select("page_id", F.col("url").alias("value")))
     ids = named.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(r"(?<![A-Za-z0-9])(GTM-[A-Z0-9]{4,10})"), F.lit(1)))).alias("container_id"))
-    return ids.distinct().join(containers.select("container_id").distinct(), "container_id", "left_semi")
+    return lookup_join(ids.distinct(), containers.select("container_id").distinct(), ["container_id"], "inner").select("page_id", "container_id")
 
 
 def _container_evidence(signals, requests, containers, catalog) -> DataFrame:
     scanned = scan_containers(read_containers(containers), catalog)
     pages = page_containers(signals, requests, containers)
-    # One configuration row set per container, at most a few per page: the join grows with its result.
-    return pages.join(scanned, "container_id").select(
+    # A container that a third of all pages load is spread like any hot key.
+    return lookup_join(pages, scanned, ["container_id"], "inner").select(
         "page_id", "tracker", F.lit("container").alias("kind"), F.concat("label", F.lit(" in "), "container_id").alias("label"),
         "id", "variable", F.lit(6).alias("src_ord"), F.lit(0).alias("seq"), F.lit(0).alias("pat_ord"), F.lit(0).alias("match_pos"),
     )

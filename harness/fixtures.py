@@ -203,12 +203,13 @@ def latest(spark: SparkSession, sf: str) -> DataFrame:
         struct('npm:jquery' as key, '3.5.1' as version, cast(null as array<string>) as offers, cast(null as string) as theme_name),
         struct('wp-plugin:contact-form-7' as key, '6.0' as version, cast(null as array<string>) as offers, cast(null as string) as theme_name),
         struct('wp-theme:acme-child' as key, '9.0' as version, cast(null as array<string>) as offers, 'Another Theme' as theme_name))"""
-    # One answer set per crawl, taken from the first page so that it follows the given data.
-    one = pages(spark, sf).agg(F.min("page_id").alias("page_id"))
-    df = one.select(F.explode(F.expr(keys)).alias("a")).select("a.*")
+    # Every page gives an answer to one of the keys, the first ones an outdated version, and one to a key of its own.
+    rows = F.expr(f"array(element_at({keys}, cast(page_id % 4 + 1 as int)), struct(concat('wp-plugin:other-', page_id) as key, '1.0' as version, cast(null as array<string>) as offers, cast(null as string) as theme_name))")
+    df = pages(spark, sf).select("page_id", F.explode(rows).alias("a")).select("page_id", "a.*")
+    old = F.col("page_id") < 4
     return df.select(
-        "key", F.lit("x").alias("kind"), F.lit(None).cast("string").alias("name"), "version", "offers", F.lit(False).alias("unlisted"),
-        "theme_name", F.lit(None).cast("string").alias("error"), F.expr("timestamp'2026-01-01 00:00:00'").alias("fetched_at"),
+        "key", F.lit("x").alias("kind"), F.lit(None).cast("string").alias("name"), F.when(old & F.col("version").isNotNull(), "0.0.1").otherwise(F.col("version")).alias("version"), "offers",
+        F.lit(False).alias("unlisted"), "theme_name", F.lit(None).cast("string").alias("error"), F.expr("timestamp_seconds(1767225600 + page_id)").alias("fetched_at"),
     )
 
 

@@ -18,7 +18,7 @@ from crawlaudit.plans import audit
 from crawlaudit.sources import tables
 from crawlaudit.streaming import incremental as INC
 
-from . import fixtures as FX
+from . import fixtures as FX, samples as SA
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1022,3 +1022,43 @@ def custom_catalog(spark, sf):
     df = FX.enriched(spark, sf).withColumn("html", F.expr("replace(html, '</head>', concat('<script>acme(\\'AC-', 1030000 + page_id, '\\')</script></head>'))"))
     s = X.staged_signals(df)
     return TR.detect_trackers(s, catalog=own).select("page_id", "tracker", "id")
+
+
+# ---------------------------------------------------------------- every catalog entry, and its look-alike
+
+
+@query(f"SELECT page_id, entry AS tracker, value AS id FROM pages JOIN (VALUES {SA.sql_rows(SA.TRACKERS)}) s(slot, entry, value) ON page_id % {2 * len(SA.TRACKERS)} = slot")
+def tracker_samples(spark, sf):
+    pages, requests = SA.tracker_pages(spark, _raw(spark, sf))
+    return TR.detect_trackers(X.staged_signals(pages), requests).select("page_id", "tracker", "id")
+
+
+@query(f"""SELECT page_id, entry AS tech, value AS version FROM pages JOIN (VALUES {SA.sql_rows(SA.TECHNOLOGIES)}) s(slot, entry, value) ON page_id % {2 * len(SA.TECHNOLOGIES)} = slot
+    UNION ALL SELECT page_id, 'wordpress', NULL FROM pages WHERE page_id % {2 * len(SA.TECHNOLOGIES)} IN ({', '.join(str(i) for i, t in enumerate(SA.TECHNOLOGIES) if t[2].startswith('/wp-content/'))})""")
+def technology_samples(spark, sf):
+    pages, headers, runtime = SA.technology_pages(spark, _raw(spark, sf))
+    found = cms.detect(X.staged_signals(pages), headers=headers, runtime=runtime)
+    # Entries that a sample merely implies are left to the query of implied rows.
+    tech = found["tech"].where("not implied").select("page_id", "tech", "version")
+    return tech.unionByName(found["plugins"].where("named").select("page_id", F.col("id").alias("tech"), "version"))
+
+
+# ---------------------------------------------------------------- files
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '''=' || url ELSE url END AS address, CAST(page_id % 4 AS BIGINT) AS slot FROM pages")
+def csv_folders(spark, sf):
+    df = _raw(spark, sf).select("page_id", F.expr("if(page_id % 3 = 0, concat('=', url), url)").alias("address"), F.expr("page_id % 4").alias("slot"))
+    folder = f"{_scratch(spark)}/csv"
+    export.write_csv(df, folder, {"page_id": "Page", "address": "Address"}, ["slot"])
+    got = spark.read.option("header", True).option("escape", '"').csv(folder)
+    return got.select(F.col("Page").cast("bigint").alias("page_id"), F.col("Address").alias("address"), F.col("slot").cast("bigint").alias("slot"))
+
+
+@query("""SELECT 'Page,"The, address"' AS line UNION ALL SELECT page_id || ',' || CASE WHEN page_id % 3 = 0 THEN '"a,' || url || '"' ELSE '''+' || url END FROM pages""")
+def csv_bytes(spark, sf):
+    df = _raw(spark, sf).select("page_id", F.expr("if(page_id % 3 = 0, concat('a,', url), concat('+', url))").alias("address"))
+    folder = f"{_scratch(spark)}/exact"
+    export.write_exact_csv(df, folder, {"page_id": "Page", "address": "The, address"}, ["page_id"])
+    # The reader takes the byte-order mark off the first line.
+    return spark.read.text(folder).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("line"))

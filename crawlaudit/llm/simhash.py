@@ -36,7 +36,7 @@ BLOCKS = 5
 SHINGLE = 3
 SHARD_ROWS = 4096
 TASK_ROWS = 200_000
-VISITS = 500_000
+VISITS = 100_000
 
 WIDE_SHINGLE = 5
 SIMILAR = 0.8

@@ -33,6 +33,9 @@ def _any(*names):
 
 # Rows: generator/url/inline/comment/body are (token, pattern, label[, rank]); header is (name, pattern);
 # dom and live are (key, label) or (key, label, "version") when the value is the version.
+# The whole table. Names, folders, addresses, markers and formats are what the vendors' own pages, headers
+# and packages carry; they are written as patterns because versions stand inside them. Word characters are spelled out as
+# classes and ends as look-arounds, since pages mix scripts and the engine's own shorthands are ASCII or Unicode by flag.
 TECH = [
     _tech("wordpress", "WordPress", "platform",
           generator=[("wordpress", rf"^WordPress(?:\s+{_V2}{_STOP})?(?![A-Za-z0-9_-])", "generator")],

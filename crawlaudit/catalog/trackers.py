@@ -49,6 +49,7 @@ _SEGMENT, _META, _TIKTOK, _REDDIT = "[A-Za-z0-9]{20,40}", r"\d{15,17}", "[A-Z0-9
 _GOOGLE_LIVE = [("gtm", "loaded", "live google_tag_manager")]
 _GTAG_LIVE = [*_GOOGLE_LIVE, ("dataLayer.config", "code", "dataLayer config")]
 
+# The whole table. Addresses, snippet names and identifier formats are those of the vendors' own snippets.
 TRACKERS = [
     dict(id="gtm", name="Google Tag Manager", short="GTM", group="analytics", sends=False, ran="google", format=_GTM,
          src=[("/gtm.js", r"/gtm\.js" + _query("id", _GTM), "gtm.js")],
@@ -201,6 +202,7 @@ _CONSENT = [
     ("usercentrics", "Usercentrics", [("usercentrics.eu", r"(?:app|web\.cmp|privacy-proxy)\.usercentrics\.eu/")],
      [("UC_UI", "loaded"), ("__ucCmp", "loaded")]),
 ]
+# Consent tools, known by the address of their script.
 TRACKERS += [
     dict(id=i, name=n, short=n, group="consent", sends=False, no_id=True, src=[(t, p, f"{n} script") for t, p in scripts],
          live=[(f"global:{g}", kind, f"{g} {'object' if kind == 'loaded' else 'settings'}") for g, kind in live])

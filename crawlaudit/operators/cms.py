@@ -15,6 +15,7 @@ LIBRARY_NAMES = (
     "font-?awesome|bootstrap|jquery|swiper|slick|owl|fancybox|magnific|lightbox|select2|animate|aos|isotope|"
     "masonry|flickity|splide|glide|lottie|gsap|photoswipe|modernizr|normalize"
 )
+# Namespaces of the core itself, and paths a fetcher never asks for.
 CORE_NAMESPACES = r"^(?:wp/v2|oembed/1\.0|wp-site-health/v1|wp-block-editor/v1|wp-abilities/v1|wp/v[0-9])\z"
 FORBIDDEN_PATH = r"(?i)(?:^|/)(?:readme\.(?:txt|html)|license\.txt|wp-login\.php|xmlrpc\.php)\z|/wp-admin(?:/|\z)"
 _SLUG = "[A-Za-z0-9._-]+"

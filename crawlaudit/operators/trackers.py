@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..catalog import patterns as P, trackers as C
@@ -16,12 +19,17 @@ STATUS_LABEL = {"sending": "Sending", "loaded": "Loaded, not sending", "in-page"
 EVIDENCE = "page_id, tracker, kind, label, id, variable, src_ord, seq, pat_ord, match_pos"
 
 
+# What placeholders look like.
+PLACEHOLDERS = [r"(?i)^x+\z", r"^(.)\1+\z", "^(?:0?123456789|1234567)"]
+
+
 def valid_id(id_: Column, format_: Column) -> Column:
     """Right shape and not a placeholder: all x, one repeated character, 1234567...."""
     body = F.regexp_replace(F.regexp_replace(id_, "^[A-Z]{1,3}-", ""), "[-_]", "")
     shape = F.regexp_like(id_, F.concat(F.lit("^(?:"), format_, F.lit(r")\z")))
-    fake = body.rlike(r"(?i)^x+\z") | body.rlike(r"^(.)\1+\z") | body.rlike("^(?:0?123456789|1234567)")
-    return F.coalesce(shape & ~fake, F.lit(False))
+    for fake in PLACEHOLDERS:
+        shape = shape & ~body.rlike(fake)
+    return F.coalesce(shape, F.lit(False))
 
 
 def _ids(hits: DataFrame) -> DataFrame:
@@ -197,8 +205,8 @@ def detect_trackers(signals: DataFrame, requests=None, runtime=None, containers=
     return tracker_rows(evidence(signals, requests, runtime, containers, catalog), catalog)
 
 
-def coverage(signals: DataFrame, requests: DataFrame | None = None, runtime: DataFrame | None = None) -> DataFrame:
-    """What was checked on each page."""
+def coverage(signals: DataFrame, requests: DataFrame | None = None, runtime: DataFrame | None = None, limits: dict | None = None) -> DataFrame:
+    """What was checked on each page (T15); ``capped`` says that a list reached the limit it was collected with."""
     n = lambda kind: F.count_if(F.col("kind") == kind)
     out = signals.groupBy("page_id").agg(n("script").alias("scripts"), n("inline").alias("inline"), n("noscript").alias("noscript"))
     if requests is None:
@@ -206,6 +214,8 @@ def coverage(signals: DataFrame, requests: DataFrame | None = None, runtime: Dat
     else:
         res = requests.groupBy("page_id").agg(F.count_distinct("url").alias("resources"))
         out = out.join(res, "page_id", "full").na.fill(0, ["scripts", "inline", "noscript", "resources"])
+    full = [F.col(k) >= limits[k] for k in ("scripts", "noscript") if k in (limits or {})]
+    out = out.withColumn("capped", reduce(or_, full, F.lit(False)))
     if runtime is None:
         return out.withColumn("live", F.lit(False))
     live = runtime.select("page_id", F.lit(True).alias("live")).distinct()

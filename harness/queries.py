@@ -626,7 +626,7 @@ def tracker_matches(spark, sf):
 
 @query(RULES + """SELECT p AS page_id, CAST(CASE p % 8 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 1 WHEN 7 THEN 1 ELSE 0 END + p % 2 AS BIGINT) AS scripts,
     CAST(1 + CASE p % 8 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 6 THEN 2 ELSE 0 END AS BIGINT) AS inline, CAST(CASE p % 8 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS noscript,
-    CAST(1 + CASE WHEN p % 8 IN (0, 1, 2, 5) THEN 1 ELSE 0 END AS BIGINT) AS resources, p % 16 = 2 OR p % 8 IN (3, 7) AS live FROM e""")
+    CAST(1 + CASE WHEN p % 8 IN (0, 1, 2, 5) THEN 1 ELSE 0 END AS BIGINT) AS resources, false AS capped, p % 16 = 2 OR p % 8 IN (3, 7) AS live FROM e""")
 def tracker_coverage(spark, sf):
     return TR.coverage(_signals(spark, sf), FX.page_requests(spark, sf), FX.runtime_state(spark, sf))
 

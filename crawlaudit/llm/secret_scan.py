@@ -36,7 +36,9 @@ LAYER_CHARS = 4_000_000
 OVERLAP = 100_000
 
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+|(?:\\x[0-9A-Fa-f]{2})+|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{12,}={0,2}|[A-Za-z0-9_-]{12,}={0,2}")
+# A run of either alphabet is searched whole: each has characters that end a run of the other.
+BASE64 = re.compile(r"[A-Za-z0-9+/]{12,}={0,2}")
+BASE64_URL = re.compile(r"[A-Za-z0-9_-]{12,}={0,2}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -136,13 +138,16 @@ def _readable(data: bytes) -> str | None:
 def unpacked(layer: Layer) -> Iterator[Layer]:
     """Layers inside the layer's base64 pieces."""
     text, start, end = layer
-    seen: set[tuple[int, int]] = set()
-    for m in (m for pattern in (BASE64,) for m in pattern.finditer(text)):
-        body = m[0].rstrip("=")
+    # Of two runs from one place the shorter decodes to a part of what the longer does.
+    runs: dict[int, int] = {}
+    for pattern in (BASE64, BASE64_URL):
+        for m in pattern.finditer(text):
+            runs[m.start()] = max(m.end(), runs.get(m.start(), 0))
+    for at, to in runs.items():
+        body = text[at:to].rstrip("=")
         body = body[: len(body) - (len(body) % 4 == 1)]
-        if (m.start(), len(body)) in seen or body.isdecimal():
+        if body.isdecimal():
             continue
-        seen.add((m.start(), len(body)))
         try:
             data = base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if "-" in body or "_" in body else None)
         except (binascii.Error, ValueError):
@@ -151,11 +156,11 @@ def unpacked(layer: Layer) -> Iterator[Layer]:
         if inner is not None:
             # Byte i comes from the characters i * 4 / 3 and the next; a character's bytes lie side by side.
             sizes = np.array([len(c.encode()) for c in inner]) if len(inner) != len(data) else np.ones(len(inner), np.int64)
-            to = np.cumsum(sizes)
-            first, last = (to - sizes) * 4 // 3, np.minimum((to * 4 + 2) // 3, len(body)) - 1
-            yield inner, start[m.start() + first], end[m.start() + last]
+            upto = np.cumsum(sizes)
+            first, last = (upto - sizes) * 4 // 3, np.minimum((upto * 4 + 2) // 3, len(body)) - 1
+            yield inner, start[at + first], end[at + last]
             continue
-        a, b = start[m.start()], end[m.start() + len(body) - 1]
+        a, b = start[at], end[at + len(body) - 1]
         for part in _streams(data):
             text_ = part.decode("utf-8", "replace")
             yield text_, np.full(len(text_), a), np.full(len(text_), b)
@@ -164,7 +169,7 @@ def unpacked(layer: Layer) -> Iterator[Layer]:
 def scan(text: str) -> list[tuple[int, int, str]]:
     """All spans of a text: its own, and those of every layer that unwraps from it."""
     found = set(base_spans(text))
-    if not (ESCAPES.search(text) or BASE64.search(text)):
+    if not (ESCAPES.search(text) or BASE64.search(text) or BASE64_URL.search(text)):
         return _ordered(found)
     n = np.arange(len(text))
     work: list[tuple[Layer, frozenset]] = [((text, n, n + 1), frozenset())]

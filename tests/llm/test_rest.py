@@ -103,6 +103,22 @@ def test_spans_stay_on_the_piece_that_holds_the_secret():
     assert [k for _, _, k in secret_scan.scan(long)] == ["assign"]
 
 
+def test_urlsafe_base64_is_read_whole():
+    encode = lambda data: base64.urlsafe_b64encode(data).decode()
+    for secret in ("\u00ff\u00fe~~~ok password = hunter22secret", "the key is ~~~ok \u00ff?> password = hunter22secret", "password = hunter22secret and \u00ff\u00fe?>~~"):
+        run = encode(secret.encode())
+        assert "-" in run or "_" in run
+        assert [k for _, _, k in secret_scan.scan(f"before {run} after")] == ["assign"], secret
+    rng, places = random.Random(12), set()
+    for _ in range(300):
+        run = encode(zlib.compress(f"{rng.randbytes(30).decode('latin-1')} {rng.random()} token=abcdefgh{rng.random()}".encode()))
+        at = min((run.find(c) for c in "-_" if c in run), default=None)
+        places.add(None if at is None else at < 12)
+        spans = secret_scan.scan(f"before {run} after")
+        assert [k for _, _, k in spans] == ["assign"] and spans[0][0] == 7, run
+    assert {True, False} <= places
+
+
 def test_secret_table(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "token=abcdefgh", None), (3, "token=abcdefgh", "x"), (3, "token=abcdefgh", "x")]
     got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()

@@ -1,7 +1,9 @@
 """Mixing, secrets, packing, URLs, licences, languages and neighbours."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -9,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from . import brute
@@ -119,6 +122,61 @@ def test_urlsafe_base64_is_read_whole():
     assert {True, False} <= places
 
 
+def wrapped(data, width=76, end="\n"):
+    run = base64.b64encode(data).decode()
+    return end.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+NOISE = random.Random(13).randbytes(400).hex(" ")
+STREAMS = {
+    "members": lambda s: gzip.compress(NOISE.encode(), mtime=0) + gzip.compress(s, mtime=0), "unused": lambda s: zlib.compress(NOISE.encode()) + b" " + s, "bz2": bz2.compress, "xz": lzma.compress,
+    "lzma": lambda s: lzma.compress(s, lzma.FORMAT_ALONE), "frames": lambda s: zstandard.compress(NOISE.encode()) + b"\x51\x2a\x4d\x18\x02\0\0\0ab" + zstandard.compress(s), "padded": lambda s: bz2.compress(b"x") + b"\0\0" + zlib.compress(s),
+}
+
+
+@pytest.mark.parametrize("tool", STREAMS)
+def test_streams_are_read_to_their_end(tool):
+    data = STREAMS[tool](b'password = "hunter22secret"')
+    for run in (base64.b64encode(data).decode(), wrapped(data), wrapped(data, 50, "\r\n  "), "".join(f"%{b:02X}" for b in data), repr(data), urllib.parse.quote(data, safe="")):
+        text = f"Ünd before: {run} after"
+        spans = secret_scan.scan(text)
+        assert spans and {k for _, _, k in spans} == {"assign"}, run
+        assert all(12 <= a < b <= 12 + len(run) for a, b, _ in spans), run
+
+
+def test_pieces_with_other_characters():
+    for secret in ("token=abcdefgh 12\u00a0345", "a\u00adb token=abcdefgh", "\u200btoken=abcdefgh\0", "\ufefftoken=abcdefgh"):
+        assert [k for _, _, k in secret_scan.scan("see " + WRAP["base64"](secret))] == ["assign"], secret
+    for data in (b"\xff\x01 token=abcdefgh \x80", *("Łódź token=abcdefgh Ł".encode(c) for c in ("utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-be"))):
+        for run in (base64.b64encode(data).decode(), base64.b64encode(zlib.compress(data)).decode()):
+            assert [k for _, _, k in secret_scan.scan("see " + run)] == ["assign"], data
+    data = "é token=abcdefgh é".encode("utf-16-le")
+    (a, b, _), = secret_scan.scan("see " + base64.b64encode(data).decode())
+    assert (a, b) == (4 + 4 * 4 // 3, 4 + (32 * 4 + 2) // 3)
+
+
+def test_wrapped_base64_is_one_piece():
+    for before in (40, 50, 54):
+        run = wrapped(b"x " * (before // 2) + b"token=abcdefghijklmnop rest " + b"y " * 60)
+        for text in (run, "see\n" + run + "\nend", run.replace("\n", "\r\n"), run.replace("\n", "\\n")):
+            at, gap = text.index("eCB4"), text.count("\r") and 2 or text.count("\\n") and 2 or 1
+            place = lambda i: at + i + i // 76 * gap
+            want = place(before * 4 // 3), place(((before + 22) * 4 + 2) // 3 - 1) + 1, "assign"
+            assert want in secret_scan.scan(text), text
+    text = wrapped(zlib.compress(" ".join(NOISE.split()[::-1]).encode() + b" token=abcdefghij"))
+    assert secret_scan.scan(f"see\n{text}\nend") == [(4, 4 + len(text.rstrip("=")), "assign")]
+
+
+def test_large_streams_are_cut_outside_of_runs(monkeypatch):
+    monkeypatch.setattr(secret_scan, "LAYER_CHARS", 40_000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1_000)
+    inner = base64.b64encode(zlib.compress(random.Random(14).randbytes(9_000).hex(" ").encode() + b" token=abcdefghij")).decode()
+    assert len(inner) > 10_000
+    for at in (25_000, 30_000, 35_001, 38_002, 39_999):
+        text = base64.b64encode(gzip.compress(("x " * 40_000)[:at].encode() + b" " + inner.encode() + b" y" * 30_000, mtime=0)).decode()
+        assert [k for _, _, k in secret_scan.scan(text)] == ["assign"], at
+
+
 def test_secret_table(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "token=abcdefgh", None), (3, "token=abcdefgh", "x"), (3, "token=abcdefgh", "x")]
     got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()

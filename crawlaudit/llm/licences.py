@@ -4,12 +4,18 @@ A text is made canonical: lower case, without copyright lines, words only, equiv
 whole canonical text is looked up in a hash join with the digests of known licences. Whole documents are looked up, and so
 are their paragraphs and lines as texts of their own, for a licence seldom stands alone.
 
+Full texts are also looked up where blank lines cut them inside a longer document: a run of paragraphs that begins like a
+known text and has its length is one unit.
+
 A unit of a length that no known text has cannot match, so only the rest are digested. The known texts are a fixed list
 and their digests are broadcast; nothing else is. Only DataFrame operations run.
 """
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import stage
@@ -32,6 +38,26 @@ MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPEC
 DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
 OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+# Texts that stand under a title or none, with the titles in use.
+TITLED = {
+    "MIT": (TEXTS["MIT"], ["MIT License", "The MIT License", "The MIT License (MIT)"]), "ISC": (TEXTS["ISC"], ["ISC License", "The ISC License", "ISC License (ISC)"]),
+    "BSD-3-Clause": (f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}", ["BSD 3-Clause License", "The BSD 3-Clause License"]),
+    "BSD-2-Clause": (f"{_BSD_HEAD} {_BSD_TAIL}", ["BSD 2-Clause License", "The BSD 2-Clause License"]),
+}
+# Texts in files, each beginning with its title.
+FILES = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
 NAMES = {
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"],
     "MIT": ["MIT License", "MIT"],
@@ -55,6 +81,9 @@ SPELLINGS = [(r"\blicence", "license"), (r"\bv([0-9])", "version $1"), (r"\bnon
              (r"\bsub license", "sublicense"), (r"\bthe license\b", "license"), (r"\bunder the\b", "under"), (r"\bnon infringement", "noninfringement")]
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright[^\p{L}\p{N}\n]*(\(c\)|©|[0-9]{4})|\(c\)[^\p{L}\p{N}\n]*[0-9]{4}|©)[^\n]*$"
 
+# From this canonical length on, a known text may be cut into paragraphs.
+LONG = 300
+
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
@@ -74,10 +103,37 @@ def known_texts() -> list[tuple[str, str]]:
     return [*TEXTS.items(), *named]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of full texts in the forms in which they stand: with and without title and reserved rights."""
+    out = []
+    for licence, (body, titles) in TITLED.items():
+        out += [(licence, f"{title}\n{rights}\n{body}") for title in ("", *titles) for rights in ("", "All rights reserved.")]
+    for licence in FILES:
+        text = (resources.files(__package__) / "licence_texts" / f"{licence}.txt").read_text("utf-8").strip()
+        forms = [text]
+        if licence == "Apache-2.0":
+            forms += [text[: text.index("END OF TERMS AND CONDITIONS")], text[: text.index("APPENDIX:")], re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", text)]
+        out += [(licence, form) for whole in forms for form in (whole, re.split(r"\n[ \t]*\n", whole, maxsplit=1)[1])]
+    return out
+
+
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, size, licence), unique by digest."""
-    table = spark.createDataFrame(texts or known_texts(), "licence string, text string").withColumn("c", canonical(F.col("text")))
-    return table.groupBy(digest(F.col("c")).alias("digest"), F.length("c").cast("long").alias("size")).agg(F.min("licence").alias("licence"))
+    table = spark.createDataFrame(texts or [*known_texts(), *full_texts()], "licence string, text string").withColumn("c", canonical(F.col("text")))
+    return table.groupBy(digest(F.col("c")).alias("digest"), F.length("c").cast("long").alias("size")).agg(F.min("licence").alias("licence"), F.first("c").alias("c"))
+
+
+def runs(text: Column, heads: list[str], sizes: list[int]) -> Column:
+    """Canonical runs of paragraphs that begin with one of ``heads``, the first words of known texts, and have one of the sizes."""
+    parts = F.filter(F.transform(F.split(text, r"\n[ \t\r]*\n"), canonical), lambda c: F.length(c) > 0)
+    # Where each paragraph begins in the canonical text, and one past the end: a run's length is a difference less the blank.
+    edges = F.aggregate(parts, F.array(F.lit(0)), lambda all_, c: F.concat(all_, F.array(F.element_at(all_, -1) + F.length(c) + 1)))
+    begins = F.filter(F.transform(parts, lambda c, i: F.when(F.arrays_overlap(F.array(*[F.substring(c, 1, len(h)) for h in heads]), F.array(*map(F.lit, heads))), i)), F.isnotnull)
+    both = F.struct(F.array_join(parts, " ").alias("joined"), edges.alias("edges"), begins.alias("begins"))
+    known = F.array(*[F.lit(n) for n in sizes])
+    ends = lambda of, at: F.filter(known, lambda n: F.array_contains(of["edges"], at + n + 1))
+    found = lambda of: F.flatten(F.transform(of["begins"], lambda i: F.transform(ends(of, of["edges"][i]), lambda n: F.substring(of["joined"], of["edges"][i] + 1, n))))
+    return F.flatten(F.transform(F.array(both), found))
 
 
 def scan_licences(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -89,15 +145,20 @@ def scan_licences(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -
     """
     known = stage(known_digests(docs.sparkSession, texts), "known")
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # a few dozen lengths of the fixed list
+    # The long ones may be cut by blank lines.
+    long = [(r["size"], " ".join(r["head"].split()[:3])) for r in known.where(f"size >= {LONG}").select("size", F.substring("c", 1, 100).alias("head")).collect()]
+    heads = sorted({h for _, h in long})
+    begun = F.lower("text").rlike("|".join(h.replace(" ", r"[^\p{L}\p{N}]+").replace("license", "licen[cs]e") for h in heads)) if heads else F.lit(False)
+    cut = F.when(begun, runs(F.col("text"), heads, sorted({n for n, _ in long}))).otherwise(F.array().cast("array<string>"))
     fit = lambda c: F.length(c).isin(sizes)
     units_of = lambda parts: F.filter(F.transform(parts, canonical), fit)
     lines = units_of(F.split("text", "\n"))
     paragraphs = units_of(F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n"))))
     whole = units_of(F.array("text"))
     unit = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), digest(c).alias("digest"))
-    units = F.concat(F.transform(whole, unit("whole")), F.transform(paragraphs, unit("paragraph")), F.transform(lines, unit("line")))
+    units = F.concat(F.transform(whole, unit("whole")), F.transform(cut, unit("run")), F.transform(paragraphs, unit("paragraph")), F.transform(lines, unit("line")))
     rows = stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), units.alias("units")), "units")
-    found = rows.select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.digest").join(F.broadcast(known), "digest")
+    found = rows.select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.digest").join(F.broadcast(known.drop("c")), "digest")
     found = found.groupBy(F.col("row").alias("of")).agg(
         F.max(F.when(F.col("kind") == "whole", F.col("licence"))).alias("licence"), F.sum((F.col("kind") == "line").cast("long")).alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))

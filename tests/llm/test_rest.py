@@ -5,6 +5,7 @@ import bz2
 import gzip
 import lzma
 import random
+import re
 import urllib.parse
 import zlib
 
@@ -271,6 +272,30 @@ def test_licence_units(spark):
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_full_licence_files(spark):
+    def cut(text):
+        return re.sub(r"(following conditions(?: are met)?:|Software\.|granted, provided.*?copies\.|disclaimer\.|distribution\.|permission\.) ", r"\1\n\n", re.sub(r"\s+", " ", text))
+
+    rows, want = [], {}
+    for licence, (body, titles) in licences.TITLED.items():
+        layout = cut(body)
+        assert "\n\n" in layout
+        for text in (f"{titles[0]}\n\nCopyright (c) 2021 Some One\n\n{layout}\n", f"Copyright (c) 2021, Some One\nAll rights reserved.\n\n{layout}"):
+            rows.append((len(rows), text))
+            want[rows[-1][0]] = (licence, licence)
+        rows.append((len(rows), f"A readme.\n\n# Licence\n\nCopyright 2020 X\n\n{layout}\n\nThanks.\n\nBye"))
+        want[rows[-1][0]] = (None, licence)
+        rows.append((len(rows), f"A readme.\n\n{layout[:-40]}\n\nThanks."))
+        want[rows[-1][0]] = (None, "")
+    for licence in licences.FILES:
+        text = next(t for name, t in licences.full_texts() if name == licence)
+        rows += [(len(rows), text), (len(rows) + 1, f"Intro\n\n{text}\n\nend"), (len(rows) + 2, text.split("\n\n", 1)[1])]
+        for (i, _), name in zip(rows[-3:], (licence, None, licence)):
+            want[i] = (name, licence)
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (w[0], w[1]) for i, w in want.items()} == {i: (g[0], ",".join(n for n in g[1].split(",") if n == want[i][1])) for i, g in got.items()}
+
+
 # ------------------------------------------------------------------ languages
 
 

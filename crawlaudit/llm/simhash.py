@@ -41,7 +41,7 @@ VISITS = 100_000
 WIDE_SHINGLE = 5
 SIMILAR = 0.8
 ORDERS = 6
-WIDE_RADIUS = 18
+WIDE_RADIUS = 24
 WIDE_SHARD_ROWS = 1024
 TASK_BYTES = 32 << 20
 # Shingles compared at a time.
@@ -277,14 +277,16 @@ def _meet(dealt: DataFrame, radius: int, shard_rows: int, sets: Callable[[DataFr
 
 def comparisons(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, wide, orders): what brings texts together for :func:`one_of_each`."""
-    mixers = np.array([0x9E3779B97F4A7C15 * (2 * i + 3) % (1 << 64) | 1 for i in range(ORDERS)], np.uint64)[:, None]
+    # Factors that have nothing to do with each other: of multiples of one factor, what is small under one is under all.
+    mixers = np.array([xxhash.xxh64_intdigest(bytes([i]), 42) | 1 for i in range(ORDERS)], np.uint64)[:, None]
 
     def one(text: bytes | None) -> tuple:
         few, hashes = majority(shingle_hashes(text)), shingle_hashes(text, WIDE_SHINGLE)
         if not len(hashes):
             return few, 0, None
         spread = hashes * mixers
-        return few, majority(hashes), (spread ^ (spread >> np.uint64(31))).min(1).view(np.int64).tolist()
+        # Over the set, as the similarity is: repeats would set apart what is alike.
+        return few, majority(np.unique(hashes)), (spread ^ (spread >> np.uint64(31))).min(1).view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -86,6 +86,17 @@ def test_one_of_each_group_of_similar_texts(spark):
     assert got == brute.one_of_each(rows) and len(got) > 30
 
 
+def test_repeated_passages_do_not_set_texts_apart(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):
+        w = [str(rng.randint(0, 9999)) for _ in range(300)]
+        at = rng.randint(0, 270)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: at + 30] + w[at : at + 30] * 30 + w[at + 30 :]))]
+    got = {r.doc_id for r in simhash.one_of_each(table(spark, rows)).collect()}
+    assert got == brute.one_of_each(rows) == {2 * i for i in range(60)}
+
+
 def test_tree_search_equals_all_pairs():
     import numpy as np
 

@@ -88,7 +88,7 @@ def check_alternates(entries: DataFrame, responses: DataFrame, target_records: D
     df = df.join(pairs.withColumn("_back", F.lit(True)), ["_target", "_self"], "left")
     readable = F.col("status").between(200, 299) & F.coalesce(F.col("content_type"), F.lit("")).rlike("(?i)html")
     # An answer that is not HTML links back through its header alone.
-    back = F.when(readable & (F.col("_back").isNotNull() | F.col("_parsed")), F.coalesce("_back", F.lit(False))).when(F.col("_has_header"), F.coalesce("_back_header", F.lit(False)))
+    back = F.when(readable & (F.col("_back").isNotNull() | F.col("_parsed")), F.coalesce("_back", F.lit(False))).when(~readable & F.col("_has_header"), F.coalesce("_back_header", F.lit(False)))
     return df.select(
         "page_id", "url", "page_key", "idx", "lang", "href", "raw", "source", "status", "redirected", "final_url", "error",
         F.when(F.col("status").isNotNull(), back).alias("return_link"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, licences, mixing, neighbours, pack, secret_scan, simhash, substring, urls
+from . import divergence, editprint, exact, infill, language, licences, mixing, neighbours, pack, secret_scan, simhash, substring, urls
 from .common import read
 
 QUERIES: dict = {}
@@ -143,3 +143,46 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_of_every(read(spark, sf_dir, "embeddings"))
+
+
+_P = lambda c, n: f"1 + (1000000000::HUGEINT * ({c} + 2)) // ({n} + 2 * v)"
+_F = "((p - q) * (p - q)) // (p + q)"
+
+
+@query(sql=f"""WITH rows_ AS (SELECT doc_id, row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM rows_),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+groups AS (SELECT DISTINCT lang, source FROM rows_),
+sizes AS (SELECT lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM rows_) LEFT JOIN kept k USING (lang) GROUP BY lang),
+used AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT g.lang, g.source, v, coalesce(sum(c), 0) AS n FROM groups g JOIN sizes USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source GROUP BY ALL),
+lang_totals AS (SELECT lang, any_value(v) AS v, sum(n) AS n FROM totals GROUP BY lang),
+shares AS (SELECT t.lang, t.source, k.term, coalesce(u.c, 0) AS c, {_P('coalesce(u.c, 0)', 't.n')} AS p
+    FROM totals t JOIN kept k ON k.lang = t.lang LEFT JOIN used u ON u.lang = t.lang AND u.source = t.source AND u.term = k.term),
+lang_shares AS (SELECT w.lang, w.term, {_P('w.c', 'l.n')} AS q FROM (SELECT lang, term, sum(c) AS c FROM used GROUP BY lang, term) w JOIN lang_totals l USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT a.lang, a.source, b.source AS other, sum({_F}) AS f FROM shares a JOIN (SELECT lang, source, term, p AS q FROM shares) b ON a.lang = b.lang AND a.term = b.term
+        GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, {_F} AS value FROM shares JOIN lang_shares USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= {divergence.TOP}""")
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.fingerprint_documents(read(spark, sf_dir, "documents")).drop("edited_text")
+
+
+@query(sql="""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, ('0x' || substr(s, 1, 8))::BIGINT % (n + 1) AS one, ('0x' || substr(s, 9, 8))::BIGINT % (n + 1) AS two,
+    ('0x' || substr(s, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(s, 25, 8))::BIGINT % 100 AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(one, two) AS a, greatest(one, two) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+    WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256 FROM f""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(read(spark, sf_dir, "documents")).drop("pieces", "output")

@@ -7,7 +7,11 @@ are their paragraphs and lines as texts of their own, for a licence seldom stand
 Full texts are also looked up where blank lines cut them inside a longer document: a run of paragraphs that begins like a
 known text and has its length is one unit.
 
-A unit of a length that no known text has cannot match, so only the rest are digested. The known texts are a fixed list
+Making a unit canonical takes many passes, and a unit can only match if it opens with the first two words of a known text. One
+pattern of these openings, in all their spellings, is tried on the unit as it stands, once over the whole document and then on
+each unit; copyright lines, which vanish, may stand before or between. What does not open so is left alone.
+
+A unit of a length that no known text has cannot match either, so only the rest are digested. The known texts are a fixed list
 and their digests are broadcast; nothing else is. Only DataFrame operations run.
 """
 
@@ -86,7 +90,11 @@ LONG = 300
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    return canonical_of_lower(F.lower(text))
+
+
+def canonical_of_lower(lower: Column) -> Column:
+    out = F.regexp_replace(lower, COPYRIGHT_LINE, " ")
     out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
     for pattern, instead in SPELLINGS:
         out = F.regexp_replace(out, pattern, instead)
@@ -123,9 +131,38 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = Non
     return table.groupBy(digest(F.col("c")).alias("digest"), F.length("c").cast("long").alias("size")).agg(F.min("licence").alias("licence"), F.first("c").alias("c"))
 
 
+_GAP = r"[^\p{L}\p{N}]+"
+
+
+def _spellings(word: str) -> str:
+    """A pattern of what may stand in a text, in lower case, where its canonical form has ``word``."""
+    word = re.escape(word)
+    for joined, first in (("noncommercial", "non"), ("sharealike", "share"), ("sublicense", "sub"), ("noninfringement", "non")):
+        if word.startswith(joined):
+            word = f"{first}(?:{_GAP})?{word[len(first):]}"
+    word = "(?:version|v[0-9])" if word == "version" else word
+    return word.replace("license", "licen[cs]e")
+
+
+def openings(heads: list[str]) -> str:
+    """A pattern of the first two words of the canonical texts ``heads``, as they may be spelled; one word ends its line or text."""
+    second: dict[str, set[str]] = {}
+    for head in heads:
+        first, _, rest = head.partition(" ")
+        second.setdefault(first, set()).add(rest.split(" ")[0])
+    branches = []
+    for first, rests in sorted(second.items()):
+        lead = f"(?:the{_GAP})?" if first.startswith("license") else ""
+        # "the" vanishes behind "under" and before "license"; a copyright line may follow the first word.
+        follow = "|".join(_spellings(r) for r in sorted(rests) if r)
+        follow = f"{_GAP}(?:the{_GAP})?(?:{follow})|" if follow else ""
+        branches.append(rf"{lead}{_spellings(first)}(?:{follow}[^\p{{L}}\p{{N}}\n]*(?:\n|\z))")
+    return rf"[^\p{{L}}\p{{N}}]*+(?:{'|'.join(branches)})"
+
+
 def runs(text: Column, heads: list[str], sizes: list[int]) -> Column:
     """Canonical runs of paragraphs that begin with one of ``heads``, the first words of known texts, and have one of the sizes."""
-    parts = F.filter(F.transform(F.split(text, r"\n[ \t\r]*\n"), canonical), lambda c: F.length(c) > 0)
+    parts = F.filter(F.transform(F.split(text, r"\n[ \t\r]*\n"), canonical_of_lower), lambda c: F.length(c) > 0)
     # Where each paragraph begins in the canonical text, and one past the end: a run's length is a difference less the blank.
     edges = F.aggregate(parts, F.array(F.lit(0)), lambda all_, c: F.concat(all_, F.array(F.element_at(all_, -1) + F.length(c) + 1)))
     begins = F.filter(F.transform(parts, lambda c, i: F.when(F.arrays_overlap(F.array(*[F.substring(c, 1, len(h)) for h in heads]), F.array(*map(F.lit, heads))), i)), F.isnotnull)
@@ -144,20 +181,26 @@ def scan_licences(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -
     rows, an empty table gives none, and other columns are not read.
     """
     known = stage(known_digests(docs.sparkSession, texts), "known")
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # a few dozen lengths of the fixed list
+    fixed = known.select("size", F.substring("c", 1, 100).alias("head")).collect()  # the fixed list
+    sizes, opening = sorted({r["size"] for r in fixed}), openings([r["head"] for r in fixed])
     # The long ones may be cut by blank lines.
-    long = [(r["size"], " ".join(r["head"].split()[:3])) for r in known.where(f"size >= {LONG}").select("size", F.substring("c", 1, 100).alias("head")).collect()]
+    long = [(r["size"], " ".join(r["head"].split()[:3])) for r in fixed if r["size"] >= LONG]
     heads = sorted({h for _, h in long})
-    begun = F.lower("text").rlike("|".join(h.replace(" ", r"[^\p{L}\p{N}]+").replace("license", "licen[cs]e") for h in heads)) if heads else F.lit(False)
-    cut = F.when(begun, runs(F.col("text"), heads, sorted({n for n, _ in long}))).otherwise(F.array().cast("array<string>"))
+    text = F.col("lower")
+    begun = text.rlike("|".join(h.replace(" ", r"[^\p{L}\p{N}]+").replace("license", "licen[cs]e") for h in heads)) if heads else F.lit(False)
+    none = F.array().cast("array<string>")
+    cut = F.when(begun, runs(text, heads, sorted({n for n, _ in long}))).otherwise(none)
     fit = lambda c: F.length(c).isin(sizes)
-    units_of = lambda parts: F.filter(F.transform(parts, canonical), fit)
-    lines = units_of(F.split("text", "\n"))
-    paragraphs = units_of(F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n"))))
-    whole = units_of(F.array("text"))
+    opens = lambda x: x.rlike(rf"\A(?:{opening}|[^\p{{L}}\p{{N}}]*+(?:copyright|c(?![\p{{L}}\p{{N}}]))|[^\p{{L}}\p{{N}}©]*+©)")
+    units_of = lambda parts: F.filter(F.transform(F.filter(parts, opens), canonical_of_lower), fit)
+    lines = units_of(F.split(text, "\n"))
+    paragraphs = units_of(F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n"))))
+    whole = units_of(F.array(text))
     unit = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), digest(c).alias("digest"))
     units = F.concat(F.transform(whole, unit("whole")), F.transform(cut, unit("run")), F.transform(paragraphs, unit("paragraph")), F.transform(lines, unit("line")))
-    rows = stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), units.alias("units")), "units")
+    units = F.when(text.rlike(f"(?m)^{opening}"), units)
+    lower = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("lower"))
+    rows = stage(lower.select("doc_id", F.monotonically_increasing_id().alias("row"), units.alias("units")), "units")
     found = rows.select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.digest").join(F.broadcast(known.drop("c")), "digest")
     found = found.groupBy(F.col("row").alias("of")).agg(
         F.max(F.when(F.col("kind") == "whole", F.col("licence"))).alias("licence"), F.sum((F.col("kind") == "line").cast("long")).alias("n_notices"),

@@ -126,15 +126,21 @@ def _spelled(x: str) -> str:
 
 
 _QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
-_KNOWN = ", ".join(f"({_QUOTED(licence)}, {_QUOTED(text)})" for licence, text in licences.known_texts())
+_KNOWN = ", ".join(f"({_QUOTED(licence)}, {_QUOTED(text)})" for licence, text in [*licences.known_texts(), *licences.full_texts()])
 
 
 @query(sql=f"""WITH known AS (SELECT c, min(licence) AS licence FROM (SELECT licence, {_spelled(_CANONICAL('text'))} AS c FROM (VALUES {_KNOWN}) v(licence, text)) GROUP BY c),
 units AS (SELECT doc_id, 'whole' AS kind, text AS u FROM documents WHERE text IS NOT NULL
     UNION ALL SELECT doc_id, 'paragraph', u FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS u FROM documents) WHERE contains(u, chr(10))
     UNION ALL SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents),
+parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), lambda x: {_spelled(_CANONICAL('x'))}), lambda c: c <> '') AS p FROM documents),
+firsts AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts),
+begun AS (SELECT doc_id, p, i FROM firsts WHERE p[i][:20] IN (SELECT c[:20] FROM known WHERE length(c) >= {licences.LONG})
+    OR EXISTS (SELECT 1 FROM known WHERE length(c) >= {licences.LONG} AND starts_with(c, p[i]))),
+runs AS (SELECT doc_id, array_to_string(p[i:j], ' ') AS c FROM (SELECT doc_id, p, i, unnest(range(i, len(p) + 1)) AS j FROM begun)),
+looked AS (SELECT doc_id, kind, {_spelled(_CANONICAL('u'))} AS c FROM units UNION ALL SELECT doc_id, 'run', c FROM runs),
 found AS (SELECT doc_id, max(CASE WHEN kind = 'whole' THEN licence END) AS licence, count(*) FILTER (kind = 'line') AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
-    FROM (SELECT doc_id, kind, {_spelled(_CANONICAL('u'))} AS c FROM units) JOIN known USING (c) GROUP BY doc_id)
+    FROM looked JOIN known USING (c) GROUP BY doc_id)
 SELECT doc_id, licence, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices FROM documents LEFT JOIN found USING (doc_id)""")
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents"))

@@ -4,9 +4,13 @@ The trees are fitted on a bounded sample: a node splits its sample at the median
 random vectors. The forest has ``TREES`` trees of at most ``LEAVES`` leaves, so it is small, whatever the table, and goes to
 every task; all rows are indexed by the leaves that they fall into.
 
-A query's search has one priority queue for all trees. It holds branches not taken, by how far the query is from their
-splitting plane; the nearest is followed to its leaf, until the leaves hold ``VISIT`` of all rows, and ``LEAST_ROWS`` of them, counted once
-for each tree. The rows of those leaves are the candidates, and they are reranked by exact cosine in double precision.
+A query's search has one priority queue for all trees. It holds branches not taken, by how far the query is from the
+splitting planes between (their squares summed); the nearest is followed to its leaf, until the leaves hold ``VISIT`` times the rows there are, a row counted
+once for each tree it is met in. The rows of those leaves are the candidates, and they are reranked by exact cosine in double
+precision.
+
+Vectors of different lengths have no cosine, so each length has a forest of its own; a length too rare for the sample has one
+leaf, which its queries search whole.
 
 Spark brings the rows of a leaf and the queries that visit it together. A leaf of many rows, such as one with a vector
 that a third of all rows share, is cut into parts of bounded size, each visited on its own; a part gives its five best
@@ -28,9 +32,7 @@ from .common import stage
 TREES = 4
 LEAVES = 64
 SAMPLE_ROWS = 20_000
-VISIT = 0.35
-# Rows that a search takes in at least, in each tree, if there are so many.
-LEAST_ROWS = 1000
+VISIT = 1.2
 TOP = 5
 PART_ROWS = 8192
 SEED = 11
@@ -89,7 +91,7 @@ def visits(forest: list[Tree], query: np.ndarray, held: dict[tuple[int, int], in
         while node >= 0:
             side = float(query @ tree.normal[node]) - tree.cut[node]
             near, other = tree.kids[node][side > 0], tree.kids[node][side <= 0]
-            heapq.heappush(queue, (max(far, abs(side)), t, other))
+            heapq.heappush(queue, (far + side * side, t, other))
             node = near
         if n := held.get((t, -1 - node), 0):
             out.append((t, -1 - node))
@@ -116,8 +118,14 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest part to about one: exact, and nothing overflows or vanishes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(-1, keepdims=True))[1])
+
+
 def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Cosine of each row with the query; equal rows give equal values wherever they stand."""
+    rows, query = _scaled(rows), _scaled(query)
     return (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
 
 
@@ -143,47 +151,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, top:
     """(query_id, rank, vec_id, score): the ``top`` nearest rows found for each query, nearest first, ties to the smaller id.
 
     Rows whose vector is null, zero, or holds a part that is null or not finite take no part; neither do rows with a null
-    id, nor those of another length than the smallest id's. Rows that repeat an id and vector count once. With ``visit`` of one or
-    more every row is a candidate. An empty table gives no rows; other columns are not read.
+    id. Candidates of a query are the vectors of its own length. Rows that repeat an id and vector count once. With ``visit``
+    of ``trees`` or more every row is a candidate. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_, vector).distinct()
-    size = rows.agg(F.min_by(F.size("v"), "id").alias("n")).collect()[0]["n"]
-    rows = stage(rows.where(F.size("v") == F.lit(size if size is not None else -1)), "vectors")
-    asks = usable(queries, id_, vector).distinct().where(F.size("v") == F.lit(size if size is not None else -1))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = plant(_unit(np.array(sample["v"].tolist(), np.float64)), trees, leaves)
+    rows = stage(usable(vectors, id_, vector).distinct(), "vectors")
+    asks = usable(queries, id_, vector).distinct()
+    sample: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    forests = {n: plant(_unit(np.array(of, np.float64)), trees, leaves) for n, of in sorted(sample.items())}
+    known = F.size("v").isin(sorted(forests))
+
+    def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+        sizes = batch.column(1).value_lengths().to_numpy()
+        for n in np.unique(sizes).tolist():
+            yield n, batch if (sizes == n).all() else batch.take(pa.array(np.flatnonzero(sizes == n)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for n, batch in by_length(whole):
                 unit = _unit(_matrix(batch.column(1)))
-                for t, tree in enumerate(forest):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(tree.place(unit).astype(np.int32)), batch.column(0), batch.column(1)], names=["tree", "leaf", "id", "v"])
-
-    placed = stage(rows.mapInArrow(place, "tree int, leaf int, id long, v array<double>"), "placed")
-    counted = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()  # at most trees * leaves rows
-    held = {(r["tree"], r["leaf"]): r["n"] for r in counted}
-    parts = {k: -(-n // part_rows) for k, n in held.items()}
-    limit = max(visit * sum(held.values()), trees * LEAST_ROWS)
+                fixed = pa.array(np.full(batch.num_rows, n, np.int32))
+                for t, tree in enumerate(forests[n]):
+                    yield pa.RecordBatch.from_arrays([fixed, pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(tree.place(unit).astype(np.int32)), batch.column(0), batch.column(1)], names=["size", "tree", "leaf", "id", "v"])
+
+    keys = ["size", "tree", "leaf", "part"]
+    placed = stage(rows.where(known).mapInArrow(place, "size int, tree int, leaf int, id long, v array<double>"), "placed")
+    counted = placed.groupBy(*keys[:3]).agg(F.count("*").alias("n")).collect()  # at most trees * leaves rows for each length of the sample
+    held: dict[int, dict] = {n: {} for n in forests}
+    for r in counted:
+        held[r["size"]][r["tree"], r["leaf"]] = r["n"]
+    limits = {n: visit * sum(of.values()) / trees for n, of in held.items()}
+    parts_of = lambda n: -(-n // part_rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [visits(forest, q, held, limit) for q in _unit(_matrix(batch.column(1)))]
-            deal = [(i, t, leaf, p) for i, of in enumerate(found) for t, leaf in of for p in range(parts[t, leaf])]
-            if deal:
-                i, t, leaf, p = (np.array(x) for x in zip(*deal))
-                for a in range(0, len(i), 20_000):
-                    cut = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[cut].astype(np.int32)) for x in (t, leaf, p)] + [batch.column(c).take(pa.array(i[cut])) for c in (0, 1)], names=["tree", "leaf", "part", "id", "v"])
-
-    counts = spark.createDataFrame([(t, leaf, n) for (t, leaf), n in parts.items()], "tree int, leaf int, parts int")
-    split = placed.join(F.broadcast(counts), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
-    asked = asks.mapInArrow(ask, "tree int, leaf int, part int, id long, v array<double>")
+        for whole in batches:
+            for n, batch in by_length(whole):
+                found = [visits(forests[n], q, held[n], limits[n]) for q in _unit(_matrix(batch.column(1)))]
+                deal = [(n, t, leaf, p, i) for i, of in enumerate(found) for t, leaf in of for p in range(parts_of(held[n][t, leaf]))]
+                for a in range(0, len(deal), 20_000):
+                    *key, i = (np.array(x, np.int32) for x in zip(*deal[a : a + 20_000]))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, key), *(batch.column(c).take(pa.array(i)) for c in (0, 1))], names=[*keys, "id", "v"])
+
+    counts = spark.createDataFrame([(r["size"], r["tree"], r["leaf"], parts_of(r["n"])) for r in counted], "size int, tree int, leaf int, parts int")
+    split = placed.join(F.broadcast(counts), keys[:3]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int")).select(*keys, "id", "v")
+    asked = asks.where(known).mapInArrow(ask, "size int, tree int, leaf int, part int, id long, v array<double>")
+    rare = rows.where(~known)
+    if not rare.isEmpty():
+        one = lambda df, part: df.select(F.size("v").alias("size"), F.lit(0).alias("tree"), F.lit(0).alias("leaf"), part.cast("int").alias("part"), "id", "v")
+        sizes = rare.groupBy(F.size("v").alias("of")).agg(F.ceil(F.count("*") / part_rows).alias("parts"))
+        rare = rare.join(sizes, F.size("v") == F.col("of"))
+        split = split.union(one(rare, F.pmod(F.xxhash64("id", "v"), F.col("parts"))))
+        asked = asked.union(one(asks.where(~known).join(sizes, F.size("v") == F.col("of")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), F.col("p")))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -192,8 +212,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, top:
             best = best_in_part(left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"]), top)
         return pa.Table.from_pandas(best, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), preserve_index=False)
 
-    keys = ["tree", "leaf", "part"]
-    found = split.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    found = split.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
     # A row may be found in several trees, with the same score.
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import lzma
+import math
 import random
 import re
 import urllib.parse
@@ -322,30 +323,78 @@ def test_language_edges(spark):
 # ------------------------------------------------------------------ neighbours
 
 
+def exact_nearest(rows, every=50, top=5):
+    """By exact fractions: (query, rank, vec) and the cosine of doubles scaled by powers of two."""
+    fit = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            e = math.frexp(max(map(abs, v)))[1]
+            fit[i, tuple(v)] = np.ldexp(np.array(v, float), -e)
+    out = {}
+    for (q, qv), a in fit.items():
+        if q % every == 0:
+            scored = [(-float((a * b).sum() / (np.sqrt((b * b).sum()) * np.sqrt((a * a).sum()))), i) for (i, v), b in fit.items() if i != q and len(v) == len(qv)]
+            out[q] = [(i, -s) for s, i in sorted(scored)[:top]]
+    return out
+
+
+def found_nearest(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
 def test_every_leaf_visited_is_exact(spark):
     rng = random.Random(10)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(300 + i, [1.0, 2.0] + [0.0] * 6) for i in range(60)]
-    rows += [(None, [1.0] * 8), (400, None), (450, [0.0] * 8), (500, [float("nan")] + [1.0] * 7), (550, [None] + [1.0] * 7), (600, [float("inf")] + [1.0] * 7), (0, rows[0][1]), (700, [3e200] + [1e200] * 7)]
+    rows += [(None, [1.0] * 8), (400, None), (450, [0.0] * 8), (500, [float("nan")] + [1.0] * 7), (550, [None] + [1.0] * 7), (600, [float("inf")] + [1.0] * 7), (0, rows[0][1])]
+    rows += [(700, [3e200] + [1e200] * 7), (701, [3e-200] + [1e-200] * 7), (702, [1e308, -1e308] + [0.0] * 6), (750, [5e-324] + [0.0] * 7)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, id string").repartition(3)
-    got = neighbours.nearest(table, table.where("vec_id % 50 = 0"), "vec_id", "embedding", visit=1.0, part_rows=40).collect()
-    fit = [r for r in rows if r[0] != 700]
-    want = {q: [] for q, _, _ in brute.nearest(fit, 5, lambda i: i % 50 == 0)}
-    for q, _, v in brute.nearest(fit, 5, lambda i: i % 50 == 0):
-        want[q].append(v)
-    have = {}
-    for r in sorted(got):
-        have.setdefault(r.query_id, []).append(r.vec_id)
-    for q, of in want.items():
-        assert [v for v in have[q] if v != 700][:4] == [v for v in of if v != 700][:4]
-    assert sorted({r["rank"] for r in got}) == [1, 2, 3, 4, 5]
+    got = found_nearest(neighbours.nearest(table, table.where("vec_id % 50 = 0"), "vec_id", "embedding", visit=4.0, part_rows=40))
+    want = exact_nearest(rows)
+    assert {q: [i for i, _ in of] for q, of in got.items()} == {q: [i for i, _ in of] for q, of in want.items()}
+    assert all(abs(a[1] - b[1]) <= 1e-15 for q in want for a, b in zip(got[q], want[q]))
+    # Ties of equal vectors go to the smaller ids, and extremes meet what points their way.
+    assert [i for i, _ in got[300]] == [301, 302, 303, 304, 305] and got[700][0] == (701, 1.0)
+
+
+def test_lengths_do_not_mix(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5 if i % 3 else 9)]) for i in range(200)] + [(1000, [1.0]), (1050, [2.0, 1.0]), (1051, [1.0, 1.0]), (1001, [-3.0])]
+    rows = [(0, [1.0, 1.0, 1.0]), *rows[1:]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sample in (20_000, 20):  # a small sample knows only some lengths
+        got = found_nearest(neighbours.nearest(table, table.where("vec_id % 50 = 0"), "vec_id", "embedding", visit=4.0, sample_rows=sample, part_rows=7))
+        assert {q: [i for i, _ in of] for q, of in got.items()} == {q: [i for i, _ in of] for q, of in exact_nearest(rows).items() if of}
+
+
+def recall(spark, rows, **options):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    got = found_nearest(neighbours.nearest(table, table.where("vec_id % 50 = 0"), "vec_id", "embedding", **options))
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = 0
+    for q, of in got.items():
+        score = np.where(ids == q, -2.0, unit @ unit[ids == q][0])
+        bar = np.sort(score)[-5]
+        hit += sum(s >= bar - 1e-12 for _, s in of)
+        assert len(of) == 5
+    return hit / (5 * len(got))
 
 
 def test_recall_on_the_given_vectors(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
-    want = {(q, v) for q, _, v in brute.nearest(rows, 5, lambda i: i % 50 == 0)}
-    got = {(r.query_id, r.vec_id) for r in neighbours.nearest_of_every(vectors).collect()}
-    assert len(want & got) >= 0.9 * len(want)
+    for sf in ("0.01", "0.1"):
+        rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").collect()]
+        assert recall(spark, rows) >= 0.9
+
+
+def test_recall_with_a_hot_vector(spark):
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(20_000, 24))
+    v[::3] = v[0]  # a third of all rows
+    assert recall(spark, [(i, x.tolist()) for i, x in enumerate(v) if i % 50 or i < 3000], part_rows=2000) >= 0.9
 
 
 def test_few_or_no_vectors(spark):

@@ -182,7 +182,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, top:
     held: dict[int, dict] = {n: {} for n in forests}
     for r in counted:
         held[r["size"]][r["tree"], r["leaf"]] = r["n"]
-    limits = {n: visit * sum(of.values()) / trees for n, of in held.items()}
+    # A row is met once in each tree at most, so no search ends with fewer than ``top`` others to rank.
+    limits = {n: max(visit * sum(of.values()) / trees, trees * (top + 1)) for n, of in held.items()}
     parts_of = lambda n: -(-n // part_rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

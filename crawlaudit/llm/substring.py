@@ -11,7 +11,7 @@ same name and the rounds need no dictionary passed around. Equal passages get eq
    document holds rules out every window that must contain it, because a symbol's neighbourhood says which words decide it.
 3. Only windows that neither rules out are compared word for word, by a fingerprint of all their words.
 
-Fingerprints are 96 bits. Names that many documents share stay balanced: minima are combined before the shuffle, and the
+Fingerprints are 93 bits, of polynomials modulo a prime. Names that many documents share stay balanced: minima are combined before the shuffle, and the
 joins back to them are plain equi joins of stored tables, whose hot partitions adaptive execution splits.
 """
 
@@ -35,7 +35,9 @@ GROUP_WORDS = 200_000
 FAR = 1 << 40
 
 U = np.uint64
-BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+# Three polynomials modulo a prime: modulo a power of two some regular sequences have equal values at every base.
+PRIME = U((1 << 31) - 1)
+BASES = (1_268_112_683, 846_930_886, 1_957_747_793)
 MIX = U(0xFF51AFD7ED558CCD)
 
 
@@ -44,6 +46,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME, which is one less than a power of two."""
+    for _ in range(2):
+        x = (x & PRIME) + (x >> U(31))
+    x = (x & PRIME) + (x >> U(31))
+    return np.where(x == PRIME, U(0), x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, U)
+    while len(out) < n:
+        out = np.concatenate([out, _reduced(out * U(pow(base, len(out), int(PRIME))))])
+    return out[:n]
+
+
 class Words:
     """The words of a group of documents as one array of hashes, with fingerprints of any span."""
 
@@ -58,15 +75,21 @@ class Words:
         n = len(self.hash)
         self._lanes = []
         for base in BASES:
-            inverse = U(pow(int(base), -1, 1 << 64))
-            power = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(n, b, U)]))
-            values = _mix(self.hash + base)
-            sums = np.concatenate([np.zeros(1, U), np.cumsum(values * power(base)[:n], dtype=U)])
-            self._lanes.append((sums, power(inverse)))
+            values = _reduced(_reduced(_mix(self.hash + U(base))) * _powers(base, n))
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
+            self._lanes.append((sums, _powers(pow(base, -1, int(PRIME)), n + 1)))
 
-    def fingerprint(self, start: np.ndarray, end: np.ndarray, lane: int) -> np.ndarray:
+    def _polynomial(self, start: np.ndarray, end: np.ndarray, lane: int) -> np.ndarray:
         sums, inverse = self._lanes[lane]
-        return _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U))
+        return _reduced(_reduced(sums[end] - sums[start]) * inverse[start])
+
+    def fingerprint(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """62 bits of the words of each span, and its length."""
+        return _mix((self._polynomial(start, end, 0) << U(31) | self._polynomial(start, end, 1)) + ((end - start).astype(U) << U(48)))
+
+    def check(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """31 more bits."""
+        return self._polynomial(start, end, 2)
 
 
 def _runs(w: Words, name, s, e, lo, hi):
@@ -85,7 +108,7 @@ def _runs(w: Words, name, s, e, lo, hi):
     end = np.concatenate([at[1:], [len(s)]]) - 1
     grown = at != end
     s, e, name = s[at], e[end], name[at]
-    name[grown] = w.fingerprint(s[grown], e[grown], 0)
+    name[grown] = w.fingerprint(s[grown], e[grown])
     return (name, s, e, None, None) if lo is None else (name, s, e, np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at))
 
 
@@ -105,7 +128,7 @@ def _pairs(w: Words, name, s, e, lo, hi, turn: int):
         lo, hi = np.minimum(lo, np.where(left, next_lo, last_lo))[keep], np.maximum(hi, np.where(left, next_hi, last_hi))[keep]
     e = np.where(pair, np.concatenate([e[1:], e[-1:]]), e)[keep]
     name, s, grown = name[keep], s[keep], pair[keep]
-    name[grown] = w.fingerprint(s[grown], e[grown], 0)
+    name[grown] = w.fingerprint(s[grown], e[grown])
     return name, s, e, lo, hi
 
 
@@ -113,7 +136,7 @@ def parse(w: Words, window: int = WINDOW, low_rounds: int = LOW_ROUNDS, step: in
     """Low-level symbols (start, end, first and last deciding word) and high-level ones (start, end) of a group."""
     n = len(w.hash)
     s, e = np.arange(n), np.arange(1, n + 1)
-    name, lo, hi = w.fingerprint(s, e, 0), s.copy(), e.copy()
+    name, lo, hi = w.fingerprint(s, e), s.copy(), e.copy()
     low, high, before = None, [], 0
     turn = 0
     while n:
@@ -153,11 +176,11 @@ def _words(batch: pa.RecordBatch) -> Words:
 
 
 def _rows(batch: pa.RecordBatch, w: Words, s: np.ndarray, e: np.ndarray, *names: str) -> pa.RecordBatch:
-    """Spans as rows: fingerprint (64 and 32 bits), document, start, number of words."""
+    """Spans as rows: fingerprint (62 and 31 bits), document, start, number of words."""
     at = w.doc[s]
     doc, sub = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("doc", "sub"))
-    k1 = w.fingerprint(s, e, 0).view(np.int64)
-    k2 = (w.fingerprint(s, e, 1) & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    k1 = w.fingerprint(s, e).view(np.int64)
+    k2 = w.check(s, e).astype(np.int32)
     columns = {"k1": k1, "k2": k2, "doc": doc, "sub": sub, "s": (s - w.starts[at]).astype(np.int32), "n": (e - s).astype(np.int32)}
     return pa.RecordBatch.from_pydict({n: columns[n] for n in names})
 
@@ -228,15 +251,31 @@ def _remove():
     return run
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc, sub): ``doc`` orders rows and (doc, sub) tells different texts apart.
+
+    Where ids do not repeat, an id is enough. The texts of an id that comes again get numbers in a stored table, which they
+    find by a 128-bit digest.
+    """
+    keyed = docs.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    again = stage(keyed.groupBy(F.col("doc").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), "again")
+    if again.isEmpty():
+        return keyed.withColumn("sub", F.lit(0).cast("long"))
+    hashed = keyed.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    texts = hashed.join(again, hashed["doc"] == again["again"], "left_semi").select(F.col("doc").alias("of"), F.col("digest").alias("known")).distinct()
+    texts = stage(texts.withColumn("sub", F.monotonically_increasing_id()), "texts")
+    found = hashed.join(texts, (hashed["doc"] == texts["of"]) & (hashed["digest"] == texts["known"]), "left")
+    return found.select("doc_id", "text", "doc", F.coalesce("sub", F.lit(0).cast("long")).alias("sub"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, low_rounds: int = LOW_ROUNDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): each document without the passages of earlier ones.
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller doc_id; windows are
-    judged on the input. Null text has no words. A null doc_id comes after every other one. Rows that repeat a doc_id are
-    rows of their own and take nothing from each other. An empty table gives no rows; other columns are not read.
+    judged on the input. Null text has no words. A null doc_id comes after every other one. Rows that repeat a doc_id take
+    nothing from each other, and those with the same text have the same result. An empty table gives no rows; other columns are not read.
     """
-    last = F.lit((1 << 63) - 1)
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", last).alias("doc"), F.hash("text").alias("sub"))
+    keyed = numbered(docs.select("doc_id", "text"))
     inner = keyed.select("text", "doc", "sub")
 
     def least(table: DataFrame) -> DataFrame:
@@ -247,14 +286,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, low_rounds: int = LOW_
         return table.join(names, (table["k1"] == names["j1"]) & (table["k2"] == names["j2"])).select(*columns)
 
     span = F.shiftleft(F.col("s").cast("long"), 32) + F.col("n")
-    symbols = stage(inner.mapInArrow(_symbols(window, low_rounds), "k1 long, k2 int, doc long, sub int, s int, n int"), "symbols")
+    symbols = stage(inner.mapInArrow(_symbols(window, low_rounds), "k1 long, k2 int, doc long, sub long, s int, n int"), "symbols")
     names = stage(least(symbols), "names")
     found = back(symbols, names, "doc", "sub", span.alias("span"), (F.col("n") <= window).alias("low"), ((F.col("n") >= window) & (F.col("least") < F.col("doc"))).alias("gone"))
     flags = stage(found.groupBy("doc", "sub").agg(F.collect_list(F.when(F.col("low"), F.col("span"))).alias("shared"), F.collect_list(F.when(F.col("gone"), F.col("span"))).alias("covered")), "flags")
     drop_staged(symbols, names)
 
     marked = inner.join(flags, ["doc", "sub"], "left")
-    windows = stage(marked.mapInArrow(_windows(window, low_rounds), "k1 long, k2 int, doc long, sub int, s int"), "windows")
+    windows = stage(marked.mapInArrow(_windows(window, low_rounds), "k1 long, k2 int, doc long, sub long, s int"), "windows")
     names = stage(least(windows), "names")
     hits = back(windows, names, "doc", "sub", "s", "least").where("least < doc")
     spans = hits.select("doc", "sub", (F.shiftleft(F.col("s").cast("long"), 32) + window).alias("span"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,34 @@ def test_repeated_passage_in_a_very_long_text(spark):
     assert sorted(map(tuple, got), key=brute.key) == brute.repeats(rows, 50)
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    # Two texts with one 32-bit hash, and many texts without an id.
+    seen, pair = {}, None
+    candidates = [(i, " ".join(f"w{i}x{k}" for k in range(55))) for i in range(150_000)]
+    for r in spark.createDataFrame(candidates, "i long, text string").select("i", F.hash("text").alias("h")).collect():
+        if r.h in seen:
+            pair = seen[r.h], r.i
+            break
+        seen[r.h] = r.i
+    x, y = (candidates[i][1] for i in pair)
+    rows = [(1, x), (5, x), (5, y), (None, x), (None, y), (None, "z " + y), (None, None), (None, "")]
+    got = substring.remove_repeats(table(spark, rows)).drop("kept_text").collect()
+    assert sorted(map(tuple, got), key=brute.key) == brute.repeats(rows, 50)
+    assert [r.n_removed for r in got if r.doc_id == 5 and r.n_words == 55].count(0) == 1
+
+
+def test_regular_sequences_have_different_fingerprints():
+    bits = "".join(str(bin(i).count("1") % 2) for i in range(4096))
+    words = substring.Words([" ".join("ab"[int(c)] for c in bits[:n]).encode() for n in (1024, 4096)] + [" ".join("ba"[int(c)] for c in bits[:1024]).encode()])
+    start, end = np.array([0, 1024, 5120]), np.array([1024, 2048, 6144])
+    a, b, c = words.fingerprint(start, end).tolist()
+    assert a == b != c and words.check(start, end).tolist()[0] != words.check(start, end).tolist()[2]
+    low, (s, e) = substring.parse(words)
+    of = {}
+    for x, y, k in zip(s.tolist(), e.tolist(), words.fingerprint(s, e).tolist()):
+        assert of.setdefault(k, words.hash[x:y].tobytes()) == words.hash[x:y].tobytes()
+
+
 def texts(seed, n=200):
     rng = random.Random(seed)
     stories = [[rng.choice("abcdefgh") + str(rng.randint(0, 50)) for _ in range(200)] for _ in range(5)]

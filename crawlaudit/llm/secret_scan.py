@@ -369,13 +369,47 @@ def unescaped_streams(layer: Layer) -> Iterator[Layer]:
             yield from _inflated(data[m.start() : done], start[m.start()], end[done - 1])
 
 
-def _within(layer: Layer) -> Iterator[Layer]:
-    plain = unescaped(layer)
-    if plain is not None:
-        yield plain
-        if ODD.search(plain[0]):
-            yield from unescaped_streams(layer)
-    yield from unpacked(layer)
+# An opener behind which one unit comes again and again: each level of unescaping takes one unit away and leaves the rest.
+DEEP = re.compile(r"(?:%(25)|&(\#[0-9]{1,7};|\#[xX][0-9A-Fa-f]{1,6};)|\\(x5[cC]|u005[cC]|U0000005[cC]))(?:\1|\2|\3){7,}+")
+# Levels read as they are before and after the levels that a jump passes: every place of a base64 run in its group of four.
+STEADY = 4
+_HEX_RUN = re.compile("[0-9a-f]*")
+
+
+def _deep_runs(text: str) -> list[tuple[int, int, int]] | None:
+    """(opener, length of the unit, units) of every deep run, if the text has no other escape; else None."""
+    runs = []
+    for m in ESCAPES.finditer(text):
+        deep = DEEP.match(text, m.start())
+        unit = deep and next(u for u in deep.groups() if u)
+        # The first escape has to give the opener back, and to stand alone.
+        if not deep or m.end() != m.start() + 1 + len(unit) or _decoded(m[0]) != [(text[m.start()], 0, len(m[0]))]:
+            if _decoded(m[0]) is None:
+                continue
+            return None
+        runs.append((m.start(), len(unit), (len(deep[0]) - 1) // len(unit)))
+    return runs or None
+
+
+def _jumped(layer: Layer, runs: list[tuple[int, int, int]], found: set) -> Layer:
+    """The layer so many levels on that its shortest deep run has STEADY units left; ``found`` gets what the levels between show.
+
+    Between, only units go. They show hexadecimal runs that begin at a later unit each time, and nothing else: what a base64
+    run decodes to is the end of what it decoded to some levels before.
+    """
+    text, start, end = layer
+    levels = min(units for _, _, units in runs) - STEADY
+    parts, starts, ends, at = [], [], [], 0
+    for opener, size, units in runs:
+        if text[opener] == "%":
+            stop = _HEX_RUN.match(text, opener + 1).end()
+            found.update((int(start[opener + 1 + k * size]), int(end[stop - 1]), "hex") for k in range(1, levels) if stop - opener - 1 - k * size >= 24)
+        after = opener + 1 + levels * size
+        parts += [text[at : opener + 1]]
+        starts.append(start[at : opener + 1])
+        ends += [end[at:opener], end[after - 1 : after]]
+        at = after
+    return "".join(parts) + text[at:], np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]])
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -385,24 +419,43 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         return _ordered(found)
     n = np.arange(len(text))
     done: set[tuple] = set()
-    work: list[tuple[Iterator[Layer], frozenset]] = [(iter([(text, n, n + 1)]), frozenset())]
+    above: set[bytes] = set()  # the layers between the text and the one that is read
+
+    def below(layer: Layer | None, outermost: bool = False) -> Iterator[Layer]:
+        """Searches a layer and what its escapes leave, level after level, and gives the layers inside each.
+
+        A level is given up before the next is made, so a chain of escapes holds one layer, however long it is.
+        """
+        marks, steady = [], 0
+        while layer is not None and layer[0]:
+            mark = hashlib.blake2b(layer[0].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            # The same text from the same place was searched before, whatever the way to it.
+            at = (mark, int(layer[1][0]), int(layer[2][-1]))
+            if mark in above or at in done:
+                break
+            done.add(at)
+            above.add(mark)
+            marks.append(mark)
+            if not outermost:
+                found.update((int(layer[1][a]), int(layer[2][b - 1]), kind) for a, b, kind in base_spans(layer[0]))
+            outermost = False
+            plain = unescaped(layer)
+            if plain is not None and ODD.search(plain[0]):
+                yield from unescaped_streams(layer)
+            yield from unpacked(layer)
+            runs = None if plain is None else _deep_runs(layer[0])
+            steady = steady + 1 if runs else 0
+            layer, plain = (plain, None) if steady <= STEADY else (_jumped(layer, runs, found), None)
+            steady = min(steady, STEADY)
+        above.difference_update(marks)
+
+    work = [below((text, n, n + 1), True)]
     while work:
-        layers, above = work[-1]
-        layer = next(layers, None)
-        if layer is None:
+        inner = next(work[-1], None)
+        if inner is None:
             work.pop()
-            continue
-        if not layer[0]:
-            continue
-        mark = hashlib.blake2b(layer[0].encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        # The same text from the same place was searched before, whatever the way to it.
-        at = (mark, int(layer[1][0]), int(layer[2][-1]))
-        if mark in above or at in done:
-            continue
-        done.add(at)
-        if above:
-            found |= {(int(layer[1][a]), int(layer[2][b - 1]), kind) for a, b, kind in base_spans(layer[0])}
-        work.append((_within(layer), above | {mark}))
+        else:
+            work.append(below(inner))
     return _ordered(found)
 
 

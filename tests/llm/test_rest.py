@@ -7,6 +7,7 @@ import lzma
 import math
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -179,6 +180,32 @@ def test_large_streams_are_cut_outside_of_runs(monkeypatch):
         assert [k for _, _, k in secret_scan.scan(text)] == ["assign"], at
 
 
+def test_jumps_show_what_level_after_level_shows(monkeypatch):
+    rng = random.Random(21)
+    units = [("%", "25"), ("&", "#38;"), ("&", "#x26;"), ("\\", "x5c"), ("\\", "u005c"), ("\\", "U0000005C")]
+    ends = ["41", "3d", "#65;", "x41", "25token=abcdefgh", "41" * 15, "25" + base64.b64encode(b"say token=abcdefgh").decode()]
+    texts = []
+    for _ in range(300):
+        deep = ["".join((opener := rng.choice(units))[:1]) + opener[1] * rng.randint(0, 30) + rng.choice(ends) for _ in range(rng.randint(1, 3))]
+        texts.append(rng.choice(["", "token=", "x ", "%41 "]) + rng.choice([" ", "", "ab"]).join(deep) + rng.choice(["", " password: zzzzzz", "%61"]))
+    jumped = [secret_scan.scan(t) for t in texts]
+    monkeypatch.setattr(secret_scan, "STEADY", 10**9)
+    assert jumped == [secret_scan.scan(t) for t in texts]
+
+
+def test_very_deep_nesting():
+    deep = 100_000
+    tracemalloc.start()
+    spans = secret_scan.scan("%" + "25" * deep + "41 token=abcdefgh")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Each level's digits, as long as there are 24 of them, begin one unit later.
+    end = 2 * deep + 3
+    assert spans == [(1 + 2 * k, end, "hex") for k in range(deep - 10)] + [(end + 1, end + 15, "assign")]
+    assert peak < 300 << 20
+    assert secret_scan.scan("&" + "#38;" * deep + "#65; token=abcdefgh") == [(4 * deep + 6, 4 * deep + 20, "assign")]
+
+
 def test_secret_table(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "token=abcdefgh", None), (3, "token=abcdefgh", "x"), (3, "token=abcdefgh", "x")]
     got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()

@@ -13,7 +13,7 @@ Likely partners are found by bands of sampled steps, each read with the text's o
 fifth apart meet; the likeness of whole fingerprints verifies them.
 
 Spark orders the documents by ranges of ids and brings each range, and the first document of the next, to a task; texts are
-shuffled once. A task streams through its range and holds two texts at a time.
+shuffled once. A task streams through its range and holds a block of documents at a time, whose walks go on side by side.
 """
 
 from __future__ import annotations
@@ -37,8 +37,11 @@ ALIKE = 0.9
 PERIOD = 1 << 14
 CLASSES = 256
 SEED = 12
-# Characters walked at a time, and bytes of text in a range of ids.
-WALKED = 1 << 16
+# Characters of one block of documents, and of a text whose places are looked up at a time; walks that still go on together.
+BLOCK_CHARS = 4_000_000
+WALKED = 1 << 20
+TOGETHER = 24
+# Bytes of text in a range of ids.
 RANGE_BYTES = 32 << 20
 MOST_RANGES = 20_000  # ranges grow beyond that
 CELL_ROWS = 4096
@@ -46,14 +49,14 @@ NOTHING = 0
 
 
 @lru_cache(1)
-def waits() -> list[bytes]:
-    """For each class of characters: how many steps a walk that comes at step j stays."""
+def waits() -> np.ndarray:
+    """For each class of characters and step j: how many steps a walk that comes at step j stays."""
     go = np.random.default_rng(SEED).random((CLASSES, PERIOD)) < 0.5
-    out = []
-    for line in go:
+    out = np.empty((CLASSES, PERIOD), np.uint8)
+    for line, row in zip(go, out):
         at = np.flatnonzero(line)
         upcoming = np.append(at, at[0] + PERIOD)[np.searchsorted(at, np.arange(PERIOD))]
-        out.append(np.minimum(upcoming - np.arange(PERIOD) + 1, 255).astype(np.uint8).tobytes())
+        row[:] = np.minimum(upcoming - np.arange(PERIOD) + 1, 255)
     return out
 
 
@@ -67,6 +70,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+@lru_cache(1 << 16)
 def length_class(n: int) -> int:
     """The smallest class whose length is ``n`` or more."""
     c = max(0, int(np.floor(4 * np.log2(max(n, 1)))) - 1)
@@ -93,35 +97,61 @@ def steps(c: int) -> np.ndarray:
     return np.sort(best).astype(np.int64)
 
 
-class Walk:
-    """What a walk writes at the asked steps; text is fed to it piece by piece."""
-
-    def __init__(self, asked: np.ndarray, at: int = 0):
-        self.asked, self.at = asked, at
-        self.written = np.full(len(asked), NOTHING, np.uint8)
-
-    def feed(self, codes: np.ndarray) -> None:
-        table, mask = waits(), PERIOD - 1
-        for start in range(0, len(codes), WALKED):
-            part = codes[start : start + WALKED]
-            mixed = _mixed(part.astype(np.uint64) + np.uint64(1))
-            stays = bytearray()
-            put, t = stays.append, self.at
-            for row in map(table.__getitem__, (mixed & np.uint64(CLASSES - 1)).astype(np.uint8).tobytes()):
-                wait = row[t & mask]
-                t += wait
-                put(wait)
-            left = self.at + np.cumsum(np.frombuffer(stays, np.uint8), dtype=np.int64)  # the step at which each character is left
-            lo, hi = np.searchsorted(self.asked, (self.at, t))
-            if hi > lo:
-                on = np.searchsorted(left, self.asked[lo:hi], side="right")
-                self.written[lo:hi] = 1 + (mixed[on] >> np.uint64(40)).astype(np.int64) % 255
-            self.at = t
-
-
-def printed(written: np.ndarray, n: int) -> str:
+def classes_of(codes: np.ndarray) -> np.ndarray:
+    return (_mixed(codes.astype(np.uint64) + np.uint64(1)) & np.uint64(CLASSES - 1)).astype(np.uint8)
+
+
+def walks(texts: list[np.ndarray], begin: list[int]) -> list[np.ndarray]:
+    """How many steps each character takes in walks over ``texts``, given as classes, that begin at the given steps.
+
+    All walks go on together, one character of each at a time, the longest first; the last few are finished one by one.
+    """
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    flat = np.concatenate([texts[i] for i in order]) if order else np.zeros(0, np.uint8)
+    at = np.array([begin[i] for i in order], np.int64)
+    stays, table, mask = np.empty(len(flat), np.uint8), waits(), PERIOD - 1
+    rising, n, k = -sizes, len(order), 0
+    while n >= TOGETHER:
+        here = starts[:n] + k
+        stay = table[flat[here], at[:n] & mask]
+        stays[here] = stay
+        at[:n] += stay
+        k += 1
+        n = int(np.searchsorted(rising[:n], -k))  # those longer than k
+    rows = [row.tobytes() for row in table] if n else []
+    for w in range(n):
+        t, rest = int(at[w]), bytearray()
+        put = rest.append
+        for row in map(rows.__getitem__, flat[starts[w] + k : ends[w]].tobytes()):
+            stay = row[t & mask]
+            t += stay
+            put(stay)
+        stays[starts[w] + k : ends[w]] = np.frombuffer(rest, np.uint8)
+    out: list = [None] * len(order)
+    for i, a, b in zip(order, starts.tolist(), ends.tolist()):
+        out[i] = stays[a:b]
+    return out
+
+
+def written(codes: np.ndarray, stays: np.ndarray, begin: int, asked: np.ndarray) -> np.ndarray:
+    """What a walk writes at the asked steps; NOTHING before it begins and after it ends."""
+    out = np.full(len(asked), NOTHING, np.uint8)
+    for start in range(0, len(codes), WALKED):
+        left = begin + np.cumsum(stays[start : start + WALKED], dtype=np.int64)  # the step at which each character is left
+        lo, hi = np.searchsorted(asked, (begin, left[-1]))
+        if hi > lo:
+            on = codes[start + np.searchsorted(left, asked[lo:hi], side="right")]
+            out[lo:hi] = 1 + (_mixed(on.astype(np.uint64) + np.uint64(1)) >> np.uint64(40)).astype(np.int64) % 255
+        begin = int(left[-1])
+    return out
+
+
+def printed(values: np.ndarray, n: int) -> str:
     """A fingerprint: the length class and two hexadecimal digits for each sampled step."""
-    return f"{length_class(n):02x}:{written.tobytes().hex()}" if n else "00:"
+    return f"{length_class(n):02x}:{values.tobytes().hex()}" if n else "00:"
 
 
 def read_print(fingerprint: str) -> tuple[int, np.ndarray]:
@@ -129,13 +159,13 @@ def read_print(fingerprint: str) -> tuple[int, np.ndarray]:
     return int(c, 16), np.frombuffer(bytes.fromhex(digits), np.uint8)
 
 
+def prints_of(codes: list[np.ndarray], stays: list[np.ndarray]) -> list[str]:
+    return [printed(written(c, w, 0, steps(length_class(len(c)))) if len(c) else c, len(c)) for c, w in zip(codes, stays)]
+
+
 def fingerprint(text: str) -> str:
     codes = codes_of(text)
-    if not len(codes):
-        return printed(np.zeros(0, np.uint8), 0)
-    walk = Walk(steps(length_class(len(codes))))
-    walk.feed(codes)
-    return printed(walk.written, len(codes))
+    return prints_of([codes], walks([classes_of(codes)], [0]))[0]
 
 
 def sampled_at(c: int, written: np.ndarray, longer: int) -> np.ndarray:
@@ -163,43 +193,28 @@ def likeness(a: str, b: str) -> float:
     return float(agreement(sampled_at(ca, wa, cb), wb))
 
 
-class Document:
-    """One document of the stream: its text, and its fingerprint once it is asked for."""
-
-    def __init__(self, doc_id: int | None, text: str):
-        self.doc_id, self.text, self.codes = doc_id, text, codes_of(text)
-        self._print: str | None = None
-
-    @property
-    def print(self) -> str:
-        if self._print is None:
-            self._print = fingerprint(self.text)
-        return self._print
-
-    def edited(self, after: Document) -> tuple[str, str]:
-        """The text with its last third replaced by the beginning of the next document's, and that text's fingerprint.
-
-        The walk is shared up to the cut: both fingerprints are read from one walk over what stays.
-        """
-        n = len(self.codes)
-        keep, taken = n - n // 3, after.codes[: n // 3]
-        m = keep + len(taken)
-        if not n:
-            self._print = printed(np.zeros(0, np.uint8), 0)
-            return "", self._print
-        own, new = steps(length_class(n)), steps(length_class(m))
-        both = np.union1d(own, new)
-        walk = Walk(both)
-        walk.feed(self.codes[:keep])
-        fork = Walk(both, walk.at)
-        fork.feed(taken)
-        reached = both >= walk.at
-        changed = np.where(reached, fork.written, walk.written)
-        if self._print is None:
-            walk.feed(self.codes[keep:])
-            self._print = printed(walk.written[np.searchsorted(both, own)], n)
-        text = self.text[:keep] + after.text[: n // 3]
-        return text, printed(changed[np.searchsorted(both, new)], m)
+def compare(docs: list[tuple[int | None, str]]) -> Iterator[tuple]:
+    """Rows of all but the last of ``docs`` (doc_id, text), each with the one behind it as its next.
+
+    The edited text is the text with its last third replaced by the beginning of the next. Its walk goes along the text's
+    own walk up to the cut.
+    """
+    codes = [codes_of(text) for _, text in docs]
+    classes = [classes_of(c) for c in codes]
+    stays = walks(classes, [0] * len(docs))
+    prints = prints_of(codes, stays)
+    thirds = [len(c) // 3 for c in codes]
+    keeps = [len(c) - k for c, k in zip(codes, thirds)]
+    cuts = [int(w[:keep].sum(dtype=np.int64)) for w, keep in zip(stays, keeps)]
+    forks = walks([after[:k] for after, k in zip(classes[1:], thirds)], cuts[:-1])
+    for i, fork in enumerate(forks):
+        (doc_id, text), (_, after), keep, cut = docs[i], docs[i + 1], keeps[i], cuts[i]
+        n = keep + len(fork)
+        asked = steps(length_class(n))
+        both = np.maximum(written(codes[i][:keep], stays[i][:keep], 0, asked), written(codes[i + 1][: len(fork)], fork, cut, asked))
+        edited, changed = text[:keep] + after[: thirds[i]], printed(both, n)
+        hashed = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+        yield doc_id, len(codes[i]), hashed, prints[i], changed, likeness(prints[i], changed), likeness(prints[i], prints[i + 1]), edited
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_text string"
@@ -251,31 +266,24 @@ def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> Da
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def row(doc: Document, after: Document) -> tuple:
-        text, changed = doc.edited(after)
-        hashed = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc.doc_id, len(doc.codes), hashed, doc.print, changed, likeness(doc.print, changed), likeness(doc.print, after.print), text
+    def solved(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(docs) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*compare(docs)), types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = None, None
-        out: list[tuple] = []
-        held = 0
+        part, block, held = None, [], 0
         for batch in batches:
             for at, guest, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(5)):
                 if at != part:
-                    part, before = at, None
-                elif before is None:  # further guests
+                    part = at
+                elif not block:  # a further guest
                     continue
-                doc = Document(doc_id, text.as_py())
-                if before is not None:
-                    out.append(row(before, doc))
-                    held += len(out[-1][-1])
-                before = None if guest else doc
-            if held > 4 << 20 or len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                text = text.as_py()
+                block.append((doc_id, text))
+                held += len(text)
+                if guest or held >= BLOCK_CHARS:
+                    yield from solved(block)
+                    block, held = ([], 0) if guest else ([block[-1]], len(text))
 
     return ordered_ranges(docs, range_bytes).mapInArrow(run, SCHEMA)
 

@@ -109,7 +109,7 @@ def plain_walk(text):
     mixed = editprint._mixed(codes.astype(np.uint64) + np.uint64(1))
     written, at = [], 0
     for m in mixed.tolist():
-        wait = table_[m % editprint.CLASSES][at % editprint.PERIOD]
+        wait = int(table_[m % editprint.CLASSES][at % editprint.PERIOD])
         written += [1 + (m >> 40) % 255] * wait
         at += wait
     return written

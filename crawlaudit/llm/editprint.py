@@ -113,7 +113,7 @@ def walks(texts: list[np.ndarray], begin: list[int]) -> list[np.ndarray]:
     flat = np.concatenate([texts[i] for i in order]) if order else np.zeros(0, np.uint8)
     at = np.array([begin[i] for i in order], np.int64)
     stays, table, mask = np.empty(len(flat), np.uint8), waits(), PERIOD - 1
-    rising, n, k = -sizes, len(order), 0
+    rising, n, k = -sizes, int((sizes > 0).sum()), 0
     while n >= TOGETHER:
         here = starts[:n] + k
         stay = table[flat[here], at[:n] & mask]

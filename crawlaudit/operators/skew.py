@@ -57,17 +57,37 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     Cuts lineage in storage that outlives executors, and gives later readers column
     pruning, filters and sizes. ``drop_staged`` removes the tables when their query is done.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return _written(df, path, *partition_by)
+
+
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+    """A stored table whose maker removes it with ``drop_tables``."""
+    return _written(df, f"{shared_folder(df.sparkSession)}/staged/{uuid.uuid4().hex}", *partition_by)
+
+
+def _written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     w = df.write
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.split("/staged/")[0] + "/staged/" + f.split("/staged/")[1].split("/")[0] for f in table.inputFiles()}:
+            _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Remove every table staged so far; what reads them must have ended."""
     for path in _STAGED:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(spark, path)
     _STAGED.clear()

@@ -133,13 +133,19 @@ def _live_evidence(spark, runtime: DataFrame, catalog) -> DataFrame:
     )
 
 
-def page_containers(signals: DataFrame, requests: DataFrame | None, containers: DataFrame) -> DataFrame:
-    """(page_id, container_id) for the containers a page names in code or loads."""
+def named_containers(signals: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """(page_id, container_id) for the containers a page names in code or loads, known or not."""
     named = signals.where("kind in ('script', 'inline', 'noscript', 'iframe')").select("page_id", "value")
     if requests is not None:
         named = named.unionByName(requests.select("page_id", F.col("url").alias("value")))
-    ids = named.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(r"(?<![A-Za-z0-9])(GTM-[A-Z0-9]{4,10})"), F.lit(1)))).alias("container_id"))
-    return lookup_join(ids.distinct(), containers.select("container_id").distinct(), ["container_id"], "inner").select("page_id", "container_id")
+    ids = F.array_distinct(F.regexp_extract_all("value", F.lit(r"(?<![A-Za-z0-9])(GTM-[A-Z0-9]{4,10})"), F.lit(1)))
+    return named.select("page_id", F.explode(ids).alias("container_id")).distinct()
+
+
+def page_containers(signals: DataFrame, requests: DataFrame | None, containers: DataFrame) -> DataFrame:
+    """(page_id, container_id) for the containers a page names that are there to read."""
+    ids = named_containers(signals, requests)
+    return lookup_join(ids, containers.select("container_id").distinct(), ["container_id"], "inner").select("page_id", "container_id")
 
 
 def _container_evidence(signals, requests, containers, catalog) -> DataFrame:

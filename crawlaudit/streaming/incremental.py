@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.latest import TTL_HOURS
 from ..sources.tables import SCHEMAS, newest
 
 
@@ -48,14 +49,22 @@ class BatchLog:
     def append(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/b={batch}")
 
-    def read(self) -> DataFrame:
-        """Newest row per key over the last compaction and every batch after it."""
+    @property
+    def columns(self) -> list[str]:
+        return self.spark.createDataFrame([], self.schema).columns
+
+    def all_rows(self, without: int | None = None) -> DataFrame:
+        """Every row of the last compaction and of every batch after it, but those of the batch ``without``."""
         bases = self._finished("c")[-1:]
-        later = [b for b in self._finished("b") if not bases or b > bases[0]]
+        later = [b for b in self._finished("b") if (not bases or b > bases[0]) and b != without]
         folders = [f"{self.path}/c={c}" for c in bases] + [f"{self.path}/b={b}" for b in later]
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return latest_wins(self.spark.read.schema(self.schema).parquet(*folders), self.key, self.version)
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def read(self, without: int | None = None) -> DataFrame:
+        """Newest row per key of :meth:`all_rows`."""
+        return latest_wins(self.all_rows(without), self.key, self.version)
 
     def compact(self) -> None:
         """Fold every finished batch and remove the folded folders; nothing may be reading them."""
@@ -84,3 +93,51 @@ def run_incremental(stream: DataFrame, audit: Callable[[DataFrame], DataFrame],
 def refresh_cache(cache: DataFrame, answers: DataFrame) -> DataFrame:
     """Answer cache after a batch: errors are not kept, the newest answer wins."""
     return latest_wins(cache.unionByName(answers.where("error is null").select(*cache.columns)), "key", "fetched_at")
+
+
+CACHE_EVENTS = "key string, event string, version string, fetched_at timestamp, expires_at timestamp"
+
+
+def cached_answers(answers: DataFrame, ttl_hours: int = TTL_HOURS, lateness: str = "0 seconds") -> DataFrame:
+    """Stream of cache events (key, event, version, fetched_at, expires_at) from a stream of answers.
+
+    The state of a key is its newest usable answer. It lives in Spark's checkpointed state and ends when the watermark of
+    ``fetched_at`` passes the answer's life, so an answer expires although nothing of its key arrives. ``event`` is ``kept``
+    for a first or newer answer and ``expired``; errors and older answers change nothing.
+    """
+    import pandas as pd
+
+    life = pd.Timedelta(hours=ttl_hours)
+
+    def follow(key, frames, state):
+        if state.hasTimedOut:
+            version, fetched = state.get
+            state.remove()
+            at = pd.Timestamp(fetched, unit="us")
+            yield pd.DataFrame({"key": [key[0]], "event": ["expired"], "version": pd.array([version], "string"), "fetched_at": [at], "expires_at": [at + life]})
+            return
+        held = state.get if state.exists else None
+        best = held
+        for frame in frames:
+            for version, fetched in zip(frame["version"], frame["fetched_us"]):
+                if best is None or (int(fetched), version or "") > (best[1], best[0] or ""):
+                    best = (version if isinstance(version, str) else None, int(fetched))
+        ends = best[1] // 1000 + ttl_hours * 3_600_000
+        if best != held and ends > state.getCurrentWatermarkMs():
+            state.update(best)
+            at = pd.Timestamp(best[1], unit="us")
+            yield pd.DataFrame({"key": [key[0]], "event": ["kept"], "version": pd.array([best[0]], "string"), "fetched_at": [at], "expires_at": [at + life]})
+        if state.exists:
+            # A timeout fires once the watermark is beyond it: an answer's last moment is one before its end.
+            state.setTimeoutTimestamp(max(state.get[1] // 1000 + ttl_hours * 3_600_000 - 1, state.getCurrentWatermarkMs() + 1))
+
+    usable = answers.where("error is null").withWatermark("fetched_at", lateness)
+    rows = usable.select("key", "version", F.unix_micros("fetched_at").alias("fetched_us"), "fetched_at")
+    return rows.groupBy("key").applyInPandasWithState(follow, CACHE_EVENTS, "version string, fetched_us long", "append", "EventTimeTimeout")
+
+
+def cache_state(events: DataFrame) -> DataFrame:
+    """(key, version, fetched_at): what the cache holds after its logged events."""
+    order = F.struct("fetched_at", F.when(F.col("event") == "expired", 1).otherwise(0).alias("late"), "version")
+    last = events.groupBy("key").agg(F.max_by(F.struct("event", "version", "fetched_at"), order).alias("e"))
+    return last.where("e.event = 'kept'").select("key", "e.version", "e.fetched_at")

@@ -16,7 +16,7 @@ from crawlaudit.operators import cms, containers as K, corpus, export, extract a
 from crawlaudit.operators import page as A, robots as R, serp, skew, structured as SD, tech as TE, trackers as TR
 from crawlaudit.plans import audit
 from crawlaudit.sources import tables
-from crawlaudit.streaming import incremental as INC
+from crawlaudit.streaming import incremental as INC, refine as RF
 
 from . import fixtures as FX, samples as SA
 
@@ -840,7 +840,8 @@ ANSWERS = """SELECT page_id AS p, 'k' || page_id AS key, CASE WHEN page_id % 5 <
     CASE WHEN page_id % 5 <> 0 AND page_id % 7 <> 0 AND page_id % 3 = 0 THEN '7.1.3|6.9.10' END AS offers,
     page_id % 5 = 0 OR (page_id % 7 <> 0 AND page_id % 3 <> 0 AND page_id % 11 = 0) AS unlisted,
     CASE WHEN page_id % 5 <> 0 AND page_id % 7 <> 0 AND page_id % 3 = 2 AND page_id % 11 <> 0 THEN 'Theme ' || page_id END AS theme_name,
-    CASE WHEN page_id % 5 <> 0 AND page_id % 7 = 0 THEN 'Not JSON' END AS error FROM pages"""
+    CASE WHEN page_id % 5 <> 0 AND page_id % 7 = 0 THEN 'Not JSON' END AS error,
+    strftime(TIMESTAMP '2026-01-02 00:00:00' - to_hours(page_id % 24), '%Y-%m-%d %H:%M:%S') AS fetched_at FROM pages"""
 
 
 @query(f"SELECT key, version, offers, unlisted, theme_name, error FROM ({ANSWERS})")
@@ -1007,12 +1008,82 @@ def incremental_audit(spark, sf):
     return longs(log.read().select("page_id", "url", "title", "links"))
 
 
-@query(f"SELECT key, version FROM ({ANSWERS}) WHERE error IS NULL AND p % 24 < 12 AND version IS NOT NULL")
+@query(f"SELECT key, version, fetched_at FROM ({ANSWERS}) WHERE error IS NULL")
 def refreshed_cache(spark, sf):
     answers = L.read_answers(FX.raw_answers(spark, sf))
     cut = F.expr("timestamp'2026-01-01 12:00:00'")
-    cache = INC.refresh_cache(answers.where(F.col("fetched_at") <= cut), answers)
-    return cache.where((F.col("fetched_at") > cut) & F.col("version").isNotNull()).select("key", "version")
+    first = INC.refresh_cache(answers.limit(0), answers.where(F.col("fetched_at") <= cut))
+    return INC.refresh_cache(first, answers).select("key", "version", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"))
+
+
+@query(f"""SELECT key, version, CASE WHEN fetched_at > '2026-01-01 12:00:00' THEN 'kept' ELSE 'expired' END AS event FROM (SELECT 'k' || p % 60 AS key, version, fetched_at,
+    row_number() OVER (PARTITION BY p % 60 ORDER BY fetched_at DESC, coalesce(version, '') DESC) AS n FROM ({ANSWERS}) WHERE error IS NULL) WHERE n = 1""")
+def cache_stream(spark, sf):
+    """Three batches of answers in the order of their times; the stream stops after two and goes on from its checkpoint."""
+    folder = _scratch(spark)
+    answers = L.read_answers(FX.raw_answers(spark, sf)).withColumn("key", F.concat(F.lit("k"), F.regexp_replace("key", "k", "").cast("bigint") % 60))
+    hour = F.hour("fetched_at") + 24 * (F.dayofmonth("fetched_at") - 1)
+    batches = [answers.where(hour.between(a, b)) for a, b in ((0, 8), (9, 16), (17, 24))]
+    schema = answers.schema
+    log = INC.BatchLog(spark, f"{folder}/events", INC.CACHE_EVENTS, "key", "fetched_at")
+
+    def go_on():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/answers")
+        query = INC.cached_answers(stream).writeStream.foreachBatch(log.append).option("checkpointLocation", f"{folder}/checkpoint")
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    for n, batch in enumerate(batches):
+        batch.coalesce(1).write.mode("append").parquet(f"{folder}/answers")
+        if n:
+            go_on()
+    events = log.all_rows()
+    last = events.groupBy("key").agg(F.max_by(F.struct("event", "version"), F.struct("fetched_at", F.when(F.col("event") == "expired", 1).otherwise(0), "version")).alias("e"))
+    return last.select("key", "e.version", "e.event")
+
+
+UPDATES = """SELECT p AS page_id, 'tech' AS kind, 'wordpress' AS item, NULL AS id, 'update' AS status FROM e WHERE p % 8 = 0 UNION ALL SELECT p, 'plugin', 'cf7', NULL, 'behind' FROM e WHERE p % 8 = 0
+    UNION ALL SELECT p, 'theme', 'acme-child', NULL, 'unlisted' FROM e WHERE p % 8 = 0 UNION ALL SELECT p, 'tech', 'jquery', NULL, CASE WHEN p % 7 < 5 THEN 'behind' ELSE 'latest' END FROM e WHERE p % 8 = 3"""
+
+
+def _refinery(spark, sf, folder: str):
+    """Trackers and update status of pages, refined by containers and by latest versions."""
+    requests, runtime, probes = FX.page_requests(spark, sf), FX.runtime_state(spark, sf), FX.probes(spark, sf)
+    responses = FX.responses(spark, sf)
+    none = F.lit(None).cast("string")
+
+    def derive(pages, signals, sides):
+        own = lambda df: df.join(pages.select("page_id"), "page_id", "left_semi")
+        asked = own(requests)
+        trackers = TR.detect_trackers(signals, asked, own(runtime), sides["containers"])
+        d = cms.detect(signals, headers=TE.page_headers(pages, responses), probes=cms.accepted_probes(probes, pages))
+        tech, plugins, themes = L.with_latest(d["tech"], d["plugins"], d["themes"], sides["latest"])
+        row = lambda df, kind, item: df.where("update is not null").select("page_id", F.struct(F.lit(kind).alias("kind"), F.col(item).alias("item"), none.alias("id"), F.col("update.status").alias("status")).alias("row"))
+        rows = trackers.select("page_id", F.struct(F.lit("tracker").alias("kind"), F.col("tracker").alias("item"), "id", "status").alias("row"))
+        rows = rows.unionByName(row(tech, "tech", "tech")).unionByName(row(plugins, "plugin", "id")).unionByName(row(themes, "theme", "slug"))
+        key = lambda df, source, column: df.select("page_id", F.struct(F.lit(source).alias("source"), F.col(column).alias("key")).alias("named"))
+        keys = key(TR.named_containers(signals, asked), "containers", "container_id").unionByName(key(L.lookup_targets(d["tech"], d["plugins"], d["themes"]), "latest", "key"))
+        both = rows.select("page_id", "row", F.lit(None).cast("struct<source:string,key:string>").alias("named")).unionByName(keys.select("page_id", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "named"))
+        return both.groupBy("page_id").agg(F.array_sort(F.collect_list("row")).alias("result"), F.array_sort(F.collect_list("named")).alias("keys"))
+
+    sides = {name: RF.Side(tables.SCHEMAS[name], key) for name, key in (("containers", "container_id"), ("latest", "key"))}
+    facts = "page_id bigint, kind string, seq int, key string, value string"
+    return RF.Refinery(spark, folder, sides, facts, "array<struct<kind:string,item:string,id:string,status:string>>", lambda pages: X.signals(X.page_records(pages, *X.SIGNAL_COLUMNS)), derive)
+
+
+@query(RULES + f"SELECT page_id, 'tracker' AS kind, tracker AS item, id, status FROM ({FULL_TRACKERS}) UNION ALL {UPDATES}")
+def refined_audit(spark, sf):
+    """Pages, then containers, then answers, each a batch of its own stream; later batches derive the pages they touch."""
+    folder = _scratch(spark)
+    refinery = _refinery(spark, sf, f"{folder}/state")
+    at = lambda n: F.expr(f"timestamp_seconds({n})").alias("fetched_at")
+    arrivals = {
+        "pages": FX.enriched(spark, sf).select("page_id", "url", "html", F.expr("timestamp_seconds(1700000000 + page_id)").alias("collected_at")),
+        "containers": FX.containers(spark, sf).select("*", at(1)), "latest": FX.latest(spark, sf),
+    }
+    for source, rows in arrivals.items():
+        rows.write.parquet(f"{folder}/{source}")
+        refinery.start(source, spark.readStream.schema(rows.schema).parquet(f"{folder}/{source}")).awaitTermination()
+    return refinery.read().select("page_id", F.explode("result").alias("r")).select("page_id", "r.*")
 
 
 @query(RULES + "SELECT p AS page_id, 'acme' AS tracker, 'AC-' || (1030000 + p) AS id FROM e")

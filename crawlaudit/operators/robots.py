@@ -1,8 +1,8 @@
 """robots.txt at crawl scale.
 
-Files are parsed one row each; the rules of an (origin, agent) become one sorted
-array, so checking pages is a join on the origin followed by work inside the row:
-a thousand rules never multiply a billion pages.
+Files are parsed one row each. Rules are indexed by the literal prefix that all paths they cover share, and a page looks up
+the prefixes of its own path, of the lengths that its origin's rules have: an equi join on (origin, prefix) brings the few
+rules worth trying, so a file of ten thousand rules costs a page no more than one of ten.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, urls as U
 from ..sources.tables import newest
-from .skew import lookup_join
+from .skew import lookup_join, staged
 
 DEFAULT_AGENT = "googlebot"
 # Crawler agents of the access matrix.
@@ -88,24 +88,28 @@ def matches_rule(pattern: Column, path: Column) -> Column:
 
 
 def agent_rules(rules: DataFrame, agents: list[str]) -> DataFrame:
-    """One row per (origin, agent): its group name and its rules, best first.
+    """(origin, agent, group, rule_no, type, path, line): the rules that hold for each agent.
 
-    All groups that name the agent merge; only an agent nobody names falls back to
-    ``*``. A robots.txt file is one row upstream, which bounds the array.
+    All groups that name the agent merge; only an agent nobody names falls back to ``*``. A group without rules keeps one
+    row without a path.
     """
     names = sorted({a.lower() for a in agents})
     specific = rules.where(F.col("agent").isin(names)).withColumn("group", F.col("agent"))
     stars = rules.where("agent = '*'").withColumn("group", F.lit("*")).withColumn("agent", F.explode(F.array(*map(F.lit, names))))
     stars = stars.join(specific.select("origin", "agent").distinct(), ["origin", "agent"], "left_anti")
-    both = specific.unionByName(stars)
-    usable = F.col("path").isNotNull() & (F.col("path") != "")
-    rule = F.when(usable, F.struct(
-        (-F.length("path")).alias("rank"), (F.col("type") != "allow").alias("block"), F.col("rule_no").alias("no"),
-        rule_prefix(F.col("path")).alias("prefix"), rule_regex(F.col("path")).alias("regex"), F.col("type").alias("type"), F.col("path").alias("path"), F.col("line").alias("line"),
-    ))
-    return both.groupBy("origin", "agent").agg(
-        F.max("group").alias("group"), F.array_sort(F.collect_list(rule)).alias("rules")
+    return specific.unionByName(stars).select("origin", "agent", "group", "rule_no", "type", "path", "line")
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(origin, prefix, rules): the rules of :func:`agent_rules` that share a literal prefix, best first; empty paths say nothing.
+
+    The longest path is best, then Allow, then the first in the file.
+    """
+    rule = F.struct(
+        (-F.length("path")).alias("rank"), (F.col("type") != "allow").alias("block"), F.col("rule_no").alias("no"), "line", "agent", rule_regex(F.col("path")).alias("regex"),
     )
+    usable = rules.where("path is not null and path <> ''")
+    return usable.groupBy("origin", rule_prefix(F.col("path")).alias("prefix")).agg(F.array_sort(F.collect_list(rule)).alias("rules"))
 
 
 def check_urls(pages: DataFrame, files: DataFrame, agents: list[str] = (DEFAULT_AGENT,)) -> DataFrame:
@@ -115,30 +119,36 @@ def check_urls(pages: DataFrame, files: DataFrame, agents: list[str] = (DEFAULT_
     allowed. A status of 500 or more blocks, any other failure status allows, and
     a missing file or a network error leaves ``allowed`` NULL (unknown).
     """
+    names = sorted({x.lower() for x in agents})
     files = newest(files, "origin")
-    urls = pages.select("page_id", "url", U.origin_of(F.col("url")).alias("origin"))
-    rules = agent_rules(robots_rules(files.where(_ok())), agents)
-    # One row per origin with an agent -> rules list keeps the page side unmultiplied until the very end.
-    by_origin = rules.groupBy("origin").agg(F.collect_list(F.struct("agent", "group", "rules")).alias("per_agent"))
-    status = files.select("origin", F.col("status").alias("robots_status"), F.col("error").alias("robots_error")).join(by_origin, "origin", "left")
-    joined = lookup_join(urls, status, ["origin"])
-    joined = joined.withColumn("agent", F.explode(F.array(*[F.lit(a) for a in sorted({x.lower() for x in agents})])))
-    mine = F.get(F.filter("per_agent", lambda a: a["agent"] == F.col("agent")), F.lit(0))
-    path = U.path_and_query(F.col("url"))
-    df = joined.withColumns({"_mine": mine, "_path": path})
-    best = F.get(F.filter("_mine.rules", lambda r: F.startswith(F.col("_path"), r["prefix"]) & F.regexp_like(F.col("_path"), r["regex"])), F.lit(0))
-    df = df.withColumn("_best", best)
-    is_file = F.regexp_replace("_path", r"\?.*", "") == "/robots.txt"
+    rules = staged(agent_rules(robots_rules(files.where(_ok())), names))
+    lengths = F.array_sort(F.collect_set(F.when(F.col("path") != "", F.length(rule_prefix(F.col("path"))))))
+    groups = rules.groupBy("origin").agg(F.collect_set(F.struct("agent", "group")).alias("groups"), lengths.alias("lengths"))
+    status = files.select("origin", F.col("status").alias("robots_status"), F.col("error").alias("robots_error")).join(groups, "origin", "left")
+    urls = pages.select("page_id", "url", U.origin_of(F.col("url")).alias("origin"), U.path_and_query(F.col("url")).alias("path"))
+    known = lookup_join(urls, status, ["origin"])
+    own = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.left("path", n))
+    looked = staged(known.select("page_id", "url", "origin", "path", "robots_status", "robots_error", "groups", F.explode_outer(own).alias("prefix")))
+    met = lookup_join(looked, rule_index(rules), ["origin", "prefix"])
+    # One pass over the few candidates for each agent; an aggregate takes the best of a page's prefixes.
+    first = lambda agent: F.get(F.filter("rules", lambda r: (r["agent"] == agent) & F.regexp_like(F.col("path"), r["regex"])), F.lit(0))
+    met = met.withColumn("found", F.array(*[first(a) for a in names]))
+    best = [F.min(F.get("found", F.lit(i))).alias(f"best{i}") for i in range(len(names))]
+    one = met.groupBy("page_id", "url").agg(*[F.first(c).alias(c) for c in ("path", "robots_status", "robots_error", "groups")], *best)
+    agent = F.explode(F.array(*[F.struct(F.lit(a).alias("agent"), F.col(f"best{i}").alias("best")) for i, a in enumerate(names)]))
+    df = one.select("page_id", "path", "robots_status", "robots_error", "groups", agent.alias("a")).select("*", "a.*")
+    group = F.get(F.filter("groups", lambda g: g["agent"] == F.col("agent")), F.lit(0))["group"]
+    is_file = F.regexp_replace("path", r"\?.*", "") == "/robots.txt"
     ok = (F.col("robots_status") >= 200) & (F.col("robots_status") < 300)
     return df.select(
         "page_id", "agent", "robots_status",
         F.when(F.col("robots_error").isNotNull() | F.col("robots_status").isNull(), F.lit(None).cast("boolean"))
         .when(F.col("robots_status") >= 500, False)
-        .when(~ok | is_file | F.col("_best").isNull(), True)
-        .otherwise(~F.col("_best.block")).alias("allowed"),
+        .when(~ok | is_file | F.col("best").isNull(), True)
+        .otherwise(~F.col("best.block")).alias("allowed"),
         F.coalesce(F.col("robots_status") >= 500, F.lit(False)).alias("server_error"),
-        F.when(ok & ~is_file, F.col("_best.line")).alias("rule"),
-        F.when(ok & ~is_file, F.col("_mine.group")).alias("group"),
+        F.when(ok & ~is_file, F.col("best.line")).alias("rule"),
+        F.when(ok & ~is_file, group).alias("group"),
     )
 
 

@@ -467,6 +467,19 @@ def robots_check(spark, sf):
     return c.select("page_id", "allowed", "server_error", "rule", "group")
 
 
+@query(RULES + """SELECT p AS page_id, p % 3 <> 0 AS allowed, CASE WHEN p % 3 = 0 THEN 'Disallow' ELSE 'Allow' END || ': /en/' || p || '$' AS rule FROM e""")
+def robots_large_files(spark, sf):
+    """Files of ten thousand rules and more: one for each page of the crawl, and as many for other addresses."""
+    pages = FX.enriched(spark, sf)
+    rule = F.expr("concat(if(page_id % 3 = 0, 'Disallow', 'Allow'), ': /en/', page_id, '$')")
+    of_pages = pages.select(U.origin_of(F.col("url")).alias("origin"), rule.alias("rule"))
+    others = pages.select(U.origin_of(F.col("url")).alias("origin")).distinct().select("origin", F.explode(F.expr("transform(sequence(1, 10000), n -> concat('Disallow: /other/', n, '*x'))")).alias("rule"))
+    lines = of_pages.unionByName(others).groupBy("origin").agg(F.collect_list("rule").alias("rules"))
+    body = F.concat(F.lit("User-agent: *\nDisallow: /en/1\n"), F.array_join("rules", "\n"))
+    files = lines.select("origin", F.lit(200).alias("status"), body.alias("body"), F.lit(None).cast("string").alias("error"))
+    return R.check_urls(pages, files).select("page_id", "allowed", "rule")
+
+
 @query(RULES + f"""SELECT p AS page_id, agent, CASE p % 7 WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN NULL ELSE
       CASE WHEN agent IN ('googlebot', 'bingbot') THEN coalesce({PATH_RULE} NOT LIKE 'Dis%', true) WHEN agent = 'gptbot' THEN false ELSE true END END AS allowed
     FROM (SELECT *, unnest(['googlebot', 'bingbot', 'gptbot', 'claudebot', 'perplexitybot']) AS agent FROM e)""")

@@ -221,13 +221,12 @@ def validate(catalog: list[dict]) -> list[dict]:
     return catalog
 
 
-def pattern_table(spark: SparkSession, catalog=None) -> DataFrame:
-    return spark.createDataFrame(pattern_rows(catalog), "use string, token string, tech string, pat_ord int, regex string, groups int, label string, rank int")
+PATTERN_SCHEMA = "use string, token string, tech string, pat_ord int, regex string, groups int, label string, rank int"
 
 
-def header_table(spark: SparkSession, catalog=None) -> DataFrame:
-    rows = [(n, t["id"], i, f"(?i){p}", group_count(p)) for t in catalog or TECH for i, (n, p) in enumerate(t["sources"].get("header", []))]
-    return spark.createDataFrame(rows, "header string, tech string, pat_ord int, regex string, groups int")
+def header_rows(catalog: list[dict] | None = None) -> list[dict]:
+    """Header patterns, matched case-insensitively in parts of the header's value."""
+    return [dict(header=n, tech=t["id"], pat_ord=i, regex=f"(?i){p}", groups=group_count(p)) for t in catalog or TECH for i, (n, p) in enumerate(t["sources"].get("header", []))]
 
 
 def key_table(spark: SparkSession, use: str, catalog=None) -> DataFrame:

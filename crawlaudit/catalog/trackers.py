@@ -251,8 +251,8 @@ def validate(catalog: list[dict]) -> list[dict]:
     return catalog
 
 
-def pattern_table(spark: SparkSession, catalog=None) -> DataFrame:
-    return spark.createDataFrame(pattern_rows(catalog), PATTERN_SCHEMA)
+def formats(catalog: list[dict] | None = None) -> list[str]:
+    return sorted({t["format"] for t in catalog or TRACKERS if t.get("format")})
 
 
 def tracker_table(spark: SparkSession, catalog=None) -> DataFrame:

@@ -78,15 +78,13 @@ def scan_containers(texts: DataFrame, catalog: list[dict] | None = None) -> Data
     from .trackers import valid_id
 
     spark = texts.sparkSession
-    rows = C.pattern_rows(catalog)
-    pats = C.pattern_table(spark, catalog).where("use = 'container'")
-    gate = {"container": {r["token"] for r in rows if r["use"] == "container"}}
+    pats = [r for r in C.pattern_rows(catalog) if r["use"] == "container"]
     parts = texts.select(
         "container_id", F.lit("container").alias("use"), F.posexplode(F.split("text", r'(?="function":)')).alias("seq", "value")
     )
-    hits = P.match(parts, pats, gate).join(F.broadcast(C.tracker_table(spark, catalog)), "tracker")
+    hits = P.match(parts, pats, C.PATTERN_SCHEMA).join(F.broadcast(C.tracker_table(spark, catalog)), "tracker")
     full = F.when(F.col("prefix").isNotNull() & ~F.startswith("found", F.col("prefix")), F.concat("prefix", "found")).otherwise(F.col("found"))
-    ids = hits.where("part <> 'var' and found is not null").withColumn("id", full).where(valid_id(F.col("id"), F.col("format")))
+    ids = hits.where("part <> 'var' and found is not null").withColumn("id", full).where(valid_id(F.col("id"), F.col("format"), C.formats(catalog)))
     ids = ids.where(~((F.col("tracker") == "gtm") & (F.col("id") == F.col("container_id"))))
     first = F.min(F.struct((F.col("part") != "code").alias("late"), "pat_ord", "seq", "match_pos", "label"))
     found = ids.groupBy("container_id", "tracker", "id").agg(first["label"].alias("label"), F.lit(False).alias("variable"))
@@ -114,7 +112,7 @@ def container_targets(signals: DataFrame, requests: DataFrame | None, rows: Data
     if requests is not None:
         urls = requests.select("page_id", F.lit(0).alias("prio"), F.col("seq").cast("long"), "url").unionByName(urls)
     exact = urls.withColumn("id", F.regexp_extract("url", loader, 1)).where(
-        F.col("url").rlike("(?i)^https?://") & valid_id(F.col("id"), F.lit("GTM-[A-Z0-9]{4,10}"))
+        F.col("url").rlike("(?i)^https?://") & valid_id(F.col("id"), F.lit("GTM-[A-Z0-9]{4,10}"), ["GTM-[A-Z0-9]{4,10}"])
     )
     default = rows.where("tracker = 'gtm' and id is not null and status <> 'gtm-only'").select(
         "page_id", F.lit(2).alias("prio"), F.col("row_no").cast("long").alias("seq"),

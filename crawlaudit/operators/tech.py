@@ -38,7 +38,7 @@ def base_evidence(signals: DataFrame, requests: DataFrame | None = None, headers
     spark = signals.sparkSession
     texts = signals.where("kind in ('generator', 'inline', 'comment', 'body')").select("page_id", F.col("kind").alias("use"), F.col("seq").cast("long"), "value")
     texts = texts.unionByName(page_urls(signals, requests).select("page_id", F.lit("url").alias("use"), "seq", "value"))
-    hits = P.match(texts, C.pattern_table(spark, catalog), P.tokens_of(C.pattern_rows(catalog)))
+    hits = P.match(texts, C.pattern_rows(catalog), C.PATTERN_SCHEMA)
     if url_hits is not None:
         w = W.partitionBy("page_id", "tech", "use", "pat_ord").orderBy("seq")
         hits = hits.withColumn("_n", F.row_number().over(w)).where((F.col("use") != "url") | (F.col("_n") <= url_hits))
@@ -56,12 +56,9 @@ def base_evidence(signals: DataFrame, requests: DataFrame | None = None, headers
         F.coalesce(order[F.col("use")], F.lit(5)).alias("src_ord"), "pat_ord", "seq",
     )
     if headers is not None:
-        parts = F.transform(F.split("value", r",\s*"), lambda p: F.trim(p))
-        j = headers.join(F.broadcast(C.header_table(spark, catalog)), "header")
-        j = j.withColumn("_part", F.get(F.filter(parts, lambda p: F.regexp_like(p, F.col("regex"))), F.lit(0))).where(F.col("_part").isNotNull())
-        found = F.when(F.col("groups") > 0, T.blank_to_null(F.call_function("regexp_extract", F.col("_part"), F.col("regex"), F.col("groups"))))
+        j = P.match_parts(headers, C.header_rows(catalog))
         out = out.unionByName(j.select(
-            "page_id", "tech", F.concat("header", F.lit(": "), T.clip(F.col("value"), 70)).alias("text"), valid_version(found).alias("version"),
+            "page_id", "tech", F.concat("header", F.lit(": "), T.clip(F.col("value"), 70)).alias("text"), valid_version(F.col("found")).alias("version"),
             F.lit(C.RANK["header"]).alias("rank"), F.lit(False).alias("likely"), F.lit(4).alias("src_ord"), "pat_ord", F.lit(0).cast("long").alias("seq"),
         ))
     dom = signals.where("kind = 'dom'").select("page_id", "key", "value").join(F.broadcast(C.key_table(spark, "dom", catalog)), "key")

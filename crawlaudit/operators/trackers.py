@@ -23,20 +23,25 @@ EVIDENCE = "page_id, tracker, kind, label, id, variable, src_ord, seq, pat_ord,
 PLACEHOLDERS = [r"(?i)^x+\z", r"^(.)\1+\z", "^(?:0?123456789|1234567)"]
 
 
-def valid_id(id_: Column, format_: Column) -> Column:
-    """Right shape and not a placeholder: all x, one repeated character, 1234567...."""
+def valid_id(id_: Column, format_: Column, formats: list[str]) -> Column:
+    """Right shape and not a placeholder: all x, one repeated character, 1234567....
+
+    ``formats`` lists the values that ``format_`` may have, so that each is a pattern of its own, compiled once.
+    """
     body = F.regexp_replace(F.regexp_replace(id_, "^[A-Z]{1,3}-", ""), "[-_]", "")
-    shape = F.regexp_like(id_, F.concat(F.lit("^(?:"), format_, F.lit(r")\z")))
+    shape = F.lit(False)
+    for known in formats:
+        shape = F.when(format_ == known, id_.rlike(rf"^(?:{known})\z")).otherwise(shape)
     for fake in PLACEHOLDERS:
         shape = shape & ~body.rlike(fake)
     return F.coalesce(shape, F.lit(False))
 
 
-def _ids(hits: DataFrame) -> DataFrame:
+def _ids(hits: DataFrame, formats: list[str]) -> DataFrame:
     """Add the prefixed id and drop matches whose id is invalid."""
     raw = F.col("found")
     full = F.when(F.col("prefix").isNotNull() & ~F.startswith(raw, F.col("prefix")), F.concat("prefix", raw)).otherwise(raw)
-    return hits.withColumn("id", full).where(F.col("id").isNull() | valid_id(F.col("id"), F.col("format")))
+    return hits.withColumn("id", full).where(F.col("id").isNull() | valid_id(F.col("id"), F.col("format"), formats))
 
 
 def tracker_matches(signals: DataFrame, requests: DataFrame | None = None, catalog: list[dict] | None = None) -> DataFrame:
@@ -53,11 +58,9 @@ def tracker_matches(signals: DataFrame, requests: DataFrame | None = None, catal
     if requests is not None:
         res = requests.groupBy("page_id", "url").agg(F.min("seq").alias("seq"))
         parts = parts.unionByName(res.select("page_id", F.lit("resource").alias("kind"), "seq", F.lit("url").alias("use"), F.col("url").alias("value"), "url"))
-    rows = C.pattern_rows(catalog)
-    gate = P.tokens_of([r for r in rows if r["use"] != "container"])
-    hits = P.match(parts, C.pattern_table(spark, catalog).where("use <> 'container'"), gate)
+    hits = P.match(parts, [r for r in C.pattern_rows(catalog) if r["use"] != "container"], C.PATTERN_SCHEMA)
     meta = C.tracker_table(spark, catalog).select("tracker", "format", "ran", "sends")
-    return _ids(hits.join(F.broadcast(meta), "tracker"))
+    return _ids(hits.join(F.broadcast(meta), "tracker"), C.formats(catalog))
 
 
 def first_url_match(matches: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def _live_evidence(spark, runtime: DataFrame, catalog) -> DataFrame:
     state = runtime.where("space = 'tracker'").select("page_id", "key", "value")
     joined = state.join(F.broadcast(live), "key")
     is_global = F.startswith("key", F.lit("global:"))
-    kept = joined.where(is_global | valid_id(F.col("value"), F.col("format")))
+    kept = joined.where(is_global | valid_id(F.col("value"), F.col("format"), C.formats(catalog)))
     return kept.select(
         "page_id", "tracker", "kind", "label", F.when(~is_global, F.col("value")).alias("id"), F.lit(False).alias("variable"),
         F.lit(5).alias("src_ord"), F.lit(0).alias("seq"), F.lit(0).alias("pat_ord"), F.lit(0).alias("match_pos"),

@@ -666,7 +666,7 @@ def container_constants(spark, sf):
     CASE page_id % 4 WHEN 0 THEN 'G-AB' || lpad('' || page_id, 6, '0') WHEN 1 THEN 'G-XXXXXXXX' WHEN 2 THEN 'G-1234567' || page_id % 9 ELSE 'G-ab' || page_id END AS id FROM pages)""")
 def tracker_id_validity(spark, sf):
     id_ = F.expr("case page_id % 4 when 0 then concat('G-AB', lpad(page_id, 6, '0')) when 1 then 'G-XXXXXXXX' when 2 then concat('G-1234567', page_id % 9) else concat('G-ab', page_id) end")
-    return FX.pages(spark, sf).select("page_id", id_.alias("id")).select("page_id", "id", TR.valid_id(F.col("id"), F.lit("G-[A-Z0-9]{6,12}")).alias("valid"))
+    return FX.pages(spark, sf).select("page_id", id_.alias("id")).select("page_id", "id", TR.valid_id(F.col("id"), F.lit("G-[A-Z0-9]{6,12}"), ["G-[A-Z0-9]{6,12}"]).alias("valid"))
 
 
 # ---------------------------------------------------------------- technologies

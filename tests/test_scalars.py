@@ -83,4 +83,4 @@ def test_hreflang_codes(spark):
 
 def test_placeholder_ids(spark):
     cases = {"G-ABC1234": True, "G-XXXXXXX": False, "G-0000000": False, "G-1234567": False, "G-abc1234": False}
-    assert dict(values(spark, [(k,) for k in cases], "i string", F.col("i"), TR.valid_id(F.col("i"), F.lit("G-[A-Z0-9]{6,12}")))) == cases
+    assert dict(values(spark, [(k,) for k in cases], "i string", F.col("i"), TR.valid_id(F.col("i"), F.lit("G-[A-Z0-9]{6,12}"), ["G-[A-Z0-9]{6,12}"]))) == cases

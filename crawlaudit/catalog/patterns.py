@@ -55,8 +55,8 @@ def _hits(number: int, regex: str, groups: int) -> str:
     return f"transform({both}, (z, i) -> {row('z.m', 'z.g')})"
 
 
-def match(signals: DataFrame, patterns: list[dict], schema: str) -> DataFrame:
-    """Signals (use, value, ...) joined to the patterns that match them.
+def match(signals: DataFrame, patterns: list[dict], schema: str, outer: bool = False) -> DataFrame:
+    """Signals (use, value, ...) joined to the patterns that match them; with ``outer``, signals without a match stay.
 
     Adds the pattern's columns, ``match_pos``, ``matched`` and ``found``: the captured group, or NULL for a pattern without
     one. One matcher finds all tokens of a signal; the patterns of a token found run as literals, inside the row. Matches
@@ -75,8 +75,8 @@ def match(signals: DataFrame, patterns: list[dict], schema: str) -> DataFrame:
         cases.append(f"WHEN {quoted(use)} THEN flatten(transform({tokens}, t -> CASE t {branches} ELSE {none} END))")
     hits = F.expr(f"CASE use {' '.join(cases)} END") if cases else F.expr(none)
     table = spark.createDataFrame([(i, *(p[c.strip().split()[0]] for c in schema.split(","))) for i, p in enumerate(patterns)], f"k int, {schema}")
-    found = signals.select("*", F.explode(hits).alias("_hit")).select(*signals.columns, "_hit.*")
-    return found.join(F.broadcast(table.drop("use")), "k").drop("k")
+    found = signals.select("*", (F.explode_outer if outer else F.explode)(hits).alias("_hit")).select(*signals.columns, "_hit.*")
+    return found.join(F.broadcast(table.drop("use")), "k", "left" if outer else "inner").drop("k")
 
 
 def match_parts(headers: DataFrame, patterns: list[dict]) -> DataFrame:

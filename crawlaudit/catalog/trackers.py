@@ -265,5 +265,5 @@ def tracker_table(spark: SparkSession, catalog=None) -> DataFrame:
 
 
 def live_table(spark: SparkSession, catalog=None) -> DataFrame:
-    rows = [(t["id"], k, kind, label) for t in catalog or TRACKERS for k, kind, label in t.get("live", [])]
-    return spark.createDataFrame(rows, "tracker string, key string, kind string, label string")
+    rows = [(t["id"], k, kind, label, t.get("format")) for t in catalog or TRACKERS for k, kind, label in t.get("live", [])]
+    return spark.createDataFrame(rows, "tracker string, key string, kind string, label string, format string")

@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..catalog import patterns as P, trackers as C
 from ..functions import urls as U
-from .skew import lookup_join, staged
+from .skew import lookup_join
 from .containers import read_containers, scan_containers
 
 # Status ladder, weakest first, and the evidence kind behind each.
 STATUSES = ["gtm-only", "in-page", "loaded", "sending"]
 KIND_RANK = {"container": 1, "code": 2, "loaded": 3, "hit": 4}
 STATUS_LABEL = {"sending": "Sending", "loaded": "Loaded, not sending", "in-page": "In the page, not loaded", "gtm-only": "In GTM only"}
-EVIDENCE = "page_id, tracker, kind, label, id, variable, src_ord, seq, pat_ord, match_pos"
 
 
 # What placeholders look like.
@@ -37,95 +36,105 @@ def valid_id(id_: Column, format_: Column, formats: list[str]) -> Column:
     return F.coalesce(shape, F.lit(False))
 
 
-def _ids(hits: DataFrame, formats: list[str]) -> DataFrame:
-    """Add the prefixed id and drop matches whose id is invalid."""
-    raw = F.col("found")
-    full = F.when(F.col("prefix").isNotNull() & ~F.startswith(raw, F.col("prefix")), F.concat("prefix", raw)).otherwise(raw)
-    return hits.withColumn("id", full).where(F.col("id").isNull() | valid_id(F.col("id"), F.col("format"), formats))
-
-
-def tracker_matches(signals: DataFrame, requests: DataFrame | None = None, catalog: list[dict] | None = None) -> DataFrame:
-    """Every valid match of every signal (T4): kind, seq, tracker, part, label, id, positions.
+def _parts(signals: DataFrame, requests: DataFrame | None) -> DataFrame:
+    """What patterns are matched on: (page_id, kind, seq, use, value, url).
 
     Script addresses also yield attribute text; requests count as kind ``resource``.
     """
-    spark = signals.sparkSession
     code = signals.where("kind in ('inline', 'noscript')").select("page_id", "kind", "seq", F.lit("code").alias("use"), "value", F.lit(None).cast("string").alias("url"))
     url = signals.where("kind in ('script', 'iframe')").select("page_id", "kind", "seq", F.lit("url").alias("use"), "value", F.col("value").alias("url"))
     attrs = F.concat("key", F.lit(' src="'), "value", F.lit('"'))
     tag = signals.where("kind = 'script' and key <> ''").select("page_id", "kind", "seq", F.lit("tag").alias("use"), attrs.alias("value"), F.col("value").alias("url"))
     parts = code.unionByName(url).unionByName(tag)
-    if requests is not None:
-        res = requests.groupBy("page_id", "url").agg(F.min("seq").alias("seq"))
-        parts = parts.unionByName(res.select("page_id", F.lit("resource").alias("kind"), "seq", F.lit("url").alias("use"), F.col("url").alias("value"), "url"))
-    hits = P.match(parts, [r for r in C.pattern_rows(catalog) if r["use"] != "container"], C.PATTERN_SCHEMA)
+    if requests is None:
+        return parts
+    return parts.unionByName(requests.select("page_id", F.lit("resource").alias("kind"), "seq", F.lit("url").alias("use"), F.col("url").alias("value"), "url"))
+
+
+def _matched(parts: DataFrame, catalog: list[dict] | None, outer: bool = False) -> DataFrame:
+    """Matches of parts with their prefixed id (T3); a match with an invalid id is dropped, or with ``outer`` loses its tracker."""
+    spark = parts.sparkSession
+    hits = P.match(parts, [r for r in C.pattern_rows(catalog) if r["use"] != "container"], C.PATTERN_SCHEMA, outer)
     meta = C.tracker_table(spark, catalog).select("tracker", "format", "ran", "sends")
-    return _ids(hits.join(F.broadcast(meta), "tracker"), C.formats(catalog))
+    hits = hits.join(F.broadcast(meta), "tracker", "left")
+    raw = F.col("found")
+    full = F.when(F.col("prefix").isNotNull() & ~F.startswith(raw, F.col("prefix")), F.concat("prefix", raw)).otherwise(raw)
+    hits = hits.withColumn("id", full)
+    good = F.col("id").isNull() | valid_id(F.col("id"), F.col("format"), C.formats(catalog))
+    return hits.withColumn("tracker", F.when(good, F.col("tracker"))) if outer else hits.where(good)
 
 
-def first_url_match(matches: DataFrame) -> DataFrame:
-    """First match per address and tracker (T5): a request tries hits first, an element src first."""
-    lead = F.when(F.col("kind") == "resource", F.col("part") != "hits").otherwise(F.col("part") != "src")
-    best = F.min(F.struct(lead.alias("late"), "pat_ord", "match_pos", "label", "id", "part", "url", "ran"))
-    rows = matches.where("use = 'url'").groupBy("page_id", "kind", "seq", "tracker").agg(best.alias("b"))
-    return rows.select("page_id", "kind", "seq", "tracker", "b.pat_ord", "b.match_pos", "b.label", "b.id", "b.part", "b.url", "b.ran")
+def tracker_matches(signals: DataFrame, requests: DataFrame | None = None, catalog: list[dict] | None = None) -> DataFrame:
+    """Every valid match of every signal (T4): kind, seq, tracker, part, label, id, positions."""
+    return _matched(_parts(signals, requests), catalog)
 
 
-def did_not_run(df: DataFrame, runtime: DataFrame | None) -> DataFrame:
-    """Add ``never_ran``: true only when the runtime says so explicitly."""
-    if runtime is None:
-        return df.withColumn("never_ran", F.lit(False))
-    ran = runtime.where("space = 'ran' and value = 'false'").select("page_id", F.col("key").alias("ran"), F.lit(True).alias("never_ran")).distinct()
-    return df.join(ran, ["page_id", "ran"], "left").withColumn("never_ran", F.coalesce("never_ran", F.lit(False)))
+_READY = "struct<tracker:string,kind:string,label:string,id:string,variable:boolean,src_ord:int>"
+
+
+def _ready(df: DataFrame) -> DataFrame:
+    item = F.struct("tracker", "kind", "label", "id", "variable", "src_ord").cast(_READY)
+    text = F.lit(None).cast("string")
+    return df.select("page_id", F.lit("ready").alias("kind"), F.lit(0).alias("seq"), F.lit("").alias("use"), text.alias("value"), text.alias("url"), item.alias("ready"))
 
 
 def evidence(signals: DataFrame, requests: DataFrame | None = None, runtime: DataFrame | None = None,
              containers: DataFrame | None = None, catalog: list[dict] | None = None) -> DataFrame:
-    """One row per distinct (page, tracker, kind, label, id)."""
+    """One row per distinct (page, tracker, kind, label, id).
+
+    Everything a page offers goes into one table with a tag and is dealt by page once. What follows - which address
+    matched first (T5), which script was loaded, which library never ran (T10), distinct evidence, and the rows of
+    :func:`tracker_rows` - are windows and groups within a page, which that dealing serves without another shuffle.
+    """
     spark = signals.sparkSession
-    matches = staged(tracker_matches(signals, requests, catalog))
-    firsts = did_not_run(first_url_match(matches), runtime)
-    hit = F.col("part") == "hits"
-    of_requests = firsts.where("kind = 'resource'").select(
-        "page_id", "tracker",
-        F.when(hit, "hit").when(F.col("never_ran"), "code").otherwise("loaded").alias("kind"),
-        F.when(hit, F.concat(F.lit("hit to "), "label"))
-        .when(F.col("never_ran"), F.concat("label", F.lit(" requested, never ran (blocked?)")))
-        .otherwise(F.concat("label", F.lit(" loaded"))).alias("label"),
-        "id", F.lit(False).alias("variable"), F.lit(0).alias("src_ord"), "seq", "pat_ord", "match_pos",
-    )
-    elements = firsts.where("kind <> 'resource'").withColumn("_key", U.strip_hash_text(F.col("url")))
-    tags = matches.where("use = 'tag'").withColumn("_key", U.strip_hash_text(F.col("url")))
-    if requests is None:
-        tags = tags.withColumn("_loaded", F.lit(False))
-    else:
-        loaded = requests.select("page_id", U.strip_hash_text(F.col("url")).alias("_key")).distinct()
-        elements = elements.join(loaded, ["page_id", "_key"], "left_anti")
-        tags = tags.join(loaded.withColumn("_loaded", F.lit(True)), ["page_id", "_key"], "left")
-    what = F.when(F.col("kind") == "script", " script in the page, not loaded").otherwise(" iframe in the page, not loaded")
-    of_elements = elements.select(
-        "page_id", "tracker", F.lit("code").alias("kind"), F.concat("label", what).alias("label"), "id", F.lit(False).alias("variable"),
-        F.when(F.col("kind") == "script", 1).otherwise(2).alias("src_ord"), "seq", "pat_ord", "match_pos",
-    )
-    of_tags = tags.select(
-        "page_id", "tracker", F.when(F.col("_loaded"), "loaded").otherwise("code").alias("kind"), F.concat(F.lit("script "), "label").alias("label"),
-        "id", F.lit(False).alias("variable"), F.lit(1).alias("src_ord"), "seq", (F.col("pat_ord") + 100).alias("pat_ord"), "match_pos",
-    )
-    of_code = matches.where("use = 'code'").select(
-        "page_id", "tracker", F.lit("code").alias("kind"), F.concat("kind", F.lit(" "), "label").alias("label"), "id", F.lit(False).alias("variable"),
-        F.when(F.col("kind") == "inline", 3).otherwise(4).alias("src_ord"), "seq", "pat_ord", "match_pos",
-    )
-    rows = of_requests.unionByName(of_elements).unionByName(of_tags).unionByName(of_code)
+    parts = _parts(signals, requests)
     if runtime is not None:
-        rows = rows.unionByName(_live_evidence(spark, runtime, catalog))
+        ran = runtime.where("space = 'ran' and value = 'false'")
+        parts = parts.unionByName(ran.select("page_id", F.lit("ran").alias("kind"), F.lit(0).alias("seq"), F.lit("").alias("use"), F.col("key").alias("value"), F.lit(None).cast("string").alias("url")))
+    parts = parts.withColumn("ready", F.lit(None).cast(_READY))
+    if runtime is not None:
+        parts = parts.unionByName(_ready(_live_evidence(spark, runtime, catalog)))
     if containers is not None:
-        rows = rows.unionByName(_container_evidence(signals, requests, containers, catalog))
+        parts = parts.unionByName(_ready(_container_evidence(signals, requests, containers, catalog)))
+    rows = _matched(parts.repartition("page_id"), catalog, outer=True)
+    kind, use = F.col("kind"), F.col("use")
+    # A request tries hits first, an element src first.
+    late = F.when(kind == "resource", F.col("part") != "hits").otherwise(F.col("part") != "src")
+    rows = rows.withColumns({
+        "_key": U.strip_hash_text(F.col("url")), "_ran": F.when(kind == "ran", F.col("value")).otherwise(F.col("ran")),
+        "_rank": F.when(F.col("tracker").isNotNull() & (use == "url"), F.struct(late.alias("late"), "pat_ord", "match_pos")),
+    })
+    within = lambda *more: W.partitionBy("page_id", *more)
+    rows = rows.withColumns({
+        "_first": F.min("_rank").over(within("kind", "seq", "use", "tracker")),
+        "_loaded": F.coalesce(F.max(kind == "resource").over(within("_key")) & F.col("_key").isNotNull(), F.lit(False)) if requests is not None else F.lit(False),
+        "never_ran": F.coalesce(F.max(kind == "ran").over(within("_ran")) & F.col("_ran").isNotNull(), F.lit(False)) if runtime is not None else F.lit(False),
+    })
+    rows = rows.where((F.col("tracker").isNotNull() & (F.col("_rank").isNull() | (F.col("_rank") == F.col("_first")))) | F.col("ready").isNotNull())
+    hit, never, loaded = F.col("part") == "hits", F.col("never_ran"), F.col("_loaded")
+    script = F.when(kind == "script", " script in the page, not loaded").otherwise(" iframe in the page, not loaded")
+    item = lambda k, label, src, pat=F.col("pat_ord"): F.struct(
+        F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), label.alias("label"), F.lit(src).alias("src_ord") if isinstance(src, int) else src.alias("src_ord"), pat.alias("pat_ord"))
+    found = (
+        F.when(kind == "resource", item(
+            F.when(hit, "hit").when(never, "code").otherwise("loaded"),
+            F.when(hit, F.concat(F.lit("hit to "), "label")).when(never, F.concat("label", F.lit(" requested, never ran (blocked?)"))).otherwise(F.concat("label", F.lit(" loaded"))), 0))
+        .when((use == "url") & ~loaded, item("code", F.concat("label", script), F.when(kind == "script", 1).otherwise(2)))
+        .when(use == "tag", item(F.when(loaded, "loaded").otherwise("code"), F.concat(F.lit("script "), "label"), 1, F.col("pat_ord") + 100))
+        .when(use == "code", item("code", F.concat("kind", F.lit(" "), "label"), F.when(kind == "inline", 3).otherwise(4)))
+    )
+    rows = rows.withColumn("_e", found).where(F.col("_e").isNotNull() | F.col("ready").isNotNull())
+    own = lambda c, d: F.coalesce(F.col(f"ready.{c}"), d).alias(c)
+    rows = rows.select(
+        "page_id", own("tracker", F.col("tracker")), own("kind", F.col("_e.kind")), own("label", F.col("_e.label")), F.when(F.col("ready").isNotNull(), F.col("ready.id")).otherwise(F.col("id")).alias("id"),
+        own("variable", F.lit(False)), own("src_ord", F.col("_e.src_ord")), "seq", F.coalesce("_e.pat_ord", F.lit(0)).alias("pat_ord"), F.coalesce("match_pos", F.lit(0)).alias("match_pos"),
+    )
     order = F.min(F.struct("src_ord", "seq", "pat_ord", "match_pos")).alias("pos")
     return rows.groupBy("page_id", "tracker", "kind", "label", "id", "variable").agg(order)
 
 
 def _live_evidence(spark, runtime: DataFrame, catalog) -> DataFrame:
-    live = C.live_table(spark, catalog).join(C.tracker_table(spark, catalog).select("tracker", "format"), "tracker")
+    live = C.live_table(spark, catalog)
     state = runtime.where("space = 'tracker'").select("page_id", "key", "value")
     joined = state.join(F.broadcast(live), "key")
     is_global = F.startswith("key", F.lit("global:"))
@@ -153,7 +162,7 @@ def page_containers(signals: DataFrame, requests: DataFrame | None, containers:
 
 def _container_evidence(signals, requests, containers, catalog) -> DataFrame:
     scanned = scan_containers(read_containers(containers), catalog)
-    pages = page_containers(signals, requests, containers)
+    pages = named_containers(signals, requests)
     # A container that a third of all pages load is spread like any hot key.
     return lookup_join(pages, scanned, ["container_id"], "inner").select(
         "page_id", "tracker", F.lit("container").alias("kind"), F.concat("label", F.lit(" in "), "container_id").alias("label"),

@@ -238,3 +238,13 @@ def version_pairs(spark: SparkSession, sf: str) -> DataFrame:
     v = lambda n: f"""concat(if({n} % 5 = 0, 'v', ''), {n} % 4, '.', {n} % 11, case {n} % 3 when 0 then '' else concat('.', {n} % 13) end,
         case {n} % 7 when 0 then concat('-rc.', {n} % 10) when 1 then '-beta' else '' end, if({n} % 6 = 0, '+b1', ''))"""
     return pages(spark, sf).select("page_id", F.expr(v("page_id")).alias("a"), F.expr(v("(page_id * 7 + 3)")).alias("b"))
+
+
+def nested_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a counted nest in front: left-out end tags, stray ones, void elements, and every tag closed, by page number."""
+    left_out = """concat('<div class="a"><ul class="menu"><li>One<li><a href="/n/x', page_id, '">X</a><ul><li><a href="/n/y">Y</a></ul><li>Three</ul>',
+        '<p>Text<br><a href="/n/z">Z</a><div><a href="/n/w">W</a></div></div><span><a href="/n/out">Out</a></span>')"""
+    closed = """concat('<div class="a"></b><ul class="menu"><li>One</li><li><a href="/n/x', page_id, '">X</a><ul><li><a href="/n/y">Y</a></li></ul></li></section><li>Three</li></ul>',
+        '<p>Text<img src="/i.png"><a href="/n/z">Z</a></p></p><div><a href="/n/w">W</a></div></div><!-- <ul class="menu"><a href="/n/no">No</a></ul> --><span><a href="/n/out">Out</a></span>')"""
+    df = pages(spark, sf).withColumn("url", F.expr(_site("page_id")))
+    return df.select("page_id", "url", F.expr(f"concat(if(page_id % 2 = 0, {left_out}, {closed}), html)").alias("html"))

@@ -7,12 +7,13 @@ on enriched ones. Queries without SQL are checked by golden cases in the tests.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from crawlaudit.catalog import trackers as tracker_catalog
-from crawlaudit.functions import directives as D, text as T, urls as U, versions as V
-from crawlaudit.operators import cms, containers as K, corpus, export, extract as X, hreflang as HL, latest as L
+from crawlaudit.functions import directives as D, html as H, text as T, urls as U, versions as V
+from crawlaudit.operators import cms, containers as K, corpus, elements as EL, export, extract as X, hreflang as HL, latest as L
 from crawlaudit.operators import page as A, robots as R, serp, skew, structured as SD, tech as TE, trackers as TR
 from crawlaudit.plans import audit
 from crawlaudit.sources import tables
@@ -1108,6 +1109,36 @@ def custom_catalog(spark, sf):
     return TR.detect_trackers(s, catalog=own).select("page_id", "tracker", "id")
 
 
+# ---------------------------------------------------------------- the element tree
+
+
+@query("""SELECT page_id, s.selector, s.href FROM pages, unnest([{'selector': '.menu a', 'href': '/n/x' || page_id}, {'selector': '.menu a', 'href': '/n/y'}, {'selector': 'li > a', 'href': '/n/x' || page_id},
+    {'selector': 'li > a', 'href': '/n/y'}, {'selector': 'ul ul a', 'href': '/n/y'}, {'selector': 'p a', 'href': '/n/z'}, {'selector': 'div div a', 'href': '/n/w'}, {'selector': '.a a', 'href': '/n/x' || page_id},
+    {'selector': '.a a', 'href': '/n/y'}, {'selector': '.a a', 'href': '/n/z'}, {'selector': '.a a', 'href': '/n/w'}, {'selector': 'span > a', 'href': '/n/out'}]) AS t(s)""")
+def descendant_selectors(spark, sf):
+    rows = skew.staged(EL.elements(EL.markup(FX.nested_pages(spark, sf).repartition(FX.splits(spark), "page_id"))))
+    named, classed = (lambda n: F.col("name") == n), (lambda c: F.coalesce(H.attr(F.col("tag"), "class") == c, F.lit(False)))
+    href = H.attr(F.col("tag"), "href")
+    anchors = named("a") & href.rlike("^/n/")
+    chosen = {
+        ".menu a": EL.select_within(rows, classed("menu"), anchors), "p a": EL.select_within(rows, named("p"), anchors), ".a a": EL.select_within(rows, classed("a"), anchors),
+        "ul ul a": EL.select_within(rows.join(EL.select_within(rows, named("ul"), named("ul")).select("page_id", "start", F.lit(True).alias("_in")), ["page_id", "start"], "left"), F.col("_in"), anchors),
+        "div div a": EL.select_within(rows.join(EL.select_within(rows, named("div"), named("div")).select("page_id", "start", F.lit(True).alias("_in")), ["page_id", "start"], "left"), F.col("_in"), anchors),
+        "li > a": EL.select_children(rows, named("li"), anchors), "span > a": EL.select_children(rows, named("span"), anchors),
+    }
+    out = [df.select("page_id", F.lit(s).alias("selector"), H.attr(F.col("tag"), "href").alias("href")) for s, df in chosen.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("""SELECT page_id, e.name, e.text FROM pages, unnest([{'name': 'ul', 'text': 'OneXYThree'}, {'name': 'p', 'text': 'TextZ'}, {'name': 'span', 'text': 'Out'}]) AS t(e)""")
+def element_texts(spark, sf):
+    tokens = skew.staged(EL.markup(FX.nested_pages(spark, sf).repartition(FX.splits(spark), "page_id")))
+    rows = skew.staged(EL.elements(tokens))
+    first = rows.where("name in ('ul', 'p', 'span')").groupBy("page_id", "name").agg(F.min_by(F.struct("start", "end"), "start").alias("e")).select("page_id", "name", "e.*")
+    texts = EL.texts_within(first, tokens)
+    return first.join(texts, ["page_id", "start"]).select("page_id", "name", "text")
+
+
 # ---------------------------------------------------------------- every catalog entry, and its look-alike
 
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections import defaultdict
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import jsontext as J, urls as U
+from ..functions import html as H, jsontext as J, text as T, urls as U
+from . import elements as EL
 from .extract import children, parse
 from .skew import staged
 
@@ -55,160 +51,88 @@ def microdata_type_name(type_: Column) -> Column:
 
 
 # Where an element keeps its property value.
-_FROM_SRC = {"audio", "embed", "iframe", "img", "source", "track", "video"}
-_FROM_HREF = {"a", "area", "link"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-
-
-class _Items(HTMLParser):
-    """Flat item and property rows of one page, by an element stack."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack, self.rows, self.items = [], [], 0
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in reversed(attrs)}
-        owner = next((e for e in reversed(self.stack) if e["item"] is not None or e["cut"]), None)
-        frame = {"tag": tag, "item": None, "cut": False, "depth": 0, "text": None, "root": owner["root"] if owner else None}
-        scope, names = "itemscope" in a, " ".join(a.get("itemprop", "").split())
-        has_prop = "itemprop" in a
-        inside = owner is not None and not owner["cut"]
-        if scope and (not has_prop or inside):
-            nested = has_prop
-            frame["item"], self.items = self.items, self.items + 1
-            frame["depth"] = owner["depth"] + 1 if nested else 0
-            frame["root"] = owner["root"] if nested else frame["item"]
-            frame["cut"] = False
-            head = dict(root=frame["root"], item=frame["item"], type=" ".join(a.get("itemtype", "").split()), itemid=None if frame["cut"] else a.get("itemid") or None)
-            if nested:
-                for name in names.split(" "):
-                    self.rows.append(dict(head, parent=owner["item"], prop=name, value=None, is_url=False))
-            else:
-                self.rows.append(dict(head, parent=None, prop=None, value=None, is_url=False))
-            if frame["cut"]:
-                frame["item"] = None
-        elif scope:
-            frame["cut"] = True
-        elif has_prop and inside:
-            value, url = None, False
-            if "content" in a:
-                value = a["content"]
-            elif tag in _FROM_SRC or tag in _FROM_HREF or tag == "object":
-                ref = a.get("src" if tag in _FROM_SRC else "data" if tag == "object" else "href")
-                value, url = ref or "", ref is not None
-            elif tag in ("data", "meter"):
-                value = a.get("value")
-            elif tag == "time" and a.get("datetime"):
-                value = a["datetime"]
-            else:
-                frame["text"] = []
-            for name in names.split(" "):
-                row = dict(root=owner["root"], item=None, type=None, itemid=None, parent=owner["item"], prop=name, value=value, is_url=url)
-                self.rows.append(row)
-                if frame["text"] is not None:
-                    frame.setdefault("targets", []).append(row)
-        if tag not in _VOID:
-            self.stack.append(frame)
-        elif frame["text"] is not None:
-            self._close(frame)
-
-    def _close(self, frame):
-        if frame["text"] is not None:
-            for row in frame["targets"]:
-                row["value"] = " ".join("".join(frame["text"]).split())
-
-    def handle_data(self, data):
-        for f in self.stack:
-            if f["text"] is not None:
-                f["text"].append(data)
-
-    def handle_endtag(self, tag):
-        if any(f["tag"] == tag for f in self.stack):
-            while self.stack:
-                f = self.stack.pop()
-                self._close(f)
-                if f["tag"] == tag:
-                    break
-
-    def close(self):
-        super().close()
-        while self.stack:
-            self._close(self.stack.pop())
-
-
-_ITEM_SCHEMA = "page_id long, ord int, root int, item int, parent int, prop string, type string, itemid string, value string, is_url boolean, base string"
+_FROM_SRC = ["audio", "embed", "iframe", "img", "source", "track", "video"]
+_FROM_HREF = ["a", "area", "link"]
 
 
 def microdata(pages: DataFrame, max_roots: int | None = None) -> DataFrame:
     """Flat microdata rows per page (E11): items (``item`` set) and plain properties.
 
-    ``parent`` is the owning item, ``prop`` the property name; a root item has neither.
-    Only pages that hold the attribute reach Python, one Arrow batch at a time.
+    ``parent`` is the owning item, ``prop`` the property name; a root item has neither. The owner of a property is the
+    innermost item around its element in the element tree. An item that is a property but lies in no item is none, and
+    what is inside it belongs to nobody.
     """
-    df = parse(pages).where(F.col("html").contains("itemscope") | F.col("html").rlike("(?i)itemscope"))
-    base = df.select("_base").schema[0].dataType.simpleString()
-
-    def rows(batches):
-        for pdf in batches:
-            out = []
-            for page_id, doc, base in zip(pdf["page_id"], pdf["doc"], pdf["base"]):
-                p = _Items()
-                p.feed(doc or "")
-                p.close()
-                kept = p.rows
-                if max_roots is not None:
-                    kept = _cut_roots(kept, max_roots)
-                out.extend({"page_id": page_id, "ord": i, **r, "base": base if r["is_url"] else None} for i, r in enumerate(kept))
-            frame = pd.DataFrame(out, columns=["page_id", "ord", "root", "item", "parent", "prop", "type", "itemid", "value", "is_url", "base"])
-            yield frame.astype({"root": "Int32", "item": "Int32", "parent": "Int32", "is_url": "bool"})
-
-    # The base goes through with the text, so that addresses resolve without reading the pages again.
-    flat = df.select("page_id", F.col("_doc").alias("doc"), F.to_json("_base").alias("base")).mapInPandas(rows, _ITEM_SCHEMA)
-    resolved = F.when(F.col("is_url"), U.resolve(F.col("value"), F.from_json("base", base))).otherwise(F.col("value"))
-    return flat.withColumn("value", resolved).drop("base", "is_url")
-
-
-def _cut_roots(rows: list[dict], n: int) -> list[dict]:
-    keep = sorted({r["root"] for r in rows})[:n]
-    return [r for r in rows if r["root"] in keep]
-
-
-def _item_text(rows: pd.DataFrame) -> str:
-    """JSON of a root item. Members are gathered by owner in one pass; an item's text is made after those inside it."""
-    say = lambda x: json.dumps(x, ensure_ascii=False)
-    members: dict = defaultdict(lambda: defaultdict(list))
-    items = []
-    for r in rows.itertuples():
-        if pd.notna(r.item):
-            items.append(r)
-        if pd.notna(r.parent):
-            members[r.parent][r.prop].append(r)
-    text: dict = {}
-    # An item is met before the items inside it, so backwards every inner text is there.
-    for item in reversed(items):
-        if item.item in text:
-            continue
-        parts = [f'"@type":{say(item.type_name)}'] + ([f'"@id":{say(item.itemid)}'] if isinstance(item.itemid, str) else [])
-        for prop, of in members[item.item].items():
-            values = [say(m.value if isinstance(m.value, str) else None) if pd.isna(m.item) else text[m.item] for m in of]
-            parts.append(f"{say(prop)}:{values[0] if len(values) == 1 else '[' + ','.join(values) + ']'}")
-        text[item.item] = "{" + ",".join(parts) + "}"
-    return text[items[0].item]
+    df = pages.where(F.col("html").rlike("(?i)itemscope"))
+    tokens = staged(EL.markup(df))
+    attr = lambda n: H.attr(F.col("tag"), n)
+    words = lambda c: T.clean(F.coalesce(c, F.lit("")))
+    marked = EL.elements(tokens).where(F.col("tag").rlike(r"(?i)\sitem(?:scope|prop)(?=[\s/>=])"))
+    marked = marked.select("*", H.has_attr(F.col("tag"), "itemscope").alias("scope"), attr("itemprop").alias("props")).where("scope or props is not null")
+    marked = EL.owned(EL.owned(marked, F.col("scope"), "owner"), F.col("scope") & F.col("props").isNull(), "around")
+    # A root is its own; any other item or property needs a root around it.
+    marked = marked.withColumn("root_at", F.when(F.col("scope") & F.col("props").isNull(), F.col("start")).otherwise(F.col("around"))).where("root_at is not null")
+    marked = staged(marked)
+    items = marked.where("scope").select(F.col("page_id").alias("_page"), F.col("start").alias("_start"), (F.row_number().over(W.partitionBy("page_id").orderBy("start")) - 1).alias("number"))
+    items = staged(items)
+    numbered = lambda rows, at, name: rows.join(items.withColumnRenamed("number", name), (F.col("page_id") == F.col("_page")) & (F.col(at) == F.col("_start")), "left").drop("_page", "_start")
+    rows = numbered(numbered(marked, "owner", "parent"), "root_at", "root")
+    rows = numbered(rows, "start", "item")
+    texts = EL.texts_within(marked.where("not scope"), tokens).select(F.col("page_id").alias("_page"), F.col("start").alias("_start"), "text")
+    rows = rows.join(texts, (F.col("page_id") == F.col("_page")) & (F.col("start") == F.col("_start")), "left").drop("_page", "_start")
+    base = parse(df).select(F.col("page_id").alias("_page"), "_base")
+    rows = rows.join(base, F.col("page_id") == F.col("_page"), "left").drop("_page")
+    name = F.col("name")
+    source = F.when(name.isin(_FROM_SRC), attr("src")).when(name.isin(_FROM_HREF), attr("href")).when(name == "object", attr("data"))
+    address = name.isin([*_FROM_SRC, *_FROM_HREF, "object"])
+    value = (
+        F.when(attr("content").isNotNull(), attr("content")).when(address, F.coalesce(U.resolve(source, F.col("_base")), F.lit("")))
+        .when(name.isin("data", "meter"), attr("value")).when((name == "time") & (F.coalesce(attr("datetime"), F.lit("")) != ""), attr("datetime"))
+        .otherwise(F.coalesce("text", F.lit("")))
+    )
+    names = F.when(F.col("props").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.split(words(F.col("props")), " "))
+    rows = rows.select(
+        "page_id", "start", "root", F.when(F.col("scope"), F.col("item")).alias("item"), F.when(F.col("props").isNotNull(), F.col("parent")).alias("parent"), names.alias("names"),
+        F.when(F.col("scope"), words(attr("itemtype"))).alias("type"), F.when(F.col("scope"), T.blank_to_null(attr("itemid"))).alias("itemid"), F.when(~F.col("scope"), value).alias("value"),
+    )
+    rows = rows.select("*", F.posexplode("names").alias("_n", "prop"))
+    if max_roots is not None:
+        rows = rows.withColumn("_r", F.dense_rank().over(W.partitionBy("page_id").orderBy("root"))).where(F.col("_r") <= max_roots)
+    ord_ = F.row_number().over(W.partitionBy("page_id").orderBy("start", "_n")) - 1
+    return rows.select("page_id", ord_.alias("ord"), "root", "item", "parent", "prop", "type", "itemid", "value")
 
 
 def microdata_objects(rows: DataFrame) -> DataFrame:
     """(page_id, item, json): every root item as one JSON object, repeats as arrays.
 
-    A group is one root item of one page, so it is bounded by the page.
+    A group is one root item of one page. Its items are folded from the last to the first: an item is met before the items
+    inside it, so backwards the text of every inner one is there.
     """
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "item": [int(pdf["root"].iloc[0])], "json": [_item_text(pdf)]})
-
-    named = rows.withColumn("type_name", microdata_type_name(F.col("type")))
-    return named.groupBy("page_id", "root").applyInPandas(build, "page_id long, item int, json string")
+    say = lambda c: F.coalesce(J.quoted(c), F.lit("null"))
+    row = F.struct("ord", "item", "parent", "prop", "value", microdata_type_name(F.col("type")).alias("type_name"), "itemid")
+    per = rows.groupBy("page_id", "root").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # An item that is several properties has a row for each.
+    firsts = F.aggregate("rows", F.array().cast("array<int>"), lambda have, r: F.when(r["item"].isNull() | F.array_contains(have, r["item"]), have).otherwise(F.concat(F.array(r["item"]), have)))
+    text_of = lambda texts, m: F.when(m["item"].isNotNull(), F.element_at(texts, m["item"])).otherwise(say(m["value"]))
+
+    def members(texts: Column, mine: Column) -> Column:
+        props = F.array_distinct(F.transform(mine, lambda m: m["prop"]))
+
+        def one(p: Column) -> Column:
+            values = F.transform(F.filter(mine, lambda m: m["prop"] == p), lambda m: text_of(texts, m))
+            joined = T.let(values, lambda v: F.when(F.size(v) == 1, v[0]).otherwise(F.concat(F.lit("["), F.array_join(v, ","), F.lit("]"))))
+            return F.concat(say(p), F.lit(":"), joined)
+
+        return F.transform(props, one)
+
+    def add(texts: Column, item: Column) -> Column:
+        head = F.get(F.filter("rows", lambda r: r["item"] == item), F.lit(0))
+        mine = F.filter("rows", lambda r: r["parent"] == item)
+        start = T.let(head, lambda h: F.array_compact(F.array(F.concat(F.lit('"@type":'), say(h["type_name"])), F.when(h["itemid"].isNotNull(), F.concat(F.lit('"@id":'), say(h["itemid"]))))))
+        text = F.concat(F.lit("{"), F.array_join(F.concat(start, T.let(mine, lambda m: members(texts, m))), ","), F.lit("}"))
+        return F.map_concat(texts, F.map_from_arrays(F.array(item), F.array(text)))
+
+    folded = F.aggregate(firsts, F.expr("cast(map() as map<int,string>)"), add)
+    return per.select("page_id", F.col("root").alias("item"), F.element_at(folded, F.col("root")).alias("json"))
 
 
 def schema_summary(blocks: DataFrame, items: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from crawlaudit.catalog import trackers as tracker_catalog
+from crawlaudit.catalog import tech as tech_catalog, trackers as tracker_catalog
 from crawlaudit.functions import directives as D, html as H, text as T, urls as U, versions as V
 from crawlaudit.operators import cms, containers as K, corpus, elements as EL, export, extract as X, hreflang as HL, latest as L
 from crawlaudit.operators import page as A, robots as R, serp, skew, structured as SD, tech as TE, trackers as TR
@@ -1109,6 +1109,72 @@ def custom_catalog(spark, sf):
     return TR.detect_trackers(s, catalog=own).select("page_id", "tracker", "id")
 
 
+# ---------------------------------------------------------------- cases that the enriched pages do not hold
+
+
+@query("""SELECT 'GTM-T' || lpad('' || page_id, 6, '0') AS container_id, 'meta' AS tracker, CAST(NULL AS VARCHAR) AS id, 'Meta Pixel template' AS label, true AS variable FROM pages WHERE page_id % 4 = 0""")
+def container_templates(spark, sf):
+    """Custom templates with a variable id: allowed to load Meta's script, another host's, or none; or allowed in another template's block."""
+    allowed = """case page_id % 4 when 0 then '"permissions":[{"inject_script":{"urls":["https:\\\\/\\\\/connect.facebook.net\\\\/*"]}}]'
+        when 1 then '"permissions":[{"inject_script":{"urls":["https:\\\\/\\\\/cdn.example.net\\\\/*"]}}]' else '"permissions":[{"send_pixel":{"urls":["https:\\\\/\\\\/connect.facebook.net\\\\/*"]}}]' end"""
+    other = """if(page_id % 4 = 3, concat('\n"__cvt_9_', page_id, '":{"permissions":[{"inject_script":{"urls":["https://connect.facebook.net/*"]}}]}'), '')"""
+    text = f"""concat('var data = {{"resource":{{"macros":[{{"function":"__v"}}],"tags":[{{"function":"__cvt_1_', page_id, '","vtp_pixelId":["macro",0]}}]}}}};\n"__cvt_1_', page_id, '":{{', {allowed}, '}}', {other})"""
+    cid = F.expr("concat('GTM-T', lpad(page_id, 6, '0'))")
+    rows = FX.pages(spark, sf).select(cid.alias("container_id"), F.concat(F.lit("https://www.googletagmanager.com/gtm.js?id="), cid).alias("url"), F.expr(text).alias("text"))
+    return K.scan_containers(K.read_containers(rows))
+
+
+def _own_pages(spark, sf, head: str, body: str = "'<body>'"):
+    df = FX.pages(spark, sf).select("page_id", F.expr("concat('https://shop', page_id, '.example.com/')").alias("url"))
+    return df.withColumn("html", F.expr(f"concat('<html><head>', {head}, '</head>', {body}, '<p>Text</p></body></html>')"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Theme Dawn 15.' || page_id WHEN 1 THEN 'Theme Craft' WHEN 2 THEN 'Theme Live 2.' || page_id END AS detail FROM pages""")
+def storefront_themes(spark, sf):
+    """Theme values in code, without a version, in the runtime, and missing."""
+    head = """case page_id % 4 when 0 then concat('<script>var Shopify = {}; Shopify.theme = {"name":"x","schema_name":"Dawn","schema_version":"15.', page_id, '"};</script>')
+        when 1 then '<script>Shopify.theme = {"schema_name":"Craft","schema_version":null};</script>' else '<script>Shopify.theme = {"name":"own"};</script>' end"""
+    live = "array(struct('shopify.theme.schema_name' as key, 'Live' as value), struct('shopify.theme.schema_version' as key, concat('2.', page_id) as value))"
+    runtime = FX.pages(spark, sf).where("page_id % 4 = 2").select("page_id", F.lit("tech").alias("space"), F.explode(F.expr(live)).alias("r")).select("page_id", "space", "r.*")
+    d = cms.detect(X.staged_signals(_own_pages(spark, sf, head)), runtime=runtime)
+    return d["tech"].where("tech = 'shopify'").select("page_id", "detail")
+
+
+@query("""SELECT page_id, a.kind, a.slug, a.ver FROM pages, unnest([{'kind': 'themes', 'slug': 'acme', 'ver': '1.' || page_id}, {'kind': 'plugins', 'slug': 'acme-tools', 'ver': '2.1'}]) AS t(a) WHERE page_id % 2 = 0""")
+def content_folders(spark, sf):
+    """A renamed content folder counts where the body class names a theme that lies in it."""
+    head = """concat('<link rel="stylesheet" href="/app/themes/acme/style.css?ver=1.', page_id, '"><script src="/app/plugins/acme-tools/a.js?ver=2.1"></script><script src="/other/plugins/no/a.js?ver=3.1"></script>')"""
+    body = """concat('<body class="home ', if(page_id % 2 = 0, 'wp-theme-acme', 'wp-theme-else'), '">')"""
+    signals = X.staged_signals(_own_pages(spark, sf, head, body))
+    return cms.asset_paths(signals, TE.page_urls(signals)).select("page_id", "kind", "slug", "ver")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '6.' || page_id % 5 WHEN page_id % 3 = 1 THEN '6.1' END AS version, CASE WHEN page_id % 3 = 0 THEN 'likely' WHEN page_id % 3 = 1 THEN 'confirmed' END AS confidence FROM pages""")
+def stamped_core_versions(spark, sf):
+    """A theme's asset stamped with another version than its own says the core's, where nothing states it."""
+    head = """concat(if(page_id % 3 = 1, '<meta name="generator" content="WordPress 6.1">', ''), '<script src="/wp-content/themes/acme/app.js?ver=', if(page_id % 3 = 2, '1.4', concat('6.', page_id % 5)), '"></script>')"""
+    theme = "concat('https://shop', page_id, '.example.com/wp-content/themes/acme/style.css')"
+    probes = FX.pages(spark, sf).select("page_id", F.lit("theme").alias("kind"), F.lit("acme").alias("slug"), F.expr(theme).alias("url"),
+                                        F.lit("/*\nTheme Name: Acme\nVersion: 1.4\n*/").alias("text"), F.lit(False).alias("capped"), F.lit(None).cast("string").alias("error"))
+    pages = _own_pages(spark, sf, head)
+    d = cms.detect(X.staged_signals(pages), probes=cms.accepted_probes(probes, pages))
+    return d["tech"].where("tech = 'wordpress'").select("page_id", "version", "confidence")
+
+
+@query("""SELECT page_id, a.tech, a.version, a.implied FROM pages, unnest(list_filter([{'tech': 'acmejs', 'version': '3.' || page_id, 'implied': false}, {'tech': 'acmecore', 'version': NULL, 'implied': true},
+    CASE WHEN page_id % 2 = 0 THEN {'tech': 'acmehost', 'version': '7', 'implied': false} END], lambda x: x IS NOT NULL)) AS t(a)""")
+def custom_technologies(spark, sf):
+    own = [
+        dict(id="acmejs", name="Acme JS", group="framework", implies=("acmecore",), npm=None, wp=(), wporg=None, ns=(), sources={"inline": [("acmejs(", r"acmejs\('(\d+\.\d+)'", "acmejs call")]}),
+        dict(id="acmecore", name="Acme Core", group="framework", implies=(), npm=None, wp=(), wporg=None, ns=(), sources={}),
+        dict(id="acmehost", name="Acme Host", group="hosting", implies=(), npm=None, wp=(), wporg=None, ns=(), sources={"header": [("x-acme", r"^acme/(\d+)")]}),
+    ]
+    tech_catalog.validate(own)
+    signals = X.staged_signals(_own_pages(spark, sf, """concat('<script>acmejs(\\'3.', page_id, '\\')</script>')"""))
+    headers = FX.pages(spark, sf).where("page_id % 2 = 0").select("page_id", F.lit("x-acme").alias("header"), F.lit("other, Acme/7").alias("value"))
+    return cms.detect(signals, headers=headers, catalog=own)["tech"].select("page_id", "tech", "version", "implied")
+
+
 # ---------------------------------------------------------------- the element tree
 
 

@@ -621,21 +621,45 @@ def tracker_list(spark, sf):
     return export.tracker_list(_trackers(spark, sf))
 
 
-@query(RULES + """SELECT p AS page_id, tracker, label, kind FROM (
-    SELECT p, 'meta' AS tracker, CASE WHEN p % 16 = 2 THEN 'fbevents.js requested, never ran (blocked?)' ELSE 'fbevents.js loaded' END AS label, CASE WHEN p % 16 = 2 THEN 'code' ELSE 'loaded' END AS kind FROM e WHERE p % 8 = 2
-    UNION ALL SELECT p, 'meta', 'inline fbq init', 'code' FROM e WHERE p % 8 = 2 UNION ALL SELECT p, 'meta', 'noscript facebook.com/tr', 'code' FROM e WHERE p % 8 = 2
-    UNION ALL SELECT p, 'meta', 'fbq init in GTM-K' || lpad('' || p, 6, '0'), 'container' FROM e WHERE p % 8 = 0)""")
+# Container, code, request and runtime evidence of the enriched pages; placeholders on pages 8 and 9 of sixteen.
+EVIDENCE = """SELECT p AS page_id, a.tracker, a.label, a.kind, a.id FROM (SELECT p, unnest(list_filter([
+    CASE WHEN p % 8 = 0 THEN {'tracker': 'ga4', 'label': 'GA4 ID in GTM-K' || lpad('' || p, 6, '0'), 'kind': 'container', 'id': 'G-C' || lpad('' || p, 7, '0')} END,
+    CASE WHEN p % 8 = 0 THEN {'tracker': 'gtm', 'label': 'gtm.js loaded', 'kind': 'loaded', 'id': 'GTM-K' || lpad('' || p, 6, '0')} END,
+    CASE WHEN p % 8 = 0 THEN {'tracker': 'hotjar', 'label': 'Hotjar tag in GTM-K' || lpad('' || p, 6, '0'), 'kind': 'container', 'id': NULL} END,
+    CASE WHEN p % 8 = 0 THEN {'tracker': 'meta', 'label': 'fbq init in GTM-K' || lpad('' || p, 6, '0'), 'kind': 'container', 'id': '' || (800000000000000 + p)} END,
+    CASE WHEN p % 8 = 1 THEN {'tracker': 'ga4', 'label': 'hit to /g/collect', 'kind': 'hit', 'id': 'G-Q' || lpad('' || p, 7, '0')} END,
+    CASE WHEN p % 16 = 1 THEN {'tracker': 'ga4', 'label': 'inline gtag config', 'kind': 'code', 'id': 'G-Q' || lpad('' || p, 7, '0')} END,
+    CASE WHEN p % 8 = 2 THEN {'tracker': 'meta', 'label': CASE WHEN p % 16 = 2 THEN 'fbevents.js requested, never ran (blocked?)' ELSE 'fbevents.js loaded' END, 'kind': CASE WHEN p % 16 = 2 THEN 'code' ELSE 'loaded' END, 'id': NULL} END,
+    CASE WHEN p % 8 = 2 THEN {'tracker': 'meta', 'label': 'inline fbq init', 'kind': 'code', 'id': '' || (900000000000000 + p)} END,
+    CASE WHEN p % 8 = 2 THEN {'tracker': 'meta', 'label': 'noscript facebook.com/tr', 'kind': 'code', 'id': '' || (900000000000000 + p)} END,
+    CASE WHEN p % 8 = 3 THEN {'tracker': 'hotjar', 'label': 'inline Hotjar snippet', 'kind': 'code', 'id': '' || (70000 + p)} END,
+    CASE WHEN p % 8 = 4 THEN {'tracker': 'clarity', 'label': 'inline Clarity snippet', 'kind': 'code', 'id': 'ab' || lpad('' || p, 8, '0')} END,
+    CASE WHEN p % 8 = 5 THEN {'tracker': 'plausible', 'label': 'plausible.io script loaded', 'kind': 'loaded', 'id': NULL} END,
+    CASE WHEN p % 8 = 5 THEN {'tracker': 'plausible', 'label': 'script data-domain', 'kind': 'loaded', 'id': 'site' || p || '.example.com'} END,
+    CASE WHEN p % 8 = 6 THEN {'tracker': 'linkedin', 'label': 'inline _linkedin_partner_id', 'kind': 'code', 'id': '' || (5000 + p)} END,
+    CASE WHEN p % 8 = 7 THEN {'tracker': 'onetrust', 'label': 'OneTrust object', 'kind': 'loaded', 'id': NULL} END,
+    CASE WHEN p % 8 = 7 THEN {'tracker': 'onetrust', 'label': 'OneTrust script script in the page, not loaded', 'kind': 'code', 'id': NULL} END], lambda x: x IS NOT NULL)) AS a FROM e)"""
+
+
+@query(RULES + EVIDENCE)
 def tracker_evidence(spark, sf):
     ev = TR.evidence(_signals(spark, sf), FX.page_requests(spark, sf), FX.runtime_state(spark, sf), FX.containers(spark, sf))
-    return ev.where("tracker = 'meta'").select("page_id", "tracker", "label", "kind")
-
-
-@query(RULES + """SELECT p AS page_id, kind, tracker, id FROM (
-    SELECT p, 'inline' AS kind, 'meta' AS tracker, '' || (900000000000000 + p) AS id FROM e WHERE p % 8 = 2 UNION ALL SELECT p, 'noscript', 'meta', '' || (900000000000000 + p) FROM e WHERE p % 8 = 2
-    UNION ALL SELECT p, 'inline', 'ga4', 'G-Q' || lpad('' || p, 7, '0') FROM e WHERE p % 8 = 1 AND p % 16 <> 9)""")
+    return ev.select("page_id", "tracker", "label", "kind", "id")
+
+
+@query(RULES + """SELECT p AS page_id, a.kind, a.tracker, a.part, a.label, a.id FROM (SELECT p, unnest(list_filter([
+    CASE WHEN p % 16 = 0 THEN {'kind': 'script', 'tracker': 'gtm', 'part': 'src', 'label': 'gtm.js', 'id': 'GTM-K' || lpad('' || p, 6, '0')} END,
+    CASE WHEN p % 16 = 1 THEN {'kind': 'inline', 'tracker': 'ga4', 'part': 'code', 'label': 'gtag config', 'id': 'G-Q' || lpad('' || p, 7, '0')} END,
+    CASE WHEN p % 8 = 2 THEN {'kind': 'inline', 'tracker': 'meta', 'part': 'code', 'label': 'fbq init', 'id': '' || (900000000000000 + p)} END,
+    CASE WHEN p % 8 = 2 THEN {'kind': 'noscript', 'tracker': 'meta', 'part': 'code', 'label': 'facebook.com/tr', 'id': '' || (900000000000000 + p)} END,
+    CASE WHEN p % 8 = 3 THEN {'kind': 'inline', 'tracker': 'hotjar', 'part': 'code', 'label': 'Hotjar snippet', 'id': '' || (70000 + p)} END,
+    CASE WHEN p % 8 = 4 THEN {'kind': 'inline', 'tracker': 'clarity', 'part': 'code', 'label': 'Clarity snippet', 'id': 'ab' || lpad('' || p, 8, '0')} END,
+    CASE WHEN p % 8 = 5 THEN {'kind': 'script', 'tracker': 'plausible', 'part': 'tag', 'label': 'data-domain', 'id': 'site' || p || '.example.com'} END,
+    CASE WHEN p % 8 = 5 THEN {'kind': 'script', 'tracker': 'plausible', 'part': 'src', 'label': 'plausible.io script', 'id': NULL} END,
+    CASE WHEN p % 8 = 6 THEN {'kind': 'inline', 'tracker': 'linkedin', 'part': 'code', 'label': '_linkedin_partner_id', 'id': '' || (5000 + p)} END,
+    CASE WHEN p % 8 = 7 THEN {'kind': 'script', 'tracker': 'onetrust', 'part': 'src', 'label': 'OneTrust script', 'id': NULL} END], lambda x: x IS NOT NULL)) AS a FROM e)""")
 def tracker_matches(spark, sf):
-    m = TR.tracker_matches(_signals(spark, sf)).where("use = 'code' and tracker in ('meta', 'ga4')")
-    return m.select("page_id", "kind", "tracker", "id")
+    return TR.tracker_matches(_signals(spark, sf)).select("page_id", "kind", "tracker", "part", "label", "id")
 
 
 @query(RULES + """SELECT p AS page_id, CAST(CASE p % 8 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 1 WHEN 7 THEN 1 ELSE 0 END + p % 2 AS BIGINT) AS scripts,
@@ -703,9 +727,17 @@ def technologies(spark, sf):
 @query(RULES + """SELECT p AS page_id, 'wordpress' AS tech, 'generator "WordPress 6.9.4"' AS text, '6.9.4' AS version, CAST(1 AS BIGINT) AS rank FROM e WHERE p % 8 = 0
     UNION ALL SELECT p, 'wordpress', 'wp-content/ asset: ' || x, NULL, 5 FROM (SELECT p, unnest(['/wp-content/plugins/contact-form-7/index.js?ver=5.9', '/wp-content/plugins/acme-tools/a.js?ver=2.1', '/wp-content/plugins/woocommerce/b.js?ver=8.' || p % 3, '/wp-content/themes/acme-child/style.css?ver=1.2.0']) AS x FROM e WHERE p % 8 = 0)
     UNION ALL SELECT p, 'drupal', 'generator "Drupal 10 (https://www.drupal.org)"', '10', 1 FROM e WHERE p % 8 = 2
-    UNION ALL SELECT p, 'jquery', 'jquery-X.js: /jquery-3.' || p % 7 || '.1.min.js', '3.' || p % 7 || '.1', 5 FROM e WHERE p % 8 = 3""")
+    UNION ALL SELECT p, 'jquery', 'jquery-X.js: /jquery-3.' || p % 7 || '.1.min.js', '3.' || p % 7 || '.1', 5 FROM e WHERE p % 8 = 3
+    UNION ALL SELECT p, 'nextjs', '/_next/static/ asset: /_next/static/chunks/main.js', NULL, 5 FROM e WHERE p % 8 = 1
+    UNION ALL SELECT p, 'yoast', 'comment "This site is optimized with the Yoast SEO plugin v22.5 - https://example.com"', '22.5', 4 FROM e WHERE p % 8 = 4
+    UNION ALL SELECT p, 'ghost', 'generator "Ghost 5.82"', '5.82', 1 FROM e WHERE p % 8 = 6
+    UNION ALL SELECT p, a.t, a.x, a.v, 3 FROM (SELECT p, unnest(list_filter([CASE WHEN p % 5 = 0 THEN {'t': 'nginx', 'x': 'server: nginx/1.25.3', 'v': '1.25.3'} END, CASE WHEN p % 5 = 1 THEN {'t': 'cloudflare', 'x': 'server: cloudflare', 'v': NULL} END,
+        CASE WHEN p % 5 = 2 THEN {'t': 'apache', 'x': 'server: Apache', 'v': NULL} END, CASE WHEN p % 4 = 0 THEN {'t': 'php', 'x': 'x-powered-by: PHP/8.2.1, Express', 'v': '8.2.1'} END,
+        CASE WHEN p % 4 = 0 THEN {'t': 'express', 'x': 'x-powered-by: PHP/8.2.1, Express', 'v': NULL} END], lambda x: x IS NOT NULL)) AS a FROM e WHERE p % 17 <> 0)
+    UNION ALL SELECT p, 'jquery', 'jQuery.fn.jquery = 3.7.1', '3.7.1', 2 FROM e WHERE p % 8 = 3""")
 def tech_evidence(spark, sf):
-    ev = TE.base_evidence(_signals(spark, sf)).where("tech in ('wordpress', 'drupal', 'jquery')")
+    headers = TE.page_headers(FX.enriched(spark, sf), FX.responses(spark, sf))
+    ev = TE.base_evidence(_signals(spark, sf), headers=headers, runtime=FX.runtime_state(spark, sf))
     return longs(ev.select("page_id", "tech", "text", "version", "rank"))
 
 

@@ -77,7 +77,7 @@ def attr(tag: Column, name: str) -> Column:
     value = r"""(?s)^[^=]*+(?:=\s*+)?(?:"([^"]*+)"|'([^']*+)'|(.*))$"""
     return let(
         F.regexp_extract(tag, _attr_pattern(name), 1),
-        lambda m: F.when(m != "", decode_entities(F.regexp_replace(m, value, "$1$2$3"))),
+        lambda m: F.when(m != "", decode_entities(F.regexp_replace(m, value, "$1$2$3"), attribute=True)),
     )
 
 
@@ -96,7 +96,7 @@ def attributes(tag: Column) -> Column:
         key = F.lower(F.regexp_extract(t, r"(?s)^<t ([^\s/>=]+)", 1))
         raw = F.regexp_replace(F.regexp_extract(t, r"(?s)^<t [^\s/>][^\s/>=]*+(.*)>\z", 1), r"^\s*=?\s*", "")
         value = F.regexp_replace(raw, r"""(?s)^(?:"([^"]*+)"|'([^']*+)'|(.*))$""", "$1$2$3")
-        return F.struct(key.alias("key"), decode_entities(value).alias("value"))
+        return F.struct(key.alias("key"), decode_entities(value, attribute=True).alias("value"))
 
     pairs = F.transform(parts, pair)
     keys = F.transform(pairs, lambda p: p["key"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -14,7 +14,15 @@ WS = r"(?U)[\s\x{FEFF}]"
 TITLE_RANGE = (30, 60)
 DESCRIPTION_RANGE = (70, 160)
 
-_ENTITIES = json.dumps({**{k: chr(v) for k, v in name2codepoint.items()}, "apos": "'"}, ensure_ascii=False)
+# Named references by first letter, and those that need no semicolon; the table is the standard library's.
+_NAMED: dict[str, dict[str, str]] = {}
+for _name, _text in sorted(html5.items(), key=lambda x: (len(x[0]), x[0])):
+    if _name.endswith(";"):
+        _NAMED.setdefault(_name[0], {})[_name[:-1]] = _text
+_SHORT = {name: text for name, text in html5.items() if not name.endswith(";")}
+_SHORT_LENGTHS = sorted({len(name) for name in _SHORT}, reverse=True)
+# Code points that pages mean as Windows-1252.
+_WESTERN = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
 
 
 def let(value: Column, body) -> Column:
@@ -38,34 +46,50 @@ def blank_to_null(s: Column) -> Column:
 
 def _code_point(n: Column) -> Column:
     ok = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+    western = F.substring(F.lit("".join(_WESTERN)), (n - 127).cast("int"), F.lit(1))
+    return F.when(n.between(128, 159), western).when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
 
 
-def _entity(part: Column) -> Column:
-    """``part`` is the text after an ampersand."""
-    names = F.from_json(F.lit(_ENTITIES), "map<string,string>")
+def _table(entries) -> Column:
+    kind = "map<string,map<string,string>>" if isinstance(next(iter(entries.values())), dict) else "map<string,string>"
+    return F.from_json(F.lit(json.dumps(entries, ensure_ascii=False)), kind)
+
+
+def _entity(part: Column, attribute: bool) -> Column:
+    """``part`` is the text after an ampersand.
+
+    A name with its semicolon is looked up whole; of any other the longest beginning that needs none counts, in an attribute
+    only if neither a letter, a digit nor an equals sign follows it.
+    """
+    start = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)"
+
+    def numeric(ref: Column) -> Column:
+        value = F.when(ref.rlike("^#[xX]"), _code_point(F.conv(F.substring(ref, 3, 6), 16, 10).cast("long"))).otherwise(_code_point(F.substring(ref, 2, 7).try_cast("long")))
+        return F.concat(value, F.regexp_replace(part, r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", ""))
+
+    def short(ref: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for n in sorted(_SHORT_LENGTHS):
+            rest = F.substring(part, n + 1, F.length(part))
+            fits = (F.length(ref) >= n) & (~rest.rlike("^[A-Za-z0-9=]") if attribute else F.lit(True))
+            of = {k: v for k, v in _SHORT.items() if len(k) == n}
+            found = F.coalesce(F.when(fits, F.concat(_table(of)[F.left(ref, F.lit(n))], rest)), found)
+        return found
 
     def expand(ref: Column) -> Column:
-        rest = F.regexp_replace(part, r"^(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?", "")
-        hexa = F.conv(F.substring(ref, 3, 6), 16, 10).cast("long")
-        deci = F.substring(ref, 2, 7).try_cast("long")
-        named = F.when(F.substring(part, F.length(ref) + 1, F.lit(1)) == ";", names[ref])
-        value = (
-            F.when(ref == "", None)
-            .when(ref.rlike("^#[xX]"), _code_point(hexa))
-            .when(ref.startswith("#"), _code_point(deci))
-            .otherwise(named)
-        )
-        return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), part))
+        closed = F.substring(part, F.length(ref) + 1, F.lit(1)) == ";"
+        named = F.when(closed, F.concat(_table(_NAMED)[F.left(ref, F.lit(1))][ref], F.substring(part, F.length(ref) + 2, F.length(part))))
+        value = F.when(ref == "", None).when(ref.startswith("#"), numeric(ref)).otherwise(F.coalesce(named, short(ref)))
+        return F.coalesce(value, F.concat(F.lit("&"), part))
 
-    return let(F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)", 1), expand)
+    return let(F.regexp_extract(part, start, 1), expand)
 
 
-def decode_entities(s: Column) -> Column:
-    """Decode numeric and Latin named character references."""
+def decode_entities(s: Column, attribute: bool = False) -> Column:
+    """Decode character references, numeric and named, as in text or as in an attribute's value."""
 
     def expand(parts: Column) -> Column:
-        tail = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _entity)
+        tail = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: _entity(p, attribute))
         return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
 
     return let(s, lambda x: F.when(x.contains("&"), let(F.split(x, "&"), expand)).otherwise(x))

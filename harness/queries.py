@@ -1207,6 +1207,20 @@ def custom_technologies(spark, sf):
     return cms.detect(signals, headers=headers, catalog=own)["tech"].select("page_id", "tech", "version", "implied")
 
 
+_REFERENCES = {"© 2026": "&copy 2026", "¬it; x": "&notit; x", "∉": "&notin;", "≂̸ fj ≠": "&NotEqualTilde; &fjlig; &ne;", "“–”": "&#147;&#150;&#148;", "&nosuch; & &;": "&nosuch; & &;", "<&amp": "&lt&amp;amp", "é€𝔄": "&eacute&euro;&Afr;"}
+
+
+@query(f"""SELECT page_id, trim(t.title || ' ' || page_id) AS title, 'https://shop' || page_id || '.example.com/?a=1&copy=2&amp=3&lt' || page_id || '&' || page_id AS href FROM pages,
+    (VALUES {', '.join(f"({i}, '{text}')" for i, text in enumerate(_REFERENCES))}) t(n, title) WHERE t.n = page_id % {len(_REFERENCES)}""")
+def named_references(spark, sf):
+    """References without a semicolon, of two code points, of old code pages, and those that attributes leave alone."""
+    titles = F.expr("element_at(array(" + ", ".join(f"'{t}'" for t in _REFERENCES.values()) + f"), cast(page_id % {len(_REFERENCES)} + 1 as int))")
+    df = _own_pages(spark, sf, "''").withColumn("t", titles)
+    df = df.withColumn("html", F.concat(F.lit("<title>"), "t", F.lit(" "), "page_id", F.lit('</title><body><a href="/?a=1&copy=2&amp=3&lt'), "page_id", F.lit("&amp;"), "page_id", F.lit('">x</a></body>')))
+    r = X.page_records(df, "head", "links")
+    return r.select("page_id", F.col("head.title").alias("title"), F.get("links", F.lit(0))["href"].alias("href"))
+
+
 # ---------------------------------------------------------------- the element tree
 
 

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T, urls as U
 from .skew import lookup_join, staged
 
-ANCHOR_WORDS = 8
-
 
 def pages_per_domain(pages: DataFrame) -> DataFrame:
     """(domain, pages): pages of each bare host, combined before the shuffle."""
@@ -62,24 +60,57 @@ def phrase_copy_members(pages: DataFrame, text: Column) -> DataFrame:
     return lookup_join(phrases, _repeated(phrases), ["phrase"], "inner").select("page_id", "phrase", "pages", "first_page")
 
 
+def winnowed(words: Column, k: int, w: int) -> Column:
+    """(anchor, place) of the ``k``-word runs that winnowing keeps: of any ``w`` runs in a row the one of smallest hash, the last of equals.
+
+    Two texts that share ``w + k - 1`` words in a row keep a common run. About 2 / (w + 1) of the runs are kept.
+    """
+    run = lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(k)), " "), F.lit(k))
+    places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
+    # The smallest struct of (hash, -place) is the last of equal hashes.
+    hashed = F.transform(places, lambda i: F.struct(run(i).alias("anchor"), (-i).alias("back")))
+
+    def least(h: Column) -> Column:
+        starts = F.when(F.size(h) >= w, F.sequence(F.lit(1), F.size(h) - w + 1)).when(F.size(h) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+        # A run is kept by windows side by side, so it is enough to drop what the window before kept.
+        return T.let(F.transform(starts, lambda i: F.array_min(F.slice(h, i, F.lit(w)))), lambda m: F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["back"] != x["back"])))
+
+    return F.transform(T.let(hashed, least), lambda x: F.struct(x["anchor"].alias("anchor"), (-x["back"]).alias("place")))
+
+
+# For phrases of so many words or more, the run and the window by which they are looked for.
+ANCHORS = [(15, 8, 8), (8, 4, 5), (1, 1, 1)]
+
+
 def passage_copies(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(phrase, doc_id): documents that hold the exact, whole phrase of a passage.
 
-    The first words of a phrase are its anchor: ANCHOR_WORDS of them, or one if the phrase is shorter. A document yields
-    one row per word and kind, of a hash, its id and the place; only those that meet an anchor fetch the document's words
-    and are compared with the phrase. Equal passages count once.
+    Documents and phrases are winnowed alike: of every window of word runs the one of smallest hash is an anchor, so a text
+    that holds a phrase shares an anchor with it, although less than a quarter of its runs are anchors. Shorter phrases take
+    shorter runs, and only for them are those of the documents made. A phrase brings one anchor, its first; what meets it
+    fetches the document's words and is compared with the phrase.
+    Equal passages count once.
     """
     phrases = passages.select(T.exact_phrase(F.col("text"), None).alias("phrase")).where(F.col("phrase") != "").distinct()
     words = F.split("phrase", " ")
-    k = F.when(F.size(words) >= ANCHOR_WORDS, ANCHOR_WORDS).otherwise(1)
-    phrases = phrases.select("phrase", F.size(words).alias("size"), F.xxhash64(F.array_join(F.slice(words, F.lit(1), k), " "), k).alias("anchor"))
+    level = F.lit(len(ANCHORS) - 1)
+    for i, (least, _, _) in reversed(list(enumerate(ANCHORS))):
+        level = F.when(F.size(words) >= least, i).otherwise(level)
+    first = lambda k, w: F.get(winnowed(words, k, w), F.lit(0))
+    anchor = F.when(level == 0, first(*ANCHORS[0][1:])).when(level == 1, first(*ANCHORS[1][1:])).otherwise(first(*ANCHORS[2][1:]))
+    phrases = staged(phrases.select("phrase", F.size(words).alias("size"), level.alias("level"), anchor.alias("a")).select("phrase", "size", "level", "a.anchor", F.col("a.place").alias("offset")))
+    levels = sorted(r["level"] for r in phrases.select("level").distinct().collect())  # three at most
     body = T.clean(F.regexp_replace("text", "[\"“”„«»]", " "))
     docs = documents.select("doc_id", F.split(body, " ").alias("w"))
-    hashed = lambda i, n: F.struct(F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "), F.lit(n)).alias("anchor"), i.alias("place"))
-    places = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array(hashed(i, ANCHOR_WORDS), hashed(i, 1)))
-    met = docs.select("doc_id", F.explode(F.flatten(places)).alias("g")).select("doc_id", "g.*").join(phrases, "anchor")
-    met = met.select(F.col("doc_id").alias("in"), "place", "size", "phrase")
-    found = docs.join(met, F.col("doc_id") == F.col("in")).where(F.array_join(F.slice("w", F.col("place"), F.col("size")), " ") == F.col("phrase"))
+    if not levels:
+        return docs.select(F.lit("").alias("phrase"), "doc_id").limit(0)
+    named = lambda i: lambda x: F.struct(F.lit(i).alias("level"), x["anchor"].alias("anchor"), x["place"].alias("place"))
+    anchors = F.flatten(F.array(*[F.transform(winnowed(F.col("w"), *ANCHORS[i][1:]), named(i)) for i in levels]))
+    kept = docs.select("doc_id", F.explode(anchors).alias("g")).select("doc_id", "g.*")
+    # One word may stand in every document: only those anchors are counted and salted before they meet.
+    met = lookup_join(staged(kept), phrases, ["level", "anchor"], "inner") if levels[-1] == 2 else kept.join(phrases, ["level", "anchor"])
+    met = met.select(F.col("doc_id").alias("in"), (F.col("place") - F.col("offset") + 1).alias("from"), "size", "phrase").where("from > 0")
+    found = docs.join(met, F.col("doc_id") == F.col("in")).where(F.array_join(F.slice("w", F.col("from"), F.col("size")), " ") == F.col("phrase"))
     return found.select("phrase", "doc_id").distinct()
 
 

@@ -61,21 +61,21 @@ def phrase_copy_members(pages: DataFrame, text: Column) -> DataFrame:
 
 
 def winnowed(words: Column, k: int, w: int) -> Column:
-    """(anchor, place) of the ``k``-word runs that winnowing keeps: of any ``w`` runs in a row the one of smallest hash, the last of equals.
+    """(anchor, place) of the ``k``-word runs that winnowing keeps: of any ``w`` runs in a row the one of smallest hash, the first of equals.
 
     Two texts that share ``w + k - 1`` words in a row keep a common run. About 2 / (w + 1) of the runs are kept.
     """
     run = lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(k)), " "), F.lit(k))
     places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
-    # The smallest struct of (hash, -place) is the last of equal hashes.
-    hashed = F.transform(places, lambda i: F.struct(run(i).alias("anchor"), (-i).alias("back")))
 
     def least(h: Column) -> Column:
         starts = F.when(F.size(h) >= w, F.sequence(F.lit(1), F.size(h) - w + 1)).when(F.size(h) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+        at = F.transform(starts, lambda i: T.let(F.slice(h, i, F.lit(w)), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int")))
         # A run is kept by windows side by side, so it is enough to drop what the window before kept.
-        return T.let(F.transform(starts, lambda i: F.array_min(F.slice(h, i, F.lit(w)))), lambda m: F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["back"] != x["back"])))
+        kept = T.let(at, lambda m: F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1) != x)))
+        return F.transform(kept, lambda i: F.struct(F.element_at(h, i).alias("anchor"), i.alias("place")))
 
-    return F.transform(T.let(hashed, least), lambda x: F.struct(x["anchor"].alias("anchor"), (-x["back"]).alias("place")))
+    return T.let(F.transform(places, run), least)
 
 
 # For phrases of so many words or more, the run and the window by which they are looked for.

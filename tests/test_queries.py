@@ -1,14 +1,17 @@
-"""Registered queries against their check SQL on the smallest data."""
+"""Registered queries against their check SQL."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+# The next larger data: some rules of the fixtures first show beyond the 50 pages of the smallest.
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # One of each family; the whole list runs in the acceptance check.
-NAMES = ["site_rollup", "link_kinds", "page_audit", "crawler_access", "hreflang_checks", "tracker_status", "update_status", "duplicate_titles", "microdata_objects", "people_also_ask"]
+NAMES = ["site_rollup", "link_kinds", "page_audit", "crawler_access", "hreflang_checks", "hreflang_report", "tracker_status", "tracker_evidence",
+         "update_status", "duplicate_titles", "microdata_objects", "people_also_ask", "robots_large_files", "descendant_selectors", "named_references", "passage_copies",
+         "cache_stream", "container_templates", "stamped_core_versions", "custom_technologies"]
 
 
 @pytest.fixture(scope="module")

@@ -22,6 +22,73 @@ def _encode(s: Column, extra: str) -> Column:
     return let(s, encode)
 
 
+def _div(a: Column, b) -> Column:
+    return F.floor(a / b).cast("long")
+
+
+# The parameters of Punycode.
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_BASE, _TMIN, _TMAX, _SKEW, _DAMP, _BIAS, _FIRST = 36, 1, 26, 38, 700, 72, 128
+
+
+def _bias(delta: Column, size: Column, first: Column) -> Column:
+    start = let(F.when(first, _div(delta, _DAMP)).otherwise(_div(delta, 2)), lambda d: d + _div(d, size))
+    most = (_BASE - _TMIN) * _TMAX // 2
+    step = lambda a, _: F.when(a["d"] > most, F.struct(_div(a["d"], _BASE - _TMIN).alias("d"), (a["k"] + _BASE).alias("k"))).otherwise(a)
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.struct(start.alias("d"), F.lit(0).cast("long").alias("k")), step)
+    return let(end, lambda e: e["k"] + _div((_BASE - _TMIN + 1) * e["d"], e["d"] + _SKEW))
+
+
+def _digits(delta: Column, bias: Column) -> Column:
+    """A number as digits of growing weight; the first below its threshold is the last."""
+
+    def step(a: Column, _: Column) -> Column:
+        def put(t: Column) -> Column:
+            last = a["q"] < t
+            digit = F.when(last, a["q"]).otherwise(t + F.pmod(a["q"] - t, _BASE - t))
+            return F.struct(F.when(last, 0).otherwise(_div(a["q"] - t, _BASE - t)).cast("long").alias("q"), (a["k"] + _BASE).alias("k"),
+                            F.concat(a["out"], F.substring(F.lit(_DIGITS), digit.cast("int") + 1, F.lit(1))).alias("out"), last.alias("done"))
+
+        return F.when(a["done"], a).otherwise(let(F.greatest(F.lit(_TMIN).cast("long"), F.least(F.lit(_TMAX).cast("long"), a["k"] - bias)), put))
+
+    start = F.struct(delta.alias("q"), F.lit(_BASE).cast("long").alias("k"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step)["out"]
+
+
+def punycode(label: Column) -> Column:
+    """ASCII form of a label (without its prefix).
+
+    The characters outside ASCII are inserted in the order of their code points; each insertion is one number, made of the
+    code point, the place, and the length so far, so all numbers are known before any is written.
+    """
+
+    def build(codes: Column) -> Column:
+        basic = F.filter(codes, lambda c: c < _FIRST)
+        placed = F.array_sort(F.filter(F.transform(codes, lambda c, i: F.struct(c.alias("m"), i.alias("i"))), lambda e: e["m"] >= _FIRST))
+        put = lambda e, k: F.struct(
+            e["m"].cast("long").alias("m"), F.size(F.filter(codes, lambda c, j: (j < e["i"]) & (c <= e["m"]))).cast("long").alias("place"),
+            (F.size(basic) + k + 1).cast("long").alias("size"))
+
+        def write(steps: Column) -> Column:
+            before = lambda k: F.get(steps, k - 1)
+            deltas = F.transform(steps, lambda s, k: F.struct(
+                F.when(k == 0, (s["m"] - _FIRST) * s["size"] + s["place"]).otherwise((s["m"] - before(k)["m"]) * s["size"] + s["place"] - before(k)["place"] - 1).alias("delta"),
+                s["size"].alias("size"), (k == 0).alias("first")))
+            add = lambda a, d: F.struct(F.concat(a["out"], _digits(d["delta"], a["bias"])).alias("out"), _bias(d["delta"], d["size"], d["first"]).alias("bias"))
+            return F.aggregate(deltas, F.struct(F.lit("").alias("out"), F.lit(_BIAS).cast("long").alias("bias")), add)["out"]
+
+        head = F.array_join(F.transform(basic, lambda c: F.char(c)), "")
+        return F.concat(head, F.when(F.size(basic) > 0, "-").otherwise(""), let(F.transform(placed, put), write))
+
+    return let(F.transform(F.regexp_extract_all(label, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c)), build)
+
+
+def ascii_host(host: Column) -> Column:
+    """A host in lower case, labels outside ASCII in their ASCII form."""
+    label = lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.concat(F.lit("xn--"), punycode(x))).otherwise(x)
+    return let(F.lower(host), lambda h: F.when(h.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(h, "[.\u3002\uff0e\uff61]"), label), ".")).otherwise(h))
+
+
 def _dot_segments(path: Column) -> Column:
     """Remove ``.`` and ``..`` segments (plain or percent-encoded)."""
     one, two = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
@@ -44,7 +111,7 @@ def normalize(url: Column) -> Column:
 
     Only http(s) addresses are rewritten: scheme and host lower-cased, the default
     port dropped, an empty path made ``/``, dot segments removed, and characters
-    outside ASCII percent-encoded. International host names are left as they are.
+    outside ASCII percent-encoded. International host names take their ASCII form; backslashes count as slashes.
     """
 
     def build(m: Column) -> Column:
@@ -61,7 +128,7 @@ def normalize(url: Column) -> Column:
     def split(u: Column) -> Column:
         part = lambda g: F.regexp_extract(u, _PARTS, g)
         fields = F.struct(
-            u.alias("url"), F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"),
+            u.alias("url"), F.lower(part(1)).alias("scheme"), ascii_host(part(2)).alias("host"),
             part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"),
         )
         return F.when(u.rlike(_SPECIAL), let(fields, build)).otherwise(u)
@@ -110,8 +177,8 @@ def strip_hash_text(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host name without port; NULL unless http(s)-like."""
-    h = F.lower(F.regexp_extract(url, r"(?i)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """Host name without port, in lower case and ASCII form; NULL unless http(s)-like."""
+    h = ascii_host(F.regexp_extract(url, r"(?i)^\s*[a-z][a-z0-9+.-]*:[/\\]{2}(?:[^/\\?#@]*@)?([^/\\?#:]*)", 1))
     return F.when(h != "", h)
 
 

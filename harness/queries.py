@@ -1207,6 +1207,16 @@ def custom_technologies(spark, sf):
     return cms.detect(signals, headers=headers, catalog=own)["tech"].select("page_id", "tech", "version", "implied")
 
 
+@query("""SELECT page_id, a.i AS idx, a.href, CASE WHEN (page_id % 2 = 0) = (a.i < 2) AND a.i < 3 THEN 'internal' ELSE 'external' END AS kind FROM pages, unnest([{'i': 0, 'href': 'https://xn--bcher-kva.example/a'},
+    {'i': 1, 'href': 'https://www.xn--bcher-kva.example/b'}, {'i': 2, 'href': 'https://xn--e1afmkfd.xn--p1ai/c'}, {'i': 3, 'href': 'https://xn--r8jz45g.xn--zckzah/d'}]) AS t(a)""")
+def international_hosts(spark, sf):
+    """Hosts in their own letters and in ASCII form are one; backslashes are slashes."""
+    df = _own_pages(spark, sf, "''").withColumn("url", F.expr("if(page_id % 2 = 0, concat('https://B\u00fccher.Example/', page_id), concat('https://\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444/', page_id))"))
+    links = "<a href='https://xn--bcher-kva.example/a'>A</a><a href='https://www.b\u00fccher.example/b'>B</a><a href='https:\\\\\u041f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444\\c'>C</a><a href='https://\u4f8b\u3048\u3002\u30c6\u30b9\u30c8/d'>D</a>"
+    df = df.withColumn("html", F.lit(f"<html><body>{links}</body></html>"))
+    return longs(X.children(A.classify_links(X.page_records(df, "links")), "links").select("page_id", "idx", "href", "kind"))
+
+
 _REFERENCES = {"© 2026": "&copy 2026", "¬it; x": "&notit; x", "∉": "&notin;", "≂̸ fj ≠": "&NotEqualTilde; &fjlig; &ne;", "“–”": "&#147;&#150;&#148;", "&nosuch; & &;": "&nosuch; & &;", "<&amp": "&lt&amp;amp", "é€𝔄": "&eacute&euro;&Afr;"}
 
 

@@ -1,5 +1,7 @@
 """Golden cases of the column functions."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from crawlaudit.functions import directives as D, html as H, text as T, urls as U, versions as V
@@ -84,3 +86,13 @@ def test_hreflang_codes(spark):
 def test_placeholder_ids(spark):
     cases = {"G-ABC1234": True, "G-XXXXXXX": False, "G-0000000": False, "G-1234567": False, "G-abc1234": False}
     assert dict(values(spark, [(k,) for k in cases], "i string", F.col("i"), TR.valid_id(F.col("i"), F.lit("G-[A-Z0-9]{6,12}"), ["G-[A-Z0-9]{6,12}"]))) == cases
+
+
+def test_international_hosts(spark):
+    rng = random.Random(3)
+    labels = ["bücher", "münchen", "пример", "straße", "a-ü", "日本語テスト", "😀", "ab😀cd😀é", "mañana"] + ["".join(rng.choice("abc-1éüñßжд例語😀") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    labels = [x for x in labels if not x.isascii()]
+    got = values(spark, [(x,) for x in labels], "s string", U.punycode(F.col("s")))
+    assert [g[0] for g in got] == [x.encode("punycode").decode() for x in labels]
+    got = values(spark, [("https:\\\\Bücher.Example\\a?x=\\",), ("HTTP://пример。рф",)], "s string", U.normalize(F.col("s")))
+    assert [g[0] for g in got] == ["https://xn--bcher-kva.example/a?x=\\", "http://xn--e1afmkfd.xn--p1ai/"]

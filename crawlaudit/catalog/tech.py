@@ -250,8 +250,3 @@ def dir_table(spark: SparkSession, catalog=None) -> DataFrame:
     """Plugin folder (lower case) -> technology."""
     rows = [(d.lower(), t["id"]) for t in catalog or TECH for d in t["wp"]]
     return spark.createDataFrame(rows, "dir_key string, tech string")
-
-
-def namespace_table(spark: SparkSession, catalog=None) -> DataFrame:
-    rows = [(p, p.rstrip("/"), t["id"], i) for i, t in enumerate(catalog or TECH) for p in t["ns"]]
-    return spark.createDataFrame(rows, "prefix string, exact string, tech string, cat_ord int")

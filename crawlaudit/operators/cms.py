@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..catalog import tech as C
 from ..functions import text as T, urls as U, versions as V
 from . import tech as TE
-from .skew import lookup_join, staged
+from .skew import bucketed
 
 # Bundled-library folders and file names whose ?ver= is their own.
 LIBRARY_DIRS = "vendor|vendors|node_modules|bower_components|third-party"
@@ -45,7 +45,7 @@ def content_dirs(urls: DataFrame, slugs: DataFrame) -> DataFrame:
     return first.groupBy("page_id").agg(F.collect_set("dir").alias("dirs"))
 
 
-def asset_paths(signals: DataFrame, urls: DataFrame) -> DataFrame:
+def asset_paths(signals: DataFrame, urls: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
     """Every plugin and theme file a page's addresses and inline code name.
 
     (page_id, kind, slug, base, file, ver, matched, ord); ``ver`` is NULL for bundled libraries.
@@ -53,7 +53,7 @@ def asset_paths(signals: DataFrame, urls: DataFrame) -> DataFrame:
     inline = signals.where("kind = 'inline'").select("page_id", (F.col("seq").cast("long") + 1_000_000_000).alias("seq"), F.replace("value", F.lit("\\/"), F.lit("/")).alias("value"))
     texts = urls.select("page_id", "seq", "value").unionByName(inline)
     texts = texts.where(F.col("value").contains("/plugins/") | F.col("value").contains("/themes/"))
-    extra = content_dirs(urls, body_themes(signals))
+    extra = content_dirs(urls, body_themes(signals) if slugs is None else slugs)
     texts = texts.join(extra, "page_id", "left")
     quoted = F.transform(F.coalesce("dirs", F.array().cast("array<string>")), lambda d: F.regexp_replace(d, r"\.", r"\\."))
     dirs = F.array_join(F.array_distinct(F.concat(F.array(F.lit("wp-content")), quoted)), "|")
@@ -90,18 +90,18 @@ def namespaces(probes: DataFrame) -> DataFrame:
     return probes.where("kind = 'rest' and text is not null").select("page_id", F.posexplode(F.array_distinct(names)).alias("pos", "ns"))
 
 
+def _namespace_owner(ns: Column, catalog=None) -> Column:
+    """The catalog plugin of a namespace, first in catalog order: one CASE over the catalog's fixed list."""
+    owner = F.lit(None).cast("string")
+    for entry in reversed(catalog or C.TECH):
+        for prefix in entry["ns"]:
+            owner = F.when((ns == prefix.rstrip("/")) | F.startswith(ns, F.lit(prefix)), entry["id"]).otherwise(owner)
+    return owner
+
+
 def namespace_plugins(ns: DataFrame, catalog=None) -> DataFrame:
-    """Add the catalog plugin a namespace belongs to, first in catalog order."""
-    table = C.namespace_table(ns.sparkSession, catalog)
-    # A prefix that holds a slash fixes the first part of a name, any other a beginning of it: an equi join on the
-    # beginnings that occur in the catalog, of as many lengths as its prefixes have.
-    lengths = sorted({len(p) for t in (catalog or C.TECH) for p in t["ns"]} | {len(p.rstrip("/")) for t in (catalog or C.TECH) for p in t["ns"]})
-    starts = F.broadcast(table.select(F.explode(F.array_distinct(F.array("prefix", "exact"))).alias("start"), "exact", "prefix", "tech", "cat_ord"))
-    begins = F.explode(F.array_distinct(F.array(*[F.left("ns", F.lit(n)) for n in lengths]))).alias("start")
-    hit = (F.col("ns") == F.col("exact")) | F.startswith(F.col("ns"), F.col("prefix"))
-    distinct = ns.select("ns").distinct().select("ns", begins).join(starts, "start").where(hit)
-    best = distinct.groupBy("ns").agg(F.min_by("tech", "cat_ord").alias("tech"))
-    return lookup_join(ns, best, ["ns"]).withColumn("core", F.col("ns").rlike(CORE_NAMESPACES))
+    """Add the catalog plugin a namespace belongs to."""
+    return ns.withColumns({"tech": _namespace_owner(F.col("ns"), catalog), "core": F.col("ns").rlike(CORE_NAMESPACES)})
 
 
 def probe_core_versions(probes: DataFrame) -> DataFrame:
@@ -113,12 +113,12 @@ def probe_core_versions(probes: DataFrame) -> DataFrame:
 
 
 def theme_headers(probes: DataFrame, head_chars: int | None = None) -> DataFrame:
-    """(page_id, slug, name, version, template) from a theme's style header."""
+    """(page_id, slug, header_name, version, template) from a theme's style header."""
     head = F.col("text") if head_chars is None else F.left("text", F.lit(head_chars))
     field = lambda n: T.blank_to_null(T.clip(F.regexp_replace(F.regexp_extract(head, rf"(?mi)^[ \t/*#@]*{n}:(.*)$", 1), r"\*/.*", ""), 80))
     df = probes.where("kind = 'theme' and text is not null")
     return df.groupBy("page_id", "slug").agg(F.min("text").alias("text")).select(
-        "page_id", "slug", field("Theme Name").alias("name"), field("Version").alias("version"), field("Template").alias("template")
+        "page_id", "slug", field("Theme Name").alias("header_name"), field("Version").alias("version"), field("Template").alias("template")
     )
 
 
@@ -145,7 +145,7 @@ def theme_rows(assets: DataFrame, slugs: DataFrame, probes: DataFrame | None) ->
     if probes is None:
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("header_name", "version", "template")})
     else:
-        rows = rows.join(theme_headers(probes).withColumnRenamed("name", "header_name"), ["page_id", "slug"], "left")
+        rows = rows.join(theme_headers(probes), ["page_id", "slug"], "left")
     is_child, is_parent = F.coalesce(F.col("slug") == F.col("child"), F.lit(False)), F.coalesce(F.col("slug") == F.col("parent"), F.lit(False))
     body_parent = F.when(is_child & F.col("parent").isNotNull() & (F.col("parent") != F.col("slug")), F.col("parent"))
     rows = rows.select(
@@ -224,46 +224,88 @@ def plugin_rows(assets: DataFrame, lists: DataFrame, core: DataFrame, catalog=No
     return out.withColumn("row_no", F.row_number().over(w)).drop("first_seq", "cat_ord")
 
 
+_LINE = "struct<tech:string,text:string,version:string,rank:int,likely:boolean,src_ord:int,pat_ord:int,seq:bigint>"
+
+
+def _line(src: int, tech: Column, text: Column, version: Column, rank: int, likely: bool = False, seq: Column | None = None) -> Column:
+    seq = F.lit(0) if seq is None else seq
+    return F.struct(
+        tech.alias("tech"), text.alias("text"), version.cast("string").alias("version"), F.lit(rank).alias("rank"), F.lit(likely).alias("likely"),
+        F.lit(src).alias("src_ord"), F.lit(0).alias("pat_ord"), seq.cast("long").alias("seq"),
+    ).cast(_LINE)
+
+
+def _tagged(df: DataFrame, tag: str, *names: str) -> DataFrame:
+    """Rows of one kind for a table of several: (page_id, tag, and the columns ``names`` or all in a struct named by the tag)."""
+    names = names or tuple(c for c in df.columns if c != "page_id")
+    return df.select("page_id", F.lit(tag).alias("tag"), F.struct(*names).alias(tag))
+
+
+def _together(*tables: DataFrame) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out
+
+
+def _of(table: DataFrame, tag: str) -> DataFrame:
+    return table.where(F.col("tag") == tag).select("page_id", f"{tag}.*")
+
+
+def _facts(signals, requests, headers, runtime, probes, catalog) -> DataFrame:
+    """What detection knows of a page, in buckets of pages: lines, assets, slugs, namespaces and probe answers, each tagged."""
+    # Addresses and body classes first: addresses are distinct within a bucket, and folders found through a theme name meet them there.
+    seen = bucketed(_together(_tagged(TE.page_urls(signals, requests), "url"), _tagged(body_themes(signals), "body")), "page_id")
+    urls, slugs = _of(seen, "url"), _of(seen, "body")
+    parts = [
+        _tagged(TE.base_evidence(signals, headers=headers, runtime=runtime, catalog=catalog, urls=urls), "line"),
+        _tagged(asset_paths(signals, urls, slugs), "asset"), _tagged(slugs, "body"),
+    ]
+    if probes is not None:
+        parts.append(_tagged(probes, "probe", "kind", "slug", "text"))
+    return bucketed(_together(*parts), "page_id")
+
+
 def detect(signals: DataFrame, requests=None, headers=None, runtime=None, probes=None, catalog=None) -> dict[str, DataFrame]:
-    """All technology tables of a crawl: tech, themes, plugins, namespaces, cms_pages."""
+    """All technology tables of a crawl: tech, themes, plugins, namespaces, cms_pages.
+
+    Facts of every source are dealt to buckets of pages once. Folds follow inside the buckets, without an exchange:
+    themes with the core version, then evidence lists; each ends in a table of the same buckets.
+    """
     spark = signals.sparkSession
-    urls = TE.page_urls(signals, requests)
-    assets = staged(asset_paths(signals, urls))
-    slugs = body_themes(signals)
-    lines = TE.base_evidence(signals, requests, headers, runtime, catalog)
-    line = lambda df, src, tech, text, version, rank, likely=False, pat=F.lit(0), seq=F.lit(0): df.select(
-        "page_id", tech.alias("tech"), text.alias("text"), version.cast("string").alias("version"), F.lit(rank).alias("rank"), F.lit(likely).alias("likely"),
-        F.lit(src).alias("src_ord"), pat.cast("int").alias("pat_ord"), seq.cast("long").alias("seq"),
-    )
+    facts = _facts(signals, requests, headers, runtime, probes, catalog)
+    assets, slugs, lines = _of(facts, "asset"), _of(facts, "body"), _of(facts, "line")
+    more = lambda df, line: df.select("page_id", line.alias("l")).select("page_id", "l.*")
     none = F.lit(None)
-    spaces = None
+    wordpress = F.lit("wordpress")
+    spaces = answers = None
     if probes is not None:
-        spaces = staged(namespace_plugins(namespaces(probes), catalog))
+        answers = _of(facts, "probe")
+        spaces = namespace_plugins(namespaces(answers), catalog)
         owned = spaces.where("tech is not null").groupBy("page_id", "tech").agg(F.array_sort(F.collect_list(F.struct("pos", "ns"))).alias("l"))
         shown = F.array_join(F.transform("l", lambda x: x["ns"]), ", ")
         text = F.concat(F.when(F.size("l") > 1, "REST namespaces ").otherwise("REST namespace "), shown)
-        lines = lines.unionByName(line(owned, 20, F.col("tech"), text, none, C.RANK["ns"]))
-        stated = probe_core_versions(probes)
-        feed, opml = stated.where("kind = 'feed'"), stated.where("kind = 'opml'")
-        lines = lines.unionByName(line(feed, 21, F.lit("wordpress"), F.concat(F.lit("feed generator wordpress.org/?v="), "version"), F.col("version"), 3))
-        lines = lines.unionByName(line(opml, 22, F.lit("wordpress"), F.concat(F.lit("wp-links-opml.php generator WordPress/"), "version"), F.col("version"), 4))
-    themes = staged(theme_rows(assets, slugs, probes))
-    lines = staged(lines)
+        stated, feed = probe_core_versions(answers), F.col("kind") == "feed"
+        from_feed = _line(21, wordpress, F.concat(F.lit("feed generator wordpress.org/?v="), "version"), F.col("version"), 3)
+        from_opml = _line(22, wordpress, F.concat(F.lit("wp-links-opml.php generator WordPress/"), "version"), F.col("version"), 4)
+        lines = lines.unionByName(more(owned, _line(20, F.col("tech"), text, none, C.RANK["ns"]))).unionByName(more(stated, F.when(feed, from_feed).otherwise(from_opml)))
     stated_core = TE.evidence_lists(lines.where("tech = 'wordpress' and version is not null"))
     stated_core = stated_core.select("page_id", TE.pick_version(F.col("ev"))["version"].alias("core"))
-    stated_core = staged(stated_core)
-    guess = staged(likely_core(themes, assets).join(stated_core, "page_id", "left_anti"))
+    first = bucketed(_together(_tagged(theme_rows(assets, slugs, answers), "theme"), _tagged(stated_core, "stated")), "page_id")
+    themes, stated_core = _of(first, "theme"), _of(first, "stated")
+    guess = likely_core(themes, assets).join(stated_core, "page_id", "left_anti")
     text = F.concat(F.lit("theme asset ?ver="), "version", F.lit(" under themes/"), "slug", F.lit("/ (its style.css says "), "own",
                     F.lit("): WordPress stamps its own version on assets without one"))
-    lines = lines.unionByName(line(guess, 23, F.lit("wordpress"), text, F.col("version"), 9, True))
+    lines = lines.unionByName(more(guess, _line(23, wordpress, text, F.col("version"), 9, True)))
     core = stated_core.unionByName(guess.select("page_id", F.col("version").alias("core")))
     # Plugin folders of catalog entries are evidence lines too; the shop platform takes its version from them.
     known = assets.where("kind = 'plugins'").withColumn("dir_key", F.lower("slug")).join(F.broadcast(C.dir_table(spark, catalog)), "dir_key")
     shop_ok = known.where("tech = 'woocommerce'").where(is_asset_version(F.col("ver"))).join(core, "page_id", "left")
     shop = _mode(shop_ok.where(F.col("core").isNull() | (F.col("ver") != F.col("core"))), ["page_id", "tech"])
     stamped = known.join(shop, ["page_id", "tech"], "left")
-    lines = lines.unionByName(line(stamped, 24, F.col("tech"), F.concat(F.lit("plugin asset: "), T.short_url(F.col("matched"))), TE.valid_version(F.col("asset_version")), C.RANK["url"] + 1, seq=F.col("ord.seq")))
-    lists = staged(TE.evidence_lists(lines))
+    lines = lines.unionByName(more(stamped, _line(24, F.col("tech"), F.concat(F.lit("plugin asset: "), T.short_url(F.col("matched"))), TE.valid_version(F.col("asset_version")), C.RANK["url"] + 1, seq=F.col("ord.seq"))))
+    second = bucketed(_together(_tagged(TE.evidence_lists(lines), "list"), _tagged(core, "core")), "page_id")
+    lists, core = _of(second, "list"), _of(second, "core")
     found = assets.select("page_id").unionByName(slugs.select("page_id"))
     if spaces is not None:
         found = found.unionByName(spaces.select("page_id"))

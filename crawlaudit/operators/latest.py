@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import versions as V
-from .skew import lookup_join
+from .skew import lookup_join, staged
 
 TTL_HOURS = 12
 _LISTED = r"^[a-z0-9-]+\z"
@@ -77,24 +77,28 @@ def lookup_targets(tech: DataFrame, plugins: DataFrame, themes: DataFrame, max_p
 def with_latest(tech: DataFrame, plugins: DataFrame, themes: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Add ``update`` to technologies, plugins and themes.
 
-    Popular keys (core above all) are hot: the join salts them.
+    All rows go through one lookup; popular keys (core above all) are hot, and the join salts them.
     """
     ans = latest_answers(answers).select("key", F.col("version").alias("a_version"), "offers", "unlisted", "theme_name")
     none = F.lit(None).cast(_NO_STATUS)
     status = lambda s, latest: F.struct(F.lit(s).alias("status"), latest.cast("string").alias("latest"), F.lit(None).cast("string").alias("branch"))
     key = F.when(F.col("tech") == "wordpress", "wp-core").when(V.is_exact(F.col("version")), F.concat(F.lit("npm:"), "npm"))
-    t = lookup_join(tech.withColumn("key", key), ans, ["key"])
+    asking = lambda df, tag, key: df.select(F.lit(tag).alias("tag"), key.alias("key"), F.struct(*df.columns).alias(tag))
+    asked = asking(tech, "tech", key)
+    for df, tag in ((plugins, "plugin"), (themes, "theme")):
+        asked = asked.unionByName(asking(df, tag, F.concat(F.lit(f"wp-{tag}:"), "wporg")), allowMissingColumns=True)
+    told = staged(lookup_join(staged(asked), ans, ["key"]))  # counted and joined: read twice
+    answered = lambda tag: told.where(F.col("tag") == tag).select(f"{tag}.*", "a_version", "offers", "unlisted", "theme_name")
     update = (
         F.when((F.col("tech") == "wordpress") & F.col("version").isNotNull(), V.core_status(F.col("version"), F.col("offers")))
         .when(F.col("a_version").isNotNull(), V.latest_status(F.col("version"), F.col("a_version"))).otherwise(none)
     )
-    drop = ["key", "a_version", "offers", "unlisted", "theme_name"]
+    drop = ["a_version", "offers", "unlisted", "theme_name"]
     squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
-    def cms(rows: DataFrame, kind: str) -> DataFrame:
-        j = lookup_join(rows.withColumn("key", F.concat(F.lit(f"{kind}:"), "wporg")), ans, ["key"])
+    def cms(tag: str, columns: list[str]) -> DataFrame:
         foreign = F.lit(False)
-        if "header_name" in rows.columns:
+        if "header_name" in columns:
             foreign = F.coalesce(squash(F.col("theme_name")) != squash(F.col("header_name")), F.lit(False))
         u = (
             F.when(F.col("wporg").isNull() | F.col("unlisted"), status("unlisted", F.lit(None)))
@@ -103,6 +107,6 @@ def with_latest(tech: DataFrame, plugins: DataFrame, themes: DataFrame, answers:
             .when(F.col("version").isNull(), status("unknown", F.col("a_version")))
             .otherwise(V.latest_status(F.col("version"), F.col("a_version")))
         )
-        return j.withColumn("update", u).drop(*drop)
+        return answered(tag).withColumn("update", u).drop(*drop)
 
-    return t.withColumn("update", update).drop(*drop), cms(plugins, "wp-plugin"), cms(themes, "wp-theme")
+    return answered("tech").withColumn("update", update).drop(*drop), cms("plugin", plugins.columns), cms("theme", themes.columns)

@@ -49,6 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 _LOCAL: dict = {}
 _STAGED: list[str] = []
+_TABLES: list[str] = []
 
 
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -67,6 +68,22 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return _written(df, f"{shared_folder(df.sparkSession)}/staged/{uuid.uuid4().hex}", *partition_by)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """An intermediate table in buckets of ``key``, of as many as there are shuffle partitions.
+
+    It costs one exchange. Aggregates, windows and joins whose keys hold ``key`` then run inside a bucket, as often as
+    they like: their plans need none.
+    """
+    spark = df.sparkSession
+    name = f"staged_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/staged/{name}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    _STAGED.append(path)
+    _TABLES.append(name)
+    return spark.table(name)
+
+
 def _written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     w = df.write
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
@@ -90,4 +107,7 @@ def drop_staged(spark: SparkSession) -> None:
     """Remove every table staged so far; what reads them must have ended."""
     for path in _STAGED:
         _remove(spark, path)
+    for name in _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     _STAGED.clear()
+    _TABLES.clear()

@@ -22,7 +22,7 @@ def page_urls(signals: DataFrame, requests: DataFrame | None = None) -> DataFram
     )
     if requests is not None:
         urls = urls.unionByName(requests.select("page_id", F.struct(F.lit(2).alias("k"), F.col("seq")).alias("pos"), F.col("url").alias("value")))
-    urls = urls.where(F.col("value") != "").groupBy("page_id", "value").agg(F.min("pos").alias("pos"))
+    urls = urls.where(F.col("value") != "").repartition("page_id").groupBy("page_id", "value").agg(F.min("pos").alias("pos"))
     return urls.select("page_id", (F.col("pos.k").cast("long") * 10_000_000 + F.col("pos.seq")).alias("seq"), "value")
 
 
@@ -33,11 +33,15 @@ def page_headers(pages: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def base_evidence(signals: DataFrame, requests: DataFrame | None = None, headers: DataFrame | None = None,
-                  runtime: DataFrame | None = None, catalog=None, url_hits: int | None = None) -> DataFrame:
-    """Evidence lines from every source the page itself offers (G2); ``url_hits`` limits addresses per pattern."""
+                  runtime: DataFrame | None = None, catalog=None, url_hits: int | None = None, urls: DataFrame | None = None) -> DataFrame:
+    """Evidence lines from every source the page itself offers (G2); ``url_hits`` limits addresses per pattern.
+
+    ``urls`` is the result of :func:`page_urls` where there is one already.
+    """
     spark = signals.sparkSession
     texts = signals.where("kind in ('generator', 'inline', 'comment', 'body')").select("page_id", F.col("kind").alias("use"), F.col("seq").cast("long"), "value")
-    texts = texts.unionByName(page_urls(signals, requests).select("page_id", F.lit("url").alias("use"), "seq", "value"))
+    urls = page_urls(signals, requests) if urls is None else urls
+    texts = texts.unionByName(urls.select("page_id", F.lit("url").alias("use"), "seq", "value"))
     hits = P.match(texts, C.pattern_rows(catalog), C.PATTERN_SCHEMA)
     if url_hits is not None:
         w = W.partitionBy("page_id", "tech", "use", "pat_ord").orderBy("seq")

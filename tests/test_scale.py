@@ -129,3 +129,18 @@ def test_targets_outside_the_crawl_are_unknown_or_read(spark):
 def test_newest_row_wins(spark):
     rows = spark.createDataFrame([("a", 1, {"x": str(random.random())}), ("a", 2, {}), ("b", 1, None)], "url string, fetched_at int, headers map<string,string>")
     assert sorted((r.url, r.fetched_at) for r in tables.newest(rows, "url").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_detection_folds_inside_buckets(spark):
+    """Facts are dealt to buckets of pages once; what follows has no exchange, and its tables go when they are dropped."""
+    plugin = "https://a.example/wp-content/plugins/acme-tools/x.js?ver=1.{}"
+    rows = [(p, "script", i, "", plugin.format(i % 2)) for p in range(40) for i in range(3)] + [(p, "body", 0, "", "wp-theme-acme") for p in range(40)]
+    signals = spark.createDataFrame(rows, "page_id long, kind string, seq int, key string, value string")
+    found = cms.detect(signals)
+    plan = found["themes"].join(found["core"], "page_id", "left").groupBy("page_id", "slug").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert {(r.page_id, r.id, r.version) for r in found["plugins"].collect()} == {(p, "slug:acme-tools", "1.0") for p in range(40)}
+    assert found["themes"].where("slug = 'acme'").count() == 40
+    before = {t.name for t in spark.catalog.listTables() if t.name.startswith("staged_")}
+    skew.drop_staged(spark)
+    assert before and not [t for t in spark.catalog.listTables() if t.name.startswith("staged_")]

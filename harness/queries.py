@@ -1048,7 +1048,7 @@ def incremental_audit(spark, sf):
     folder = _scratch(spark)
     stream = INC.page_stream(spark, f"{sf}/pages.parque[t]").withColumn("collected_at", F.expr("timestamp_seconds(1700000000 + page_id)"))
     schema = "page_id bigint, url string, collected_at timestamp, title string, links int"
-    log = INC.BatchLog(spark, f"{folder}/audit", schema)
+    log = INC.BatchLog(spark, f"{folder}/audit", schema, key="page_id")  # two pages of the table may have one address
     work = lambda pages: X.page_records(pages, "head", "links").select("page_id", "url", "collected_at", F.col("head.title").alias("title"), F.col("links_total").alias("links"))
     INC.run_incremental(stream, work, log, f"{folder}/checkpoint").awaitTermination()
     return longs(log.read().select("page_id", "url", "title", "links"))

@@ -92,16 +92,15 @@ def attributes(tag: Column) -> Column:
     parts = F.regexp_extract_all(start, F.lit(_ATTR), F.lit(0))
 
     def pair(p: Column) -> Column:
-        t = F.concat(F.lit("<t "), F.regexp_replace(p, r"^[\s/]+", ""), F.lit(">"))
-        key = F.lower(F.regexp_extract(t, r"(?s)^<t ([^\s/>=]+)", 1))
-        raw = F.regexp_replace(F.regexp_extract(t, r"(?s)^<t [^\s/>][^\s/>=]*+(.*)>\z", 1), r"^\s*=?\s*", "")
-        value = F.regexp_replace(raw, r"""(?s)^(?:"([^"]*+)"|'([^']*+)'|(.*))$""", "$1$2$3")
+        key = F.lower(F.regexp_extract(p, r"^[\s/]*+([^\s/>=]+)", 1))
+        value = F.regexp_replace(p, r"""(?s)^[\s/]*+[^\s/>][^\s/>=]*+\s*+=?+\s*+(?:"([^"]*+)"|'([^']*+)'|(.*))$""", "$1$2$3")
         return F.struct(key.alias("key"), decode_entities(value, attribute=True).alias("value"))
 
-    pairs = F.transform(parts, pair)
-    keys = F.transform(pairs, lambda p: p["key"])
-    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == (i + 1).cast("long"))
-    return F.map_from_entries(first)
+    def first(pairs: Column, keys: Column) -> Column:
+        return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == (i + 1).cast("long")))
+
+    # A lambda evaluates what it names once for each item: pairs and their keys are made before it.
+    return let(F.transform(parts, pair), lambda pairs: let(F.transform(pairs, lambda p: p["key"]), lambda keys: first(pairs, keys)))
 
 
 def inner(part: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import html as H, jsontext as J, text as T, urls as U
 from . import elements as EL
 from .extract import children, parse
-from .skew import staged
+from .skew import bucketed, staged
 
 
 def jsonld_blocks(records: DataFrame) -> DataFrame:
@@ -62,32 +62,28 @@ def microdata(pages: DataFrame, max_roots: int | None = None) -> DataFrame:
     innermost item around its element in the element tree. An item that is a property but lies in no item is none, and
     what is inside it belongs to nobody.
     """
-    df = pages.where(F.col("html").rlike("(?i)itemscope"))
-    tokens = staged(EL.markup(df))
-    attr = lambda n: H.attr(F.col("tag"), n)
+    lists = bucketed(EL.markup_lists(pages.where(F.col("html").rlike("(?i)itemscope"))), "page_id")
+    attr = lambda n: F.col("attrs")[n]
     words = lambda c: T.clean(F.coalesce(c, F.lit("")))
-    marked = EL.elements(tokens).where(F.col("tag").rlike(r"(?i)\sitem(?:scope|prop)(?=[\s/>=])"))
-    marked = marked.select("*", H.has_attr(F.col("tag"), "itemscope").alias("scope"), attr("itemprop").alias("props")).where("scope or props is not null")
-    marked = EL.owned(EL.owned(marked, F.col("scope"), "owner"), F.col("scope") & F.col("props").isNull(), "around")
+    marked = EL.elements(EL.placed(lists), F.col("tag").rlike(r"(?i)\sitem(?:scope|prop)(?=[\s/>=])"))
+    marked = marked.select("page_id", "start", "end", "name", H.attributes(F.col("tag")).alias("attrs"))
+    marked = marked.select("*", attr("itemscope").isNotNull().alias("scope"), attr("itemprop").alias("props")).where("scope or props is not null")
+    is_root = F.col("scope") & F.col("props").isNull()
+    marked = EL.owned(marked, is_root, "around")
     # A root is its own; any other item or property needs a root around it.
-    marked = marked.withColumn("root_at", F.when(F.col("scope") & F.col("props").isNull(), F.col("start")).otherwise(F.col("around"))).where("root_at is not null")
-    marked = staged(marked)
-    items = marked.where("scope").select(F.col("page_id").alias("_page"), F.col("start").alias("_start"), (F.row_number().over(W.partitionBy("page_id").orderBy("start")) - 1).alias("number"))
-    items = staged(items)
-    numbered = lambda rows, at, name: rows.join(items.withColumnRenamed("number", name), (F.col("page_id") == F.col("_page")) & (F.col(at) == F.col("_start")), "left").drop("_page", "_start")
-    rows = numbered(numbered(marked, "owner", "parent"), "root_at", "root")
-    rows = numbered(rows, "start", "item")
-    texts = EL.texts_within(marked.where("not scope"), tokens).select(F.col("page_id").alias("_page"), F.col("start").alias("_start"), "text")
-    rows = rows.join(texts, (F.col("page_id") == F.col("_page")) & (F.col("start") == F.col("_start")), "left").drop("_page", "_start")
-    base = parse(df).select(F.col("page_id").alias("_page"), "_base")
-    rows = rows.join(base, F.col("page_id") == F.col("_page"), "left").drop("_page")
+    marked = marked.withColumn("root_at", F.when(is_root, F.col("start")).otherwise(F.col("around"))).where("root_at is not null")
+    upto = W.partitionBy("page_id").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    marked = marked.withColumn("item", (F.count(F.when(F.col("scope"), 1)).over(upto) - 1).cast("int"))
+    rows = EL.owned(marked, F.col("scope"), "owner", parent=F.col("item"))
+    rows = rows.withColumn("root", F.min("item").over(W.partitionBy("page_id", "root_at")))
+    rows = rows.join(lists.withColumnRenamed("page_id", "_page"), F.col("page_id") == F.col("_page"), "left").drop("_page")
     name = F.col("name")
     source = F.when(name.isin(_FROM_SRC), attr("src")).when(name.isin(_FROM_HREF), attr("href")).when(name == "object", attr("data"))
     address = name.isin([*_FROM_SRC, *_FROM_HREF, "object"])
     value = (
-        F.when(attr("content").isNotNull(), attr("content")).when(address, F.coalesce(U.resolve(source, F.col("_base")), F.lit("")))
+        F.when(attr("content").isNotNull(), attr("content")).when(address, F.coalesce(U.resolve(source, F.col("base")), F.lit("")))
         .when(name.isin("data", "meter"), attr("value")).when((name == "time") & (F.coalesce(attr("datetime"), F.lit("")) != ""), attr("datetime"))
-        .otherwise(F.coalesce("text", F.lit("")))
+        .otherwise(F.coalesce(EL.text_between(F.col("tokens"), F.col("start"), F.col("end")), F.lit("")))
     )
     names = F.when(F.col("props").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.split(words(F.col("props")), " "))
     rows = rows.select(

@@ -119,6 +119,33 @@ def select_children(rows: DataFrame, outer: Column, inner: Column) -> DataFrame:
     return owned(rows, F.col("end") > F.col("start"), "_owner", _outer=outer).where(inner & F.col("_outer")).select(*rows.columns)
 
 
+def select_paths(rows: DataFrame, conditions: dict[str, Column], paths: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(selector, and the columns of ``rows``): the rows that each path picks, for many paths in one go.
+
+    A path names conditions with " " (inside) or ">" (child) between them; its key is the selector in the result. Each
+    condition is looked at once per row. Paths of equal beginnings share it, the ends of all that is looked for inside are
+    windows of one order, and one look at the elements around serves all child steps of a depth.
+    """
+    columns = rows.columns
+    flags = {(n,): f"_c_{i}" for i, n in enumerate(conditions)}
+    rows = rows.select("*", *[F.coalesce(c, F.lit(False)).alias(flags[(n,)]) for n, c in conditions.items()])
+    for depth in range(3, max(map(len, paths.values())) + 1, 2):
+        steps = sorted({p[:depth] for p in paths.values() if len(p) >= depth})
+        outer = {how: sorted({s[:-2] for s in steps if s[-2] == how}) for how in (" ", ">")}
+        if outer[">"]:
+            around = {f"_in_{depth}_{i}": F.col(flags[o]) for i, o in enumerate(outer[">"])}
+            rows = owned(rows, F.col("end") > F.col("start"), f"_owner_{depth}", **around)
+        before = W.partitionBy("page_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumns({f"_reach_{depth}_{i}": F.max(F.when(F.col(flags[o]), F.col("end"))).over(before) for i, o in enumerate(outer[" "])})
+        for i, step in enumerate(steps):
+            place = outer[step[-2]].index(step[:-2])
+            inside = F.col(f"_reach_{depth}_{place}") > F.col("start") if step[-2] == " " else F.col(f"_in_{depth}_{place}")
+            flags[step] = f"_f_{depth}_{i}"
+            rows = rows.withColumn(flags[step], F.col(flags[step[-1:]]) & F.coalesce(inside, F.lit(False)))
+    picked = F.array_compact(F.array(*[F.when(F.col(flags[p]), F.lit(s)) for s, p in paths.items()]))
+    return rows.select(F.explode(picked).alias("selector"), *columns)
+
+
 def texts_within(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """(page_id, start, text): the text of elements, white space collapsed, that of the elements inside them included.
 

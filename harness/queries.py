@@ -7,7 +7,6 @@ on enriched ones. Queries without SQL are checked by golden cases in the tests.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -1238,18 +1237,14 @@ def named_references(spark, sf):
     {'selector': 'li > a', 'href': '/n/y'}, {'selector': 'ul ul a', 'href': '/n/y'}, {'selector': 'p a', 'href': '/n/z'}, {'selector': 'div div a', 'href': '/n/w'}, {'selector': '.a a', 'href': '/n/x' || page_id},
     {'selector': '.a a', 'href': '/n/y'}, {'selector': '.a a', 'href': '/n/z'}, {'selector': '.a a', 'href': '/n/w'}, {'selector': 'span > a', 'href': '/n/out'}]) AS t(s)""")
 def descendant_selectors(spark, sf):
-    rows = skew.staged(EL.elements(EL.markup(FX.nested_pages(spark, sf).repartition(FX.splits(spark), "page_id"))))
-    named, classed = (lambda n: F.col("name") == n), (lambda c: F.coalesce(H.attr(F.col("tag"), "class") == c, F.lit(False)))
-    href = H.attr(F.col("tag"), "href")
-    anchors = named("a") & href.rlike("^/n/")
-    chosen = {
-        ".menu a": EL.select_within(rows, classed("menu"), anchors), "p a": EL.select_within(rows, named("p"), anchors), ".a a": EL.select_within(rows, classed("a"), anchors),
-        "ul ul a": EL.select_within(rows.join(EL.select_within(rows, named("ul"), named("ul")).select("page_id", "start", F.lit(True).alias("_in")), ["page_id", "start"], "left"), F.col("_in"), anchors),
-        "div div a": EL.select_within(rows.join(EL.select_within(rows, named("div"), named("div")).select("page_id", "start", F.lit(True).alias("_in")), ["page_id", "start"], "left"), F.col("_in"), anchors),
-        "li > a": EL.select_children(rows, named("li"), anchors), "span > a": EL.select_children(rows, named("span"), anchors),
-    }
-    out = [df.select("page_id", F.lit(s).alias("selector"), H.attr(F.col("tag"), "href").alias("href")) for s, df in chosen.items()]
-    return reduce(DataFrame.unionByName, out)
+    # Pages are dealt once; their tags stay where they are through every window.
+    rows = EL.elements(EL.markup(FX.nested_pages(spark, sf).repartition("page_id")))
+    named, classed = (lambda n: F.col("name") == n), (lambda c: H.attr(F.col("tag"), "class") == c)
+    rows = rows.withColumn("href", F.when(named("a"), H.attr(F.col("tag"), "href")))
+    conditions = {"a": F.col("href").rlike("^/n/"), ".menu": classed("menu"), ".a": classed("a"), **{n: named(n) for n in ("p", "ul", "div", "li", "span")}}
+    paths = {".menu a": (".menu", " ", "a"), "p a": ("p", " ", "a"), ".a a": (".a", " ", "a"), "ul ul a": ("ul", " ", "ul", " ", "a"),
+             "div div a": ("div", " ", "div", " ", "a"), "li > a": ("li", ">", "a"), "span > a": ("span", ">", "a")}
+    return EL.select_paths(rows, conditions, paths).select("page_id", "selector", "href")
 
 
 @query("""SELECT page_id, e.name, e.text FROM pages, unnest([{'name': 'ul', 'text': 'OneXYThree'}, {'name': 'p', 'text': 'TextZ'}, {'name': 'span', 'text': 'Out'}]) AS t(e)""")

@@ -60,26 +60,51 @@ def phrase_copy_members(pages: DataFrame, text: Column) -> DataFrame:
     return lookup_join(phrases, _repeated(phrases), ["phrase"], "inner").select("page_id", "phrase", "pages", "first_page")
 
 
-def winnowed(words: Column, k: int, w: int) -> Column:
-    """(anchor, place) of the ``k``-word runs that winnowing keeps: of any ``w`` runs in a row the one of smallest hash, the first of equals.
+# Anchors are runs of RUN words, the least of any WINDOW runs in a row; LONG words from there on say more.
+RUN, WINDOW, LONG = 4, 5, 8
+# By level, the words that a phrase needs. Its first anchor begins within its first WINDOW words.
+LEAST_WORDS = [LONG + WINDOW - 1, RUN + WINDOW - 1, 1]
 
-    Two texts that share ``w + k - 1`` words in a row keep a common run. About 2 / (w + 1) of the runs are kept.
-    """
-    run = lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(k)), " "), F.lit(k))
-    places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
-
-    def least(h: Column) -> Column:
-        starts = F.when(F.size(h) >= w, F.sequence(F.lit(1), F.size(h) - w + 1)).when(F.size(h) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-        at = F.transform(starts, lambda i: T.let(F.slice(h, i, F.lit(w)), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int")))
-        # A run is kept by windows side by side, so it is enough to drop what the window before kept.
-        kept = T.let(at, lambda m: F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1) != x)))
-        return F.transform(kept, lambda i: F.struct(F.element_at(h, i).alias("anchor"), i.alias("place")))
 
-    return T.let(F.transform(places, run), least)
+def winnowed(rows: DataFrame, key: str, words: str, levels: list[int]) -> DataFrame:
+    """(``key``, level, anchor, place): at level 0 LONG words, at level 1 RUN words from each anchor on; at level 2 every word.
 
-
-# For phrases of so many words or more, the run and the window by which they are looked for.
-ANCHORS = [(15, 8, 8), (8, 4, 5), (1, 1, 1)]
+    Of any WINDOW runs in a row those of smallest hash are anchors, so two texts that share RUN + WINDOW - 1 words in a row share
+    one, although about 2 / (WINDOW + 1) of the runs are kept. A word's row holds the hashes around it, so a run is compared with
+    its neighbours where it stands.
+    """
+    around = WINDOW - 1
+    last = max(around + RUN, LONG) - 1
+    none = lambda n: F.array_repeat(F.lit(None).cast("bigint"), n)
+    hashes = rows.select(key, F.concat(none(around), F.transform(words, lambda x: F.xxhash64(x)), none(last)).alias("_h"))
+    # Slices of one length side by side: element i has the words from i - around to i + last.
+    n = F.greatest(F.size("_h") - around - last, F.lit(0))
+    names = [f"_{i}" for i in range(around + last + 1)]
+    side_by_side = F.arrays_zip(*[F.slice("_h", i + 1, n).alias(name) for i, name in enumerate(names)], F.sequence(F.lit(0), n).alias("_place"))
+    at = hashes.select(key, F.inline(side_by_side).alias(*names, "_place")).where(F.col(names[around]).isNotNull())
+
+    def run(d: int, size: int = RUN) -> Column:
+        own = [F.col(x) for x in names[around + d:around + d + size]]
+        return F.when(own[0].isNotNull() & own[-1].isNotNull(), F.xxhash64(*own))
+
+    def no_less(sign: int) -> Column:
+        """How many runs on one side, counted from the run on, are no less than it; at most all that share a window with it."""
+        count = None
+        for d in range(1, around + 1):
+            less = ~F.coalesce(run(sign * d) >= run(0), F.lit(False))
+            count = F.when(less, d - 1) if count is None else count.when(less, d - 1)
+        return count.otherwise(around)
+
+    kept = no_less(-1) + no_less(1) >= around
+    anchor = lambda level, h: F.struct(F.lit(level).alias("level"), h.alias("anchor"))
+    of_runs = [anchor(0, run(0, LONG))] * (0 in levels) + [anchor(1, run(0))] * (1 in levels)
+    if 2 in levels:
+        word = [anchor(2, F.col(names[around]))]
+        made = F.when(kept, F.array(*of_runs, *word)).otherwise(F.array(*word)) if of_runs else F.array(*word)
+    else:
+        at, made = at.where(kept), F.array(*of_runs)
+    made = at.select(key, (F.col("_place") + 1).alias("place"), F.inline(made))
+    return made.where("anchor is not null").select(key, "level", "anchor", "place")
 
 
 def passage_copies(passages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -87,30 +112,28 @@ def passage_copies(passages: DataFrame, documents: DataFrame) -> DataFrame:
 
     Documents and phrases are winnowed alike: of every window of word runs the one of smallest hash is an anchor, so a text
     that holds a phrase shares an anchor with it, although less than a quarter of its runs are anchors. Shorter phrases take
-    shorter runs, and only for them are those of the documents made. A phrase brings one anchor, its first; what meets it
-    fetches the document's words and is compared with the phrase.
+    shorter runs, and only for them are those of the documents made. A phrase brings one anchor, its first. What meets it is
+    stored as places, and only documents with such a place are read again, to be compared with the phrase.
     Equal passages count once.
     """
-    phrases = passages.select(T.exact_phrase(F.col("text"), None).alias("phrase")).where(F.col("phrase") != "").distinct()
-    words = F.split("phrase", " ")
-    level = F.lit(len(ANCHORS) - 1)
-    for i, (least, _, _) in reversed(list(enumerate(ANCHORS))):
-        level = F.when(F.size(words) >= least, i).otherwise(level)
-    first = lambda k, w: F.get(winnowed(words, k, w), F.lit(0))
-    anchor = F.when(level == 0, first(*ANCHORS[0][1:])).when(level == 1, first(*ANCHORS[1][1:])).otherwise(first(*ANCHORS[2][1:]))
-    phrases = staged(phrases.select("phrase", F.size(words).alias("size"), level.alias("level"), anchor.alias("a")).select("phrase", "size", "level", "a.anchor", F.col("a.place").alias("offset")))
-    levels = sorted(r["level"] for r in phrases.select("level").distinct().collect())  # three at most
+    phrases = staged(passages.select(T.exact_phrase(F.col("text"), None).alias("phrase")).where(F.col("phrase") != "").distinct()
+                     .select("phrase", F.split("phrase", " ").alias("w")).select("phrase", F.size("w").alias("size"), "w", F.monotonically_increasing_id().alias("number")))
+    own = F.when(F.col("size") >= LEAST_WORDS[0], 0).when(F.col("size") >= LEAST_WORDS[1], 1).otherwise(2)
+    firsts = winnowed(phrases, "number", "w", [0, 1, 2]).join(phrases.select("number", own.alias("level")), ["number", "level"])
+    firsts = firsts.groupBy("number", "level").agg(F.min_by(F.struct("anchor", F.col("place").alias("offset")), "place").alias("a"))
+    wanted = staged(firsts.select("number", "level", "a.*"))
+    levels = sorted(r["level"] for r in wanted.select("level").distinct().collect())  # three at most
     body = T.clean(F.regexp_replace("text", "[\"“”„«»]", " "))
-    docs = documents.select("doc_id", F.split(body, " ").alias("w"))
+    with_words = lambda rows: rows.select("doc_id", F.split(body, " ").alias("w"))
     if not levels:
-        return docs.select(F.lit("").alias("phrase"), "doc_id").limit(0)
-    named = lambda i: lambda x: F.struct(F.lit(i).alias("level"), x["anchor"].alias("anchor"), x["place"].alias("place"))
-    anchors = F.flatten(F.array(*[F.transform(winnowed(F.col("w"), *ANCHORS[i][1:]), named(i)) for i in levels]))
-    kept = docs.select("doc_id", F.explode(anchors).alias("g")).select("doc_id", "g.*")
+        return documents.select(F.lit("").alias("phrase"), "doc_id").limit(0)
+    kept = winnowed(with_words(documents), "doc_id", "w", levels)
     # One word may stand in every document: only those anchors are counted and salted before they meet.
-    met = lookup_join(staged(kept), phrases, ["level", "anchor"], "inner") if levels[-1] == 2 else kept.join(phrases, ["level", "anchor"])
-    met = met.select(F.col("doc_id").alias("in"), (F.col("place") - F.col("offset") + 1).alias("from"), "size", "phrase").where("from > 0")
-    found = docs.join(met, F.col("doc_id") == F.col("in")).where(F.array_join(F.slice("w", F.col("from"), F.col("size")), " ") == F.col("phrase"))
+    met = lookup_join(staged(kept), wanted, ["level", "anchor"], "inner") if levels[-1] == 2 else kept.join(wanted, ["level", "anchor"])
+    met = staged(met.select(F.col("doc_id").alias("in"), (F.col("place") - F.col("offset") + 1).alias("from"), "number").where("from > 0"))
+    hit = with_words(documents.join(met.select("in").distinct(), F.col("doc_id") == F.col("in"), "left_semi"))
+    met = lookup_join(met, phrases.select("number", "size", "phrase"), ["number"], "inner")
+    found = hit.join(met, F.col("doc_id") == F.col("in")).where(F.array_join(F.slice("w", F.col("from"), F.col("size")), " ") == F.col("phrase"))
     return found.select("phrase", "doc_id").distinct()
 
 
